@@ -1 +1,118 @@
-"""Placeholder."""
+"""Run logs, in batch and as streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from viewloom.catalog import standins as S
+from viewloom.catalog.base import query, table
+from viewloom.operators import logs
+from viewloom.session import scratch_path
+from viewloom.sources import sinks
+from viewloom.streaming import logs as live
+
+_ASOF_SQL = f"""{S.PARSED_SQL},
+everything AS (
+  SELECT run, line_no, step, NULL::DOUBLE AS psnr, NULL::DOUBLE AS lpips, NULL::DOUBLE AS ssim FROM train
+  UNION ALL SELECT run, line_no, NULL, psnr, lpips, ssim FROM val),
+walked AS (
+  SELECT run, line_no, coalesce(last_value(step IGNORE NULLS) OVER (PARTITION BY run ORDER BY line_no
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS step, psnr, lpips, ssim FROM everything),
+stepped AS (SELECT * FROM walked WHERE psnr IS NOT NULL)"""
+
+_STATUS_SQL = f"""{S.PARSED_SQL},
+status AS (
+  SELECT r.run, t.step, t.loss, t.lr, v.psnr, v.lpips, s.ssim
+  FROM (SELECT run FROM train UNION SELECT run FROM val) r
+  LEFT JOIN (SELECT run, max_by(step, line_no) AS step, max_by(loss, line_no) AS loss, max_by(lr, line_no) AS lr FROM train GROUP BY run) t USING (run)
+  LEFT JOIN (SELECT run, max_by(psnr, line_no) AS psnr, max_by(lpips, line_no) AS lpips FROM val GROUP BY run) v USING (run)
+  LEFT JOIN (SELECT run, max_by(ssim, line_no) AS ssim FROM val WHERE ssim IS NOT NULL GROUP BY run) s USING (run))"""
+
+_TAIL_SQL = f"""{S.LINES_SQL},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY line_no DESC) AS r FROM lines)
+SELECT run, line_no, line FROM ranked WHERE r <= """
+
+_PARSED_ROWS_SQL = f"""WITH {S.PARSED_SQL}
+SELECT run, line_no, step, loss, lr, NULL::DOUBLE AS psnr, NULL::DOUBLE AS lpips, NULL::DOUBLE AS ssim FROM train
+UNION ALL SELECT run, line_no, NULL, NULL, NULL, psnr, lpips, ssim FROM val"""
+
+# Chunks far shorter than a run, so that the as-of join carries steps across them.
+CHUNK = 64
+
+
+@query(f"WITH {S.PARSED_SQL} SELECT * FROM train")
+def parse_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.parse_train(S.lines(spark, sf_dir))
+
+
+@query(f"WITH {S.PARSED_SQL} SELECT * FROM val")
+def parse_val(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.parse_val(S.lines(spark, sf_dir))
+
+
+@query(f"WITH {_ASOF_SQL} SELECT * FROM stepped")
+def asof_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.asof_step(logs.parse_lines(S.lines(spark, sf_dir)), chunk=CHUNK)
+
+
+@query(f"WITH {_TAIL_SQL} 20")
+def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.tail_lines(S.lines(spark, sf_dir), 20)
+
+
+@query(f"WITH {_STATUS_SQL} SELECT * FROM status")
+def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.run_status(logs.parse_lines(S.lines(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {_ASOF_SQL}
+SELECT run, step, 'training/loss' AS name, loss AS value FROM train UNION ALL SELECT run, step, 'training/lr', lr FROM train
+UNION ALL SELECT run, step, 'validation/psnr', psnr FROM stepped UNION ALL SELECT run, step, 'validation/lpips', lpips FROM stepped
+UNION ALL SELECT run, step, 'validation/ssim', ssim FROM stepped WHERE ssim IS NOT NULL"""
+)
+def metric_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines to the metric table and back."""
+    path = scratch_path(spark, "metrics")
+    sinks.write_metrics(logs.metric_rows(logs.parse_lines(S.lines(spark, sf_dir))), path)
+    return spark.read.parquet(path)
+
+
+def _live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of log lines."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return S.as_lines(events)
+
+
+@query(_PARSED_ROWS_SQL)
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "stream-metrics")
+    parsed = live.stream_metrics(_live_lines(spark, sf_dir))
+    live.run_to_end(
+        parsed.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
+    )
+    return spark.read.parquet(f"{root}/out")
+
+
+@query(f"WITH {_ASOF_SQL} SELECT * FROM stepped")
+def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "stream-asof")
+    live.run_to_end(live.stream_asof(_live_lines(spark, sf_dir), f"{root}/out", f"{root}/state", f"{root}/ckpt"))
+    return spark.read.parquet(f"{root}/out").drop("batch_id")
+
+
+@query(f"WITH {_TAIL_SQL} 50")
+def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "stream-tail")
+    last = live.run_to_end(live.stream_tail(_live_lines(spark, sf_dir), f"{root}/state", f"{root}/ckpt", n=50))
+    return live.latest_tail(spark, f"{root}/state", last)
+
+
+@query(f"WITH {_STATUS_SQL} SELECT * FROM status")
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "stream-status")
+    status = live.stream_status(_live_lines(spark, sf_dir))
+    live.run_to_end(live.publish_status(status, f"{root}/out", f"{root}/ckpt"))
+    return live.latest_status(spark, f"{root}/out")

@@ -19,26 +19,26 @@ ZNEAR, ZFAR = 0.01, 100.0
 CAMERA_SCHEMA = "x ARRAY<DOUBLE>, y ARRAY<DOUBLE>, z ARRAY<DOUBLE>, origin ARRAY<DOUBLE>"
 
 
-def parse_camera(camera_json: Column) -> Column:
-    """Camera JSON to a pose; NULL unless x, y, z and origin all have three numbers."""
-    text = camera_json.cast("string")
-    cam = F.from_json(text, CAMERA_SCHEMA)
-    parts = [cam[name] for name in ("x", "y", "z", "origin")]
+def camera_parts(camera_json: Column) -> Column:
+    """Camera JSON (text or bytes) as a struct of its four columns."""
+    return F.from_json(camera_json.cast("string"), CAMERA_SCHEMA)
+
+
+def pose_of(parts: Column) -> Column:
+    """Pose of a parsed camera; NULL unless x, y, z and origin all have three numbers."""
+    columns = [parts[name] for name in ("x", "y", "z", "origin")]
     valid = F.lit(True)
-    for part in parts:
-        valid = valid & (F.size(part) == 3) & ~F.exists(part, lambda v: v.isNull())
-    rows = [F.get(part, F.lit(r)) for r in range(3) for part in parts]
+    for column in columns:
+        valid = valid & (F.size(column) == 3) & ~F.array_contains(F.transform(column, lambda v: v.isNull()), True)
+    rows = [F.get(column, F.lit(r)) for r in range(3) for column in columns]
     zero, one = F.lit(0.0), F.lit(1.0)
     return F.when(valid, F.array(*rows, zero, zero, zero, one))
 
 
-def camera_problem(camera_json: Column) -> Column:
-    """Why a camera file is unusable; NULL for a good one."""
-    text = camera_json.cast("string")
-    return (
-        F.when(text.isNull(), "no camera file")
-        .when(F.try_parse_json(text).isNull(), "not JSON")
-        .when(parse_camera(text).isNull(), "x, y, z and origin must be arrays of three numbers")
+def camera_problem(camera_json: Column, c2w: Column) -> Column:
+    """Why a camera file is unusable, given its parsed pose; NULL for a good one."""
+    return F.when(camera_json.isNull(), F.lit("no camera file")).when(
+        c2w.isNull(), F.lit("x, y, z and origin must be arrays of three numbers")
     )
 
 

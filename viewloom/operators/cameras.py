@@ -21,9 +21,9 @@ NORM_RADIUS = 1.4
 
 def parse_cameras(views: DataFrame, json_col: str = "camera_json") -> DataFrame:
     """Adds ``c2w`` and, for unusable files, ``camera_problem``."""
-    return views.withColumn("c2w", C.parse_camera(F.col(json_col))).withColumn(
-        "camera_problem", C.camera_problem(F.col(json_col))
-    )
+    parsed = views.withColumn("_parts", C.camera_parts(F.col(json_col)))
+    posed = parsed.withColumn("c2w", C.pose_of(F.col("_parts"))).drop("_parts")
+    return posed.withColumn("camera_problem", C.camera_problem(F.col(json_col), F.col("c2w")))
 
 
 def undo_orbit(cameras: DataFrame) -> DataFrame:

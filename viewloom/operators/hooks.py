@@ -34,12 +34,6 @@ EMBED_SCHEMA = (
 Encoder = Callable[[list[str], int], tuple]
 
 
-def _rows(value, count: int) -> list:
-    if value is None:
-        return [None] * count
-    return [np.asarray(v, dtype=np.float32) for v in value]
-
-
 def encode(
     captions: DataFrame,
     encoder_factory: Callable[[], Encoder],
@@ -56,9 +50,12 @@ def encode(
         raise ValueError(f"unknown model {model}")
     if on_error not in ("raise", "zeros"):
         raise ValueError("on_error is 'raise' or 'zeros'")
-    length = CAPTION_LENGTH[model]
+    length, fallback_shape = CAPTION_LENGTH[model], FALLBACK_SHAPE
     prepared = captions.select("uid", model_caption(F.col("caption"), model).alias("caption"))
 
+    def rows(value, count):
+        return [None] * count if value is None else [np.asarray(v, dtype=np.float32) for v in value]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = None
         for frame in frames:
@@ -72,14 +69,14 @@ def encode(
                 except Exception:
                     if on_error == "raise":
                         raise
-                    tokens, pooled, mask, failed = np.zeros((count, *FALLBACK_SHAPE), np.float32), None, None, True
+                    tokens, pooled, mask, failed = np.zeros((count, *fallback_shape), np.float32), None, None, True
                 yield pd.DataFrame(
                     {
                         "model": model,
                         "uid": part["uid"].to_numpy(),
-                        "tokens": [list(t) for t in _rows(tokens, count)],
-                        "pooled": _rows(pooled, count),
-                        "attention_mask": _rows(mask, count),
+                        "tokens": [list(t) for t in rows(tokens, count)],
+                        "pooled": rows(pooled, count),
+                        "attention_mask": rows(mask, count),
                         "fallback": failed,
                     }
                 )

@@ -68,49 +68,54 @@ def psnr_pooled(errors: DataFrame, by: Sequence[str]) -> DataFrame:
     return plane_mse(errors, by).withColumn("psnr", P.psnr_of(F.col("mse")))
 
 
-def _box_sums(stack: np.ndarray, size: int) -> np.ndarray:
-    """Sums over every size x size window of a (N, h, w) integer stack."""
-    sums = np.zeros((stack.shape[0], stack.shape[1] + 1, stack.shape[2] + 1), dtype=np.int64)
-    sums[:, 1:, 1:] = stack.cumsum(axis=1, dtype=np.int64).cumsum(axis=2, dtype=np.int64)
-    return sums[:, size:, size:] - sums[:, :-size, size:] - sums[:, size:, :-size] + sums[:, :-size, :-size]
-
-
-def _ssim_stack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Mean similarity of each pair in two (N, h, w) byte stacks."""
-    area = SSIM_WINDOW * SSIM_WINDOW
-    a, b = a.astype(np.int64), b.astype(np.int64)
-    ux, uy = _box_sums(a, SSIM_WINDOW) / area, _box_sums(b, SSIM_WINDOW) / area
-    norm = area / (area - 1)
-    vx = norm * (_box_sums(a * a, SSIM_WINDOW) / area - ux * ux)
-    vy = norm * (_box_sums(b * b, SSIM_WINDOW) / area - uy * uy)
-    vxy = norm * (_box_sums(a * b, SSIM_WINDOW) / area - ux * uy)
+def _plane_scorer():
+    """The Arrow function behind ``ssim``.
+
+    It is built inside a function so that it travels by value: executors need
+    numpy and pyarrow, not this package.
+    """
+    window, area = SSIM_WINDOW, SSIM_WINDOW * SSIM_WINDOW
     c1, c2 = (SSIM_K1 * SSIM_RANGE) ** 2, (SSIM_K2 * SSIM_RANGE) ** 2
-    score = ((2 * ux * uy + c1) * (2 * vxy + c2)) / ((ux * ux + uy * uy + c1) * (vx + vy + c2))
-    return score.mean(axis=(1, 2))
-
-
-@F.arrow_udf("double")
-def _ssim_plane(a: pa.Array, b: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
-    """One score per plane pair; planes of one shape are scored together."""
-    heights, widths = h.to_numpy(zero_copy_only=False), w.to_numpy(zero_copy_only=False)
-    out: list[float | None] = [None] * len(a)
-    for height, width in sorted(set(zip(heights.tolist(), widths.tolist()))):
-        if min(height, width) < SSIM_WINDOW:
-            continue
-        rows = np.flatnonzero((heights == height) & (widths == width))
-        # a few planes at a time bounds the integer work space
-        step = max(1, (1 << 22) // (height * width))
-        for start in range(0, len(rows), step):
-            part = rows[start : start + step]
-            index = pa.array(part)
-            byte_planes = []
-            for side in (a, b):
-                flat = side.take(index).flatten().to_numpy(zero_copy_only=False)
-                # pixels are truncated, not rounded, to bytes in the stored precision
-                byte_planes.append((flat * flat.dtype.type(255)).astype(np.uint8).reshape(-1, height, width))
-            for row, score in zip(part.tolist(), _ssim_stack(*byte_planes).tolist()):
-                out[row] = score
-    return pa.array(out, type=pa.float64())
+
+    def box_means(stack):
+        """Means over every window of a (N, h, w) integer stack, from exact sums."""
+        sums = np.zeros((stack.shape[0], stack.shape[1] + 1, stack.shape[2] + 1), dtype=np.int64)
+        sums[:, 1:, 1:] = stack.cumsum(axis=1).cumsum(axis=2)
+        return (
+            sums[:, window:, window:] - sums[:, :-window, window:] - sums[:, window:, :-window] + sums[:, :-window, :-window]
+        ) / area
+
+    def scores_of(a, b):
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        ux, uy = box_means(a), box_means(b)
+        sample = area / (area - 1)
+        vx = sample * (box_means(a * a) - ux * ux)
+        vy = sample * (box_means(b * b) - uy * uy)
+        vxy = sample * (box_means(a * b) - ux * uy)
+        score = ((2 * ux * uy + c1) * (2 * vxy + c2)) / ((ux * ux + uy * uy + c1) * (vx + vy + c2))
+        return score.mean(axis=(1, 2))
+
+    def as_bytes(planes, index, height, width):
+        flat = planes.take(index).flatten().to_numpy(zero_copy_only=False)
+        # pixels are truncated, not rounded, to bytes in the stored precision
+        return (flat * flat.dtype.type(255)).astype(np.uint8).reshape(-1, height, width)
+
+    def score(a: pa.Array, b: pa.Array, h: pa.Array, w: pa.Array) -> pa.Array:
+        heights, widths = h.to_numpy(zero_copy_only=False), w.to_numpy(zero_copy_only=False)
+        out = np.full(len(a), np.nan)
+        for height, width in sorted(set(zip(heights.tolist(), widths.tolist()))):
+            if min(height, width) < window:
+                continue
+            rows = np.flatnonzero((heights == height) & (widths == width))
+            # a few planes at a time bounds the integer work space
+            step = max(1, (1 << 22) // (height * width))
+            for start in range(0, len(rows), step):
+                part = rows[start : start + step]
+                index = pa.array(part)
+                out[part] = scores_of(as_bytes(a, index, height, width), as_bytes(b, index, height, width))
+        return pa.array(out, mask=np.isnan(out))
+
+    return F.arrow_udf(score, "double")
 
 
 def ssim(pairs: DataFrame, by: Sequence[str] = ("uid", "view_id")) -> DataFrame:
@@ -120,7 +125,7 @@ def ssim(pairs: DataFrame, by: Sequence[str] = ("uid", "view_id")) -> DataFrame:
     place as Arrow batches; a shuffle of exploded pixels would move each pixel
     twice.  Planes narrower than the window score NULL.
     """
-    scored = pairs.select(*by, _ssim_plane("a", "b", "h", "w").alias("_s"))
+    scored = pairs.select(*by, _plane_scorer()("a", "b", "h", "w").alias("_s"))
     return scored.groupBy(*by).agg(F.avg("_s").alias("ssim"))
 
 
@@ -149,27 +154,31 @@ def clip_sim(images: DataFrame, texts: DataFrame, group: str = "grp", idx: str =
     return clip_scores(images, texts, group, idx).groupBy(group).agg(F.avg("score").alias("clip_sim"))
 
 
-def _best_in_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """For each image of a block its best text of a block (lowest index on a tie)."""
-    columns = ["grp", "idx", "best", "best_idx"]
-    if left.empty or right.empty:
-        return pd.DataFrame({c: pd.Series(dtype="float64" if c == "best" else "int64") for c in columns})
-    right = right.sort_values("idx")
+def _block_matcher():
+    """The pandas function behind ``best_texts``; built inside so that it travels by value."""
 
-    def unit(vectors: pd.Series) -> np.ndarray:
+    def unit(vectors):
         stack = np.stack(vectors.to_numpy()).astype(np.float64)
         return stack / np.linalg.norm(stack, axis=1, keepdims=True)
 
-    scores = unit(left["vec"]) @ unit(right["vec"]).T
-    at = scores.argmax(axis=1)
-    return pd.DataFrame(
-        {
-            "grp": left["grp"].to_numpy(),
-            "idx": left["idx"].to_numpy(),
-            "best": scores[np.arange(len(at)), at],
-            "best_idx": right["idx"].to_numpy()[at],
-        }
-    )
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """For each image of a block its best text of a block, the lowest index on a tie."""
+        if left.empty or right.empty:
+            empty = np.empty(0, np.int64)
+            return pd.DataFrame({"grp": empty, "idx": empty, "best": np.empty(0), "best_idx": empty})
+        right = right.sort_values("idx")
+        scores = unit(left["vec"]) @ unit(right["vec"]).T
+        at = scores.argmax(axis=1)
+        return pd.DataFrame(
+            {
+                "grp": left["grp"].to_numpy(),
+                "idx": left["idx"].to_numpy(),
+                "best": scores[np.arange(len(at)), at],
+                "best_idx": right["idx"].to_numpy()[at],
+            }
+        )
+
+    return best
 
 
 def best_texts(images: DataFrame, texts: DataFrame, block: int = 2048) -> DataFrame:
@@ -201,7 +210,7 @@ def best_texts(images: DataFrame, texts: DataFrame, block: int = 2048) -> DataFr
     found = (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
-        .applyInPandas(_best_in_block, "grp BIGINT, idx BIGINT, best DOUBLE, best_idx BIGINT")
+        .applyInPandas(_block_matcher(), "grp BIGINT, idx BIGINT, best DOUBLE, best_idx BIGINT")
     )
     top = F.max(F.struct("best", (-F.col("best_idx")).alias("low"))).alias("t")
     return found.groupBy("grp", "idx").agg(top).select(

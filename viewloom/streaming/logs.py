@@ -108,6 +108,25 @@ def latest_tail(spark: SparkSession, state: str, last_batch: int) -> DataFrame:
     return spark.read.schema(LINES).parquet(f"{state.rstrip('/')}/slot={last_batch % 2}")
 
 
+def publish_status(status: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+    """Writes the rows of ``stream_status`` that a batch changed, in a folder per batch."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch, out, batch_id)
+
+    return (
+        status.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(step)
+    )
+
+
+def latest_status(spark: SparkSession, out: str) -> DataFrame:
+    """The last published row of each run."""
+    rows = spark.read.parquet(out)
+    names = [c for c in rows.columns if c not in ("run", "batch_id")]
+    newest = rows.groupBy("run").agg(F.max_by(F.struct(*names), "batch_id").alias("s"))
+    return newest.select("run", "s.*")
+
+
 def run_to_end(writer: DataStreamWriter) -> int:
     """Processes everything available; returns the id of the last batch (-1 for none)."""
     query = writer.trigger(availableNow=True).start()
