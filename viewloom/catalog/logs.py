@@ -53,7 +53,7 @@ def parse_val(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_ASOF_SQL} SELECT * FROM stepped")
 def asof_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.asof_step(logs.parse_lines(S.lines(spark, sf_dir)), chunk=CHUNK)
+    return logs.asof_step(logs.scan_lines(S.lines(spark, sf_dir)), chunk=CHUNK)
 
 
 @query(f"WITH {_TAIL_SQL} 20")
@@ -63,7 +63,7 @@ def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_STATUS_SQL} SELECT * FROM status")
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.run_status(logs.parse_lines(S.lines(spark, sf_dir)))
+    return logs.run_status(logs.scan_lines(S.lines(spark, sf_dir)))
 
 
 @query(
@@ -75,7 +75,7 @@ UNION ALL SELECT run, step, 'validation/ssim', ssim FROM stepped WHERE ssim IS N
 def metric_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines to the metric table and back."""
     path = scratch_path(spark, "metrics")
-    sinks.write_metrics(logs.metric_rows(logs.parse_lines(S.lines(spark, sf_dir))), path)
+    sinks.write_metrics(logs.metric_rows(logs.scan_lines(S.lines(spark, sf_dir))), path)
     return spark.read.parquet(path)
 
 

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 TRAIN_LINE = r"\|\s*(\d+)/\d+\s*\[.*?loss=([\d.e+\-]+|nan).*?lr=([\d.e+\-]+)"
 SCORE = r"{name}=([\d.e+\-]+)"
 
-
-def _group(line: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(line, pattern, group)
+_MARK = "\x01"
 
 
 def is_train_candidate(line: Column) -> Column:
@@ -19,18 +17,19 @@ def is_train_candidate(line: Column) -> Column:
     return F.contains(line, F.lit("loss=")) & F.contains(line, F.lit("lr="))
 
 
-def train_step(line: Column) -> Column:
-    return _group(line, TRAIN_LINE, 1).try_cast("bigint")
-
+def train_fields(line: Column) -> Column:
+    """[step, loss, lr] of the first match as text, in one pass; NULL for other lines.
 
-def train_loss(line: Column) -> Column:
-    """NULL for a line without a loss and for ``nan``."""
-    text = _group(line, TRAIN_LINE, 2)
-    return F.when(text != "nan", text.try_cast("double"))
+    ``(?s)``: a redrawn progress bar has carriage returns inside the line.
+    """
+    whole = f"(?s)^.*?{TRAIN_LINE}.*$"
+    fields = F.split(F.regexp_replace(line, whole, f"{_MARK}$1{_MARK}$2{_MARK}$3"), _MARK)
+    return F.when(is_train_candidate(line), F.when(F.size(fields) == 4, F.slice(fields, 2, 3)))
 
 
-def train_lr(line: Column) -> Column:
-    return _group(line, TRAIN_LINE, 3).try_cast("double")
+def number_or_null(text: Column, kind: str) -> Column:
+    """``nan`` is no number here: such a loss counts as not reported."""
+    return F.when(text != "nan", text).try_cast(kind)
 
 
 def is_val_candidate(line: Column) -> Column:
@@ -38,4 +37,5 @@ def is_val_candidate(line: Column) -> Column:
 
 
 def val_score(line: Column, name: str) -> Column:
-    return _group(line, SCORE.format(name=name), 1).try_cast("double")
+    text = F.regexp_extract(line, SCORE.format(name=name), 1)
+    return F.when(is_val_candidate(line), text).try_cast("double")

@@ -167,56 +167,56 @@ def resolve_base(run_params: DataFrame) -> DataFrame:
     """(run, ckpt, root_run, root_ckpt, status) following adapters to their base.
 
     ``run_params(run, ckpt, is_adapter, base_run, base_ckpt)`` has one row per
-    checkpoint.  Pointers are doubled, so a chain of length d takes log2(d)
-    rounds and every round is one join; each round is checkpointed.  After
-    log2(#adapters) rounds whatever has not arrived runs in a circle.  A chain
-    that ends in an unknown checkpoint is ``missing``; both give NULL roots.
+    checkpoint.  Every round doubles the pointers with one join and is
+    checkpointed: round r settles all chains of up to 2^r steps.  A chain longer
+    than that has members of every shorter length, so a round that settles
+    nothing proves that the rest runs in circles.  A chain that ends in an
+    unknown checkpoint is ``missing``; circles and missing ends give NULL roots.
     """
     known = run_params.select(F.col("run").alias("base_run"), F.col("ckpt").alias("base_ckpt"), F.lit(True).alias("_k"))
-    direct = run_params.select(
-        "run",
-        "ckpt",
-        F.when(F.col("is_adapter"), F.col("base_run")).otherwise(F.col("run")).alias("base_run"),
-        F.when(F.col("is_adapter"), F.col("base_ckpt")).otherwise(F.col("ckpt")).alias("base_ckpt"),
-        "is_adapter",
-    ).join(known, ["base_run", "base_ckpt"], "left")
+    base = {
+        "base_run": F.when(F.col("is_adapter"), F.col("base_run")).otherwise(F.col("run")),
+        "base_ckpt": F.when(F.col("is_adapter"), F.col("base_ckpt")).otherwise(F.col("ckpt")),
+    }
+    direct = run_params.select("run", "ckpt", "is_adapter", *[c.alias(n) for n, c in base.items()])
     exists = F.col("_k").isNotNull()
+    status = (
+        F.when(~exists, F.lit("missing")).when(F.col("is_adapter"), F.lit("open")).otherwise(F.lit("root"))
+    )
     state = cut_lineage(
-        direct.select(
+        direct.join(known, ["base_run", "base_ckpt"], "left").select(
             "run",
             "ckpt",
             F.when(exists, F.col("base_run")).alias("root_run"),
             F.when(exists, F.col("base_ckpt")).alias("root_ckpt"),
-            F.when(~exists, F.lit("missing")).when(F.col("is_adapter"), F.lit("open")).otherwise(F.lit("root")).alias("status"),
+            status.alias("status"),
         )
     )
-    rounds = state.where(F.col("status") == "open").count().bit_length()
-    for _ in range(rounds):
-        step = state.select(
+    is_open = F.col("status") == "open"
+    left = state.where(is_open).count()
+    while left:
+        target = state.select(
             F.col("run").alias("root_run"),
             F.col("ckpt").alias("root_ckpt"),
-            F.col("root_run").alias("_run"),
-            F.col("root_ckpt").alias("_ckpt"),
-            F.col("status").alias("_status"),
+            F.struct(F.col("root_run").alias("run"), F.col("root_ckpt").alias("ckpt"), "status").alias("_next"),
         )
-        moving = state.where(F.col("status") == "open").join(step, ["root_run", "root_ckpt"], "left")
-        moved = moving.select(
+        moved = state.where(is_open).join(target, ["root_run", "root_ckpt"], "left").select(
             "run",
             "ckpt",
-            F.col("_run").alias("root_run"),
-            F.col("_ckpt").alias("root_ckpt"),
-            F.when(F.col("_status") == "root", F.lit("resolved")).otherwise(F.col("_status")).alias("status"),
+            F.col("_next.run").alias("root_run"),
+            F.col("_next.ckpt").alias("root_ckpt"),
+            F.when(F.col("_next.status") == "root", F.lit("resolved")).otherwise(F.col("_next.status")).alias("status"),
         )
-        state = cut_lineage(state.where(F.col("status") != "open").unionByName(moved))
-        if state.where(F.col("status") == "open").isEmpty():
+        state = cut_lineage(state.where(~is_open).unionByName(moved))
+        before, left = left, state.where(is_open).count()
+        if left == before:
             break
-    circular = F.col("status") == "open"
     return state.select(
         "run",
         "ckpt",
-        F.when(~circular, F.col("root_run")).alias("root_run"),
-        F.when(~circular, F.col("root_ckpt")).alias("root_ckpt"),
-        F.when(circular, F.lit("cycle")).otherwise(F.col("status")).alias("status"),
+        F.when(~is_open, F.col("root_run")).alias("root_run"),
+        F.when(~is_open, F.col("root_ckpt")).alias("root_ckpt"),
+        F.when(is_open, F.lit("cycle")).otherwise(F.col("status")).alias("status"),
     )
 
 

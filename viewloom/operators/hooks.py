@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,35 +54,48 @@ def encode(
     length, fallback_shape = CAPTION_LENGTH[model], FALLBACK_SHAPE
     prepared = captions.select("uid", model_caption(F.col("caption"), model).alias("caption"))
 
-    def rows(value, count):
-        return [None] * count if value is None else [np.asarray(v, dtype=np.float32) for v in value]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def floats(values, count):
+        """(count, D) numbers as a float list column."""
+        if values is None:
+            return pa.nulls(count, pa.list_(pa.float32()))
+        rows = [np.asarray(v, dtype=np.float32).reshape(-1) for v in values]
+        offsets = np.cumsum([0] + [len(r) for r in rows], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
+
+    def nested(values, count):
+        """(count, N, D) numbers as a list of token vectors, without a Python object per number."""
+        sheets = [np.asarray(v, dtype=np.float32) for v in values]
+        vectors = floats([row for sheet in sheets for row in sheet], count)
+        offsets = np.cumsum([0] + [len(s) for s in sheets], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start : start + batch]
-                count, failed = len(part), False
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch):
+                part = whole.slice(start, batch)
+                count, failed = part.num_rows, False
                 try:
                     if encoder is None:
                         encoder = encoder_factory()
-                    tokens, pooled, mask = encoder(part["caption"].tolist(), length)
+                    tokens, pooled, mask = encoder(part.column("caption").to_pylist(), length)
                 except Exception:
                     if on_error == "raise":
                         raise
                     tokens, pooled, mask, failed = np.zeros((count, *fallback_shape), np.float32), None, None, True
-                yield pd.DataFrame(
-                    {
-                        "model": model,
-                        "uid": part["uid"].to_numpy(),
-                        "tokens": [list(t) for t in rows(tokens, count)],
-                        "pooled": rows(pooled, count),
-                        "attention_mask": rows(mask, count),
-                        "fallback": failed,
-                    }
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([model] * count),
+                        part.column("uid"),
+                        nested(tokens, count),
+                        floats(pooled, count),
+                        floats(mask, count),
+                        pa.array([failed] * count),
+                    ],
+                    names=["model", "uid", "tokens", "pooled", "attention_mask", "fallback"],
                 )
 
-    return prepared.mapInPandas(run, EMBED_SCHEMA)
+    return prepared.mapInArrow(run, EMBED_SCHEMA)
 
 
 def encode_with_null(

@@ -15,51 +15,65 @@ SHOWN, FROM_FILE, KEPT = 100, 120, 600
 CHUNK = 1 << 20
 
 
+def _train_columns(lines: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    split = lines.withColumn("_t", L.train_fields(F.col("line")))
+    step, loss, lr = (F.get("_t", F.lit(i)) for i in range(3))
+    return split.select(
+        *keep,
+        step.try_cast("bigint").alias("step"),
+        L.number_or_null(loss, "double").alias("loss"),
+        L.number_or_null(lr, "double").alias("lr"),
+    )
+
+
+def _val_columns() -> list:
+    return [L.val_score(F.col("line"), name).alias(name) for name in ("psnr", "lpips", "ssim")]
+
+
 def parse_train(lines: DataFrame) -> DataFrame:
     """(run, line_no, step, loss, lr) of lines that report a finite loss."""
-    line = F.col("line")
-    parsed = lines.where(L.is_train_candidate(line)).select(
-        "run",
-        "line_no",
-        L.train_step(line).alias("step"),
-        L.train_loss(line).alias("loss"),
-        L.train_lr(line).alias("lr"),
-    )
+    parsed = _train_columns(lines.where(L.is_train_candidate(F.col("line"))), ("run", "line_no"))
     return parsed.where(F.col("step").isNotNull() & F.col("loss").isNotNull())
 
 
 def parse_val(lines: DataFrame) -> DataFrame:
     """(run, line_no, psnr, lpips, ssim); ssim may be NULL, the others may not."""
-    line = F.col("line")
-    parsed = lines.where(L.is_val_candidate(line)).select(
-        "run",
-        "line_no",
-        *[L.val_score(line, name).alias(name) for name in ("psnr", "lpips", "ssim")],
-    )
+    parsed = lines.where(L.is_val_candidate(F.col("line"))).select("run", "line_no", *_val_columns())
     return parsed.where(F.col("psnr").isNotNull() & F.col("lpips").isNotNull())
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Lines that report a loss or a validation score, with all columns."""
+def scan_lines(lines: DataFrame) -> DataFrame:
+    """Candidate lines with all columns: (step, loss, lr) and (psnr, lpips, ssim), NULL if not reported.
+
+    Rows are chosen by plain substring tests, so each regular expression runs
+    once per line; a few rows may hold nothing but NULLs.
+    """
     line = F.col("line")
-    wanted = lines.where(L.is_train_candidate(line) | L.is_val_candidate(line))
-    train = {"_step": L.train_step(line), "_loss": L.train_loss(line), "_lr": L.train_lr(line)}
-    val = {f"_{name}": L.val_score(line, name) for name in ("psnr", "lpips", "ssim")}
-    parsed = wanted.withColumns(train | val)
-    trained = F.col("_step").isNotNull() & F.col("_loss").isNotNull()
-    scored = F.col("_psnr").isNotNull() & F.col("_lpips").isNotNull()
-    return parsed.where(trained | scored).select(
+    candidates = lines.where(L.is_train_candidate(line) | L.is_val_candidate(line))
+    parsed = _train_columns(
+        candidates.select("run", "line_no", "line", *[c.alias(f"_{i}") for i, c in enumerate(_val_columns())]),
+        ("run", "line_no", "_0", "_1", "_2"),
+    )
+    trained = F.col("loss").isNotNull()
+    scored = F.col("_0").isNotNull() & F.col("_1").isNotNull()
+    return parsed.select(
         "run",
         "line_no",
-        *[F.when(trained, F.col(f"_{c}")).alias(c) for c in ("step", "loss", "lr")],
-        *[F.when(scored, F.col(f"_{c}")).alias(c) for c in ("psnr", "lpips", "ssim")],
+        *[F.when(trained, F.col(c)).alias(c) for c in ("step", "loss", "lr")],
+        *[F.when(scored, F.col(f"_{i}")).alias(c) for i, c in enumerate(("psnr", "lpips", "ssim"))],
     )
 
 
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """``scan_lines`` without the rows that report nothing."""
+    return scan_lines(lines).where(F.col("step").isNotNull() | F.col("psnr").isNotNull())
+
+
 def asof_step(parsed: DataFrame, carried: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """Validation rows with the latest training step at or before them in their run.
 
-    ``parsed`` comes from ``parse_lines``; ``carried(run, step)`` is the last
+    ``parsed`` comes from ``scan_lines`` or ``parse_lines`` (it is read twice:
+    store it first where parsing dominates); ``carried(run, step)`` is the last
     step of earlier input; without any step the answer is 0.  A run is cut into
     chunks of line numbers: the last step of each chunk is a partial
     aggregation, the chunk summaries are carried forward, and the lines are

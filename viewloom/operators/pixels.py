@@ -43,7 +43,7 @@ def stack_channels(planes: DataFrame, name: str = "stack") -> DataFrame:
     return planes.groupBy(*KEY).agg(
         F.first("h").alias("h"),
         F.first("w").alias("w"),
-        F.transform(F.array_sort(F.collect_list(F.struct("channel", "data"))), lambda s: s["data"]).alias(name),
+        F.transform(F.sort_array(F.collect_list(F.struct("channel", "data"))), lambda s: s["data"]).alias(name),
     )
 
 

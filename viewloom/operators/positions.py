@@ -31,7 +31,7 @@ def _sampled_bucket(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
         df.select(*order_by)
         .orderBy(F.xxhash64(*order_by), *order_by)
         .limit(sample_size)
-        .agg(F.array_sort(F.collect_list(key)).alias("keys"))
+        .agg(F.sort_array(F.collect_list(key)).alias("keys"))
     )
     boundaries = sample.select(
         F.transform(

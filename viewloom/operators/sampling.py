@@ -38,9 +38,10 @@ def pick_even(objects: DataFrame, v: int, seed: int, rings: Sequence[tuple[int,
     start_draw = unit_draw(hex_draw(seed, F.col("uid"), F.lit("start")))
 
     def ring_picks(first: int, size: int) -> Column:
-        start = F.floor(start_draw * size).cast("int")
-        slots = F.sequence(F.lit(0), F.lit(v - 1))
-        return F.transform(slots, lambda s: (start + s * (size // v)) % size + first)
+        # the draw is an argument of sequence, so it is made once, not once per slot
+        start, step = F.floor(start_draw * size).cast("int"), size // v
+        steps = F.sequence(start, start + F.lit((v - 1) * step), F.lit(step))
+        return F.transform(steps, lambda s: s % size + first)
 
     # cumulative chances from the last ring backwards: the last one takes the rest
     picks = ring_picks(*rings[-1][:2])
@@ -53,7 +54,7 @@ def pick_even(objects: DataFrame, v: int, seed: int, rings: Sequence[tuple[int,
 def _by_draw(ids: Column, seed: int, tag: str) -> Column:
     """View ids in hash order."""
     keyed = F.transform(ids, lambda i: F.struct(hex_draw(seed, F.col("uid"), F.lit(tag), i).alias("h"), i.alias("i")))
-    return F.transform(F.array_sort(keyed), lambda s: s["i"])
+    return F.transform(F.sort_array(keyed), lambda s: s["i"])
 
 
 def pick_random(
@@ -67,8 +68,7 @@ def pick_random(
     ids = F.array(*[F.lit(i) for i in range(n) if i not in set(exclude)])
     if existing is not None:
         ids = F.filter(ids, lambda i: has_view(F.col(existing), i))
-    drawn = F.slice(_by_draw(ids, seed, "view"), 1, v)
-    return objects.withColumn("picks", F.when(F.size(drawn) == v, drawn))
+    return objects.withColumn("picks", F.when(F.size(ids) >= v, F.slice(_by_draw(ids, seed, "view"), 1, v)))
 
 
 def pick_existing(sets: DataFrame, v: int, seed: int, rings: Sequence[tuple[int, int, float]] = RINGS) -> DataFrame:

@@ -157,18 +157,19 @@ def complete_assets(views: DataFrame, files: tuple[str, ...] = ("png", "camera_j
 
 
 def views_wide(views: DataFrame, n: int = NUM_VIEWS, keep: tuple[str, ...] = ("uid",)) -> DataFrame:
-    """Long views to a column pair per view; half a pair becomes two NULLs."""
-    whole = F.col("png").isNotNull() & F.col("camera_json").isNotNull()
-    columns = []
-    for i in range(n):
-        here = (F.col("view_id") == i) & whole
-        columns.append(F.max(F.when(here, F.struct("png", "camera_json"))).alias(f"_{i}"))
-    grouped = views.groupBy(*keep).agg(*columns)
-    pairs = []
+    """Long views to a column pair per view; half a pair becomes two NULLs.
+
+    (uid, view_id) must be unique, so an object contributes at most n views;
+    a repeated view is an error.
+    """
+    whole = F.col("png").isNotNull() & F.col("camera_json").isNotNull() & F.col("view_id").between(0, n - 1)
+    pair = F.struct(F.col("view_id").cast("int").alias("k"), F.struct("png", "camera_json").alias("v"))
+    grouped = views.groupBy(*keep).agg(F.map_from_entries(F.collect_list(F.when(whole, pair))).alias("_views"))
+    cells = []
     for i in range(n):
-        pairs.append(F.col(f"_{i}.png").alias(f"{i:05d}.png"))
-        pairs.append(F.col(f"_{i}.camera_json").alias(f"{i:05d}.json"))
-    return grouped.select(*keep, *pairs)
+        cell = F.try_element_at("_views", F.lit(i))
+        cells += [cell["png"].alias(f"{i:05d}.png"), cell["camera_json"].alias(f"{i:05d}.json")]
+    return grouped.select(*keep, *cells)
 
 
 def holdout_last(objects: DataFrame, name: str = "name") -> DataFrame:

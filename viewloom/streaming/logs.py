@@ -36,7 +36,7 @@ def stream_metrics(lines: DataFrame) -> DataFrame:
 
 def stream_status(lines: DataFrame) -> DataFrame:
     """Latest values of each run (update or complete mode)."""
-    return L.run_status(L.parse_lines(lines))
+    return L.run_status(L.scan_lines(lines))
 
 
 class SlottedState:
@@ -79,7 +79,7 @@ def stream_asof(lines: DataFrame, out: str, state: str, checkpoint: str) -> Data
     def step(batch: DataFrame, batch_id: int) -> None:
         slots = SlottedState(batch.sparkSession, state, "run STRING, step BIGINT, line_no BIGINT")
         carried = slots.before(batch_id)
-        parsed = L.parse_lines(batch).persist()
+        parsed = L.scan_lines(batch).persist()
         try:
             _write_batch(L.asof_step(parsed, carried), out, batch_id)
             latest = carried.unionByName(L.last_steps(parsed).select("run", "step", "line_no"))
