@@ -10,6 +10,7 @@ from viewloom.catalog.base import query, r6, s6
 from viewloom.functions import camera as C
 from viewloom.functions import pixels as P
 from viewloom.operators import cameras, checks, metrics, pixels
+from viewloom.operators.rows import explode_rows
 
 KEY = ["uid", "view_id"]
 
@@ -27,7 +28,7 @@ def _with_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _exploded(planes: DataFrame, *keep: str, value: str = "data") -> DataFrame:
-    return planes.select(*keep, F.posexplode(value).alias("i", "v")).withColumn("v", r6(F.col("v").cast("double")))
+    return explode_rows(planes, value, "v", keep, "i").withColumn("v", r6(F.col("v").cast("double")))
 
 
 @query(
@@ -77,8 +78,8 @@ FROM px JOIN c USING (uid, view_id) WHERE side = 1"""
 
 @query(_PATCH_SQL)
 def patchify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = pixels.patchify(_truth(spark, sf_dir), 4).select(*KEY, F.posexplode("patches").alias("patch", "values"))
-    return tiles.select(*KEY, "patch", F.posexplode("values").alias("j", "v")).withColumn("v", r6(F.col("v").cast("double")))
+    tiles = explode_rows(pixels.patchify(_truth(spark, sf_dir), 4), "patches", "values", KEY, "patch")
+    return explode_rows(tiles, "values", "v", [*KEY, "patch"], "j").withColumn("v", r6(F.col("v").cast("double")))
 
 
 @query(f"WITH {_PX} SELECT uid, view_id, channel, i, {s6('v::DOUBLE')} AS v FROM px WHERE side = 1")
@@ -170,7 +171,7 @@ def normalize_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     opengl = made.select("uid", "slot", "original_c2w", C.flip_yz(F.col("c2w")).alias("c2w_opengl"))
     turned = pixels.normalize_normals(normals, opengl)
-    zipped = turned.select(*KEY, F.posexplode(F.arrays_zip("nx", "ny", "nz")).alias("i", "p"))
+    zipped = explode_rows(turned, F.arrays_zip("nx", "ny", "nz"), "p", KEY, "i")
     return zipped.select(*KEY, "i", *[r6(F.col(f"p.{c}")).alias(c) for c in ("nx", "ny", "nz")])
 
 

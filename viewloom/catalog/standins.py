@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from viewloom.catalog.base import table
 from viewloom.functions import camera as C
+from viewloom.operators.rows import explode_rows
 
 RING = 7
 
@@ -36,7 +37,7 @@ def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same files, one row per file."""
     flagged = files(spark, sf_dir)
     kinds = F.array(F.when(F.col("has_png"), F.lit("png")), F.when(F.col("has_json"), F.lit("json")))
-    return flagged.select("uid", "view_id", F.explode(F.array_compact(kinds)).alias("kind"))
+    return explode_rows(flagged, F.array_compact(kinds), "kind", ["uid", "view_id"])
 
 
 CAMERAS_SQL = """angles AS (

@@ -115,8 +115,7 @@ def broken_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S.FILES_SQL} SELECT uid, view_id FROM valid WHERE view_id NOT IN (2, 5)")
 def except_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = views.view_sets(S.files(spark, sf_dir), RING)
-    present = sets.select("uid", F.explode(views.views_in(F.col("mask"), RING)).alias("view_id"))
+    present = views.present_views(views.view_sets(S.files(spark, sf_dir), RING), RING)
     return views.except_views(present, (2, 5))
 
 
@@ -149,8 +148,7 @@ r AS (SELECT uid, view_id, (row_number() OVER (PARTITION BY uid ORDER BY view_id
 SELECT uid, view_id, slot FROM r WHERE uid IN (SELECT uid FROM f) AND slot < 3"""
 )
 def preview_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = views.view_sets(S.files(spark, sf_dir), RING)
-    present = sets.select("uid", F.explode(views.views_in(F.col("mask"), RING)).alias("view_id"))
+    present = views.present_views(views.view_sets(S.files(spark, sf_dir), RING), RING)
     return views.preview(present, 4, 3).select("uid", "view_id", "slot")
 
 
@@ -167,7 +165,7 @@ FROM st, (SELECT unnest(range(2)) AS k) k"""
 )
 def pick_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = S.files(spark, sf_dir).select("uid").distinct()
-    return sampling.pick_even(objects, 2, 3, RINGS).select("uid", F.posexplode("picks").alias("slot", "view_id"))
+    return sampling.pick_rows(sampling.pick_even(objects, 2, 3, RINGS))
 
 
 @query(
@@ -178,8 +176,7 @@ SELECT uid, slot::INTEGER AS slot, view_id FROM r WHERE slot < 3"""
 )
 def pick_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = S.files(spark, sf_dir).select("uid").distinct()
-    picked = sampling.pick_random(objects, 3, 5, RING, exclude=(5,))
-    return picked.select("uid", F.posexplode("picks").alias("slot", "view_id"))
+    return sampling.pick_rows(sampling.pick_random(objects, 3, 5, RING, exclude=(5,)))
 
 
 # Candidate starts of the two rings and the views each needs.

@@ -18,13 +18,13 @@ def is_train_candidate(line: Column) -> Column:
 
 
 def train_fields(line: Column) -> Column:
-    """[step, loss, lr] of the first match as text, in one pass; NULL for other lines.
+    """['', step, loss, lr] of the first match as text, in one pass; shorter for other lines.
 
     ``(?s)``: a redrawn progress bar has carriage returns inside the line.
     """
     whole = f"(?s)^.*?{TRAIN_LINE}.*$"
     fields = F.split(F.regexp_replace(line, whole, f"{_MARK}$1{_MARK}$2{_MARK}$3"), _MARK)
-    return F.when(is_train_candidate(line), F.when(F.size(fields) == 4, F.slice(fields, 2, 3)))
+    return F.when(is_train_candidate(line), fields)
 
 
 def number_or_null(text: Column, kind: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.functions.text import output_iter, padded
+from viewloom.operators.rows import explode_rows
 from viewloom.session import cut_lineage
 
 # Model file suffixes, best first, and the one that cannot be read.
@@ -247,7 +248,7 @@ def expected_steps(calendar: DataFrame) -> DataFrame:
         F.array_union(F.coalesce(early, F.array().cast("array<bigint>")), F.array_union(F.array(F.lit(1).cast("bigint")), last)),
     )
     both = calendar.select("run", saves.alias("_s"), evals.alias("_e"))
-    return both.select("run", "_s", "_e", F.explode(F.array_union("_s", "_e")).alias("step")).select(
+    return explode_rows(both, F.array_union("_s", "_e"), "step", ["run", "_s", "_e"]).select(
         "run",
         "step",
         F.array_contains("_s", F.col("step")).alias("save"),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from viewloom.functions import logs as L
+from viewloom.operators.rows import explode_rows, keep_rows
 
 # Lines shown, read from a file, and kept per run.
 SHOWN, FROM_FILE, KEPT = 100, 120, 600
@@ -17,7 +18,7 @@ CHUNK = 1 << 20
 
 def _train_columns(lines: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     split = lines.withColumn("_t", L.train_fields(F.col("line")))
-    step, loss, lr = (F.get("_t", F.lit(i)) for i in range(3))
+    step, loss, lr = (F.get("_t", F.lit(i)) for i in (1, 2, 3))
     return split.select(
         *keep,
         step.try_cast("bigint").alias("step"),
@@ -26,27 +27,26 @@ def _train_columns(lines: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     )
 
 
-def _val_columns() -> list:
+def _val_columns() -> list[Column]:
     return [L.val_score(F.col("line"), name).alias(name) for name in ("psnr", "lpips", "ssim")]
 
 
 def parse_train(lines: DataFrame) -> DataFrame:
     """(run, line_no, step, loss, lr) of lines that report a finite loss."""
     parsed = _train_columns(lines.where(L.is_train_candidate(F.col("line"))), ("run", "line_no"))
-    return parsed.where(F.col("step").isNotNull() & F.col("loss").isNotNull())
+    return keep_rows(parsed, F.col("step").isNotNull() & F.col("loss").isNotNull())
 
 
 def parse_val(lines: DataFrame) -> DataFrame:
     """(run, line_no, psnr, lpips, ssim); ssim may be NULL, the others may not."""
     parsed = lines.where(L.is_val_candidate(F.col("line"))).select("run", "line_no", *_val_columns())
-    return parsed.where(F.col("psnr").isNotNull() & F.col("lpips").isNotNull())
+    return keep_rows(parsed, F.col("psnr").isNotNull() & F.col("lpips").isNotNull())
 
 
 def scan_lines(lines: DataFrame) -> DataFrame:
     """Candidate lines with all columns: (step, loss, lr) and (psnr, lpips, ssim), NULL if not reported.
 
-    Rows are chosen by plain substring tests, so each regular expression runs
-    once per line; a few rows may hold nothing but NULLs.
+    Rows are chosen by plain substring tests; a few may hold nothing but NULLs.
     """
     line = F.col("line")
     candidates = lines.where(L.is_train_candidate(line) | L.is_val_candidate(line))
@@ -66,7 +66,7 @@ def scan_lines(lines: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """``scan_lines`` without the rows that report nothing."""
-    return scan_lines(lines).where(F.col("step").isNotNull() | F.col("psnr").isNotNull())
+    return keep_rows(scan_lines(lines), F.col("step").isNotNull() | F.col("psnr").isNotNull())
 
 
 def asof_step(parsed: DataFrame, carried: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -133,8 +133,8 @@ def metric_rows(parsed: DataFrame, prefix_train: str = "training", prefix_val: s
 
     def rows(df: DataFrame, prefix: str, names: tuple[str, ...]) -> DataFrame:
         cells = F.array(*[F.struct(F.lit(f"{prefix}/{n}").alias("name"), F.col(n).alias("value")) for n in names])
-        return df.select("run", "step", F.explode(cells).alias("m")).select("run", "step", "m.name", "m.value")
+        reported = F.filter(cells, lambda c: c["value"].isNotNull())
+        return explode_rows(df, reported, "m", ["run", "step"]).select("run", "step", "m.name", "m.value")
 
-    train = rows(parsed.where(F.col("step").isNotNull()), prefix_train, ("loss", "lr"))
-    val = rows(asof_step(parsed), prefix_val, ("psnr", "lpips", "ssim"))
-    return train.unionByName(val).where(F.col("value").isNotNull())
+    train = rows(parsed, prefix_train, ("loss", "lr"))
+    return train.unionByName(rows(asof_step(parsed), prefix_val, ("psnr", "lpips", "ssim")))

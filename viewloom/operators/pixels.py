@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from viewloom.functions import camera as C
 from viewloom.functions import matrix as M
 from viewloom.functions import pixels as P
+from viewloom.operators.rows import explode_rows
 
 KEY = ["uid", "view_id"]
 
@@ -60,7 +61,7 @@ def patchify(planes: DataFrame, p: int) -> DataFrame:
 def unpatchify(patched: DataFrame, p: int) -> DataFrame:
     """Tiles back to one plane per channel."""
     stack = P.unpatchify(F.col("patches"), F.col("h"), F.col("w"), F.col("channels"), p)
-    return patched.select(*KEY, "h", "w", F.posexplode(stack).alias("channel", "data"))
+    return explode_rows(patched, stack, "data", [*KEY, "h", "w"], "channel")
 
 
 def _pixels(h: int, w: int) -> list[Column]:
@@ -112,11 +113,11 @@ def unproject(
     joined = planes.join(cameras.select(*KEY, "c2w"), KEY)
     if mask:
         pairs = F.arrays_zip(F.col("data").alias("d"), F.col("_m").alias("m"))
-        px = joined.select(*KEY, "h", "w", "c2w", F.posexplode(pairs).alias("_i", "_z")).select(
+        px = explode_rows(joined, pairs, "_z", [*KEY, "h", "w", "c2w"], "_i").select(
             *KEY, "h", "w", "c2w", "_i", F.col("_z.d").cast("double").alias("_d"), F.col("_z.m").cast("double").alias("_a")
         )
     else:
-        px = joined.select(*KEY, "h", "w", "c2w", F.posexplode("data").alias("_i", "_v")).withColumn(
+        px = explode_rows(joined, "data", "_v", [*KEY, "h", "w", "c2w"], "_i").withColumn(
             "_d", F.col("_v").cast("double")
         )
     px = px.withColumns({"y": F.floor(F.col("_i") / F.col("w")).cast("int"), "x": (F.col("_i") % F.col("w")).cast("int")})

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.functions.draws import hex_draw, unit_draw
+from viewloom.operators.rows import explode_rows
 from viewloom.operators.views import has_view, mask_of
 
 # Rings as (first view, size, chance), duplicated views, views at the poles.
@@ -99,6 +100,11 @@ def pick_existing(sets: DataFrame, v: int, seed: int, rings: Sequence[tuple[int,
     return sets.withColumn("picks", F.array_min(keyed)["ids"])
 
 
+def pick_rows(picked: DataFrame) -> DataFrame:
+    """(uid, slot, view_id), one row per pick."""
+    return explode_rows(picked, "picks", "view_id", ["uid"], "slot")
+
+
 def failed_picks(picked: DataFrame) -> DataFrame:
     """Objects for which no pick exists."""
     return picked.where(F.col("picks").isNull()).select("uid")
@@ -121,7 +127,7 @@ def fill_views(
     slots = F.transform(
         F.sequence(F.lit(0), F.lit(v - 1)), lambda s: F.get(F.col("_l"), (s % F.size("_l")).cast("int"))
     )
-    return with_list.select("uid", F.posexplode(slots).alias("slot", "view_id"))
+    return explode_rows(with_list, slots, "view_id", ["uid"], "slot")
 
 
 def cond_views(objects: DataFrame, v: int, k: int, seed: int) -> DataFrame:
@@ -131,4 +137,4 @@ def cond_views(objects: DataFrame, v: int, k: int, seed: int) -> DataFrame:
     if k == 1:
         return objects.select("uid", F.lit(0).alias("cond"), F.lit(0).alias("slot"))
     others = F.slice(_by_draw(F.sequence(F.lit(1), F.lit(v - 1)), seed, "cond"), 1, k - 1)
-    return objects.select("uid", F.posexplode(F.concat(F.array(F.lit(0)), others)).alias("cond", "slot"))
+    return explode_rows(objects, F.concat(F.array(F.lit(0)), others), "slot", ["uid"], "cond")

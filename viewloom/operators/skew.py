@@ -43,7 +43,7 @@ def skew_join(
     )
     repeated = small.withColumn(
         "_salt",
-        F.explode(
+        F.explode_outer(
             F.when(F.array_contains(hot, key), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
         ),
     )

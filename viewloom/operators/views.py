@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from viewloom.functions.text import name_caption
 from viewloom.operators.positions import with_position
+from viewloom.operators.rows import explode_rows
 
 # Views of a full sample, and the fewest that can be trained on.
 NUM_VIEWS = 40
@@ -105,9 +106,14 @@ def view_report(sets: DataFrame, n: int = NUM_VIEWS, min_views: int = MIN_VIEWS)
     )
 
 
+def present_views(sets: DataFrame, n: int = NUM_VIEWS) -> DataFrame:
+    """One row per valid view of an object."""
+    return explode_rows(sets, views_in(F.col("mask"), n), "view_id", ["uid"])
+
+
 def missing_views(sets: DataFrame, n: int = NUM_VIEWS) -> DataFrame:
     """One row per view an object lacks."""
-    return sets.select("uid", F.explode(views_in(F.bitwise_not("mask"), n)).alias("view_id"))
+    return explode_rows(sets, views_in(F.bitwise_not("mask"), n), "view_id", ["uid"])
 
 
 def except_views(views: DataFrame, ids) -> DataFrame:
@@ -148,7 +154,7 @@ def views_long(samples: DataFrame, keep: tuple[str, ...] = ("uid",), extra: tupl
     if not structs:
         raise ValueError("no view columns such as 00000.png and 00000.json")
     present = F.filter(F.array(*structs), lambda v: v["png"].isNotNull() & v["camera_json"].isNotNull())
-    return samples.select(*keep, F.explode(present).alias("v")).select(*keep, "v.*")
+    return explode_rows(samples, present, "v", list(keep)).select(*keep, "v.*")
 
 
 def complete_assets(views: DataFrame, files: tuple[str, ...] = ("png", "camera_json", "albedo", "mr", "nd")) -> DataFrame:
@@ -182,7 +188,7 @@ def holdout_last(objects: DataFrame, name: str = "name") -> DataFrame:
         .when(last, F.array(F.lit("val")))
         .otherwise(F.array(F.lit("train")))
     )
-    return tagged.withColumn("split", F.explode(splits)).drop("_s")
+    return explode_rows(tagged, splits, "split", objects.columns)
 
 
 def number_uids(objects: DataFrame, name: str = "name", prefix: str = "chibi", width: int = 3) -> DataFrame:

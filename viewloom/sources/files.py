@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from viewloom.functions.text import strip
+from viewloom.operators.rows import explode_rows
 
 # Image suffixes, compared case-sensitively.
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp")
@@ -87,7 +88,7 @@ def read_json_list(spark: SparkSession, path: str) -> DataFrame:
 
 def split_prompts(texts: DataFrame, text: str, *keep: str) -> DataFrame:
     """Lines of a text column: stripped, blank ones dropped, in order."""
-    lines = texts.select(*keep, F.posexplode(F.split(F.col(text), "\r\n|\r|\n")).alias("line_no", "_line"))
+    lines = explode_rows(texts, F.split(F.col(text), "\r\n|\r|\n"), "_line", keep, "line_no")
     return lines.select(*keep, "line_no", strip(F.col("_line")).alias("prompt")).where(F.col("prompt") != "")
 
 
