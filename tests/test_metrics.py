@@ -32,19 +32,19 @@ def random_items(shapes, seed=0):
 
 def test_psnr_per_image_and_pooled(spark):
     items = random_items([(3, 8, 8)] * 4)
-    errors = metrics.plane_errors(pairs(spark, items))
-    each = {r.uid: r.psnr for r in metrics.psnr(errors).collect()}
+    both = pairs(spark, items)
+    each = {r.uid: r.psnr for r in metrics.psnr(both).collect()}
     mse = {u: float(((a.astype(float) - b.astype(float)) ** 2).mean()) for u, _, a, b in items}
     for u in mse:
         assert each[u] == pytest.approx(-10 * math.log10(mse[u]))
-    pooled = metrics.psnr_pooled(errors.withColumn("run", F.lit(1)), ["run"]).first().psnr
+    pooled = metrics.psnr_pooled(both.withColumn("run", F.lit(1)), ["run"]).first().psnr
     assert pooled == pytest.approx(-10 * math.log10(np.mean(list(mse.values()))))
     assert pooled != pytest.approx(np.mean(list(each.values())))
 
 
 def test_identical_images_score_infinity(spark):
     a = np.full((3, 2, 2), 0.5, dtype=np.float32)
-    assert metrics.psnr(metrics.plane_errors(pairs(spark, [("u", 0, a, a)]))).first().psnr == math.inf
+    assert metrics.psnr(pairs(spark, [("u", 0, a, a)])).first().psnr == math.inf
 
 
 def slow_ssim(a, b):

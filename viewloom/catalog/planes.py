@@ -194,20 +194,19 @@ _MSE = "(a::DOUBLE - b::DOUBLE) * (a::DOUBLE - b::DOUBLE)"
 
 @query(f"WITH {S.PLANES_SQL} SELECT uid, view_id, {s6(f'avg({_MSE})')} AS mse, {s6(f'-10 * log10(avg({_MSE}))')} AS psnr FROM pp GROUP BY uid, view_id")
 def psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = metrics.psnr(metrics.plane_errors(S.plane_pairs(spark, sf_dir)))
+    scores = metrics.psnr(S.plane_pairs(spark, sf_dir))
     return scores.select(*KEY, r6("mse").alias("mse"), r6("psnr").alias("psnr"))
 
 
 @query(f"WITH {S.PLANES_SQL} SELECT view_id, {s6(f'-10 * log10(avg({_MSE}))')} AS psnr FROM pp GROUP BY view_id")
 def psnr_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = metrics.psnr_pooled(metrics.plane_errors(S.plane_pairs(spark, sf_dir)), ["view_id"])
+    scores = metrics.psnr_pooled(S.plane_pairs(spark, sf_dir), ["view_id"])
     return scores.select("view_id", r6("psnr").alias("psnr"))
 
 
 @query(f"WITH {S.PLANES_SQL} SELECT channel, {s6(f'avg({_MSE})')} AS mse FROM pp GROUP BY channel")
 def plane_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = metrics.plane_errors(S.plane_pairs(spark, sf_dir))
-    return metrics.plane_mse(errors, ["channel"]).withColumn("mse", r6("mse"))
+    return metrics.plane_mse(S.plane_pairs(spark, sf_dir), ["channel"]).withColumn("mse", r6("mse"))
 
 
 # 8 x 8 planes leave 2 x 2 window positions: top-left corners (0..1, 0..1).
@@ -236,7 +235,7 @@ FROM ps JOIN ssim USING (uid, view_id) GROUP BY view_id"""
 )
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = S.plane_pairs(spark, sf_dir)
-    scores = metrics.psnr(metrics.plane_errors(pairs)).join(metrics.ssim(pairs), KEY)
+    scores = metrics.psnr(pairs).join(metrics.ssim(pairs), KEY)
     summary = metrics.score_summary(scores, ["view_id"])
     return summary.select("view_id", *[r6(c).alias(c) for c in summary.columns if c != "view_id"])
 
@@ -253,8 +252,7 @@ def pair_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = S.planes(spark, sf_dir)
     pred = both.where("side = 0").withColumnRenamed("view_id", "slot").drop("side")
     pairs = metrics.pair_eval(pred, both.where("side = 1").drop("side"), (0, 2, 3))
-    errors = metrics.plane_errors(pairs)
-    return errors.select("uid", "slot", "view_id", "channel", r6(F.col("sse") / F.col("n")).alias("mse"))
+    return metrics.plane_mse(pairs, ["uid", "slot", "view_id", "channel"]).withColumn("mse", r6("mse"))
 
 
 @query(

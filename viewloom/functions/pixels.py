@@ -82,12 +82,6 @@ def unpatchify(patches: Column, h: Column, w: Column, channels: Column, p: int)
     return F.transform(F.sequence(F.lit(0), (channels - 1).cast("int")), plane)
 
 
-def squared_error(a: Column, b: Column) -> Column:
-    """Sum over one plane of the squared difference."""
-    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v)
-
-
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.functions import pixels as P
+from viewloom.operators.skew import skew_join
 
 PLANE = ["uid", "view_id", "channel"]
 
@@ -47,25 +48,26 @@ def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     )
 
 
-def plane_errors(pairs: DataFrame) -> DataFrame:
-    """Adds the sum of squared errors and the pixel count of each plane pair."""
-    return pairs.withColumns(
-        {"sse": P.squared_error(F.col("a"), F.col("b")), "n": F.size("a").cast("bigint")}
-    ).drop("a", "b")
+def plane_mse(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Mean squared error of plane pairs (a, b), pooled over ``by``.
 
-
-def plane_mse(errors: DataFrame, by: Sequence[str]) -> DataFrame:
-    return errors.groupBy(*by).agg((F.sum("sse") / F.sum("n")).alias("mse"))
+    The pixels are exploded into generated code and summed before the shuffle:
+    what is exchanged is one sum and one count per group and task.
+    """
+    zipped = F.arrays_zip(F.col("a"), F.col("b"))
+    pixels = pairs.select(*by, F.explode_outer(zipped).alias("_p")).where(F.col("_p").isNotNull())
+    error = F.col("_p.a").cast("double") - F.col("_p.b").cast("double")
+    return pixels.groupBy(*by).agg(F.avg(error * error).alias("mse"))
 
 
-def psnr(errors: DataFrame, by: Sequence[str] = ("uid", "view_id")) -> DataFrame:
+def psnr(pairs: DataFrame, by: Sequence[str] = ("uid", "view_id")) -> DataFrame:
     """Per-image score: one mean over all channels and pixels of the image."""
-    return plane_mse(errors, by).withColumn("psnr", P.psnr_of(F.col("mse")))
+    return plane_mse(pairs, by).withColumn("psnr", P.psnr_of(F.col("mse")))
 
 
-def psnr_pooled(errors: DataFrame, by: Sequence[str]) -> DataFrame:
+def psnr_pooled(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """One mean over all images of a group, then the logarithm; not the mean of ``psnr``."""
-    return plane_mse(errors, by).withColumn("psnr", P.psnr_of(F.col("mse")))
+    return plane_mse(pairs, by).withColumn("psnr", P.psnr_of(F.col("mse")))
 
 
 def _plane_scorer():
@@ -156,6 +158,7 @@ def clip_sim(images: DataFrame, texts: DataFrame, group: str = "grp", idx: str =
 
 def _block_matcher():
     """The pandas function behind ``best_texts``; built inside so that it travels by value."""
+    slice_rows = 512
 
     def unit(vectors):
         stack = np.stack(vectors.to_numpy()).astype(np.float64)
@@ -167,13 +170,18 @@ def _block_matcher():
             empty = np.empty(0, np.int64)
             return pd.DataFrame({"grp": empty, "idx": empty, "best": np.empty(0), "best_idx": empty})
         right = right.sort_values("idx")
-        scores = unit(left["vec"]) @ unit(right["vec"]).T
-        at = scores.argmax(axis=1)
+        images, texts = unit(left["vec"]), unit(right["vec"])
+        top, at = np.empty(len(images)), np.empty(len(images), np.int64)
+        # a slice of images at a time bounds the score matrix
+        for start in range(0, len(images), slice_rows):
+            scores = images[start : start + slice_rows] @ texts.T
+            at[start : start + slice_rows] = scores.argmax(axis=1)
+            top[start : start + slice_rows] = scores.max(axis=1)
         return pd.DataFrame(
             {
                 "grp": left["grp"].to_numpy(),
                 "idx": left["idx"].to_numpy(),
-                "best": scores[np.arange(len(at)), at],
+                "best": top,
                 "best_idx": right["idx"].to_numpy()[at],
             }
         )
@@ -181,7 +189,7 @@ def _block_matcher():
     return best
 
 
-def best_texts(images: DataFrame, texts: DataFrame, block: int = 2048) -> DataFrame:
+def best_texts(images: DataFrame, texts: DataFrame, block: int = 8192) -> DataFrame:
     """(grp, idx, best, best_idx): the best-scoring text of the group for every image.
 
     ``images`` and ``texts`` are (grp BIGINT, idx BIGINT, vec).  A group is cut
@@ -191,7 +199,7 @@ def best_texts(images: DataFrame, texts: DataFrame, block: int = 2048) -> DataFr
     """
 
     def cut(side: DataFrame, own: str, other: str, sizes: DataFrame) -> DataFrame:
-        placed = side.select("grp", "idx", "vec").join(sizes, "grp")
+        placed = skew_join(side.select("grp", "idx", "vec"), sizes, ["grp"], ["idx"])
         return placed.select(
             "grp",
             "idx",
@@ -218,7 +226,7 @@ def best_texts(images: DataFrame, texts: DataFrame, block: int = 2048) -> DataFr
     )
 
 
-def r_precision(images: DataFrame, texts: DataFrame, block: int = 2048) -> DataFrame:
+def r_precision(images: DataFrame, texts: DataFrame, block: int = 8192) -> DataFrame:
     """Share of images whose best text is their own."""
     own = (F.col("best_idx") == F.col("idx")).cast("double")
     return best_texts(images, texts, block).groupBy("grp").agg(F.avg(own).alias("r_precision"))
@@ -237,19 +245,12 @@ def normal_cosine(pairs: DataFrame, by: Sequence[str] = ("uid", "view_id")) -> D
 
     ``pairs`` has ax, ay, az and bx, by, bz arrays, one row per view.
     """
-    zipped = F.arrays_zip("ax", "ay", "az", "bx", "by", "bz")
-
-    def cosine(px: Column) -> Column:
-        a = [px[f"a{c}"].cast("double") for c in "xyz"]
-        b = [px[f"b{c}"].cast("double") for c in "xyz"]
-        ab = a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
-        aa = F.sqrt(a[0] * a[0] + a[1] * a[1] + a[2] * a[2])
-        bb = F.sqrt(b[0] * b[0] + b[1] * b[1] + b[2] * b[2])
-        return ab / (F.greatest(aa, F.lit(COSINE_GUARD)) * F.greatest(bb, F.lit(COSINE_GUARD)))
-
-    summed = F.aggregate(F.transform(zipped, cosine), F.lit(0.0), lambda acc, v: acc + v)
-    sums = pairs.select(*by, summed.alias("_s"), F.size("ax").alias("_n"))
-    return sums.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("normal_cosim"))
+    names = ("ax", "ay", "az", "bx", "by", "bz")
+    pixels = pairs.select(*by, F.explode_outer(F.arrays_zip(*names)).alias("_p")).where(F.col("_p").isNotNull())
+    a, b = ([F.col(f"_p.{side}{c}").cast("double") for c in "xyz"] for side in "ab")
+    dot = a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    lengths = [F.greatest(F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]), F.lit(COSINE_GUARD)) for v in (a, b)]
+    return pixels.groupBy(*by).agg(F.avg(dot / (lengths[0] * lengths[1])).alias("normal_cosim"))
 
 
 def elev_mae(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

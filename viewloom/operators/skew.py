@@ -4,11 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
 HOT_SHARE = 1 / 64
+SAMPLE_ONE_IN = 128
+
+
+def hot_hashes(big: DataFrame, keys: Sequence[str], spread_by: Sequence[str], hot_share: float = HOT_SHARE) -> Column:
+    """Hashes of the keys that hold more than ``hot_share`` of a sample of ``big``.
+
+    At most ``1 / hot_share`` hashes, so the array has a bound of its own.  The
+    sample is chosen by hash: it is the same whenever it is computed, and only
+    one key in ``SAMPLE_ONE_IN`` rows is shuffled to count them.
+    """
+    sampled = big.where(F.pmod(F.xxhash64(F.lit("sample"), *spread_by), F.lit(SAMPLE_ONE_IN)) == 0)
+    counts = sampled.groupBy(F.xxhash64(*keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where(F.col("_n") > total * F.lit(hot_share)).agg(F.collect_list("_h")).scalar()
 
 
 def skew_join(
@@ -18,33 +32,23 @@ def skew_join(
     spread_by: Sequence[str],
     how: str = "inner",
     salts: int = SALTS,
-    hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """Join ``big`` to ``small`` on ``keys``, spreading hot keys over ``salts`` tasks.
 
-    A key is hot when it holds more than ``hot_share`` of the big side, so there
-    are at most ``1 / hot_share`` hot keys: the list has a bound of its own and
-    travels as a scalar subquery.  Rows of a hot key are salted by ``spread_by``;
-    only the matching rows of the small side are repeated, once per salt.
+    Rows of a hot key are salted by ``spread_by``, which should tell the rows of
+    one key apart; only the matching rows of the small side are repeated, once
+    per salt.  Which keys count as hot decides the cost, never the result.
     ``how`` is inner, left, left_semi or left_anti.
     """
     keys = list(keys)
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = (
-        counts.where(F.col("_n") > total * F.lit(hot_share))
-        .agg(F.collect_list(F.struct(*keys)).alias("hot"))
-        .scalar()
-    )
-    key = F.struct(*keys)
+    hot = hot_hashes(big, keys, spread_by)
+    kinds = dict(big.dtypes)
+    # both sides must hash a key alike
+    small_hash = F.xxhash64(*[F.col(k).cast(kinds[k]) for k in keys])
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     salted = big.withColumn(
-        "_salt",
-        F.when(F.array_contains(hot, key), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
-    )
-    repeated = small.withColumn(
-        "_salt",
-        F.explode_outer(
-            F.when(F.array_contains(hot, key), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
+        "_salt", F.when(F.array_contains(hot, F.xxhash64(*keys)), salt).otherwise(F.lit(0))
     )
+    repeats = F.when(F.array_contains(hot, small_hash), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = small.withColumns({**{k: F.col(k).cast(kinds[k]) for k in keys}, "_salt": F.explode_outer(repeats)})
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
