@@ -67,41 +67,49 @@ def normalize_poses(cameras: DataFrame, reference: int = 0, radius: float = 0.0,
     return with_ref.withColumn("c2w", M.pack(M.rigid(M.times(inverse, M.rotation(m)), pos))).drop("_ref")
 
 
+def _orbit(c2w: Column) -> tuple[Column, Column, Column]:
+    """Elevation, azimuth and distance of a stored pose after the axis change."""
+    opengl = C.to_opengl(c2w)
+    return C.elevation(opengl), C.azimuth(opengl), C.distance(opengl)
+
+
 def training_cameras(
-    cameras: DataFrame, radius: float | None = NORM_RADIUS, order: str = "slot", keep: Sequence[str] = ("uid", "slot")
+    cameras: DataFrame,
+    radius: float | None = NORM_RADIUS,
+    order: str = "slot",
+    keep: Sequence[str] = ("uid", "slot"),
+    first: str | None = None,
 ) -> DataFrame:
     """Stored poses to the cameras a training batch uses.
 
     Axis change, orbit angles, azimuth relative to the first view, pole guard,
-    look-at pose in OpenCV axes, distance scaled by the first view.  The pose is
-    rebuilt from its angles, so scaling is one multiplication of ``dis``: both
-    first-view values come from one window, one shuffle by uid.
+    look-at pose in OpenCV axes, distance scaled by the first view.  ``first``
+    names a column with the stored pose of the object's first view; without it
+    a window over the object finds the first by ``order``, one shuffle by uid.
     """
-    opengl = cameras.withColumn("original_c2w", C.to_opengl(F.col("c2w")))
-    pos = C.position(F.col("original_c2w"))
-    angles = opengl.withColumns(
-        {
-            "ele": C.guard_pole(C.elevation(F.col("original_c2w"))),
-            "azi": F.degrees(F.atan2(pos[0], pos[2])),
-            "dis": M.norm(pos),
-        }
-    )
-    first = angles.withColumn("_first", _first(F.struct("azi", "dis"), order))
-    turned = F.pmod(F.col("azi") - F.col("_first.azi"), F.lit(360.0))
+    ele, azi, dis = _orbit(F.col("c2w"))
+    angles = cameras.withColumns({"_ele": C.guard_pole(ele), "_azi": azi, "_dis": dis})
+    if first is None:
+        start = _first(F.struct(F.col("_azi").alias("azi"), F.col("_dis").alias("dis")), order)
+    else:
+        _, first_azi, first_dis = _orbit(F.col(first))
+        start = F.struct(first_azi.alias("azi"), first_dis.alias("dis"))
+    started = angles.withColumn("_first", start)
+    turned = F.pmod(F.col("_azi") - F.col("_first.azi"), F.lit(360.0))
     scale = F.lit(1.0) if radius is None else F.try_divide(F.lit(float(radius)), F.col("_first.dis"))
-    scaled = first.withColumns(
-        {"azi": F.when(turned >= 360.0, F.lit(0.0)).otherwise(turned), "scale": scale}
-    ).withColumn("dis", F.col("dis") * F.col("scale"))
-    ele, azi, dis = F.col("ele"), F.col("azi"), F.col("dis")
+    scaled = started.withColumns(
+        {"_turned": F.when(turned >= 360.0, F.lit(0.0)).otherwise(turned), "_scale": scale}
+    ).withColumn("_far", F.col("_dis") * F.col("_scale"))
+    ele, azi, dis = F.col("_ele"), F.col("_turned"), F.col("_far")
     return scaled.select(
         *keep,
-        "ele",
-        "azi",
-        "dis",
-        "scale",
+        ele.alias("ele"),
+        azi.alias("azi"),
+        dis.alias("dis"),
+        F.col("_scale").alias("scale"),
         M.pack(C.flip_entries(C.orbit_entries(ele, azi, dis))).alias("c2w"),
         C.cam_pose(ele, azi, dis).alias("cam_pose"),
-        "original_c2w",
+        C.to_opengl(F.col("c2w")).alias("original_c2w"),
     )
 
 

@@ -1,6 +1,6 @@
 """Places where user code joins a job: encoders, sample transforms, pair scorers.
 
-A hook gets pandas batches and is built once per partition, so a model loads
+A hook is built once per partition and works on Arrow batches, so a model loads
 once per task.  No model is shipped here.
 """
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ def _sampled_bucket(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     The sample holds the keys with the smallest hash: at most a fixed number of
     rows whatever the size of the table.
     """
-    key = F.struct(*order_by)
+    key = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
     sample_size = (BOUNDARIES + 1) * OVERSAMPLE - 1
     sample = (
         df.select(*order_by)
@@ -38,15 +38,15 @@ def _sampled_bucket(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
             F.sequence(F.lit(1), F.lit(BOUNDARIES)),
             # a small table has a short sample: spread the boundaries over it
             lambda i: F.get("keys", F.floor(i * F.size("keys") / (BOUNDARIES + 1)).cast("int")),
-        ).alias("boundaries")
+        )
     ).scalar()
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(BOUNDARIES.bit_length()))])
-    bucket = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda low, step: low + F.when(F.try_element_at("_boundaries", low + step) < key, step).otherwise(F.lit(0)),
-    )
-    return df.withColumn("_boundaries", boundaries).withColumn("_bucket", bucket).drop("_boundaries")
+    out = df.withColumns({"_boundaries": boundaries, "_bucket": F.lit(0)})
+    # binary search as plain projections: they compile, a lambda does not
+    for bit in reversed(range(BOUNDARIES.bit_length())):
+        step = 1 << bit
+        below = F.get("_boundaries", F.col("_bucket") + (step - 1)) < key
+        out = out.withColumn("_bucket", F.col("_bucket") + F.when(below, F.lit(step)).otherwise(F.lit(0)))
+    return out.drop("_boundaries")
 
 
 def with_position(
@@ -65,35 +65,33 @@ def with_position(
     uniform hex digits (an md5 draw), name it as ``hex_key``: its leading digits
     are the buckets and no sample is taken.
     """
-    partition_by = list(partition_by)
     if hex_key is not None:
         bucketed = df.withColumn("_bucket", F.substring(F.col(hex_key), 1, hex_digits))
     else:
         bucketed = _sampled_bucket(df, order_by)
-    counts = bucketed.groupBy(*partition_by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    keys = ["_bucket"]
+    if partition_by:
+        # a struct: equal even where a column is NULL
+        bucketed = bucketed.withColumn("_part", F.struct(*partition_by))
+        keys = ["_part", "_bucket"]
+    counts = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # One row per bucket: the only window that is not split is this small one.
-    within = W.partitionBy(*partition_by) if partition_by else W.partitionBy(F.lit(0))
+    within = W.partitionBy("_part") if partition_by else W.partitionBy(F.lit(0))
     before = within.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
-        *partition_by,
-        "_bucket",
+        *keys,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         F.sum("_n").over(within).alias("_total"),
     )
-    keys = [*partition_by, "_bucket"]
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    joined = bucketed.alias("l").join(offsets.alias("r"), condition).select("l.*", "r._offset", "r._total")
+    if not partition_by:
+        # as many rows as there are buckets: at most 16^hex_digits or BOUNDARIES + 1
+        offsets = F.broadcast(offsets)
+    # the join and the window ask for the same distribution: the rows move once
+    joined = bucketed.join(offsets, keys)
     numbered = joined.withColumn(
         name,
         F.col("_offset") + F.row_number().over(W.partitionBy(*keys).orderBy(*order_by)) - 1,
     )
     if total is not None:
         numbered = numbered.withColumn(total, F.col("_total"))
-    return numbered.drop("_bucket", "_offset", "_total")
-
-
-def chunk_of(position: Column, size: int) -> Column:
-    return F.floor(position / F.lit(size))
+    return numbered.drop("_part", "_bucket", "_offset", "_total")

@@ -110,10 +110,10 @@ def failed_picks(picked: DataFrame) -> DataFrame:
     return picked.where(F.col("picks").isNull()).select("uid")
 
 
-def fill_views(
+def with_slots(
     picked: DataFrame, v: int, seed: int, n: int = 40, exclude: Sequence[int] = DUPLICATE_VIEWS
 ) -> DataFrame:
-    """(uid, slot, view_id) with exactly v slots per object.
+    """Adds ``slots``: exactly v view ids, NULL where there is no pick.
 
     First the picks, then the other valid views in hash order without
     ``exclude``; if they run out, the list starts over.
@@ -122,12 +122,18 @@ def fill_views(
         F.sequence(F.lit(0), F.lit(n - 1)),
         lambda i: has_view(F.col("mask"), i) & ~F.array_contains(F.col("picks"), i) & ~i.isin(list(exclude)),
     )
-    listed = F.slice(F.concat(F.col("picks"), _by_draw(rest, seed, "fill")), 1, v)
-    with_list = picked.where(F.col("picks").isNotNull()).select("uid", listed.alias("_l"))
+    listed = picked.withColumn("_listed", F.slice(F.concat(F.col("picks"), _by_draw(rest, seed, "fill")), 1, v))
     slots = F.transform(
-        F.sequence(F.lit(0), F.lit(v - 1)), lambda s: F.get(F.col("_l"), (s % F.size("_l")).cast("int"))
+        F.sequence(F.lit(0), F.lit(v - 1)), lambda s: F.get(F.col("_listed"), (s % F.size("_listed")).cast("int"))
     )
-    return explode_rows(with_list, slots, "view_id", ["uid"], "slot")
+    return listed.withColumn("slots", F.when(F.col("_listed").isNotNull(), slots)).drop("_listed")
+
+
+def fill_views(
+    picked: DataFrame, v: int, seed: int, n: int = 40, exclude: Sequence[int] = DUPLICATE_VIEWS
+) -> DataFrame:
+    """(uid, slot, view_id) with exactly v slots per object that has picks."""
+    return explode_rows(with_slots(picked, v, seed, n, exclude), "slots", "view_id", ["uid"], "slot")
 
 
 def cond_views(objects: DataFrame, v: int, k: int, seed: int) -> DataFrame:

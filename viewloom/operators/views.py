@@ -157,6 +157,32 @@ def views_long(samples: DataFrame, keep: tuple[str, ...] = ("uid",), extra: tupl
     return explode_rows(samples, present, "v", list(keep)).select(*keep, "v.*")
 
 
+def wide_cells(samples: DataFrame, n: int = NUM_VIEWS) -> Column:
+    """One (png, camera_json) per view id of a wide sample, NULL unless both exist."""
+    known = set(wide_view_ids(samples))
+    kind = "struct<png:binary,camera_json:binary>"
+    cells = []
+    for i in range(n):
+        if i not in known:
+            cells.append(F.lit(None).cast(kind))
+            continue
+        png, camera = F.col(f"`{i:05d}.png`"), F.col(f"`{i:05d}.json`")
+        pair = F.struct(png.alias("png"), camera.alias("camera_json")).cast(kind)
+        cells.append(F.when(png.isNotNull() & camera.isNotNull(), pair))
+    return F.array(*cells)
+
+
+def wide_mask(samples: DataFrame, n: int = NUM_VIEWS) -> Column:
+    """Valid views of a wide sample as bits; no shuffle, the row knows."""
+    _check_n(n)
+    total = F.lit(0).cast("bigint")
+    for i in wide_view_ids(samples):
+        if i < n:
+            whole = F.col(f"`{i:05d}.png`").isNotNull() & F.col(f"`{i:05d}.json`").isNotNull()
+            total = total + F.when(whole, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+    return total
+
+
 def complete_assets(views: DataFrame, files: tuple[str, ...] = ("png", "camera_json", "albedo", "mr", "nd")) -> DataFrame:
     """Views with every file; one missing file drops the view."""
     return views.dropna(subset=list(files))
