@@ -145,6 +145,8 @@ def test_logs_keep_their_order_over_splits(spark, tmp_path):
     assert splits > 3
     assert [r.line for r in got] == [x.rstrip() for x in lines]
     assert len({r.line_no for r in got}) == 5000
+    few = files.read_logs(spark, str(tmp_path), keep=lambda line: F.endswith(line, F.lit("xxxxx"))).where("run = 'run1'")
+    assert [r.line for r in few.orderBy("line_no").collect()] == [x for x in lines if x.endswith("xxxxx")]
     second = read.where("run = 'run2'").orderBy("line_no").collect()
     assert [r.line for r in second] == ["a\rb", "c"]
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from viewloom.operators import checks, views
 
@@ -61,6 +62,16 @@ def test_wide_and_back(spark, rows):
     assert rows(views.views_long(wide)) == [("a", 0, b"p0", b"c0"), ("a", 2, b"p2", b"c2")]
 
 
+def test_files_straight_to_wide(spark, rows):
+    listed = [("a", 0, "png", b"p0"), ("a", 0, "json", b"c0"), ("a", 1, "png", b"p1"), ("b", 2, "json", b"c2"), ("a", 9, "png", b"x")]
+    renders = spark.createDataFrame(listed, "uid STRING, view_id INT, kind STRING, content BINARY")
+    long = renders.where("view_id < 3").groupBy("uid", "view_id").pivot("kind", ["png", "json"]).agg(F.first("content"))
+    direct, paired = views.renders_wide(renders, 3), views.views_wide(long.withColumnRenamed("json", "camera_json"), 3)
+    assert direct.columns == paired.columns
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert key(direct) == key(paired)
+
+
 def test_repeated_views_are_an_error(spark):
     long = spark.createDataFrame([("a", 0, b"p", b"c"), ("a", 0, b"q", b"d")], LONG)
     with pytest.raises(Exception, match="[Dd]uplicate"):

@@ -14,23 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Sampled bucketing: 255 boundaries out of a sample of 8 keys per bucket.
-BOUNDARIES = 255
+# Sampled bucketing: 1023 boundaries out of a sample of about 8 keys per bucket.
+BOUNDARIES = 1023
 OVERSAMPLE = 8
 
 
 def _sampled_bucket(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Adds ``_bucket``: how many of the sampled boundaries lie below the key.
 
-    The sample holds the keys with the smallest hash: at most a fixed number of
-    rows whatever the size of the table.
+    A key is sampled by its hash, one in as many as keeps the sample at its
+    fixed size whatever the size of the table.
     """
     key = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
-    sample_size = (BOUNDARIES + 1) * OVERSAMPLE - 1
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    one_in = F.greatest(F.lit(1), F.floor(rows / F.lit((BOUNDARIES + 1) * OVERSAMPLE)))
     sample = (
         df.select(*order_by)
-        .orderBy(F.xxhash64(*order_by), *order_by)
-        .limit(sample_size)
+        .where(F.pmod(F.xxhash64(*order_by), one_in) == 0)
         .agg(F.sort_array(F.collect_list(key)).alias("keys"))
     )
     boundaries = sample.select(

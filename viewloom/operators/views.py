@@ -204,6 +204,25 @@ def views_wide(views: DataFrame, n: int = NUM_VIEWS, keep: tuple[str, ...] = ("u
     return grouped.select(*keep, *cells)
 
 
+def renders_wide(renders: DataFrame, n: int = NUM_VIEWS, keep: tuple[str, ...] = ("uid",)) -> DataFrame:
+    """(uid, view_id, kind, content) files to a column pair per view.
+
+    The same result as pairing first and widening then, with the contents
+    shuffled once.
+    """
+    _check_n(n)
+    place = F.col("view_id") * 2 + (F.col("kind") == "json").cast("int")
+    file = F.struct(place.alias("k"), F.col("content").alias("v"))
+    wanted = renders.where(F.col("view_id").between(0, n - 1))
+    grouped = wanted.groupBy(*keep).agg(F.map_from_entries(F.collect_list(file)).alias("_files"))
+    cells = []
+    for i in range(n):
+        png, camera = (F.try_element_at("_files", F.lit(2 * i + k)) for k in (0, 1))
+        cells.append(F.when(camera.isNotNull(), png).alias(f"{i:05d}.png"))
+        cells.append(F.when(png.isNotNull(), camera).alias(f"{i:05d}.json"))
+    return grouped.select(*keep, *cells)
+
+
 def holdout_last(objects: DataFrame, name: str = "name") -> DataFrame:
     """The last object by name is ``val``, the others ``train``; a single one is both."""
     ends = objects.agg(F.struct(F.min(name).alias("first"), F.max(name).alias("last"))).scalar()

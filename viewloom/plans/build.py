@@ -28,7 +28,7 @@ def pack_samples(renders: DataFrame, n: int = views.NUM_VIEWS, min_views: int =
     Which object goes where is decided on names; the contents move once, when
     the views of an object come together in its row.
     """
-    wide = views.views_wide(files.render_views(renders).withColumnRenamed("uid", "name"), n, keep=("name",))
+    wide = views.renders_wide(renders.withColumnRenamed("uid", "name"), n, keep=("name",))
     return sample_list(renders, n, min_views).join(wide, "name").select(
         "uid", "caption", "split", "name", *[f"`{c}`" for c in wide.columns if c != "name"]
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -112,13 +114,16 @@ def list_images(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_logs(spark: SparkSession, path: str, name: str = "log*.txt") -> DataFrame:
+def read_logs(
+    spark: SparkSession, path: str, name: str = "log*.txt", keep: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """(run, line_no, line) of ``{run}/log*.txt``.
 
     ``line_no`` grows along the file but has gaps: it is the byte offset of the
     split plus the line's number in the split, so a huge log is read by many
     tasks.  Lines end at ``\\n`` only; a progress bar redraws itself with ``\\r``
-    inside one line.
+    inside one line.  ``keep`` is a test of a line; lines that fail it are
+    dropped before the rest is numbered, which keeps them out of the shuffle.
     """
     lines = (
         spark.read.option("recursiveFileLookup", True)
@@ -133,6 +138,8 @@ def read_logs(spark: SparkSession, path: str, name: str = "log*.txt") -> DataFra
             F.rtrim("value").alias("line"),
         )
     )
+    if keep is not None:
+        lines = lines.where(keep(F.col("line")))
     inside = W.partitionBy("file", "_start").orderBy("_id")
     return lines.withColumn("line_no", F.col("_start") + F.row_number().over(inside) - 1).select(
         "run", "file", "line_no", "line"
