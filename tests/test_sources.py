@@ -77,18 +77,18 @@ def test_legacy_text(spark, rows):
 
 
 def test_renders(spark, tmp_path, rows):
-    for obj, names in {"mei_lin": ["00000.png", "00000.json", "00001.png", "notes.txt", "123.png"], "zoé b": ["00039.json", "00039.png"]}.items():
+    for obj, names in {"mei_lin": ["00000.png", "00000.json", "00001.png", "notes.txt", "123.png"], "zoé b+50%": ["00039.json", "00039.png"]}.items():
         os.makedirs(tmp_path / obj)
         for name in names:
             (tmp_path / obj / name).write_bytes(f"{obj}/{name}".encode())
     renders = files.read_renders(spark, str(tmp_path))
     assert rows(renders, "uid", "view_id", "kind") == [
-        ("mei_lin", 0, "json"), ("mei_lin", 0, "png"), ("mei_lin", 1, "png"), ("zoé b", 39, "json"), ("zoé b", 39, "png")
+        ("mei_lin", 0, "json"), ("mei_lin", 0, "png"), ("mei_lin", 1, "png"), ("zoé b+50%", 39, "json"), ("zoé b+50%", 39, "png")
     ]
     wide = files.render_views(renders)
     assert {(r.uid, r.view_id): r.camera_json for r in wide.collect()}["mei_lin", 1] is None
     report = views.view_report(views.view_sets(files.render_flags(renders)), min_views=1)
-    assert rows(report, "uid", "n_valid", "valid_views") == [("mei_lin", 1, [0]), ("zoé b", 1, [39])]
+    assert rows(report, "uid", "n_valid", "valid_views") == [("mei_lin", 1, [0]), ("zoé b+50%", 1, [39])]
     # names alone answer the question: contents are not loaded
     assert "content" not in files.render_flags(renders)._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
 
@@ -112,12 +112,14 @@ def test_json_files(spark, tmp_path, rows):
     (tmp_path / "list.json").write_text(json.dumps(["2", "1", "2"]))
     assert rows(files.read_json_map(spark, str(tmp_path / "map.json"))) == [("1", "d/a.glb"), ("2", "d/b.glb")]
     assert rows(files.read_json_list(spark, str(tmp_path / "list.json"))) == [(0, "2"), (1, "1"), (2, "2")]
+    (tmp_path / "lines.json").write_text('{"1": "a"}\n{"2": "b"}\n')
+    assert rows(files.read_json_map(spark, str(tmp_path / "lines.json"), per_line=True)) == [("1", "a"), ("2", "b")]
 
 
 def test_prompt_files(spark, tmp_path, rows):
-    (tmp_path / "suite.txt").write_bytes("  a cat \r\n\n　\n a dog\nlast".encode())
+    (tmp_path / "my suite.txt").write_bytes("  a cat \r\n\n　\n a dog\nlast".encode())
     got = rows(files.read_prompts(spark, str(tmp_path)), "suite", "line_no", "prompt")
-    assert got == [("suite", 0, "a cat"), ("suite", 3, "a dog"), ("suite", 4, "last")]
+    assert got == [("my suite", 0, "a cat"), ("my suite", 3, "a dog"), ("my suite", 4, "last")]
 
 
 def test_images(spark, tmp_path):
@@ -129,11 +131,11 @@ def test_images(spark, tmp_path):
 
 def test_logs_keep_their_order_over_splits(spark, tmp_path):
     os.makedirs(tmp_path / "run1")
-    os.makedirs(tmp_path / "run2")
+    os.makedirs(tmp_path / "run 2+%")
     lines = [f"line {i} " + "x" * (i % 50) for i in range(5000)]
     (tmp_path / "run1" / "log.txt").write_text("\n".join(lines) + "\n")
-    (tmp_path / "run2" / "log_infer.txt").write_text("a\rb  \nc")
-    (tmp_path / "run2" / "other.txt").write_text("no")
+    (tmp_path / "run 2+%" / "log_infer.txt").write_text("a\rb  \nc")
+    (tmp_path / "run 2+%" / "other.txt").write_text("no")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
         read = files.read_logs(spark, str(tmp_path))
@@ -147,7 +149,7 @@ def test_logs_keep_their_order_over_splits(spark, tmp_path):
     assert len({r.line_no for r in got}) == 5000
     few = files.read_logs(spark, str(tmp_path), keep=lambda line: F.endswith(line, F.lit("xxxxx"))).where("run = 'run1'")
     assert [r.line for r in few.orderBy("line_no").collect()] == [x for x in lines if x.endswith("xxxxx")]
-    second = read.where("run = 'run2'").orderBy("line_no").collect()
+    second = read.where("run = 'run 2+%'").orderBy("line_no").collect()
     assert [r.line for r in second] == ["a\rb", "c"]
 
 

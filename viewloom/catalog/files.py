@@ -90,8 +90,18 @@ def read_json_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the order key is unique, so a group is no larger than its range
     grouped = orders.groupBy(F.floor(F.col("o_orderkey") / 100)).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
     grouped.select(F.to_json("m").alias("value")).write.text(path, lineSep="\n")
-    objects = spark.read.text(path)
-    return objects.select(F.explode(F.from_json("value", "map<string,string>")).alias("gid", "path"))
+    return files.read_json_map(spark, path, per_line=True)
+
+
+@query("SELECT o_orderkey::VARCHAR AS gid, (row_number() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) - 1)::INTEGER AS pos FROM orders")
+def read_json_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys as ordered JSON arrays of up to a hundred entries."""
+    path = scratch_path(spark, "gid-list")
+    orders = table(spark, sf_dir, "orders")
+    sorted_keys = F.sort_array(F.collect_list("o_orderkey"))
+    grouped = orders.groupBy(F.floor(F.col("o_orderkey") / 100)).agg(F.transform(sorted_keys, lambda k: k.cast("string")).alias("l"))
+    grouped.select(F.to_json("l").alias("value")).write.text(path, lineSep="\n")
+    return files.read_json_list(spark, path, per_line=True)
 
 
 # ---- listings --------------------------------------------------------------

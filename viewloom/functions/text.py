@@ -27,6 +27,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def plain_path(url: Column) -> Column:
+    """A path as ``_metadata`` reports it (URL-encoded) in plain text."""
+    return F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))
+
+
 def norm_uid(uid: Column) -> Column:
     """Last path part, up to its first dot."""
     return F.substring_index(F.substring_index(uid, "/", -1), ".", 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from viewloom.functions.text import strip
+from viewloom.functions.text import plain_path, strip
 from viewloom.operators.rows import explode_rows
 
 # Image suffixes, compared case-sensitively.
@@ -22,11 +22,10 @@ def read_renders(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     pattern = r"/([^/]+)/(\d{5})\.(png|json)$"
-    name = F.url_decode(F.regexp_replace(F.col("path"), r"\+", "%2B"))
     found = files.select(
-        F.regexp_extract(name, pattern, 1).alias("uid"),
-        F.regexp_extract(name, pattern, 2).try_cast("int").alias("view_id"),
-        F.regexp_extract(name, pattern, 3).alias("kind"),
+        F.regexp_extract("path", pattern, 1).alias("uid"),
+        F.regexp_extract("path", pattern, 2).try_cast("int").alias("view_id"),
+        F.regexp_extract("path", pattern, 3).alias("kind"),
         "path",
         F.col("modificationTime").alias("mtime"),
         "length",
@@ -76,15 +75,15 @@ def read_caption_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
     return lines.groupBy("oid").agg(F.max_by("caption", "_at").alias("caption"))
 
 
-def read_json_map(spark: SparkSession, path: str) -> DataFrame:
-    """(gid, path) of one JSON object."""
-    whole = spark.read.text(path, wholetext=True)
+def read_json_map(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """(gid, path) of one JSON object per file, or per line (such a file may be split)."""
+    whole = spark.read.text(path, wholetext=not per_line)
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("gid", "path"))
 
 
-def read_json_list(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, gid) of one JSON array."""
-    whole = spark.read.text(path, wholetext=True)
+def read_json_list(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """(pos, gid) of one JSON array per file, or per line."""
+    whole = spark.read.text(path, wholetext=not per_line)
     return whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "gid"))
 
 
@@ -97,7 +96,7 @@ def split_prompts(texts: DataFrame, text: str, *keep: str) -> DataFrame:
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """(suite, line_no, prompt); the suite is the file name without suffix."""
     whole = spark.read.text(path, wholetext=True).select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("suite"), "value"
+        F.regexp_replace(plain_path(F.col("_metadata.file_name")), r"\.[^.]*$", "").alias("suite"), "value"
     )
     return split_prompts(whole, "value", "suite")
 
@@ -131,7 +130,7 @@ def read_logs(
         .option("lineSep", "\n")
         .text(path)
         .select(
-            F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("run"),
+            F.regexp_extract(plain_path(F.col("_metadata.file_path")), r"/([^/]+)/[^/]+$", 1).alias("run"),
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("_start"),
             F.monotonically_increasing_id().alias("_id"),

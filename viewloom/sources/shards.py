@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewloom.functions.text import plain_path
+
 KEY = "__key__"
 
 
@@ -29,7 +31,7 @@ def read_shards(
         raise FileNotFoundError(f"no Parquet shards in {path} for prefix {prefix}") from problem
     if prefix is not None and exact:
         shards = shards.where(
-            F.col("_metadata.file_name").rlike(rf"^\Q{prefix}\E([-_.]\d{{3,}}(-of-\d+)?)?(\.parquet)?$")
+            plain_path(F.col("_metadata.file_name")).rlike(rf"^\Q{prefix}\E([-_.]\d{{3,}}(-of-\d+)?)?(\.parquet)?$")
         )
     return shards
 
@@ -43,7 +45,7 @@ def read_captions(spark: SparkSession, path: str, uid_col: str = "uid", caption_
 
 def with_row_key(shards: DataFrame) -> DataFrame:
     """``__key__`` as stored, else ``file:row`` (the row counted in its file)."""
-    made = F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string"))
+    made = F.concat_ws(":", plain_path(F.col("_metadata.file_name")), F.col("_metadata.row_index").cast("string"))
     key = F.coalesce(F.col(KEY).cast("string"), made) if KEY in shards.columns else made
     return shards.withColumn(KEY, key)
 
