@@ -38,7 +38,7 @@ SELECT run, line_no, step, loss, lr, NULL::DOUBLE AS psnr, NULL::DOUBLE AS lpips
 UNION ALL SELECT run, line_no, NULL, NULL, NULL, psnr, lpips, ssim FROM val"""
 
 # Chunks far shorter than a run, so that the as-of join carries steps across them.
-CHUNK = 64
+CHUNK = 1024
 
 
 @query(f"WITH {S.PARSED_SQL} SELECT * FROM train")

@@ -253,7 +253,11 @@ def log_columns() -> dict:
 
 
 def as_lines(events: DataFrame) -> DataFrame:
-    return events.select(*[c.alias(n) for n, c in log_columns().items()])
+    """(run, line_no, line); the generator keeps filters on the text from composing it again."""
+    columns = log_columns()
+    return events.select(
+        columns["run"].alias("run"), columns["line_no"].alias("line_no"), F.explode(F.array(columns["line"])).alias("line")
+    )
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,24 +67,30 @@ def flip_yz(c2w: Column) -> Column:
 
 
 def position(c2w: Column) -> list[Column]:
-    return M.translation(M.entries(c2w))
+    return [F.get(c2w, F.lit(i)) for i in (3, 7, 11)]
 
 
-def distance(c2w: Column) -> Column:
-    return M.norm(position(c2w))
+def position_opengl(c2w: Column) -> list[Column]:
+    """Position of ``to_opengl`` without the rest of the pose."""
+    x, y, z = position(c2w)
+    return [x, z, -y]
+
 
+def orbit_of(pos: list[Column]) -> tuple[Column, Column, Column]:
+    """Elevation, azimuth and distance of a position around the origin.
 
-def elevation(c2w: Column) -> Column:
-    """Degrees; +90 looks from -y. NULL at distance zero."""
-    y = position(c2w)[1]
-    ratio = F.try_divide(y, distance(c2w))
-    return -F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))))
+    Degrees: elevation +90 looks from -y (NULL at distance zero); azimuth in
+    (-180, 180], +z is 0 and +x is 90.
+    """
+    x, y, z = pos
+    distance = M.norm(pos)
+    ratio = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(y, distance)))
+    elevation = F.when(distance > 0, -F.degrees(F.asin(ratio)))
+    return elevation, F.degrees(F.atan2(x, z)), distance
 
 
-def azimuth(c2w: Column) -> Column:
-    """Degrees in (-180, 180]; +z is 0 and +x is 90."""
-    x, _, z = position(c2w)
-    return F.degrees(F.atan2(x, z))
+def distance(c2w: Column) -> Column:
+    return M.norm(position(c2w))
 
 
 def guard_pole(ele: Column) -> Column:

@@ -27,8 +27,7 @@ def parse_cameras(views: DataFrame, json_col: str = "camera_json") -> DataFrame:
 
 
 def undo_orbit(cameras: DataFrame) -> DataFrame:
-    c2w = F.col("c2w")
-    return cameras.withColumns({"ele": C.elevation(c2w), "azi": C.azimuth(c2w), "dis": C.distance(c2w)})
+    return cameras.withColumns(dict(zip(("ele", "azi", "dis"), C.orbit_of(C.position(F.col("c2w"))))))
 
 
 def _first(column: Column | str, order: str) -> Column:
@@ -67,12 +66,6 @@ def normalize_poses(cameras: DataFrame, reference: int = 0, radius: float = 0.0,
     return with_ref.withColumn("c2w", M.pack(M.rigid(M.times(inverse, M.rotation(m)), pos))).drop("_ref")
 
 
-def _orbit(c2w: Column) -> tuple[Column, Column, Column]:
-    """Elevation, azimuth and distance of a stored pose after the axis change."""
-    opengl = C.to_opengl(c2w)
-    return C.elevation(opengl), C.azimuth(opengl), C.distance(opengl)
-
-
 def training_cameras(
     cameras: DataFrame,
     radius: float | None = NORM_RADIUS,
@@ -87,12 +80,12 @@ def training_cameras(
     names a column with the stored pose of the object's first view; without it
     a window over the object finds the first by ``order``, one shuffle by uid.
     """
-    ele, azi, dis = _orbit(F.col("c2w"))
+    ele, azi, dis = C.orbit_of(C.position_opengl(F.col("c2w")))
     angles = cameras.withColumns({"_ele": C.guard_pole(ele), "_azi": azi, "_dis": dis})
     if first is None:
         start = _first(F.struct(F.col("_azi").alias("azi"), F.col("_dis").alias("dis")), order)
     else:
-        _, first_azi, first_dis = _orbit(F.col(first))
+        _, first_azi, first_dis = C.orbit_of(C.position_opengl(F.col(first)))
         start = F.struct(first_azi.alias("azi"), first_dis.alias("dis"))
     started = angles.withColumn("_first", start)
     turned = F.pmod(F.col("_azi") - F.col("_first.azi"), F.lit(360.0))
