@@ -42,6 +42,18 @@ def test_null_row(spark):
     assert set(got) == {"0", "1", "null"} and got["null"].tokens[0] == [0.0] * 3
 
 
+def wide_encoder():
+    return lambda texts, length: (np.ones((len(texts), 64, 1024)) * 0.5, None, None)
+
+
+def test_large_embeddings_leave_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(hooks, "PIECE_BYTES", 1 << 20)
+    made = hooks.encode(captions(spark, 40).coalesce(1), wide_encoder, "sd15", batch=16)
+    assert {(r.uid, len(r.tokens), len(r.tokens[0]), r.tokens[63][1023]) for r in made.collect()} == {
+        (str(i), 64, 1024, 0.5) for i in range(40)
+    }
+
+
 def flaky_encoder():
     def encode(texts, length):
         if any("3" in t for t in texts):

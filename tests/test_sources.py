@@ -42,7 +42,10 @@ def test_shards_by_prefix(spark, shard_dir):
     assert uids(shards.read_shards(spark, shard_dir, "set-280k-83k", exact=True)) == ["c", "c2"]
     # a file named exactly like the prefix counts, whatever its suffix
     assert uids(shards.read_shards(spark, shard_dir, "set-280k.txt")) == ["e", "e2"]
+    # a file is itself, whatever its name and the prefix
     assert uids(shards.read_shards(spark, shard_dir + "/other.parquet")) == ["d", "d2"]
+    assert uids(shards.read_shards(spark, shard_dir + "/other.parquet", "set", exact=True)) == ["d", "d2"]
+    assert uids(shards.read_shards(spark, "file:" + shard_dir + "/set-280k.txt")) == ["e", "e2"]
 
 
 @pytest.mark.parametrize("path,prefix", [("", "nothing"), ("/missing", None)])

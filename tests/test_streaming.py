@@ -84,8 +84,12 @@ def test_lost_state_is_an_error(spark, tmp_path):
 
 def test_tail_stream_equals_batch(spark, fed):
     source, lines, tmp = fed
-    last = live.run_to_end(live.stream_tail(stream(spark, source), str(tmp / "state"), str(tmp / "ckpt"), n=15))
-    same(live.latest_tail(spark, str(tmp / "state"), last), logs.tail_lines(lines, 15))
+    places = (str(tmp / "state"), str(tmp / "ckpt"))
+    assert live.run_to_end(live.stream_tail(stream(spark, source), *places, n=15)) == 4
+    same(live.latest_tail(spark, places[0]), logs.tail_lines(lines, 15))
+    # nothing new: the kept lines stay
+    assert live.run_to_end(live.stream_tail(stream(spark, source), *places, n=15)) == -1
+    same(live.latest_tail(spark, places[0]), logs.tail_lines(lines, 15))
 
 
 def test_status_stream_equals_batch(spark, fed):

@@ -106,8 +106,8 @@ def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_TAIL_SQL} 50")
 def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "stream-tail")
-    last = live.run_to_end(live.stream_tail(_live_lines(spark, sf_dir), f"{root}/state", f"{root}/ckpt", n=50))
-    return live.latest_tail(spark, f"{root}/state", last)
+    live.run_to_end(live.stream_tail(_live_lines(spark, sf_dir), f"{root}/state", f"{root}/ckpt", n=50))
+    return live.latest_tail(spark, f"{root}/state")
 
 
 @query(f"WITH {_STATUS_SQL} SELECT * FROM status")

@@ -24,6 +24,8 @@ CAPTION_LENGTH = {
 }
 FALLBACK_SHAPE = (77, 768)
 ENCODE_BATCH = 128
+# Size of the Arrow batches that leave the encoder.
+PIECE_BYTES = 32 << 20
 
 EMBED_SCHEMA = (
     "model STRING, uid STRING, tokens ARRAY<ARRAY<FLOAT>>, pooled ARRAY<FLOAT>, "
@@ -51,7 +53,7 @@ def encode(
         raise ValueError(f"unknown model {model}")
     if on_error not in ("raise", "zeros"):
         raise ValueError("on_error is 'raise' or 'zeros'")
-    length, fallback_shape = CAPTION_LENGTH[model], FALLBACK_SHAPE
+    length, fallback_shape, piece_bytes = CAPTION_LENGTH[model], FALLBACK_SHAPE, PIECE_BYTES
     prepared = captions.select("uid", model_caption(F.col("caption"), model).alias("caption"))
 
     def floats(values, count):
@@ -60,7 +62,8 @@ def encode(
             return pa.nulls(count, pa.list_(pa.float32()))
         rows = [np.asarray(v, dtype=np.float32).reshape(-1) for v in values]
         offsets = np.cumsum([0] + [len(r) for r in rows], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
+        flat = np.concatenate(rows) if rows else np.empty(0, np.float32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
     def nested(values, count):
         """(count, N, D) numbers as a list of token vectors, without a Python object per number."""
@@ -83,7 +86,7 @@ def encode(
                     if on_error == "raise":
                         raise
                     tokens, pooled, mask, failed = np.zeros((count, *fallback_shape), np.float32), None, None, True
-                yield pa.RecordBatch.from_arrays(
+                made = pa.RecordBatch.from_arrays(
                     [
                         pa.array([model] * count),
                         part.column("uid"),
@@ -94,6 +97,10 @@ def encode(
                     ],
                     names=["model", "uid", "tokens", "pooled", "attention_mask", "fallback"],
                 )
+                # hand large embeddings over in pieces
+                piece = max(1, count * piece_bytes // max(1, made.nbytes))
+                for at in range(0, count, piece):
+                    yield made.slice(at, piece)
 
     return prepared.mapInArrow(run, EMBED_SCHEMA)
 

@@ -40,6 +40,8 @@ def skew_join(
     per salt.  Which keys count as hot decides the cost, never the result.
     ``how`` is inner, left, left_semi or left_anti.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("a skew join keeps the big side: inner, left, left_semi or left_anti")
     keys = list(keys)
     hot = hot_hashes(big, keys, spread_by)
     kinds = dict(big.dtypes)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,19 @@ from viewloom.functions.text import plain_path
 KEY = "__key__"
 
 
+def _plain(path: str) -> str:
+    return re.sub(r"^\w+:/*|^/*", "/", path).rstrip("/")
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    """Whether the path names one file; only its listing is read."""
+    try:
+        listed = spark.read.format("binaryFile").load(path).select("path").limit(2).collect()
+    except AnalysisException:
+        return False
+    return len(listed) == 1 and _plain(listed[0].path) == _plain(path)
+
+
 def read_shards(
     spark: SparkSession, path: str, prefix: str | None = None, exact: bool = False, merge_schema: bool = False
 ) -> DataFrame:
@@ -21,9 +36,11 @@ def read_shards(
     ``prefix`` followed by a shard number.
     """
     reader = spark.read.option("mergeSchema", str(merge_schema).lower())
+    if _is_file(spark, path):
+        return reader.parquet(path)
     if prefix is not None:
         reader = reader.option("pathGlobFilter", f"{{{prefix}*.parquet,{prefix}}}")
-    elif not path.endswith(".parquet"):
+    else:
         reader = reader.option("pathGlobFilter", "*.parquet")
     try:
         shards = reader.parquet(path)

@@ -99,13 +99,15 @@ def stream_tail(lines: DataFrame, state: str, checkpoint: str, n: int = L.KEPT)
     def step(batch: DataFrame, batch_id: int) -> None:
         slots = SlottedState(batch.sparkSession, state, LINES)
         kept = slots.before(batch_id).unionByName(batch.select("run", "line_no", "line"))
-        slots.after(batch_id, L.tail_lines(kept, n))
+        slots.after(batch_id, L.tail_lines(kept, n).withColumn("batch_id", F.lit(batch_id)))
 
     return _foreach(lines, step, checkpoint)
 
 
-def latest_tail(spark: SparkSession, state: str, last_batch: int) -> DataFrame:
-    return spark.read.schema(LINES).parquet(f"{state.rstrip('/')}/slot={last_batch % 2}")
+def latest_tail(spark: SparkSession, state: str) -> DataFrame:
+    """The kept lines after the last finished batch."""
+    slots = spark.read.schema(f"{LINES}, batch_id BIGINT").parquet(state)
+    return slots.where(F.col("batch_id") == slots.agg(F.max("batch_id")).scalar()).select("run", "line_no", "line")
 
 
 def publish_status(status: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
