@@ -140,6 +140,17 @@ def test_long_lineage_with_a_circle(spark):
     assert got["p", 1][2] == got["q", 1][2] == "cycle"
 
 
+def test_lineage_with_one_base_for_most(spark):
+    n = 4000
+    run = F.concat(F.lit("r"), F.col("id").cast("string"))
+    base = F.when(F.col("id") % 3 > 0, F.lit("r0")).otherwise(F.concat(F.lit("r"), F.floor(F.col("id") / 2).cast("string")))
+    params = spark.range(n).select(
+        run.alias("run"), F.lit(1).alias("ckpt"), (F.col("id") > 0).alias("is_adapter"), base.alias("base_run"), F.lit(1).alias("base_ckpt")
+    )
+    got = artifacts.resolve_base(params).groupBy("root_run", "status").count().collect()
+    assert {(r.root_run, r.status, r["count"]) for r in got} == {("r0", "root", 1), ("r0", "resolved", n - 1)}
+
+
 def brute_steps(c):
     save, evaluate = set(), set()
     for s in range(1, c["total_steps"] + 1):

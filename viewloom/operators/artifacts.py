@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from viewloom.functions.text import output_iter, padded
 from viewloom.operators.rows import explode_rows
+from viewloom.operators.skew import skew_join
 from viewloom.session import cut_lineage
 
 # Model file suffixes, best first, and the one that cannot be read.
@@ -173,19 +174,26 @@ def resolve_base(run_params: DataFrame) -> DataFrame:
     than that has members of every shorter length, so a round that settles
     nothing proves that the rest runs in circles.  A chain that ends in an
     unknown checkpoint is ``missing``; circles and missing ends give NULL roots.
+    Many adapters may share one base: the first join spreads hot bases and
+    settles all direct adapters, so only chains of adapters go into the rounds.
     """
-    known = run_params.select(F.col("run").alias("base_run"), F.col("ckpt").alias("base_ckpt"), F.lit(True).alias("_k"))
+    known = run_params.select(
+        F.col("run").alias("base_run"), F.col("ckpt").alias("base_ckpt"), F.col("is_adapter").alias("_base_adapter")
+    )
     base = {
         "base_run": F.when(F.col("is_adapter"), F.col("base_run")).otherwise(F.col("run")),
         "base_ckpt": F.when(F.col("is_adapter"), F.col("base_ckpt")).otherwise(F.col("ckpt")),
     }
     direct = run_params.select("run", "ckpt", "is_adapter", *[c.alias(n) for n, c in base.items()])
-    exists = F.col("_k").isNotNull()
+    exists = F.col("_base_adapter").isNotNull()
     status = (
-        F.when(~exists, F.lit("missing")).when(F.col("is_adapter"), F.lit("open")).otherwise(F.lit("root"))
+        F.when(~exists, F.lit("missing"))
+        .when(~F.col("is_adapter"), F.lit("root"))
+        .when(~F.col("_base_adapter"), F.lit("resolved"))
+        .otherwise(F.lit("open"))
     )
     state = cut_lineage(
-        direct.join(known, ["base_run", "base_ckpt"], "left").select(
+        skew_join(direct, known, ["base_run", "base_ckpt"], ["run", "ckpt"], "left").select(
             "run",
             "ckpt",
             F.when(exists, F.col("base_run")).alias("root_run"),
