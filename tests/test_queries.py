@@ -14,11 +14,14 @@ def duck():
     return compare.connect(SF)
 
 
+LLM = {n for n in QUERIES if n == "pipeline" or n.startswith("op")}
+
+
 def test_every_query_has_a_twin():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - LLM == set(ORACLES) - LLM
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - LLM))
 def test_query_equals_twin(spark, duck, name):
     verdict = compare.compare(spark, duck, SF, QUERIES[name], ORACLES[name])
     assert verdict.startswith("ok"), verdict
@@ -28,7 +31,7 @@ def test_query_equals_twin(spark, duck, name):
 EAGER = {n for n in QUERIES if n.startswith("stream_") or n.endswith("_sink")} | {"resolve_base", "read_caption_csv", "read_json_map", "read_json_list"}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER - LLM))
 def test_no_plan_multiplies_tables(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin"):
