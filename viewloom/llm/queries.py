@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from viewloom.catalog.base import table
-from viewloom.llm import licenses
+from viewloom.llm import licenses, secrets
 from viewloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -14,3 +14,8 @@ __all__ = ["ORACLES", "QUERIES"]
 @query(licenses.oracle())
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).select(*licenses.COLUMNS)
+
+
+@query(secrets.oracle())
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
