@@ -5,8 +5,10 @@ from __future__ import annotations
 import string
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -63,3 +65,33 @@ def repeat_rows(df: DataFrame, times: str) -> DataFrame:
     left = F.least(side, F.col(times).cast("int") - F.col("__r") * side)
     out = out.withColumn("__left", left).where("__left > 0")
     return out.withColumn("__r", F.explode(F.sequence(F.lit(1), F.col("__left")))).select(*keep)
+
+
+def add_columns(df: DataFrame, fields: str, make) -> DataFrame:
+    """``df`` with further columns that Python computes from its Arrow batches.
+
+    ``make()`` is called once in each task and gives a function from a batch to the new arrays, in the order of
+    ``fields`` (DDL). A batch holds at most ``spark.sql.execution.arrow.maxBytesPerBatch`` bytes.
+    """
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
+
+    def run(batches):
+        new = make()
+        for batch in batches:
+            arrays = [*batch.columns, *new(batch)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def pieces_of(texts: list, most: int) -> Iterable[list]:
+    """Consecutive slices of a list of strings with about ``most`` characters each; at least one string."""
+    own, size = [], 0
+    for t in texts:
+        if own and size + len(t) > most:
+            yield own
+            own, size = [], 0
+        own.append(t)
+        size += len(t)
+    if own:
+        yield own
