@@ -67,18 +67,19 @@ def repeat_rows(df: DataFrame, times: str) -> DataFrame:
     return out.withColumn("__r", F.explode(F.sequence(F.lit(1), F.col("__left")))).select(*keep)
 
 
-def add_columns(df: DataFrame, fields: str, make) -> DataFrame:
-    """``df`` with further columns that Python computes from its Arrow batches.
+def add_columns(df: DataFrame, fields: str, make, keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with further columns that Python computes from its Arrow batches.
 
     ``make()`` is called once in each task and gives a function from a batch to the new arrays, in the order of
     ``fields`` (DDL). A batch holds at most ``spark.sql.execution.arrow.maxBytesPerBatch`` bytes.
     """
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
+    kept = df.columns if keep is None else keep
+    schema = StructType([*(df.schema[c] for c in kept), *StructType.fromDDL(fields).fields])
 
     def run(batches):
         new = make()
         for batch in batches:
-            arrays = [*batch.columns, *new(batch)]
+            arrays = [*(batch.column(c) for c in kept), *new(batch)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.mapInArrow(run, schema)
