@@ -8,7 +8,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -73,16 +73,25 @@ def add_columns(df: DataFrame, fields: str, make, keep: list[str] | None = None)
     ``make()`` is called once in each task and gives a function from a batch to the new arrays, in the order of
     ``fields`` (DDL). A batch holds at most ``spark.sql.execution.arrow.maxBytesPerBatch`` bytes.
     """
-    kept = df.columns if keep is None else keep
-    schema = StructType([*(df.schema[c] for c in kept), *StructType.fromDDL(fields).fields])
+    names = df.columns
+    kept = names if keep is None else keep
+    new_fields = StructType.fromDDL(fields).fields
+    # plain names on the way: columns of the caller's may have dots in theirs
+    plain = df.toDF(*(f"c{k}" for k in range(len(names))))
+    places = [names.index(c) for c in kept]
+    schema = StructType(
+        [StructField(f"c{k}", df.schema[p].dataType) for k, p in enumerate(places)]
+        + [StructField(f"n{k}", f.dataType) for k, f in enumerate(new_fields)]
+    )
 
     def run(batches):
         new = make()
         for batch in batches:
-            arrays = [*(batch.column(c) for c in kept), *new(batch)]
+            batch = batch.rename_columns(names)
+            arrays = [*(batch.column(p) for p in places), *new(batch)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*kept, *(f.name for f in new_fields))
 
 
 def pieces_of(texts: list, most: int) -> Iterable[list]:

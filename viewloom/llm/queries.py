@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from viewloom.catalog.base import table
-from viewloom.llm import licenses, secrets, simhash, tokens
+from viewloom.llm import licenses, quality, secrets, simhash, tokens
 from viewloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -30,3 +30,8 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op9_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents")).select(*quality.COLUMNS)
