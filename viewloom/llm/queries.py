@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from viewloom.catalog.base import table
-from viewloom.llm import licenses, quality, secrets, simhash, tokens
+from viewloom.llm import boilerplate, licenses, quality, secrets, simhash, tokens
 from viewloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -35,3 +35,9 @@ def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents")).select(*quality.COLUMNS)
+
+
+@query(boilerplate.ORACLE)
+def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = boilerplate.drop_boilerplate(table(spark, sf_dir, "documents"), dropped_col="n_dropped")
+    return cleaned.select("doc_id", "text", "n_dropped")
