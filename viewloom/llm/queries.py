@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from viewloom.catalog.base import table
-from viewloom.llm import boilerplate, licenses, quality, secrets, simhash, tokens
+from viewloom.llm import boilerplate, licenses, packing, quality, secrets, simhash, tokens
 from viewloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -41,3 +41,9 @@ def op9_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = boilerplate.drop_boilerplate(table(spark, sf_dir, "documents"), dropped_col="n_dropped")
     return cleaned.select("doc_id", "text", "n_dropped")
+
+
+@query()
+def op10_pack_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).select(*packing.COLUMNS)
