@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from viewloom.catalog.base import table
-from viewloom.llm import boilerplate, licenses, packing, quality, secrets, simhash, tokens
+from viewloom.llm import boilerplate, licenses, mixing, packing, quality, secrets, simhash, tokens
 from viewloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -47,3 +47,9 @@ def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pack_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).select(*packing.COLUMNS)
+
+
+@query()
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "pass", "block", "draw")
