@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from viewloom.catalog.base import table
-from viewloom.llm import boilerplate, licenses, mixing, packing, quality, secrets, simhash, tokens
+from viewloom.llm import boilerplate, licenses, mixing, neighbours, packing, quality, secrets, simhash, tokens
 from viewloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -53,3 +53,8 @@ def op10_pack_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "pass", "block", "draw")
+
+
+@query()
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
