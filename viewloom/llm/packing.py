@@ -15,6 +15,7 @@ import zlib
 from bisect import bisect_left, insort
 from itertools import chain
 from operator import itemgetter
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -31,13 +32,25 @@ BLOCK, ISLANDS, EPOCHS, GENERATIONS, PACKINGS = 2048, 3, 3, 3, 4
 #: Sequences filled less than this share are dissolved and packed once more, those of all blocks together.
 LOOSE = 0.75
 #: Words of which the ids are kept in a task, and their longest.
-MEMO, MEMO_CHARS = 300_000, 48
+MEMO, MEMO_CHARS = 500_000, 48
 
 #: In a text with one of these a word's ids may depend on the case of its letters before normalisation, or white
 #: space is not the same for Python and the tokenizer.
 UNUSUAL = re.compile(r"<\||[̀-‏ -\U0010ffff\x1c-\x1f]")
 ODD_BLANK = re.compile(r"[\x1c-\x1f]")
 STOPS = ".,;:!?"
+#: Letters before the first combining mark are in normal form, each for itself.
+FIRST_MARK = "\u0300"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable, else one beyond 255."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class Ids:
@@ -53,8 +66,20 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
 
+    def plain(self, word: str) -> bytes | None:
+        """Ids of a word that normalisation does not change and that is one pre-token: the model's own."""
+        if not word.isalpha() or word != word.lower():
+            return None
+        if not word.isascii():
+            if max(word) >= FIRST_MARK:
+                return None
+            word = "".join(map(BYTE_LETTERS.__getitem__, word.encode()))
+        ids = [t.id for t in self.model.tokenize(word)]
+        return pack(f"<{len(ids)}I", *ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for some in pieces_of(texts, 1 << 16):
@@ -86,8 +111,14 @@ class Ids:
         ask = {w for w in unknown if w not in cores}
         ask.update(cores.values())
         ask.update(w[len(c) :] for w, c in cores.items())
-        order = list(ask.difference(memo))
-        memo.update(zip(order, self.encode(order)))
+        order, other = list(ask.difference(memo)), []
+        for w in order:
+            found = self.plain(w)
+            if found is None:
+                other.append(w)
+            else:
+                memo[w] = found
+        memo.update(zip(other, self.encode(other)))
         for w, c in cores.items():
             memo[w] = memo[c] + memo[w[len(c) :]]
         out = [b"".join(map(memo.__getitem__, own)) for own in split]
