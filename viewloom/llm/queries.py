@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from viewloom.catalog.base import table
-from viewloom.llm import boilerplate, licenses, mixing, neighbours, packing, quality, secrets, simhash, tokens
+from viewloom.llm import boilerplate, licenses, mixing, neighbours, packing, quality, secrets, simhash, surrogates, tokens
 from viewloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -58,3 +58,9 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates.replace_pii(table(spark, sf_dir, "documents"), key="viewloom example key")
+    return replaced.select("doc_id", "text", "n_entities")
