@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names that do not clash with those of ``df``, whatever their case."""
-    taken, out = {c.lower() for c in df.columns}, []
+def fresh(df: DataFrame, *names: str, also: Iterable[str] = ()) -> list[str]:
+    """Column names that do not clash with those of ``df``, or ``also`` others, whatever their case."""
+    taken, out = {c.lower() for c in (*df.columns, *also)}, []
     for name in names:
         while name.lower() in taken:
             name += "_"

@@ -173,8 +173,8 @@ def mix_sources(
     plan = by_source(plan, "source", edges)
 
     base = docs.select(*(quoted(c) for c in docs.columns if c not in (pass_col, block_col, draw_col)))
-    names = fresh(base.select(*base.columns, F.lit(0).alias(pass_col), F.lit(0).alias(block_col), F.lit(0).alias(draw_col)),
-                  "of", "blocks", "whole", "rest", "edge", "last", "key", "part")
+    new = (pass_col, block_col, draw_col)
+    names = fresh(base, "of", "blocks", "whole", "rest", "edge", "last", "key", "part", also=new)
     of, blocks, whole, rest, edge, last_, own_key, part = names
     plan = plan.toDF(of, blocks, whole, rest, edge, last_)
     joined = base.join(F.broadcast(plan) if few else plan, quoted(source_col).cast("string").eqNullSafe(F.col(of)), "left")

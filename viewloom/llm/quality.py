@@ -130,13 +130,15 @@ def fit(pattern_counts: dict[str, int], rounds: int = ROUNDS) -> Estimate:
     a document on which nobody votes bad never falls below the share of good documents. Each rule starts with a few
     votes that are right, so that a rule that never votes, or a tiny corpus, has defined accuracies.
     """
+    if not pattern_counts:
+        return Estimate(0.5, *(np.empty(0),) * 4, {})
     names = sorted(pattern_counts)
     weight = np.array([pattern_counts[n] for n in names], float)
     plus = np.array([[v == "+" for v in n] for n in names], bool).reshape(len(names), -1)
     minus = np.array([[v == "-" for v in n] for n in names], bool).reshape(len(names), -1)
     posterior = np.where(minus.any(1), 0.1, 0.9)
     share, rates = 0.5, (np.full(plus.shape[1], 0.5),) * 4
-    for _ in range(rounds if names else 0):
+    for _ in range(rounds):
         good, bad = weight * posterior, weight * (1 - posterior)
         share = (good.sum() + 1) / (weight.sum() + 2)
         total = PRIOR_RIGHT + PRIOR_WRONG
