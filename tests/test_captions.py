@@ -126,7 +126,12 @@ def test_null_embedding(spark):
 
 def test_dropped_text(spark, rows):
     df = spark.createDataFrame(
-        [("a", [[1.0]], [[0.0]], True), ("b", [[1.0]], [[0.0]], False)],
-        "uid STRING, tokens ARRAY<ARRAY<FLOAT>>, null_tokens ARRAY<ARRAY<FLOAT>>, drop_text BOOLEAN",
+        [("a", [[1.0]], [2.0], [3.0], [[0.0]], [0.5], [0.25], True), ("b", [[1.0]], [2.0], [3.0], [[0.0]], [0.5], [0.25], False)],
+        "uid STRING, tokens ARRAY<ARRAY<FLOAT>>, pooled ARRAY<FLOAT>, attention_mask ARRAY<FLOAT>, "
+        "null_tokens ARRAY<ARRAY<FLOAT>>, null_pooled ARRAY<FLOAT>, null_attention_mask ARRAY<FLOAT>, drop_text BOOLEAN",
     )
-    assert rows(embeds.apply_text_drop(df), "uid", "tokens") == [("a", [[0.0]]), ("b", [[1.0]])]
+    columns = ("uid", "tokens", "pooled", "attention_mask")
+    kept = ("b", [[1.0]], [2.0], [3.0])
+    assert rows(embeds.apply_text_drop(df, "sd15"), *columns) == [("a", [[0.0]], [2.0], [3.0]), kept]
+    assert rows(embeds.apply_text_drop(df, "sd3m"), *columns) == [("a", [[0.0]], [0.5], [3.0]), kept]
+    assert rows(embeds.apply_text_drop(df, "pas"), *columns) == [("a", [[0.0]], [2.0], [0.25]), kept]

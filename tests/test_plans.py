@@ -35,7 +35,7 @@ def render_dir(tmp_path):
 
 def test_build_writes_splits(spark, render_dir, tmp_path, rows):
     out = str(tmp_path / "shards")
-    build.build(spark, render_dir, out, n=12)
+    build.build(spark, render_dir, out, "chibi", n=12)
     train_set = sinks.read_split(spark, out, "train")
     assert rows(train_set, "uid", "name", "caption") == [
         ("chibi_train_000", "ada", "a 3D character named ada"), ("chibi_train_001", "bo_b", "a 3D character named bo b")
@@ -47,17 +47,17 @@ def test_build_writes_splits(spark, render_dir, tmp_path, rows):
 
 def test_build_refuses_thin_objects(spark, render_dir, tmp_path):
     with pytest.raises(ValueError, match="bo_b"):
-        build.build(spark, render_dir, str(tmp_path / "none"), n=12, min_views=6)
+        build.build(spark, render_dir, str(tmp_path / "none"), "chibi", n=12, min_views=6)
     renders = files.read_renders(spark, render_dir)
     assert [r.uid for r in build.rejected(renders, 12, 6).collect()] == ["bo_b"]
-    assert build.pack_samples(renders, 12, 6).count() == 2
+    assert build.pack_samples(renders, "chibi", 12, 6).count() == 2
 
 
 RINGS = ((0, 8, 8 / 12), (8, 4, 4 / 12))
 
 
 def test_training_rows_equal_the_table_form(spark, render_dir, rows):
-    samples = build.pack_samples(files.read_renders(spark, render_dir), 12, 4)
+    samples = build.pack_samples(files.read_renders(spark, render_dir), "chibi", 12, 4)
     picked = load.training_views(samples, 6, 4, seed=1, n=12, rings=RINGS, exclude=())
     # the same choice through the long tables
     flags = files.render_flags(files.read_renders(spark, render_dir))

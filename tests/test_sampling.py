@@ -13,7 +13,7 @@ def objects(spark, n):
 
 
 def with_masks(spark, masks):
-    return spark.createDataFrame([(str(i), m) for i, m in enumerate(masks)], "uid STRING, mask BIGINT")
+    return spark.createDataFrame([(str(i), m) for i, m in enumerate(masks)], "uid STRING, mask ARRAY<BIGINT>")
 
 
 def test_even_picks_are_evenly_spaced(spark):
@@ -52,16 +52,16 @@ def test_random_picks_are_distinct_and_uniform(spark):
 
 
 def test_random_picks_among_existing(spark):
-    df = with_masks(spark, [mask_of([1, 5, 9, 30]), mask_of([1, 2, 3])])
+    df = with_masks(spark, [mask_of([1, 5, 9, 30], 40), mask_of([1, 2, 3], 40)])
     got = {r.uid: r.picks for r in sampling.pick_random(df, 4, 1, existing="mask").collect()}
     assert sorted(got["0"]) == [1, 5, 9, 30] and got["1"] is None
 
 
 def test_existing_pick_is_complete_when_possible(spark):
-    only = mask_of([2, 8, 14, 20])
-    low = mask_of([28, 31, 34, 37, 0, 1])
-    none = mask_of(range(0, 24, 5)) & ~mask_of([0])
-    df = with_masks(spark, [only, low, none, mask_of(range(40))])
+    only = mask_of([2, 8, 14, 20], 40)
+    low = mask_of([28, 31, 34, 37, 0, 1], 40)
+    none = mask_of(range(5, 24, 5), 40)
+    df = with_masks(spark, [only, low, none, mask_of(range(40), 40)])
     got = {r.uid: r.picks for r in sampling.pick_existing(df, 4, 1).collect()}
     assert sorted(got["0"]) == [2, 8, 14, 20]
     assert sorted(got["1"]) == [28, 31, 34, 37]
@@ -70,7 +70,7 @@ def test_existing_pick_is_complete_when_possible(spark):
 
 
 def test_existing_pick_uses_every_start_alike(spark):
-    df = with_masks(spark, [mask_of(range(40))] * 7200)
+    df = with_masks(spark, [mask_of(range(40), 40)] * 7200)
     starts = Counter(r.picks[0] for r in sampling.pick_existing(df, 4, 1).collect())
     assert set(starts) == set(range(24)) | set(range(27, 39))
     assert all(abs(c - 200) < 6 * 200**0.5 for c in starts.values())
@@ -78,11 +78,11 @@ def test_existing_pick_uses_every_start_alike(spark):
 
 def test_rings_must_weigh_starts_alike(spark):
     with pytest.raises(ValueError):
-        sampling.pick_existing(with_masks(spark, [0]), 4, 1, rings=((0, 24, 0.5), (27, 12, 0.5)))
+        sampling.pick_existing(with_masks(spark, [[0]]), 4, 1, rings=((0, 24, 0.5), (27, 12, 0.5)))
 
 
 def test_fill_takes_valid_views_without_duplicates(spark):
-    masks = [mask_of(range(40)), mask_of([2, 8, 14, 20, 24, 39, 25])]
+    masks = [mask_of(range(40), 40), mask_of([2, 8, 14, 20, 24, 39, 25], 40)]
     picked = sampling.pick_existing(with_masks(spark, masks), 4, 1)
     firsts = {r.uid: r.picks for r in picked.collect()}
     got = {}

@@ -182,11 +182,12 @@ def test_embedding_sink_replaces_one_model(spark, tmp_path, rows):
     assert stored.schema["tokens"].dataType.simpleString() == "array<array<float>>"
 
 
-def test_metric_sink_appends(spark, tmp_path):
-    df = spark.createDataFrame([("r", 1, "training/loss", 0.5)], "run STRING, step BIGINT, name STRING, value DOUBLE")
-    for _ in range(2):
-        sinks.write_metrics(df, str(tmp_path / "m"))
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+def test_metric_sink_replaces_the_runs_of_a_job(spark, tmp_path, rows):
+    kind = "run STRING, step BIGINT, name STRING, value DOUBLE"
+    for value, run in ((0.5, "r"), (0.25, "q"), (0.75, "r")):
+        sinks.write_metrics(spark.createDataFrame([(run, 1, "training/loss", value)], kind), str(tmp_path / "m"))
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    assert rows(stored, "run", "value") == [("q", 0.25), ("r", 0.75)]
 
 
 def test_gaussian_sink(spark, tmp_path):

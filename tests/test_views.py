@@ -31,12 +31,22 @@ def test_report_counts_lists_and_limits(spark):
 
 def test_objects_without_any_view_stay(spark, rows):
     sets = views.view_sets(files(spark, [("none", 0, False, True), ("none", 1, None, None)]), 3)
-    assert rows(sets) == [("none", 0)]
+    assert rows(sets) == [("none", [0])]
     assert rows(views.missing_views(sets, 3)) == [("none", 0), ("none", 1), ("none", 2)]
     assert views.present_views(sets, 3).count() == 0
 
 
-@pytest.mark.parametrize("bad", [0, -1, 63])
+def test_sets_of_many_views(spark):
+    n = 200
+    rows_ = [("a", i, True, i % 2 == 0) for i in range(0, n, 3)] + [("b", 199, True, True), ("b", 200, True, True), ("c", 5, True, False)]
+    sets = views.view_sets(files(spark, rows_), n)
+    found = {r.uid: r for r in views.view_report(sets, n, 2).collect()}
+    assert found["a"].valid_views == list(range(0, n, 6)) and found["a"].n_valid == 34
+    assert found["b"].valid_views == [199] and found["c"].valid_views == []
+    assert all(sorted(r.valid_views + r.missing_views) == list(range(n)) for r in found.values())
+
+
+@pytest.mark.parametrize("bad", [0, -1])
 def test_number_of_views_is_checked(spark, bad):
     with pytest.raises(ValueError):
         views.view_sets(files(spark, [("a", 0, True, True)]), bad)
@@ -95,7 +105,7 @@ def test_long_with_absent_columns_and_extra_files(spark, rows):
 
 def test_holdout_and_numbers(spark, rows):
     names = spark.createDataFrame([("mei_lin",), ("ada",), ("zoé",)], "name STRING")
-    numbered = views.number_uids(views.holdout_last(names))
+    numbered = views.number_uids(views.holdout_last(names), "chibi")
     assert rows(numbered, "uid", "name", "caption") == [
         ("chibi_train_000", "ada", "a 3D character named ada"),
         ("chibi_train_001", "mei_lin", "a 3D character named mei lin"),
@@ -106,7 +116,7 @@ def test_holdout_and_numbers(spark, rows):
 
 def test_single_object_is_in_both_splits(spark, rows):
     one = views.holdout_last(spark.createDataFrame([("solo",)], "name STRING"))
-    assert rows(views.number_uids(one), "uid") == [("chibi_train_000",), ("chibi_val_000",)]
+    assert rows(views.number_uids(one, "chibi"), "uid") == [("chibi_train_000",), ("chibi_val_000",)]
 
 
 def test_preview_is_capped(spark, rows):

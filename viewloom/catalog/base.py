@@ -35,6 +35,18 @@ def r6(value: Column | str) -> Column:
     return F.floor(column * 1e6 + 0.5) / 1e6
 
 
+def digest(values: Column) -> Column:
+    """One number for all values of an array, in their order: each in millionths, times its place."""
+    parts = F.transform(values, lambda v, i: (F.floor(v.cast("double") * 1e6 + 0.5) * (i + 1)).cast("bigint"))
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+
+def digest_sql(values: str) -> str:
+    """``digest`` in SQL."""
+    part = f"(floor(({values})[i]::DOUBLE * 1e6 + 0.5) * i)::BIGINT"
+    return f"coalesce(list_sum([{part} FOR i IN range(1, len({values}) + 1)]), 0)::BIGINT"
+
+
 def s6(expression: str) -> str:
     """``r6`` in SQL."""
     return f"floor(({expression}) * 1e6 + 0.5) / 1e6"

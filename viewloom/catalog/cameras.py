@@ -62,11 +62,17 @@ def to_opengl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.poses(spark, sf_dir).select("uid", "view_id", *_cells(C.to_opengl(F.col("c2w"))))
 
 
+# Columns of the matrix are the axes x, y, z and the origin.
+_PARSED = {
+    "m00": "ele", "m10": "azi", "m20": "0.0", "m01": "0.0", "m11": "1.0", "m21": "dis",
+    "m02": "0.0", "m12": "0.0", "m22": "1.0", "m03": "-dis", "m13": "1.0", "m23": "2.0",
+}
+
+
 @query(
     f"""WITH {S.CAMERAS_SQL}
 SELECT uid, view_id, CASE WHEN view_id = 6 THEN 'x, y, z and origin must be arrays of three numbers' END AS camera_problem,
-       CASE WHEN view_id <> 6 THEN {s6("ele")} END AS m00, CASE WHEN view_id <> 6 THEN {s6("azi")} END AS m10,
-       CASE WHEN view_id <> 6 THEN {s6("dis")} END AS m21, CASE WHEN view_id <> 6 THEN {s6("-dis")} END AS m03
+       {", ".join(f"CASE WHEN view_id <> 6 THEN {s6(v)} END AS {c}" for c, v in _PARSED.items())}
 FROM cameras"""
 )
 def parse_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +86,8 @@ def parse_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = S.angles(spark, sf_dir).withColumn("camera_json", F.when(F.col("view_id") == 6, bad).otherwise(good))
     parsed = cameras.parse_cameras(files)
 
-    def cell(r: int, c: int) -> Column:
-        return r6(F.get("c2w", F.lit(4 * r + c))).alias(f"m{r}{c}")
-
-    return parsed.select("uid", "view_id", "camera_problem", cell(0, 0), cell(1, 0), cell(2, 1), cell(0, 3))
+    cells = [r6(F.get("c2w", F.lit(4 * int(c[1]) + int(c[2])))).alias(c) for c in _PARSED]
+    return parsed.select("uid", "view_id", "camera_problem", *cells)
 
 
 @query(

@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewloom.catalog import standins as S
-from viewloom.catalog.base import query, r6, s6, table
+from viewloom.catalog.base import digest, digest_sql, query, r6, s6, table
 from viewloom.operators import embeds, metrics
 
 
-def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as embeddings of model sdxl: two tokens of 32 numbers; vector 0 is the empty prompt."""
+def _store(spark: SparkSession, sf_dir: str, model: str = "sdxl") -> DataFrame:
+    """Vectors as embeddings of a model: two tokens of 32 numbers, the vector as pooled, its first 8 numbers as
+    attention mask, where the model has those; vector 0 is the empty prompt."""
     e = F.col("embedding")
     uid = F.when(F.col("vec_id") == 0, F.lit(embeds.NULL_UID)).otherwise(F.col("vec_id").cast("string"))
+    parts = {"tokens": F.array(F.slice(e, 1, 32), F.slice(e, 33, 32)), "pooled": e, "attention_mask": F.slice(e, 1, 8)}
     return table(spark, sf_dir, "embeddings").select(
-        F.lit("sdxl").alias("model"),
-        uid.alias("uid"),
-        F.array(F.slice(e, 1, 32), F.slice(e, 33, 32)).alias("tokens"),
-        e.alias("pooled"),
-        F.lit(None).cast("array<float>").alias("attention_mask"),
+        F.lit(model).alias("model"), uid.alias("uid"), *[parts[c].alias(c) for c in embeds.model_columns(model)]
     )
 
 
@@ -31,18 +29,13 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT 'obj/' || p_partkey::VARCHAR || '.glb' AS uid, p_name AS caption, {s6("embedding[1]::DOUBLE")} AS first_value,
-  {s6("embedding[33]::DOUBLE")} AS second_token, len(embedding)::INTEGER AS pooled_size
-FROM part JOIN embeddings ON vec_id = p_partkey WHERE vec_id <> 0"""
+    f"""SELECT 'obj/' || p_partkey::VARCHAR || '.glb' AS uid, p_name AS caption, 2 AS n_tokens, {digest_sql("embedding")} AS tokens,
+  {digest_sql("embedding")} AS pooled FROM part JOIN embeddings ON vec_id = p_partkey WHERE vec_id <> 0"""
 )
 def attach_embeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = embeds.attach_embeds(_samples(spark, sf_dir), _store(spark, sf_dir), "sdxl")
     return joined.select(
-        "uid",
-        "caption",
-        r6(F.col("tokens")[0][0].cast("double")).alias("first_value"),
-        r6(F.col("tokens")[1][0].cast("double")).alias("second_token"),
-        F.size("pooled").alias("pooled_size"),
+        "uid", "caption", F.size("tokens").alias("n_tokens"), digest(F.flatten("tokens")).alias("tokens"), digest(F.col("pooled")).alias("pooled")
     )
 
 
@@ -54,25 +47,34 @@ def missing_embeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeds.missing_embeds(_samples(spark, sf_dir), _store(spark, sf_dir), "sdxl")
 
 
+_DROP_SQL = f"""u AS (SELECT p_partkey, 'obj/' || p_partkey::VARCHAR || '.glb' AS uid FROM part),
+j AS (SELECT uid, ('0x' || substr(md5('5:0:' || uid), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < 0.4 AS drop_text, embedding AS e,
+  (SELECT embedding FROM embeddings WHERE vec_id = 0) AS n FROM u JOIN embeddings ON vec_id = p_partkey WHERE vec_id <> 0),
+own AS (SELECT uid, drop_text, CASE WHEN drop_text THEN n ELSE e END AS e FROM j),
+sums AS (SELECT uid, drop_text, {digest_sql("e")} AS whole, {digest_sql("e[:8]")} AS mask FROM own)"""
+
+
 @query(
-    f"""WITH d AS (SELECT p_partkey, 'obj/' || p_partkey::VARCHAR || '.glb' AS uid FROM part),
-u AS (SELECT *, ('0x' || substr(md5('5:0:' || uid), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM d),
-j AS (SELECT u.uid, u < 0.4 AS drop_text, embedding FROM u JOIN embeddings ON vec_id = p_partkey WHERE vec_id <> 0)
-SELECT uid, drop_text, CASE WHEN drop_text THEN 0.0 ELSE {s6("embedding[5]::DOUBLE")} END AS token_value, 64 AS null_size, 0.0::DOUBLE AS null_sum FROM j"""
+    f"""WITH {_DROP_SQL}
+SELECT 'sdxl' AS model, uid, drop_text, CASE WHEN drop_text THEN 0 ELSE whole END AS tokens, CASE WHEN drop_text THEN 0 ELSE whole END AS pooled,
+  NULL::BIGINT AS attention_mask FROM sums
+UNION ALL SELECT 'sd3m', uid, drop_text, whole, whole, NULL FROM sums
+UNION ALL SELECT 'pas', uid, drop_text, whole, NULL, mask FROM sums"""
 )
 def apply_text_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dropped samples carry the empty-prompt tokens, which this model replaces by zeros."""
-    store = _store(spark, sf_dir)
-    joined = embeds.attach_embeds(_samples(spark, sf_dir), store, "sdxl")
-    drawn = embeds.condition_dropout(embeds.attach_null(joined, store, "sdxl"), 0.2, seed=5, epoch=0)
-    null_sum = F.aggregate("null_pooled", F.lit(0.0), lambda a, v: a + v.cast("double"))
-    return embeds.apply_text_drop(drawn).select(
-        "uid",
-        "drop_text",
-        r6(F.col("tokens")[0][4].cast("double")).alias("token_value"),
-        F.size("null_pooled").alias("null_size"),
-        null_sum.alias("null_sum"),
-    )
+    """Dropped samples carry all of the empty-prompt embedding; one model replaces that by zeros."""
+
+    def dropped(model: str) -> DataFrame:
+        store = _store(spark, sf_dir, model)
+        joined = embeds.attach_embeds(_samples(spark, sf_dir), store, model)
+        drawn = embeds.condition_dropout(embeds.attach_null(joined, store, model), 0.2, seed=5, epoch=0)
+        swapped = embeds.apply_text_drop(drawn, model)
+        none = F.lit(None).cast("bigint")
+        sums = {"tokens": digest(F.flatten("tokens"))}
+        sums |= {c: digest(F.col(c)) if c in embeds.model_columns(model) else none for c in ("pooled", "attention_mask")}
+        return swapped.select(F.lit(model).alias("model"), "uid", "drop_text", *[c.alias(n) for n, c in sums.items()])
+
+    return dropped("sdxl").union(dropped("sd3m")).union(dropped("pas"))
 
 
 _PAIRS_SQL = """norms AS (SELECT vec_id // 2 AS idx, vec_id % 2 AS side, (vec_id // 2) % 4 AS grp,

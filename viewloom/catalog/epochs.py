@@ -133,10 +133,10 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_SCORES_SQL}
 SELECT CASE WHEN cfg = 1.0 THEN 'validation_cfg1.0/' ELSE 'validation/' END || metric || '_cfg' || printf('%.1f', cfg) AS name,
        {s6("avg(value)")} AS value
-FROM scores WHERE batch_id < 100 GROUP BY metric, cfg"""
+FROM scores GROUP BY metric, cfg"""
 )
 def val_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.val_rollup(_scores(spark, sf_dir), 100).withColumn("value", r6("value"))
+    return metrics.val_rollup(_scores(spark, sf_dir)).withColumn("value", r6("value"))
 
 
 @query(f"WITH {_SCORES_SQL} SELECT run, metric, {s6('sum(value * batch_size) / sum(batch_size)')} AS value FROM scores GROUP BY run, metric")

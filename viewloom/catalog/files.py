@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewloom.catalog import standins as S
-from viewloom.catalog.base import query, r6, s6, table
+from viewloom.catalog.base import digest, digest_sql, query, r6, s6, table
 from viewloom.operators import artifacts, hooks, points, views
 from viewloom.session import scratch_path
 from viewloom.sources import files, shards, sinks
@@ -43,30 +43,44 @@ def split_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_split(spark, path, "train").unionByName(sinks.read_split(spark, path, "val"))
 
 
-@query(f"SELECT 'sd15' AS model, vec_id::VARCHAR AS uid, {s6('embedding[1]::DOUBLE')} AS first_value, 2 AS n_tokens FROM embeddings")
+@query(
+    f"""SELECT 'sd15' AS model, vec_id::VARCHAR AS uid, {digest_sql("embedding")} AS tokens, 2 AS n_tokens, vec_id % 7 = 0 AS fallback FROM embeddings"""
+)
 def embed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "embeds")
     e = F.col("embedding")
     rows = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("string").alias("uid"), F.array(F.slice(e, 1, 32), F.slice(e, 33, 32)).alias("tokens")
+        F.col("vec_id").cast("string").alias("uid"), F.array(F.slice(e, 1, 32), F.slice(e, 33, 32)).alias("tokens"), (F.col("vec_id") % 7 == 0).alias("fallback")
     )
     sinks.write_embeds(rows, path, "sd15")
     stored = spark.read.parquet(path)
     return stored.select(
-        "model", "uid", r6(F.col("tokens")[0][0].cast("double")).alias("first_value"), F.size("tokens").alias("n_tokens")
+        "model", "uid", digest(F.flatten("tokens")).alias("tokens"), F.size("tokens").alias("n_tokens"), "fallback"
     )
 
 
+# Logarithms may differ in the last bit, which float32 makes larger: thousandths of those.
+_LOGS = {"opacity": "ln(opacity / (1 - opacity))", **{f"scale_{i}": f"ln(scale_{i} + 1e-8)" for i in range(3)}}
+_LINEAR = {
+    **{c: c for c in ("x", "y", "z", "rot_0", "rot_1", "rot_2", "rot_3")},
+    **{f"f_dc_{i}": f"(f_dc_{i} - 0.5) / 0.28209479177387814" for i in range(3)},
+}
+_BYTES = {n: f"trunc(least(greatest(f_dc_{i} * 255.0, 0.0), 255.0))::INTEGER" for i, n in enumerate(("red", "green", "blue"))}
+
+
 @query(
     f"""WITH {S.GAUSSIANS_SQL}
-SELECT uid, gid, {s6("x::FLOAT::DOUBLE")} AS x, {s6("rot_3::FLOAT::DOUBLE")} AS rot_3,
-  trunc(least(greatest(f_dc_2 * 255.0, 0.0), 255.0))::INTEGER AS blue FROM gaussians WHERE opacity > 0.5"""
+SELECT uid, gid, {", ".join(f"{s6(f'({v})::FLOAT::DOUBLE')} AS {c}" for c, v in _LINEAR.items())},
+  {", ".join(f"floor(({v})::FLOAT::DOUBLE * 1e3 + 0.5) / 1e3 AS {c}" for c, v in _LOGS.items())},
+  {", ".join(f"{v} AS {c}" for c, v in _BYTES.items())} FROM gaussians WHERE opacity > 0.5 AND opacity < 1"""
 )
 def gaussian_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "gaussians")
-    sinks.write_gaussians(points.to_ply_cols(points.prune(S.gaussians(spark, sf_dir), 0.5)), path)
+    inside = S.gaussians(spark, sf_dir).where("opacity < 1")
+    sinks.write_gaussians(points.to_ply_cols(points.prune(inside, 0.5)), path)
     stored = spark.read.parquet(path)
-    return stored.select("uid", "gid", r6(F.col("x").cast("double")).alias("x"), r6(F.col("rot_3").cast("double")).alias("rot_3"), "blue")
+    logs = [(F.floor(F.col(c).cast("double") * 1e3 + 0.5) / 1e3).alias(c) for c in _LOGS]
+    return stored.select("uid", "gid", *[r6(F.col(c).cast("double")).alias(c) for c in _LINEAR], *logs, *_BYTES)
 
 
 @query("SELECT c_custkey::VARCHAR AS oid, c_name || ', \"the ' || lower(c_mktsegment) || '\"' AS caption FROM customer")
@@ -272,8 +286,8 @@ def audit_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT 'paa' AS model, p_partkey::VARCHAR AS uid, {s6("('0x' || substr(md5(lower(p_name)), 1, 2))::INTEGER / 255.0::DOUBLE")} AS first_token,
-  120 AS mask_length, false AS fallback FROM part"""
+    f"""SELECT 'paa' AS model, p_partkey::VARCHAR AS uid, {digest_sql("tokens")} AS tokens, 120 AS mask_length, false AS fallback
+FROM (SELECT p_partkey, [(('0x' || substr(md5(lower(p_name)), 2 * i + 1, 2))::INTEGER / 255.0::DOUBLE)::FLOAT FOR i IN range(16)] AS tokens FROM part)"""
 )
 def encode_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in text encoder: token t is byte t of the caption's md5, scaled."""
@@ -292,11 +306,13 @@ def encode_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     captions = part.select(F.col("p_partkey").cast("string").alias("uid"), F.initcap("p_name").alias("caption"))
     made = hooks.encode(captions, encoder_factory, "paa", batch=100)
-    first = F.floor(F.col("tokens")[0][0].cast("double") * 255 + 0.5) / 255.0
-    return made.select("model", "uid", r6(first).alias("first_token"), F.col("attention_mask")[0].cast("int").alias("mask_length"), "fallback")
+    return made.select("model", "uid", digest(F.flatten("tokens")).alias("tokens"), F.col("attention_mask")[0].cast("int").alias("mask_length"), "fallback")
 
 
-@query("SELECT s_suppkey::VARCHAR AS uid, 77 AS n_tokens, 768 AS width, true AS fallback FROM supplier")
+@query(
+    """SELECT s_suppkey::VARCHAR AS uid, model, 77 AS n_tokens, width, pooled_size, true AS fallback
+FROM supplier, (VALUES ('sd15', 768, -1), ('sdxl', 2048, 1280)) AS models(model, width, pooled_size)"""
+)
 def encode_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An encoder that cannot be built leaves flagged zeros."""
 
@@ -305,8 +321,10 @@ def encode_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     supplier = table(spark, sf_dir, "supplier")
     captions = supplier.select(F.col("s_suppkey").cast("string").alias("uid"), F.col("s_name").alias("caption"))
-    made = hooks.encode(captions, encoder_factory, "sd15", on_error="zeros")
-    return made.select("uid", F.size("tokens").alias("n_tokens"), F.size(F.col("tokens")[0]).alias("width"), "fallback")
+    both = (hooks.encode(captions, encoder_factory, m, on_error="zeros") for m in ("sd15", "sdxl"))
+    made = next(both).union(next(both))
+    pooled = F.coalesce(F.size("pooled"), F.lit(-1)).alias("pooled_size")
+    return made.select("uid", "model", F.size("tokens").alias("n_tokens"), F.size(F.col("tokens")[0]).alias("width"), pooled, "fallback")
 
 
 @query(f"SELECT conv_id, turn, {s6('len(string_split(text, chr(32))) / (1 + turn)::DOUBLE')} AS score FROM conversations")

@@ -103,14 +103,19 @@ def views_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.views_long(views.views_wide(_blobs(spark, sf_dir), RING))
 
 
+# Three more files of a view, each missing for some views.
+_MORE = {"albedo": "(uid + view_id) % 11", "mr": "(uid + view_id) % 13", "nd": "(uid * 3 + view_id) % 17"}
+_GONE = {"png": "png IS NULL", "camera_json": "camera_json IS NULL", **{c: f"{v} = 0" for c, v in _MORE.items()}}
+
+
 @query(
     f"""WITH {_BLOBS_SQL}
-SELECT uid, view_id, concat_ws(',', CASE WHEN png IS NULL THEN 'png' END, CASE WHEN camera_json IS NULL THEN 'camera_json' END) AS missing
-FROM blobs WHERE png IS NULL OR camera_json IS NULL"""
+SELECT uid, view_id, concat_ws(',', {", ".join(f"CASE WHEN {v} THEN '{c}' END" for c, v in _GONE.items())}) AS missing
+FROM blobs WHERE {" OR ".join(_GONE.values())}"""
 )
 def broken_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    broken = checks.broken_assets(_blobs(spark, sf_dir), ("png", "camera_json"))
-    return broken.withColumn("missing", F.array_join("missing", ","))
+    blobs = _blobs(spark, sf_dir).withColumns({c: F.expr(f"CASE WHEN {v} <> 0 THEN encode('x', 'UTF-8') END") for c, v in _MORE.items()})
+    return checks.broken_assets(blobs, tuple(_GONE)).withColumn("missing", F.array_join("missing", ","))
 
 
 @query(f"WITH {S.FILES_SQL} SELECT uid, view_id FROM valid WHERE view_id NOT IN (2, 5)")
@@ -129,7 +134,7 @@ FROM r"""
 def holdout_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Object names split, numbered and captioned."""
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    return views.number_uids(views.holdout_last(names))
+    return views.number_uids(views.holdout_last(names), "chibi")
 
 
 @query(
@@ -229,3 +234,75 @@ UNION ALL SELECT uid, cond::INTEGER, slot::INTEGER FROM r WHERE cond < 3"""
 def cond_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = S.files(spark, sf_dir).select("uid").distinct()
     return sampling.cond_views(objects, 4, 3, 11)
+
+
+# ---- more views than fit one word ------------------------------------------
+# Customers as objects of 72 views; an order is a view, and a third of them lack the camera.
+
+LARGE_RING = 72
+
+_LARGE_SQL = """objects AS (SELECT DISTINCT o_custkey AS uid FROM orders),
+valid AS (SELECT DISTINCT o_custkey AS uid, (o_orderkey % 72)::INTEGER AS view_id FROM orders WHERE o_orderkey % 3 <> 0),
+grid AS (SELECT uid, v::INTEGER AS view_id FROM objects, range(72) AS r(v))"""
+
+
+def _large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    files = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("uid"), (key % LARGE_RING).cast("int").alias("view_id"), F.lit(True).alias("has_png"), (key % 3 != 0).alias("has_json")
+    )
+    return views.view_sets(files, LARGE_RING)
+
+
+@query(
+    f"""WITH {_LARGE_SQL},
+v AS (SELECT uid, count(*) AS n, string_agg(view_id::VARCHAR, ',' ORDER BY view_id) AS l FROM valid GROUP BY uid),
+m AS (SELECT uid, string_agg(view_id::VARCHAR, ',' ORDER BY view_id) AS l FROM ({_MISSING}) GROUP BY uid)
+SELECT o.uid, coalesce(v.n, 0)::INTEGER AS n_valid, coalesce(v.l, '') AS valid_views, coalesce(m.l, '') AS missing_views,
+       coalesce(v.n, 0) >= 4 AS enough
+FROM objects o LEFT JOIN v USING (uid) LEFT JOIN m USING (uid)"""
+)
+def large_ring_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = views.view_report(_large(spark, sf_dir), LARGE_RING, 4)
+    return report.withColumns(
+        {
+            "n_valid": F.col("n_valid").cast("int"),
+            "valid_views": F.array_join("valid_views", ","),
+            "missing_views": F.array_join("missing_views", ","),
+        }
+    )
+
+
+@query(f"WITH {_LARGE_SQL} {_MISSING}")
+def large_ring_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.missing_views(_large(spark, sf_dir), LARGE_RING)
+
+
+@query(
+    f"""WITH {_LARGE_SQL}, c AS (SELECT uid, count(*) AS n FROM valid GROUP BY uid)
+SELECT o.uid, coalesce(c.n, 0)::INTEGER AS n_valid FROM objects o LEFT JOIN c USING (uid) WHERE coalesce(c.n, 0) < 4"""
+)
+def large_ring_too_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failing = checks.too_few_views(_large(spark, sf_dir), LARGE_RING, 4)
+    return failing.select("uid", F.col("n_valid").cast("int").alias("n_valid"))
+
+
+@query(
+    f"""WITH {_LARGE_SQL},
+ok AS (SELECT a.uid, a.view_id AS v0, b.view_id AS v1,
+         row_number() OVER (PARTITION BY a.uid ORDER BY md5(concat_ws(':', '7', a.uid, a.view_id))) AS rn
+       FROM valid a JOIN valid b ON a.uid = b.uid AND b.view_id = (a.view_id + 36) % 72),
+picked AS (SELECT uid, v0, v1 FROM ok WHERE rn = 1),
+rest AS (SELECT v.uid, v.view_id,
+           row_number() OVER (PARTITION BY v.uid ORDER BY md5(concat_ws(':', '9', v.uid, 'fill', v.view_id))) + 1 AS slot
+         FROM valid v JOIN picked p USING (uid) WHERE v.view_id NOT IN (p.v0, p.v1) AND v.view_id NOT IN (3, 66)),
+lst AS (SELECT uid, 0 AS slot, v0 AS view_id FROM picked UNION ALL SELECT uid, 1, v1 FROM picked
+        UNION ALL SELECT uid, slot, view_id FROM rest WHERE slot < 6),
+cnt AS (SELECT uid, count(*) AS n FROM lst GROUP BY uid)
+SELECT c.uid, k.k::INTEGER AS slot, l.view_id::INTEGER AS view_id
+FROM cnt c, (SELECT unnest(range(6)) AS k) k, lst l WHERE l.uid = c.uid AND l.slot = k.k % c.n"""
+)
+def large_ring_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two opposite views that exist, then others."""
+    picked = sampling.pick_existing(_large(spark, sf_dir), 2, 7, ((0, LARGE_RING, 1.0),))
+    return sampling.fill_views(picked, 6, 9, LARGE_RING, exclude=(3, 66))

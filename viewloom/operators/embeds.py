@@ -88,6 +88,7 @@ def condition_dropout(samples: DataFrame, rate: float, seed: int, epoch: int, ke
     return samples.withColumn("_d", dropout_band(u, rate)).select(*samples.columns, "_d.drop_text", "_d.drop_image")
 
 
-def apply_text_drop(samples: DataFrame) -> DataFrame:
-    """Dropped samples take the empty-prompt tokens."""
-    return samples.withColumn("tokens", F.when(F.col("drop_text"), F.col("null_tokens")).otherwise(F.col("tokens")))
+def apply_text_drop(samples: DataFrame, model: str) -> DataFrame:
+    """Dropped samples take every part of the empty-prompt embedding that the model stores."""
+    swapped = {c: F.when(F.col("drop_text"), F.col(f"null_{c}")).otherwise(F.col(c)) for c in model_columns(model)}
+    return samples.withColumns(swapped)

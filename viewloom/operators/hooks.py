@@ -15,14 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.functions.text import model_caption
+from viewloom.operators.embeds import MASK_MODELS
 
 # Caption length of each model (CLIP + T5 where there are two
-# encoders), and the shape of the embedding written when the encoder fails.
+# encoders), and the widths of its token and pooled vectors.
 CAPTION_LENGTH = {
     "sd15": 77, "sd21": 77, "sdxl": 77, "paa": 120, "pas": 300,
     "sd3m": 77 + 256, "sd35m": 77 + 256, "sd35l": 77 + 256,
 }
-FALLBACK_SHAPE = (77, 768)
+TOKEN_WIDTH = {
+    "sd15": 768, "sd21": 1024, "sdxl": 2048, "paa": 4096, "pas": 4096, "sd3m": 4096, "sd35m": 4096, "sd35l": 4096,
+}
+POOLED_WIDTH = {"sdxl": 1280, "sd3m": 2048, "sd35m": 2048, "sd35l": 2048}
 ENCODE_BATCH = 128
 # Size of the Arrow batches that leave the encoder.
 PIECE_BYTES = 32 << 20
@@ -46,14 +50,15 @@ def encode(
 ) -> DataFrame:
     """(uid, caption) to the embedding table of ``model``.
 
-    ``on_error="zeros"`` replaces a failing batch by zeros and flags the rows, so
-    they can be counted; otherwise the failure ends the job.
+    ``on_error="zeros"`` replaces a failing batch by zeros in the model's own shape
+    and flags the rows, so they can be counted; otherwise the failure ends the job.
     """
     if model not in CAPTION_LENGTH:
         raise ValueError(f"unknown model {model}")
     if on_error not in ("raise", "zeros"):
         raise ValueError("on_error is 'raise' or 'zeros'")
-    length, fallback_shape, piece_bytes = CAPTION_LENGTH[model], FALLBACK_SHAPE, PIECE_BYTES
+    length, width, piece_bytes = CAPTION_LENGTH[model], TOKEN_WIDTH[model], PIECE_BYTES
+    pooled_width, masked = POOLED_WIDTH.get(model), model in MASK_MODELS
     prepared = captions.select("uid", model_caption(F.col("caption"), model).alias("caption"))
 
     def floats(values, count):
@@ -85,7 +90,10 @@ def encode(
                 except Exception:
                     if on_error == "raise":
                         raise
-                    tokens, pooled, mask, failed = np.zeros((count, *fallback_shape), np.float32), None, None, True
+                    failed = True
+                    tokens = np.zeros((count, length, width), np.float32)
+                    pooled = None if pooled_width is None else np.zeros((count, pooled_width), np.float32)
+                    mask = np.zeros((count, length), np.float32) if masked else None
                 made = pa.RecordBatch.from_arrays(
                     [
                         pa.array([model] * count),

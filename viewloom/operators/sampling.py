@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from viewloom.functions.draws import hex_draw, unit_draw
 from viewloom.operators.rows import explode_rows
-from viewloom.operators.views import has_view, mask_of
+from viewloom.operators.views import covers, has_view, mask_of
 
 # Rings as (first view, size, chance), duplicated views, views at the poles.
 RINGS = ((0, 24, 2 / 3), (27, 12, 1 / 3))
@@ -72,7 +72,9 @@ def pick_random(
     return objects.withColumn("picks", F.when(F.size(ids) >= v, F.slice(_by_draw(ids, seed, "view"), 1, v)))
 
 
-def pick_existing(sets: DataFrame, v: int, seed: int, rings: Sequence[tuple[int, int, float]] = RINGS) -> DataFrame:
+def pick_existing(
+    sets: DataFrame, v: int, seed: int, rings: Sequence[tuple[int, int, float]] = RINGS
+) -> DataFrame:
     """``picks``: v evenly spaced views that all exist; NULL when no start has them.
 
     Drawing a ring by its chance and then a start, and redrawing until the views
@@ -83,17 +85,18 @@ def pick_existing(sets: DataFrame, v: int, seed: int, rings: Sequence[tuple[int,
     weights = {round(chance / size, 12) for _, size, chance in rings}
     if len(weights) > 1:
         raise ValueError("rings must give every start the same chance")
+    n = max(first + size for first, size, _ in rings)
     candidates = []
     for first, size, _ in rings:
         for start in range(size):
             ids = _ring_start(start, size, first, v)
             candidates.append(
                 F.struct(
-                    F.lit(mask_of(ids)).cast("bigint").alias("need"),
+                    F.array(*[F.lit(w).cast("bigint") for w in mask_of(ids, n)]).alias("need"),
                     F.array(*[F.lit(i) for i in ids]).alias("ids"),
                 )
             )
-    complete = F.filter(F.array(*candidates), lambda c: F.col("mask").bitwiseAND(c["need"]) == c["need"])
+    complete = F.filter(F.array(*candidates), lambda c: covers(F.col("mask"), c["need"]))
     keyed = F.transform(
         complete, lambda c: F.struct(hex_draw(seed, F.col("uid"), F.element_at(c["ids"], 1)).alias("h"), c["ids"].alias("ids"))
     )

@@ -1,9 +1,10 @@
 """View tables: pairing, reshaping, completeness reports, splits.
 
 A view belongs to an object ``uid`` and has an index ``view_id`` in
-``0..n-1``.  The set of valid views of an object is kept as the bits of one
-BIGINT: combining sets is a bitwise OR that Spark pre-aggregates before the
-shuffle, so an object that owns a third of all files costs one long per task.
+``0..n-1``.  The set of valid views of an object is kept as bits, 62 in each
+BIGINT of an array: combining sets is a bitwise OR that Spark pre-aggregates
+before the shuffle, so an object that owns a third of all files costs a few
+longs per task.
 """
 
 from __future__ import annotations
@@ -21,23 +22,35 @@ from viewloom.operators.rows import explode_rows
 # Views of a full sample, and the fewest that can be trained on.
 NUM_VIEWS = 40
 MIN_VIEWS = 4
-MAX_BITS = 62
+# Views in one word of a mask.
+WORD = 62
 
 _WIDE_COLUMN = re.compile(r"^(\d{5})\.(png|json)$")
 
 
 def _check_n(n: int) -> None:
-    if not 0 < n <= MAX_BITS:
-        raise ValueError(f"number of views must be in 1..{MAX_BITS}")
+    if n <= 0:
+        raise ValueError("number of views must be positive")
+
+
+def words(n: int) -> int:
+    """Words of a mask for n views."""
+    return -(-n // WORD)
 
 
 def bit(view_id: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), view_id.cast("int"))
+    """The bit of a view in its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (view_id % WORD).cast("int"))
+
+
+def word(view_id: Column) -> Column:
+    return F.floor(view_id / WORD).cast("int")
 
 
 def has_view(mask: Column, view_id: Column | int) -> Column:
     view = F.lit(view_id) if isinstance(view_id, int) else view_id
-    return mask.bitwiseAND(bit(view)) != 0
+    own = F.get(mask, F.lit(view_id // WORD) if isinstance(view_id, int) else word(view))
+    return F.coalesce(own.bitwiseAND(bit(view)) != 0, F.lit(False))
 
 
 def views_in(mask: Column, n: int) -> Column:
@@ -46,10 +59,31 @@ def views_in(mask: Column, n: int) -> Column:
     return F.filter(ids, lambda i: has_view(mask, i))
 
 
-def mask_of(ids) -> int:
-    out = 0
+def views_not_in(mask: Column, n: int) -> Column:
+    """Sorted view ids a mask lacks."""
+    ids = F.sequence(F.lit(0), F.lit(n - 1))
+    return F.filter(ids, lambda i: ~has_view(mask, i))
+
+
+def count_views(mask: Column) -> Column:
+    return F.aggregate(mask, F.lit(0), lambda a, w: a + F.bit_count(w))
+
+
+def covers(mask: Column, need: Column) -> Column:
+    """Every view of ``need`` is in ``mask``; words that one of them lacks are empty."""
+    zero = F.lit(0).cast("bigint")
+
+    def inside(x: Column) -> Column:
+        wanted = F.coalesce(x["w"], zero)
+        return F.coalesce(x["m"], zero).bitwiseAND(wanted) == wanted
+
+    return F.forall(F.arrays_zip(mask.alias("m"), need.alias("w")), inside)
+
+
+def mask_of(ids, n: int) -> list[int]:
+    out = [0] * words(n)
     for i in ids:
-        out |= 1 << i
+        out[i // WORD] |= 1 << (i % WORD)
     return out
 
 
@@ -73,21 +107,27 @@ def view_sets(files: DataFrame, n: int = NUM_VIEWS) -> DataFrame:
 
     Pairing and collecting are one aggregation: the image bits and the camera
     bits of an object are gathered apart and intersected at the end.  Rows may
-    repeat.  Objects without any valid view stay, with mask 0.
+    repeat.  Objects without any valid view stay, with an empty mask.  If a mask
+    has several words they are gathered apart, then put together.
     """
     _check_n(n)
     in_ring = F.col("view_id").between(0, n - 1)
     own = bit(F.col("view_id"))
+    place = F.when(in_ring, word(F.col("view_id"))).otherwise(F.lit(0))
+    keys = ["uid"] if words(n) == 1 else ["uid", place.alias("_word")]
+    gathered = files.groupBy(*keys).agg(
+        F.bit_or(F.when(in_ring & F.col("has_png"), own)).alias("png"),
+        F.bit_or(F.when(in_ring & F.col("has_json"), own)).alias("json"),
+    )
+    both = F.coalesce(F.col("png").bitwiseAND(F.col("json")), F.lit(0).cast("bigint"))
+    if words(n) == 1:
+        return gathered.select("uid", F.array(both).alias("mask"))
+    entries = F.map_from_entries(F.collect_list(F.struct("_word", both.alias("bits"))))
+    ids = F.sequence(F.lit(0), F.lit(words(n) - 1))
     return (
-        files.groupBy("uid")
-        .agg(
-            F.bit_or(F.when(in_ring & F.col("has_png"), own)).alias("png"),
-            F.bit_or(F.when(in_ring & F.col("has_json"), own)).alias("json"),
-        )
-        .select(
-            "uid",
-            F.coalesce(F.col("png").bitwiseAND(F.col("json")), F.lit(0).cast("bigint")).alias("mask"),
-        )
+        gathered.groupBy("uid")
+        .agg(entries.alias("_m"))
+        .select("uid", F.transform(ids, lambda w: F.coalesce(F.try_element_at("_m", w), F.lit(0).cast("bigint"))).alias("mask"))
     )
 
 
@@ -95,14 +135,13 @@ def view_report(sets: DataFrame, n: int = NUM_VIEWS, min_views: int = MIN_VIEWS)
     """Per object: how many views are valid, which, which are missing, and is it enough."""
     if min_views <= 0:
         raise ValueError("min_views must be a positive integer")
-    valid = views_in(F.col("mask"), n)
-    missing = views_in(F.bitwise_not("mask"), n)
+    count = count_views(F.col("mask"))
     return sets.select(
         "uid",
-        F.bit_count("mask").alias("n_valid"),
-        valid.alias("valid_views"),
-        missing.alias("missing_views"),
-        (F.bit_count("mask") >= min_views).alias("enough"),
+        count.alias("n_valid"),
+        views_in(F.col("mask"), n).alias("valid_views"),
+        views_not_in(F.col("mask"), n).alias("missing_views"),
+        (count >= min_views).alias("enough"),
     )
 
 
@@ -113,7 +152,7 @@ def present_views(sets: DataFrame, n: int = NUM_VIEWS) -> DataFrame:
 
 def missing_views(sets: DataFrame, n: int = NUM_VIEWS) -> DataFrame:
     """One row per view an object lacks."""
-    return explode_rows(sets, views_in(F.bitwise_not("mask"), n), "view_id", ["uid"])
+    return explode_rows(sets, views_not_in(F.col("mask"), n), "view_id", ["uid"])
 
 
 def except_views(views: DataFrame, ids) -> DataFrame:
@@ -175,12 +214,12 @@ def wide_cells(samples: DataFrame, n: int = NUM_VIEWS) -> Column:
 def wide_mask(samples: DataFrame, n: int = NUM_VIEWS) -> Column:
     """Valid views of a wide sample as bits; no shuffle, the row knows."""
     _check_n(n)
-    total = F.lit(0).cast("bigint")
+    totals = [F.lit(0).cast("bigint")] * words(n)
     for i in wide_view_ids(samples):
         if i < n:
             whole = F.col(f"`{i:05d}.png`").isNotNull() & F.col(f"`{i:05d}.json`").isNotNull()
-            total = total + F.when(whole, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-    return total
+            totals[i // WORD] = totals[i // WORD] + F.when(whole, F.lit(1 << (i % WORD))).otherwise(F.lit(0)).cast("bigint")
+    return F.array(*totals)
 
 
 def complete_assets(views: DataFrame, files: tuple[str, ...] = ("png", "camera_json", "albedo", "mr", "nd")) -> DataFrame:
@@ -236,7 +275,7 @@ def holdout_last(objects: DataFrame, name: str = "name") -> DataFrame:
     return explode_rows(tagged, splits, "split", objects.columns)
 
 
-def number_uids(objects: DataFrame, name: str = "name", prefix: str = "chibi", width: int = 3) -> DataFrame:
+def number_uids(objects: DataFrame, prefix: str, name: str = "name", width: int = 3) -> DataFrame:
     """``{prefix}_{split}_{000}`` by name order inside the split; the name stays as a column."""
     numbered = with_position(objects, [name], ["split"], name="_i")
     uid = F.concat(F.lit(f"{prefix}_"), F.col("split"), F.lit("_"), F.format_string(f"%0{width}d", F.col("_i")))

@@ -76,4 +76,4 @@ def with_prompts(samples: DataFrame, store: DataFrame, model: str, rate: float,
     Joined to one row per sample, not per view.
     """
     joined = embeds.attach_null(embeds.attach_embeds(samples, store, model), store, model)
-    return embeds.apply_text_drop(embeds.condition_dropout(joined, rate, seed, epoch))
+    return embeds.apply_text_drop(embeds.condition_dropout(joined, rate, seed, epoch), model)

@@ -18,13 +18,17 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def write_embeds(embeds: DataFrame, path: str, model: str | None = None) -> None:
-    """float32 embeddings, partitioned by model; writing a model replaces only that model."""
+    """float32 embeddings, partitioned by model; writing a model replaces only that model.
+
+    ``fallback`` stays with the rows, so zeros that stand for a failed encoder can be counted later.
+    """
     columns = {
         "tokens": F.col("tokens").cast("array<array<float>>"),
         "pooled": F.col("pooled").cast("array<float>") if "pooled" in embeds.columns else F.lit(None).cast("array<float>"),
         "attention_mask": F.col("attention_mask").cast("array<float>")
         if "attention_mask" in embeds.columns
         else F.lit(None).cast("array<float>"),
+        "fallback": F.col("fallback") if "fallback" in embeds.columns else F.lit(False),
     }
     out = embeds if model is None else embeds.withColumn("model", F.lit(model))
     out.select("model", "uid", *[c.alias(n) for n, c in columns.items()]).write.mode("overwrite").option(
@@ -33,8 +37,10 @@ def write_embeds(embeds: DataFrame, path: str, model: str | None = None) -> None
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Appends (run, step, name, value)."""
-    metrics.select("run", "step", "name", "value").write.mode("append").parquet(path)
+    """(run, step, name, value), partitioned by run; a job that runs again replaces the rows of its runs."""
+    metrics.select("run", "step", "name", "value").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("run").parquet(path)
 
 
 def write_gaussians(stored: DataFrame, path: str) -> None:
