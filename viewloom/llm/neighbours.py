@@ -71,6 +71,27 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _nearest(q_ids: np.ndarray, q: np.ndarray, base_ids: np.ndarray, base: np.ndarray, top: int) -> tuple[np.ndarray, ...]:
+    """How many of the base each query has among its best, and for all of these, query by query, score and id.
+
+    A matrix product chooses generously, exact products decide.
+    """
+    rough = q @ base.T
+    rough[q_ids[:, None] == base_ids[None, :]] = -np.inf
+    edge = np.full(len(q), -np.inf)
+    if len(base) > top:
+        edge = -np.partition(-rough, top - 1, axis=1)[:, top - 1]
+    bound = np.sqrt((q * q).sum(axis=1)) * np.sqrt((base * base).sum(axis=1).max(initial=0))
+    row, column = np.nonzero((rough >= (edge - 1e-9 * bound)[:, None]) & (rough > -np.inf))
+    exact = products(q[row], base[column])
+    order = np.lexsort((base_ids[column], -exact, row))
+    row, exact, near = row[order], exact[order], base_ids[column[order]]
+    again = np.concatenate(([False], (np.diff(row) == 0) & (np.diff(exact) == 0) & (np.diff(near) == 0)))[: len(row)]
+    row, exact, near = row[~again], exact[~again], near[~again]  # rows that repeat id and vector
+    best = np.arange(len(row)) - np.searchsorted(row, row) < top
+    return np.bincount(row[best], minlength=len(q)), exact[best], near[best]
+
+
 def vectors(column: pa.Array, width: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(-1, width)
@@ -140,36 +161,26 @@ def _met(stored: DataFrame, looks: DataFrame, top: int) -> DataFrame:
         asks = group.column("q").to_numpy()
         width = group.column("width")[0].as_py()
         ids, x = group.column("id").to_numpy(), vectors(group.column("vector").combine_chunks(), width)
-        queries, found_ids, found_scores = [], [], []
-        base_ids, base = ids[~asks], x[~asks]
-        for start in range(0, int(asks.sum()), 256):
-            q_ids, q = ids[asks][start : start + 256], x[asks][start : start + 256]
-            rough = q @ base.T
-            rough[q_ids[:, None] == base_ids[None, :]] = -np.inf
-            slack = 1e-9 * (1 + np.abs(rough, where=np.isfinite(rough), out=np.zeros_like(rough)).max(axis=1, initial=0))
-            edge = np.sort(rough, axis=1)[:, -top] if len(base) > top else np.full(len(q), -np.inf)
-            for k in range(len(q)):
-                near = np.flatnonzero((rough[k] >= edge[k] - slack[k]) & (rough[k] > -np.inf))
-                exact = products(np.broadcast_to(q[k], (len(near), width)), base[near])
-                order = np.lexsort((base_ids[near], -exact))[:top]
-                queries.append(q_ids[k])
-                found_ids.append(base_ids[near][order])
-                found_scores.append(exact[order])
-        ends = np.cumsum([0, *map(len, found_ids)])
-        flat = [np.concatenate(v) if v else np.empty(0) for v in (found_scores, found_ids)]
-        pairs = pa.StructArray.from_arrays([pa.array(flat[0], pa.float64()), pa.array(flat[1].astype(np.int64))], names=["score", "vec_id"])
-        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-        return pa.table([pa.array(np.array(queries, np.int64)), found], names=["query_id", "found"])
+        base_ids, base, q_ids, q = ids[~asks], x[~asks], ids[asks], x[asks]
+        found = [_nearest(q_ids[k : k + 256], q[k : k + 256], base_ids, base, top) for k in range(0, len(q), 256)]
+        counts, scores, near = (np.concatenate([f[j] for f in found]) if found else np.empty(0) for j in range(3))
+        ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(near.astype(np.int64))], names=["score", "vec_id"])
+        return pa.table([pa.array(q_ids.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["query_id", "found"])
 
     groups = both.groupBy(*key, "block", "portion")
     return groups.applyInArrow(meet, "query_id long, found array<struct<score: double, vec_id: long>>")
 
 
-def _best(found: DataFrame, top: int) -> DataFrame:
-    """(query_id, found): the ``top`` best over all blocks, repeated finds once."""
-    merged = found.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("f"))
-    ranked = F.array_sort(F.transform("f", lambda x: F.struct((-x["score"]).alias("down"), x["vec_id"].alias("vec_id"), x["score"].alias("score"))))
-    return merged.select("query_id", F.slice(ranked, 1, top).alias("found"))
+def _best(found: DataFrame, top: int, tables: int) -> DataFrame:
+    """(query_id, found): the ``top`` best over all blocks.
+
+    A find is in one block of each table at most and has the same product everywhere, so its repetitions stand
+    together and are few: distinct finds are looked for only at the head of the list.
+    """
+    ranked = F.transform("found", lambda x: F.struct((-x["score"]).alias("down"), x["vec_id"].alias("vec_id"), x["score"].alias("score")))
+    merged = found.select("query_id", ranked.alias("found")).groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("f"))
+    return merged.select("query_id", F.slice(F.array_distinct(F.slice("f", 1, top * tables)), 1, top).alias("found"))
 
 
 def search(
@@ -208,7 +219,7 @@ def search(
     asks = stored.where(F.col("looks").isNotNull()).withColumnRenamed("vec_id", "query_id")
     looks = asks.select("query_id", "vector", "width", F.posexplode("looks").alias("t", "l"))
     looks = looks.select("query_id", "vector", "width", "t", F.explode("l").alias("axis"))
-    _best(_met(placed, looks, top), top).write.parquet(found_path)
+    _best(_met(placed, looks, top), top, tables).write.parquet(found_path)
     first = spark.read.parquet(found_path)
 
     # a query with too few finds, or none, looks at all rows through the axes of one table
@@ -216,7 +227,7 @@ def search(
     missing = asks.select("query_id", "vector", "width").join(enough, "query_id", "left_anti")
     all_axes = F.sequence(F.lit(0), F.expr("2 * shiftleft(1, CAST(floor(log2(width)) AS INT) + 1) - 1"))
     everything = missing.withColumn("t", F.lit(0)).withColumn("axis", F.explode(all_axes))
-    second = _best(_met(placed.where("t = 0"), everything, top), top)
+    second = _best(_met(placed.where("t = 0"), everything, top), top, 1)
     best = enough.unionByName(second)
     ranked = best.select("query_id", F.posexplode("found").alias("r", "f"))
     return ranked.select("query_id", (F.col("r") + 1).alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
