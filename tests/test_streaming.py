@@ -47,52 +47,51 @@ def test_metrics_stream_equals_batch(spark, fed):
     same(spark.read.parquet(str(tmp / "out")), logs.parse_lines(lines))
 
 
+def asof(spark, source, tmp):
+    found = live.stream_asof(stream(spark, source))
+    writer = found.writeStream.format("parquet").option("path", str(tmp / "out"))
+    return live.run_to_end(writer.option("checkpointLocation", str(tmp / "ckpt")))
+
+
 def test_asof_stream_equals_batch(spark, fed):
     source, lines, tmp = fed
-    last = live.run_to_end(live.stream_asof(stream(spark, source), str(tmp / "out"), str(tmp / "state"), str(tmp / "ckpt")))
-    assert last == 4
-    same(spark.read.parquet(str(tmp / "out")).drop("batch_id"), logs.asof_step(logs.scan_lines(lines)))
+    assert asof(spark, source, tmp) == 4
+    same(spark.read.parquet(str(tmp / "out")), logs.asof_step(logs.scan_lines(lines)))
 
 
 def test_asof_continues_after_a_restart(spark, fed):
     source, lines, tmp = fed
-    places = [str(tmp / n) for n in ("out", "state", "ckpt")]
-    live.run_to_end(live.stream_asof(stream(spark, source), *places))
+    asof(spark, source, tmp)
     more = spark.createDataFrame([("a", 1000, val("77")), ("c", 1001, train(900)), ("c", 1002, val("78"))], LINES)
     more.coalesce(1).write.mode("append").parquet(source)
-    assert live.run_to_end(live.stream_asof(stream(spark, source), *places)) == 5
-    everything = lines.unionByName(more)
-    same(spark.read.parquet(places[0]).drop("batch_id"), logs.asof_step(logs.scan_lines(everything)))
-
-
-def test_repeated_batch_changes_nothing(spark, tmp_path):
-    """A batch that failed after it wrote its state is run again with the same id."""
-    state = live.SlottedState(spark, str(tmp_path / "s"), "run STRING, step BIGINT, line_no BIGINT")
-    row = lambda step: spark.createDataFrame([("r", step, step)], state.schema)
-    assert state.before(0).count() == 0
-    state.after(0, row(1))
-    state.after(1, state.before(1).unionByName(row(2)))
-    state.after(1, state.before(1).unionByName(row(2)))
-    assert sorted(r.step for r in state.before(2).collect()) == [1, 2]
-
-
-def test_lost_state_is_an_error(spark, tmp_path):
-    state = live.SlottedState(spark, str(tmp_path / "gone"), "run STRING, step BIGINT, line_no BIGINT")
-    with pytest.raises(RuntimeError):
-        state.before(3)
+    assert asof(spark, source, tmp) == 5
+    same(spark.read.parquet(str(tmp / "out")), logs.asof_step(logs.scan_lines(lines.unionByName(more))))
 
 
 def test_tail_stream_equals_batch(spark, fed):
     source, lines, tmp = fed
-    places = (str(tmp / "state"), str(tmp / "ckpt"))
-    assert live.run_to_end(live.stream_tail(stream(spark, source), *places, n=15)) == 4
-    same(live.latest_tail(spark, places[0]), logs.tail_lines(lines, 15))
+    places = (str(tmp / "out"), str(tmp / "ckpt"))
+    assert live.run_to_end(live.publish(live.stream_tail(stream(spark, source), 15), *places)) == 4
+    same(live.published(spark, places[0], live.LINES), logs.tail_lines(lines, 15))
     # nothing new: the kept lines stay
-    assert live.run_to_end(live.stream_tail(stream(spark, source), *places, n=15)) == -1
-    same(live.latest_tail(spark, places[0]), logs.tail_lines(lines, 15))
+    assert live.run_to_end(live.publish(live.stream_tail(stream(spark, source), 15), *places)) == -1
+    same(live.published(spark, places[0], live.LINES), logs.tail_lines(lines, 15))
+
+
+def test_a_batch_writes_only_the_runs_it_changed(spark, fed):
+    source, lines, tmp = fed
+    places = (str(tmp / "out"), str(tmp / "ckpt"))
+    live.run_to_end(live.publish(live.stream_tail(stream(spark, source), 15), *places))
+    before = {p: p.stat().st_mtime_ns for p in (tmp / "out").rglob("*.parquet")}
+    spark.createDataFrame([("b", 5000, "late")], LINES).coalesce(1).write.mode("append").parquet(source)
+    live.run_to_end(live.publish(live.stream_tail(stream(spark, source), 15), *places))
+    after = {p: p.stat().st_mtime_ns for p in (tmp / "out").rglob("*.parquet")}
+    assert {p.parent.name for p in after if before.get(p) != after[p]} == {"run=b"}
+    assert {p.parent.name for p in before if p in after} == {"run=a", "run=c"}
 
 
 def test_status_stream_equals_batch(spark, fed):
     source, lines, tmp = fed
-    live.run_to_end(live.publish_status(live.stream_status(stream(spark, source)), str(tmp / "out"), str(tmp / "ckpt")))
-    same(live.latest_status(spark, str(tmp / "out")), logs.run_status(logs.scan_lines(lines)))
+    status = live.stream_status(stream(spark, source))
+    live.run_to_end(live.publish(status, str(tmp / "out"), str(tmp / "ckpt")))
+    same(live.published(spark, str(tmp / "out"), status.schema), logs.run_status(logs.scan_lines(lines)))

@@ -76,43 +76,49 @@ def metric_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines to the metric table and back."""
     path = scratch_path(spark, "metrics")
     sinks.write_metrics(logs.metric_rows(logs.scan_lines(S.lines(spark, sf_dir))), path)
-    return spark.read.parquet(path)
+    return sinks.read_metrics(spark, path)
+
+
+BATCHES = 4
 
 
 def _live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of log lines."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return S.as_lines(events)
+    """The events as a stream of log lines that arrives in four micro-batches, in the order of the events."""
+    path = scratch_path(spark, "live")
+    events = table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    quarter = F.floor((F.col("event_id") - F.lit(low)) * BATCHES / F.lit(high - low + 1))
+    for number in range(BATCHES):
+        events.where(quarter == number).coalesce(1).write.mode("append").parquet(path)
+    return S.as_lines(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def _appended(stream: DataFrame, root: str) -> DataFrame:
+    writer = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
+    live.run_to_end(writer)
+    return stream.sparkSession.read.parquet(f"{root}/out")
+
+
+def _published(stream: DataFrame, root: str) -> DataFrame:
+    live.run_to_end(live.publish(stream, f"{root}/out", f"{root}/ckpt"))
+    return live.published(stream.sparkSession, f"{root}/out", stream.schema)
 
 
 @query(_PARSED_ROWS_SQL)
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch_path(spark, "stream-metrics")
-    parsed = live.stream_metrics(_live_lines(spark, sf_dir))
-    live.run_to_end(
-        parsed.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
-    )
-    return spark.read.parquet(f"{root}/out")
+    return _appended(live.stream_metrics(_live_lines(spark, sf_dir)), scratch_path(spark, "stream-metrics"))
 
 
 @query(f"WITH {_ASOF_SQL} SELECT * FROM stepped")
 def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch_path(spark, "stream-asof")
-    live.run_to_end(live.stream_asof(_live_lines(spark, sf_dir), f"{root}/out", f"{root}/state", f"{root}/ckpt"))
-    return spark.read.parquet(f"{root}/out").drop("batch_id")
+    return _appended(live.stream_asof(_live_lines(spark, sf_dir)), scratch_path(spark, "stream-asof"))
 
 
 @query(f"WITH {_TAIL_SQL} 50")
 def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch_path(spark, "stream-tail")
-    live.run_to_end(live.stream_tail(_live_lines(spark, sf_dir), f"{root}/state", f"{root}/ckpt", n=50))
-    return live.latest_tail(spark, f"{root}/state")
+    return _published(live.stream_tail(_live_lines(spark, sf_dir), n=50), scratch_path(spark, "stream-tail"))
 
 
 @query(f"WITH {_STATUS_SQL} SELECT * FROM status")
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch_path(spark, "stream-status")
-    status = live.stream_status(_live_lines(spark, sf_dir))
-    live.run_to_end(live.publish_status(status, f"{root}/out", f"{root}/ckpt"))
-    return live.latest_status(spark, f"{root}/out")
+    return _published(live.stream_status(_live_lines(spark, sf_dir)), scratch_path(spark, "stream-status"))

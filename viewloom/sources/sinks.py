@@ -43,6 +43,11 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     ).partitionBy("run").parquet(path)
 
 
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The metric table; a run stays text even if all names are numbers."""
+    return spark.read.schema("run STRING, step BIGINT, name STRING, value DOUBLE").parquet(path)
+
+
 def write_gaussians(stored: DataFrame, path: str) -> None:
     """Export table: float32 attributes and byte colours, in the stored column order."""
     columns = [

@@ -1,20 +1,19 @@
 """Live run logs.
 
-Streams carry ``run, line_no, line``.  A micro-batch is processed with the
-batch operators, so a run that writes most of the lines is split like any other
-table.  State between batches is a small table in a shared folder with two
-slots: batch k reads slot (k-1) mod 2 and replaces slot k mod 2, so running a
-batch again after a failure gives the same result and old state never piles up.
+Streams carry ``run, line_no, line``.  What must be known across batches (the
+last step, the last lines, the latest values of a run) is state of the engine's
+own operators, keyed by run and restored from the checkpoint after a failure.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.types import StructType
 
 from viewloom.operators import logs as L
 
@@ -39,94 +38,64 @@ def stream_status(lines: DataFrame) -> DataFrame:
     return L.run_status(L.scan_lines(lines))
 
 
-class SlottedState:
-    """The two-slot state table of one streaming query."""
+def stream_asof(lines: DataFrame) -> DataFrame:
+    """Validation rows with the last training step of their run, across batches (append mode).
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _slot(self, batch_id: int) -> str:
-        return f"{self.path}/slot={batch_id % 2}"
-
-    def before(self, batch_id: int) -> DataFrame:
-        if batch_id > 0:
-            try:
-                return self.spark.read.schema(self.schema).parquet(self._slot(batch_id - 1))
-            except AnalysisException as problem:
-                raise RuntimeError(f"state of batch {batch_id - 1} is gone: {self.path}") from problem
-        return self.spark.createDataFrame([], self.schema)
-
-    def after(self, batch_id: int, state: DataFrame) -> None:
-        state.write.mode("overwrite").parquet(self._slot(batch_id))
-
-
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Results of one batch in a folder of its own: a repeated batch replaces it."""
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
-
-
-def _foreach(lines: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
-    return lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
-
-
-def stream_asof(lines: DataFrame, out: str, state: str, checkpoint: str) -> DataStreamWriter:
-    """Validation rows with the last training step of their run, across batches.
-
-    Lines of a run must arrive in order from batch to batch; inside a batch
-    they may be in any order.
+    The engine keeps one step for each run.  Lines of a run must arrive in order
+    from batch to batch; inside a batch they may be in any order.  Only lines that
+    report something are shuffled; those of one run and batch are sorted in a task,
+    so the size of a micro-batch bounds it.
     """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        slots = SlottedState(batch.sparkSession, state, "run STRING, step BIGINT, line_no BIGINT")
-        carried = slots.before(batch_id)
-        parsed = L.scan_lines(batch).persist()
-        try:
-            _write_batch(L.asof_step(parsed, carried), out, batch_id)
-            latest = carried.unionByName(L.last_steps(parsed).select("run", "step", "line_no"))
-            slots.after(
-                batch_id,
-                latest.groupBy("run").agg(F.max_by("step", "line_no").alias("step"), F.max("line_no").alias("line_no")),
-            )
-        finally:
-            parsed.unpersist()
-
-    return _foreach(lines, step, checkpoint)
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(frames).sort_values("line_no", kind="stable")
+        before = state.get[0] if state.exists else None
+        filled = rows["step"].astype("Int64").ffill()
+        last = filled.iloc[-1]
+        if not pd.isna(last):
+            state.update((int(last),))
+        rows["step"] = filled.fillna(0 if before is None else before).astype("int64")
+        yield rows.loc[rows["psnr"].notna(), ["run", "line_no", "step", "psnr", "lpips", "ssim"]]
+
+    parsed = L.parse_lines(lines).select("run", "line_no", "step", "psnr", "lpips", "ssim")
+    return parsed.groupBy("run").applyInPandasWithState(
+        step, "run STRING, line_no BIGINT, step BIGINT, psnr DOUBLE, lpips DOUBLE, ssim DOUBLE", "step BIGINT", "append", "NoTimeout"
+    )
 
 
-def stream_tail(lines: DataFrame, state: str, checkpoint: str, n: int = L.KEPT) -> DataStreamWriter:
-    """Keeps the last n lines of each run; read them with ``latest_tail``."""
+def stream_tail(lines: DataFrame, n: int = L.KEPT) -> DataFrame:
+    """The last n lines of each run that a batch added to (update mode); the engine keeps n lines of each run."""
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        slots = SlottedState(batch.sparkSession, state, LINES)
-        kept = slots.before(batch_id).unionByName(batch.select("run", "line_no", "line"))
-        slots.after(batch_id, L.tail_lines(kept, n).withColumn("batch_id", F.lit(batch_id)))
-
-    return _foreach(lines, step, checkpoint)
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        numbers, texts = state.get if state.exists else ([], [])
+        kept = pd.DataFrame({"line_no": pd.Series(numbers, dtype="int64"), "line": pd.Series(texts, dtype=object)})
+        for frame in frames:
+            kept = pd.concat([kept, frame[["line_no", "line"]]]).sort_values("line_no", kind="stable").tail(n)
+        state.update((kept["line_no"].tolist(), kept["line"].tolist()))
+        yield kept.assign(run=key[0])[["run", "line_no", "line"]]
 
+    return lines.select("run", "line_no", "line").groupBy("run").applyInPandasWithState(
+        step, LINES, "line_no ARRAY<BIGINT>, line ARRAY<STRING>", "update", "NoTimeout"
+    )
 
-def latest_tail(spark: SparkSession, state: str) -> DataFrame:
-    """The kept lines after the last finished batch."""
-    slots = spark.read.schema(f"{LINES}, batch_id BIGINT").parquet(state)
-    return slots.where(F.col("batch_id") == slots.agg(F.max("batch_id")).scalar()).select("run", "line_no", "line")
 
+def publish(latest: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+    """Keeps the newest rows of each run of an update stream in a folder of its own.
 
-def publish_status(status: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
-    """Writes the rows of ``stream_status`` that a batch changed, in a folder per batch."""
+    A batch replaces the folders of the runs it changed and no others, so the
+    output does not grow with the number of batches and a repeated batch changes
+    nothing.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, out, batch_id)
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(out)
 
-    return (
-        status.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(step)
-    )
+    return latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(step)
 
 
-def latest_status(spark: SparkSession, out: str) -> DataFrame:
-    """The last published row of each run."""
-    rows = spark.read.parquet(out)
-    names = [c for c in rows.columns if c not in ("run", "batch_id")]
-    newest = rows.groupBy("run").agg(F.max_by(F.struct(*names), "batch_id").alias("s"))
-    return newest.select("run", "s.*")
+def published(spark: SparkSession, out: str, schema: StructType | str) -> DataFrame:
+    """What ``publish`` keeps; runs keep their type."""
+    return spark.read.schema(schema).parquet(out)
 
 
 def run_to_end(writer: DataStreamWriter) -> int:
