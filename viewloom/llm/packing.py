@@ -13,6 +13,7 @@ import random
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from itertools import chain
 from operator import itemgetter
 from struct import pack
@@ -32,7 +33,7 @@ BLOCK, ISLANDS, EPOCHS, GENERATIONS, PACKINGS = 2048, 3, 3, 3, 4
 #: Sequences filled less than this share are dissolved and packed once more, those of all blocks together.
 LOOSE = 0.75
 #: Words of which the ids are kept in a task, and their longest.
-MEMO, MEMO_CHARS = 500_000, 48
+MEMO, MEMO_CHARS = 400_000, 48
 
 #: In a text with one of these a word's ids may depend on the case of its letters before normalisation, or white
 #: space is not the same for Python and the tokenizer.
@@ -69,16 +70,16 @@ class Ids:
         self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
 
-    def plain(self, word: str) -> bytes | None:
+    def plain(self, word: str) -> bytes:
         """Ids of a word that normalisation does not change and that is one pre-token: the model's own."""
-        if not word.isalpha() or word != word.lower():
-            return None
-        if not word.isascii():
-            if max(word) >= FIRST_MARK:
-                return None
-            word = "".join(map(BYTE_LETTERS.__getitem__, word.encode()))
-        ids = [t.id for t in self.model.tokenize(word)]
-        return pack(f"<{len(ids)}I", *ids)
+        found = self.memo.get(word)
+        if found is None:
+            shown = word if word.isascii() else "".join(map(BYTE_LETTERS.__getitem__, word.encode()))
+            ids = [t.id for t in self.model.tokenize(shown)]
+            found = pack(f"<{len(ids)}I", *ids)
+            if len(word) <= MEMO_CHARS:
+                self.memo[word] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -87,12 +88,10 @@ class Ids:
             out += (np.array(e.ids, "<u4").tobytes() for e in found)
         return out
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        out: list[bytes] = []
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
         for some in pieces_of(texts, 1 << 20):
-            out += self._ids(some)
-        return out
+            yield from self._ids(some)
 
     def words(self, text: str) -> list[str]:
         if not UNUSUAL.search(text):
@@ -101,32 +100,29 @@ class Ids:
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
+            self.memo.clear()
+        memo, other = self.memo, []
         split = [self.words(t) for t in texts]
         unknown = set(chain.from_iterable(split)).difference(memo)
-        # a word of letters before stops is two pre-tokens
-        cores = {w: w.rstrip(STOPS) for w in unknown if w[-1] in STOPS}
-        cores = {w: c for w, c in cores.items() if c.isalpha()}
-        ask = {w for w in unknown if w not in cores}
-        ask.update(cores.values())
-        ask.update(w[len(c) :] for w, c in cores.items())
-        order, other = list(ask.difference(memo)), []
-        for w in order:
-            found = self.plain(w)
-            if found is None:
-                other.append(w)
+        for w in unknown:
+            # letters, or letters before stops, which are two pre-tokens
+            core = w.rstrip(STOPS)
+            if core.isalpha() and core == core.lower() and (core.isascii() or max(core) < FIRST_MARK):
+                memo[w] = self.plain(core) + self.stops(w[len(core) :]) if len(core) < len(w) else self.plain(core)
             else:
-                memo[w] = found
+                other.append(w)
         memo.update(zip(other, self.encode(other)))
-        for w, c in cores.items():
-            memo[w] = memo[c] + memo[w[len(c) :]]
         out = [b"".join(map(memo.__getitem__, own)) for own in split]
-        for w in chain(order, cores):
+        for w in unknown:
             if len(w) > MEMO_CHARS:
                 memo.pop(w, None)
         return out
 
+    def stops(self, tail: str) -> bytes:
+        if tail not in self.memo:
+            self.memo[tail] = self.encode([tail])[0]
+        return self.memo[tail]
+
 
 def cut(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, CRC-32) of each piece of a document's ids."""
@@ -149,7 +145,9 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_
         encoder = Ids(tokenizer_path)
 
         def new(batch):
-            found = [cut(ids + end, capacity) for ids in encoder.ids(batch.column("text").to_pylist())]
+            column = batch.column("text")
+            slices = (column.slice(k, 256).to_pylist() for k in range(0, len(column), 256))
+            found = [cut(ids + end, capacity) for texts in slices for ids in encoder.ids(texts)]
             ends = np.cumsum([0, *map(len, found)])
             flat = np.array(list(chain.from_iterable(found)), np.int64).reshape(-1, 4)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -280,7 +278,7 @@ def pack_items(items: DataFrame, n_items: int, capacity: int = CAPACITY, seed: i
     are in the order of uid, so a task that runs again gives the same packing.
     """
     blocks = max(1, math.ceil(n_items / block))
-    tasks = max(1, min(10_000, blocks * islands))
+    tasks = max(1, min(10_000, blocks * islands // 4))
     dealt = items.select((F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(blocks))).alias("block"), "uid", "length")
     rows = dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("uid", F.col("length").cast("int").alias("length")))).alias("i"))
     none = F.lit(None).cast("array<array<int>>")
