@@ -9,38 +9,39 @@ from viewloom.functions import camera as C
 from viewloom.operators import cameras
 
 
-def look_at(position, target, opengl=True):
-    forward = position - target if opengl else target - position
-    forward = forward / np.linalg.norm(forward)
-    up = np.array([0.0, 1.0, 0.0])
-    right = np.cross(up, forward) if opengl else np.cross(forward, up)
-    right = right / np.linalg.norm(right)
-    up = np.cross(forward, right) if opengl else np.cross(right, forward)
-    pose = np.eye(4)
-    pose[:3, 0], pose[:3, 1], pose[:3, 2], pose[:3, 3] = right, up, forward, position
-    return pose
-
-
-def orbit(ele, azi, r, target=(0, 0, 0), opengl=True):
-    e, a = math.radians(ele), math.radians(azi)
-    target = np.array(target, dtype=float)
-    position = np.array([r * math.cos(e) * math.sin(a), -r * math.sin(e), r * math.cos(e) * math.cos(a)]) + target
-    return look_at(position, target, opengl)
+ANGLES = [(0.0, 0.0, 1.0), (30.0, 45.0, 2.0), (-60.0, 200.0, 1.5), (89.0, -90.0, 0.5), (5.0, 359.0, 3.0)]
 
 
-ANGLES = [(0.0, 0.0, 1.0), (30.0, 45.0, 2.0), (-60.0, 200.0, 1.5), (89.0, -90.0, 0.5), (5.0, 359.0, 3.0)]
+def orbit_poses(spark, angles, **options):
+    df = spark.createDataFrame(angles, "ele DOUBLE, azi DOUBLE, dis DOUBLE")
+    made = df.select("*", C.orbit_camera(F.col("ele"), F.col("azi"), F.col("dis"), **options).alias("m"))
+    return [(r.ele, r.azi, r.dis, np.array(r.m).reshape(4, 4)) for r in made.collect()]
 
 
 @pytest.mark.parametrize("opengl", [True, False])
-def test_orbit_matches_look_at(spark, opengl):
-    df = spark.createDataFrame(ANGLES, "ele DOUBLE, azi DOUBLE, dis DOUBLE")
-    made = df.withColumn(
-        "m", C.orbit_camera(F.col("ele"), F.col("azi"), F.col("dis"), target=(0.5, 1.0, -2.0), opengl=opengl)
-    )
-    for r in made.collect():
-        np.testing.assert_allclose(
-            np.array(r.m).reshape(4, 4), orbit(r.ele, r.azi, r.dis, (0.5, 1.0, -2.0), opengl), atol=1e-12
-        )
+def test_orbit_cameras_face_their_target(spark, opengl):
+    target = np.array([0.5, 1.0, -2.0])
+    for ele, _, dis, m in orbit_poses(spark, ANGLES, target=tuple(target), opengl=opengl):
+        axes, position = m[:3, :3], m[:3, 3]
+        np.testing.assert_allclose(axes.T @ axes, np.eye(3), atol=1e-12)
+        assert abs(np.linalg.det(axes)) == pytest.approx(1)
+        assert m[3].tolist() == [0, 0, 0, 1]
+        away = position - target
+        assert np.linalg.norm(away) == pytest.approx(dis)
+        # the third axis lies on the line to the target, away from it or towards it
+        np.testing.assert_allclose(axes[:, 2] * dis * (1 if opengl else -1), away, atol=1e-12)
+        assert axes[1, 0] == pytest.approx(0, abs=1e-12)  # the first axis is level
+        assert away[1] == pytest.approx(-dis * math.sin(math.radians(ele)))
+
+
+def test_orbit_turns_with_the_azimuth(spark):
+    """Equal steps of the azimuth are equal turns about the vertical; at 0 the camera is on +z, at 90 on +x."""
+    found = [m for *_, m in sorted(orbit_poses(spark, [(0.0, 90.0 * k, 2.0) for k in range(4)]), key=lambda r: r[1])]
+    quarter = found[1] @ np.linalg.inv(found[0])
+    for a, b in zip(found, [*found[1:], found[0]]):
+        np.testing.assert_allclose(quarter @ a, b, atol=1e-12)
+    np.testing.assert_allclose(found[0][:3, 3], [0, 0, 2], atol=1e-12)
+    np.testing.assert_allclose(found[1][:3, 3], [2, 0, 0], atol=1e-12)
 
 
 def test_orbit_and_back(spark):
@@ -56,7 +57,8 @@ def test_orbit_and_back(spark):
 def test_orbit_in_radians(spark):
     e, a = F.lit(0.3), F.lit(1.2)
     got = spark.range(1).select(C.orbit_camera(e, a, F.lit(2.0), degrees=False).alias("m")).first().m
-    np.testing.assert_allclose(np.array(got).reshape(4, 4), orbit(math.degrees(0.3), math.degrees(1.2), 2.0), atol=1e-12)
+    ((*_, same),) = orbit_poses(spark, [(math.degrees(0.3), math.degrees(1.2), 2.0)])
+    np.testing.assert_allclose(np.array(got).reshape(4, 4), same, atol=1e-12)
 
 
 def random_pose(rng):
@@ -97,28 +99,28 @@ def test_flip_twice_is_identity(spark):
     assert all(r.m == pytest.approx(r.c2w) for r in back.collect())
 
 
-def test_training_cameras_follow_the_loader(spark):
+def test_training_cameras_stand_relative_to_the_first(spark):
+    """Positions keep their heights and distances, turned so that the first is at azimuth 0 and radius 1.4;
+    every camera looks at the origin with a level first axis, in OpenCV axes."""
     made, df = poses(spark)
     got = {r.slot: r for r in cameras.training_cameras(df).collect()}
-    first_azi = scale = None
-    for i, m in enumerate(made):
-        gl = opengl_of(m)
-        p = gl[:3, 3]
-        dis = np.linalg.norm(p)
-        ele = -math.degrees(math.asin(p[1] / dis))
-        azi = math.degrees(math.atan2(p[0], p[2]))
-        if first_azi is None:
-            first_azi, scale = azi, 1.4 / dis
-        azi = (azi - first_azi) % 360.0
-        ele = (abs(ele) - 1e-8) * (1 if ele >= 0 else -1)
-        pose = orbit(ele, azi, dis)
-        pose[:3, 1:3] *= -1
-        pose[:3, 3] *= scale
-        np.testing.assert_allclose(np.array(got[i].c2w).reshape(4, 4), pose, atol=1e-9)
-        np.testing.assert_allclose(np.array(got[i].original_c2w).reshape(4, 4), gl, atol=1e-12)
-        assert got[i].cam_pose.ele == pytest.approx(math.radians(ele))
-        assert got[i].cam_pose.azi == pytest.approx(math.radians(azi))
-        assert got[i].cam_pose.dis == pytest.approx(dis * scale)
+    stored = [opengl_of(m) for m in made]
+    start = stored[0][:3, 3]
+    scale, angle = 1.4 / np.linalg.norm(start), math.atan2(start[0], start[2])
+    turn = np.array([[math.cos(angle), 0, -math.sin(angle)], [0, 1, 0], [math.sin(angle), 0, math.cos(angle)]])
+    for slot, gl in enumerate(stored):
+        row, m = got[slot], np.array(got[slot].c2w).reshape(4, 4)
+        position = m[:3, 3]
+        np.testing.assert_allclose(position, turn @ gl[:3, 3] * scale, atol=1e-6)
+        np.testing.assert_allclose(m[:3, :3].T @ m[:3, :3], np.eye(3), atol=1e-9)
+        np.testing.assert_allclose(m[:3, 2], -position / np.linalg.norm(position), atol=1e-9)
+        assert m[1, 0] == pytest.approx(0, abs=1e-9)
+        np.testing.assert_allclose(np.array(row.original_c2w).reshape(4, 4), gl, atol=1e-12)
+        pose = row.cam_pose
+        assert pose.dis == pytest.approx(np.linalg.norm(position))
+        assert -math.sin(pose.ele) * pose.dis == pytest.approx(position[1], abs=1e-6)
+        assert math.cos(pose.azi) * math.cos(pose.ele) * pose.dis == pytest.approx(position[2], abs=1e-6)
+        assert math.sin(pose.azi) * math.cos(pose.ele) * pose.dis == pytest.approx(position[0], abs=1e-6)
     assert got[0].azi == 0.0
     unscaled = {r.slot: r for r in cameras.training_cameras(df, radius=None).collect()}
     assert unscaled[2].dis == pytest.approx(np.linalg.norm(made[2][:3, 3]))
@@ -192,3 +194,15 @@ def test_render_grid(spark):
     assert (rows[10].elev, rows[10].azim) == (5.0, 90.0)
     assert [rows[i].azim for i in (0, 10, 20, 30)] == [0, 90, 180, 270]
     assert rows[0].x == pytest.approx(2.2 * math.cos(math.radians(-5)))
+
+
+def test_a_skewed_reference_is_inverted(spark):
+    """The stored matrix is inverted as it is, not taken for a rotation."""
+    skewed = np.array([[2.0, 0.3, 0.0, 1.0], [0.0, 1.5, 0.1, -2.0], [0.2, 0.0, 0.5, 0.5], [0, 0, 0, 1]])
+    other = np.eye(4)
+    other[:3, 3] = [1, 2, 3]
+    rows_ = [("u", 0, skewed.flatten().tolist()), ("u", 1, other.flatten().tolist())]
+    df = spark.createDataFrame(rows_, "uid STRING, slot INT, c2w ARRAY<DOUBLE>")
+    got = {r.slot: np.array(r.c2w).reshape(4, 4) for r in cameras.normalize_poses(df).collect()}
+    np.testing.assert_allclose(got[0], np.eye(4), atol=1e-12)
+    np.testing.assert_allclose(got[1], np.linalg.inv(skewed) @ other, atol=1e-12)

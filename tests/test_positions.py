@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from viewloom.functions.draws import hex_draw, unit_draw
 from viewloom.operators.positions import with_position
-from viewloom.operators.skew import skew_join
+from viewloom.operators.skew import salts_for, skew_join
 
 
 def test_position_of_strings_equals_sorting(spark, rows):
@@ -64,11 +64,12 @@ def test_unit_draw_is_uniform(spark):
     assert abs(stats[2] - 0.5) < 0.01 and abs(stats[3] - 12**-0.5) < 0.01
 
 
+@pytest.mark.parametrize("salts", [1, 5])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_skew_join_equals_plain_join(spark, how):
+def test_skew_join_equals_plain_join(spark, how, salts):
     big = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).alias("k"), "id")
     small = spark.range(0, 400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    left = sorted(map(tuple, skew_join(big, small, ["k"], ["id"], how).collect()), key=str)
+    left = sorted(map(tuple, skew_join(big, small, ["k"], ["id"], how, salts).collect()), key=str)
     right = sorted(map(tuple, big.join(small, ["k"], how).collect()), key=str)
     assert left == right
 
@@ -81,10 +82,24 @@ def test_skew_join_spreads_the_hot_key(spark):
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
-        joined = skew_join(big, small, ["k"], ["id"]).where("k = 7").withColumn("p", F.spark_partition_id())
+        joined = skew_join(big, small, ["k"], ["id"], salts=salts_for(1 / 3, 12)).where("k = 7").withColumn("p", F.spark_partition_id())
         spread = joined.groupBy("p").count().collect()
     finally:
         for key in settings:
             spark.conf.unset(key)
     assert sum(r["count"] for r in spread) == 3001
     assert max(r["count"] for r in spread) < 0.6 * 3001
+
+
+def test_each_side_of_a_join_is_read_once(spark, tmp_path):
+    """No sample of the big side is taken; positions by a uniform draw need only the counts of its buckets."""
+    spark.range(1000).select((F.col("id") % 7).alias("k"), F.format_string("%04d", "id").alias("name")).write.parquet(str(tmp_path / "t"))
+    big = spark.read.parquet(str(tmp_path / "t"))
+    small = spark.range(7).select(F.col("id").alias("k"))
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+    assert scans(skew_join(big, small, ["k"])) == 1
+    small_buckets = with_position(big.withColumn("h", F.md5("name")), ["h"], hex_key="h")
+    assert scans(small_buckets) == 2

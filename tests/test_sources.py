@@ -80,18 +80,19 @@ def test_legacy_text(spark, rows):
 
 
 def test_renders(spark, tmp_path, rows):
-    for obj, names in {"mei_lin": ["00000.png", "00000.json", "00001.png", "notes.txt", "123.png"], "zoé b+50%": ["00039.json", "00039.png"]}.items():
+    (tmp_path / "readme.txt").write_text("no object")
+    for obj, names in {"mei_lin": ["00000.png", "00000.json", "00001.png", "notes.txt", "123.png"], "zoé b+50%": ["00039.json", "00039.png"], "bare": ["x.txt"]}.items():
         os.makedirs(tmp_path / obj)
         for name in names:
             (tmp_path / obj / name).write_bytes(f"{obj}/{name}".encode())
     renders = files.read_renders(spark, str(tmp_path))
-    assert rows(renders, "uid", "view_id", "kind") == [
+    assert rows(renders.where("view_id IS NOT NULL"), "uid", "view_id", "kind") == [
         ("mei_lin", 0, "json"), ("mei_lin", 0, "png"), ("mei_lin", 1, "png"), ("zoé b+50%", 39, "json"), ("zoé b+50%", 39, "png")
     ]
     wide = files.render_views(renders)
     assert {(r.uid, r.view_id): r.camera_json for r in wide.collect()}["mei_lin", 1] is None
     report = views.view_report(views.view_sets(files.render_flags(renders)), min_views=1)
-    assert rows(report, "uid", "n_valid", "valid_views") == [("mei_lin", 1, [0]), ("zoé b+50%", 1, [39])]
+    assert rows(report, "uid", "n_valid", "valid_views") == [("bare", 0, []), ("mei_lin", 1, [0]), ("zoé b+50%", 1, [39])]
     # names alone answer the question: contents are not loaded
     assert "content" not in files.render_flags(renders)._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
 
@@ -137,7 +138,8 @@ def test_logs_keep_their_order_over_splits(spark, tmp_path):
     os.makedirs(tmp_path / "run 2+%")
     lines = [f"line {i} " + "x" * (i % 50) for i in range(5000)]
     (tmp_path / "run1" / "log.txt").write_text("\n".join(lines) + "\n")
-    (tmp_path / "run 2+%" / "log_infer.txt").write_text("a\rb  \nc")
+    (tmp_path / "run 2+%" / "log.txt").write_text("a\rb \t\r\nc")
+    (tmp_path / "run 2+%" / "log_infer.txt").write_text("Inference")
     (tmp_path / "run 2+%" / "other.txt").write_text("no")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:

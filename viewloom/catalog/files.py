@@ -136,12 +136,12 @@ def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.latest_checkpoint(artifacts.list_checkpoints(S.artifacts(spark, sf_dir)))
 
 
-@query(f"WITH {S.ARTIFACTS_SQL} SELECT DISTINCT run, regexp_extract(name, '_(\\d+)_gs\\.png$', 1)::INTEGER AS iter FROM artifacts WHERE status = 'F'")
+@query(f"WITH {S.ARTIFACTS_SQL} SELECT DISTINCT run, regexp_extract(name, '_(\\d+)_gs\\.png$', 1)::INTEGER AS iter FROM artifacts WHERE status = 'F' AND NOT stray")
 def inference_iters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.inference_iters(S.artifacts(spark, sf_dir))
 
 
-@query(f"WITH {S.ARTIFACTS_SQL} SELECT run, max(name) AS name FROM artifacts WHERE name LIKE '%\\_000012\\_gs.png' ESCAPE '\\' GROUP BY run")
+@query(f"WITH {S.ARTIFACTS_SQL} SELECT run, max(name) AS name FROM artifacts WHERE NOT stray AND name LIKE '%\\_000012\\_gs.png' ESCAPE '\\' GROUP BY run")
 def latest_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.latest_strip(S.artifacts(spark, sf_dir), 12)
 
@@ -149,7 +149,7 @@ def latest_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {S.ARTIFACTS_SQL}
 SELECT c_custkey AS run FROM customer
-WHERE c_custkey NOT IN (SELECT run FROM artifacts WHERE name LIKE '%\\_000012\\_gs.png' ESCAPE '\\')"""
+WHERE c_custkey NOT IN (SELECT run FROM artifacts WHERE NOT stray AND name LIKE '%\\_000012\\_gs.png' ESCAPE '\\')"""
 )
 def without_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run"))
@@ -158,7 +158,7 @@ def without_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {S.ARTIFACTS_SQL}
-SELECT run, name, mtime FROM artifacts WHERE status IN ('F', 'O') AND mtime >= {START_SQL} - INTERVAL 1 SECOND"""
+SELECT run, name, mtime FROM artifacts WHERE status IN ('F', 'O') AND NOT stray AND mtime >= {START_SQL} - INTERVAL 1 SECOND"""
 )
 def recent_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.recent_outputs(S.artifacts(spark, sf_dir), _start()).select("run", "name", "mtime")
@@ -168,7 +168,7 @@ def recent_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {S.ARTIFACTS_SQL},
 f AS (SELECT run, name, mtime, status = 'F' AS image, mtime >= {START_SQL} - INTERVAL 1 SECOND AS new,
              CASE WHEN status = 'F' THEN left(name, length(name) - 7) ELSE split_part(name, '.', 1) END AS stem
-      FROM artifacts WHERE status IN ('F', 'O')),
+      FROM artifacts WHERE status IN ('F', 'O') AND NOT stray),
 r AS (SELECT *, row_number() OVER (PARTITION BY run, image, new ORDER BY mtime DESC, name DESC) AS newest,
              row_number() OVER (PARTITION BY run, image ORDER BY mtime DESC, name DESC) AS any_newest,
              row_number() OVER (PARTITION BY run, image, new, stem ORDER BY mtime DESC, name DESC) AS stem_newest FROM f),

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from viewloom.catalog import standins as S
 from viewloom.catalog.base import query, table
 from viewloom.operators import logs
 from viewloom.session import scratch_path
-from viewloom.sources import sinks
+from viewloom.sources import files, sinks
 from viewloom.streaming import logs as live
 
 _ASOF_SQL = f"""{S.PARSED_SQL},
@@ -82,6 +83,20 @@ def metric_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCHES = 4
 
 
+@query(f"WITH {S.LINES_SQL} SELECT run, row_number() OVER (PARTITION BY run ORDER BY line_no) AS n, line FROM lines")
+def read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as text logs, one file for each run, read back in order; a second log of each run is not mixed in."""
+    path = scratch_path(spark, "logs")
+    lines = S.lines(spark, sf_dir)
+    ordered = lines.repartition(8, "run").sortWithinPartitions("run", "line_no")
+    ordered.select("run", F.concat("line", F.lit(" \t\r")).alias("value")).write.partitionBy("run").text(path)
+    other = lines.groupBy("run").agg(F.lit("step 7").alias("value"))
+    other.write.mode("append").partitionBy("run").option("compression", "gzip").text(path)
+    read = files.read_logs(spark, path, "part-*.txt").withColumn("run", F.regexp_replace("run", "^run=", ""))
+    place = F.row_number().over(W.partitionBy("run").orderBy("line_no"))
+    return read.select("run", place.cast("bigint").alias("n"), "line")
+
+
 def _live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of log lines that arrives in four micro-batches, in the order of the events."""
     path = scratch_path(spark, "live")

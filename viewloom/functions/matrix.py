@@ -40,6 +40,14 @@ def transpose(rot: Matrix) -> list[Column]:
     return [rot[3 * c + r] for r in range(3) for c in range(3)]
 
 
+def inverse(rot: Matrix) -> list[Column]:
+    """Inverse of a 3x3 matrix: the adjugate over the determinant; NULL for a singular one."""
+    rows = [rot[3 * r : 3 * r + 3] for r in range(3)]
+    cofactors = [cross(rows[1], rows[2]), cross(rows[2], rows[0]), cross(rows[0], rows[1])]
+    determinant = dot(rows[0], cofactors[0])
+    return [F.try_divide(cofactors[c][r], determinant) for r in range(3) for c in range(3)]
+
+
 def dot(a: Matrix, b: Matrix) -> Column:
     total = a[0] * b[0]
     for x, y in zip(a[1:], b[1:]):

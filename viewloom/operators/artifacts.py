@@ -50,9 +50,15 @@ def latest_checkpoint(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.groupBy("run").agg(F.max("ckpt").alias("ckpt"))
 
 
+def inference_outputs(artifacts: DataFrame) -> DataFrame:
+    """Files that lie directly in a run's ``inference`` folder; copies elsewhere are no outputs of it."""
+    place = F.concat(F.lit("/"), F.col("run").cast("string"), F.lit("/inference/"), F.col("name"))
+    return artifacts.where(F.endswith(F.col("path"), place))
+
+
 def inference_iters(artifacts: DataFrame) -> DataFrame:
     """(run, iter) of the rendered strips."""
-    found = artifacts.select("run", output_iter(F.col("path")).alias("iter"))
+    found = inference_outputs(artifacts).select("run", output_iter(F.col("path")).alias("iter"))
     return found.where(F.col("iter").isNotNull()).distinct()
 
 
@@ -60,7 +66,7 @@ def latest_strip(artifacts: DataFrame, iteration: int | Column) -> DataFrame:
     """Per run the last strip, by name, of an iteration."""
     it = F.lit(iteration) if isinstance(iteration, int) else iteration
     wanted = F.concat(F.lit("_"), padded(it, 6), F.lit(STRIP_SUFFIX))
-    return artifacts.where(F.endswith(F.col("name"), wanted)).groupBy("run").agg(F.max("name").alias("name"))
+    return inference_outputs(artifacts).where(F.endswith(F.col("name"), wanted)).groupBy("run").agg(F.max("name").alias("name"))
 
 
 def without_strip(runs: DataFrame, artifacts: DataFrame, iteration: int | Column) -> DataFrame:
@@ -76,7 +82,7 @@ def recent_outputs(artifacts: DataFrame, start: Column) -> DataFrame:
     """Images and videos written since a second before ``start``, oldest first."""
     name = F.col("name")
     kind = F.endswith(name, F.lit(".png")) | _is_video(name)
-    return artifacts.where(kind & _recent(start)).orderBy("mtime", "name")
+    return inference_outputs(artifacts).where(kind & _recent(start)).orderBy("mtime", "name")
 
 
 def _recent(start: Column) -> Column:
@@ -90,33 +96,29 @@ def pick_outputs(artifacts: DataFrame, start: Column) -> DataFrame:
     the newest recent video; failing that the newest of all.
     """
     name = F.col("name")
-    listed = artifacts.select(
-        "run",
-        "name",
-        F.struct("mtime", "name").alias("_at"),
-        _recent(start).alias("_new"),
-        F.endswith(name, F.lit(STRIP_SUFFIX)).alias("_image"),
-        _is_video(name).alias("_video"),
-    ).where(F.col("_image") | F.col("_video"))
+    is_image = F.endswith(name, F.lit(STRIP_SUFFIX))
+    own_stem = F.when(is_image, F.expr(f"left(name, length(name) - {len(STRIP_SUFFIX)})")).otherwise(stem(name))
+    listed = inference_outputs(artifacts).where(is_image | _is_video(name))
+    listed = listed.withColumns({"_stem": own_stem, "_at": F.struct("mtime", "name"), "_new": _recent(start)})
 
     def newest(condition: Column) -> Column:
         return F.max(F.when(condition, F.col("_at")))
 
-    per_run = listed.groupBy("run").agg(
-        newest(F.col("_image") & F.col("_new")).alias("new_image"),
-        newest(F.col("_image")).alias("any_image"),
-        newest(F.col("_video") & F.col("_new")).alias("new_video"),
-        newest(F.col("_video")).alias("any_video"),
+    per_stem = listed.groupBy("run", "_stem").agg(
+        newest(is_image & F.col("_new")).alias("new_image"),
+        newest(is_image).alias("any_image"),
+        newest(_is_video(name) & F.col("_new")).alias("new_video"),
+        newest(_is_video(name)).alias("any_video"),
     )
-    wanted = per_run.where(F.col("new_image").isNotNull()).select(
-        "run", F.expr(f"left(new_image.name, length(new_image.name) - {len(STRIP_SUFFIX)})").alias("_stem")
+    # the newest recent strip brings the recent video of its stem along
+    own = F.when(F.col("new_image").isNotNull(), F.struct("new_image", "new_video"))
+    per_run = per_stem.groupBy("run").agg(
+        F.max(own).alias("own"), *[F.max(c).alias(c) for c in ("any_image", "new_video", "any_video")]
     )
-    videos = listed.where(F.col("_video") & F.col("_new")).withColumn("_stem", stem(F.col("name")))
-    same_stem = videos.join(wanted, ["run", "_stem"]).groupBy("run").agg(F.max("_at").alias("own_video"))
-    return per_run.join(same_stem, "run", "left").select(
+    return per_run.select(
         "run",
-        F.coalesce("new_image.name", "any_image.name").alias("image"),
-        F.coalesce("own_video.name", "new_video.name", "any_video.name").alias("video"),
+        F.coalesce("own.new_image.name", "any_image.name").alias("image"),
+        F.coalesce("own.new_video.name", "new_video.name", "any_video.name").alias("video"),
     )
 
 

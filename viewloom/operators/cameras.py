@@ -59,11 +59,12 @@ def normalize_poses(cameras: DataFrame, reference: int = 0, radius: float = 0.0,
     m, ref = M.entries(F.col("c2w")), M.entries(F.col("_ref"))
     ref_pos = M.translation(ref)
     scale = F.try_divide(F.lit(float(radius)), M.norm(ref_pos)) if abs(radius) > 0 else F.lit(1.0)
-    inverse = M.transpose(M.rotation(ref))
+    with_ref = with_ref.withColumn("_inverse", M.pack(M.inverse(M.rotation(ref))))
+    inverse = M.entries(F.col("_inverse"), 9)
     offset = [(p - r) * scale for p, r in zip(M.translation(m), ref_pos)]
     pos = M.times_vector(inverse, offset)
     pos = [pos[0], pos[1], pos[2] + F.lit(float(radius))]
-    return with_ref.withColumn("c2w", M.pack(M.rigid(M.times(inverse, M.rotation(m)), pos))).drop("_ref")
+    return with_ref.withColumn("c2w", M.pack(M.rigid(M.times(inverse, M.rotation(m)), pos))).drop("_ref", "_inverse")
 
 
 def training_cameras(

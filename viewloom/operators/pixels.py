@@ -144,7 +144,7 @@ def normalize_normals(normals: DataFrame, cameras: DataFrame, first: str = "slot
     start = cameras.where(F.col(first) == 0)
     new = M.rotation(M.entries(F.col("c2w_opengl")))
     old = M.rotation(M.entries(F.col("original_c2w")))
-    turn = start.select("uid", M.pack(M.times(new, M.transpose(old))).alias("_r"))
+    turn = start.select("uid", M.pack(M.times(new, M.inverse(old))).alias("_r"))
     joined = normals.join(turn, "uid")
     zipped = F.arrays_zip("nx", "ny", "nz", "mask")
 

@@ -93,10 +93,11 @@ def project_points(
     spread and the cameras follow.
     """
     fx, fy, cx, cy = (float(v) for v in intrinsics)
-    joined = skew_join(points, cameras.select("uid", "view_id", "c2w"), ["uid"], spread_by)
     m = M.entries(F.col("c2w"))
+    views = cameras.select("uid", "view_id", "c2w", M.pack(M.inverse(M.rotation(m))).alias("_inverse"))
+    joined = skew_join(points, views, ["uid"], spread_by)
     offset = [F.col(a) - t for a, t in zip(XYZ, M.translation(m))]
-    cam = M.times_vector(M.transpose(M.rotation(m)), offset)
+    cam = M.times_vector(M.entries(F.col("_inverse"), 9), offset)
     seen = joined.withColumns(dict(zip(("_x", "_y", "_z"), cam)))
     x, y, z = F.col("_x"), F.col("_y"), F.col("_z")
     clip = seen.withColumns(
@@ -106,5 +107,5 @@ def project_points(
             "clip_z": z * F.lit(far / (far - near)) - F.lit(far * near / (far - near)),
             "clip_w": z,
         }
-    ).drop("_x", "_y", "_z", "c2w")
+    ).drop("_x", "_y", "_z", "c2w", "_inverse")
     return clip.withColumns({f"ndc_{a}": F.try_divide(F.col(f"clip_{a}"), F.col("clip_w")) for a in XYZ})

@@ -22,17 +22,13 @@ OVERSAMPLE = 8
 def _sampled_bucket(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Adds ``_bucket``: how many of the sampled boundaries lie below the key.
 
-    A key is sampled by its hash, one in as many as keeps the sample at its
-    fixed size whatever the size of the table.
+    The keys with the smallest hashes are the sample: its size is fixed whatever
+    the size of the table, and it is the same whenever it is computed.
     """
     key = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    one_in = F.greatest(F.lit(1), F.floor(rows / F.lit((BOUNDARIES + 1) * OVERSAMPLE)))
-    sample = (
-        df.select(*order_by)
-        .where(F.pmod(F.xxhash64(*order_by), one_in) == 0)
-        .agg(F.sort_array(F.collect_list(key)).alias("keys"))
-    )
+    # the keys with the smallest hashes: every task hands over so many at most
+    chosen = df.select(key.alias("k")).orderBy(F.xxhash64(*order_by)).limit((BOUNDARIES + 1) * OVERSAMPLE)
+    sample = chosen.agg(F.sort_array(F.collect_list("k")).alias("keys"))
     boundaries = sample.select(
         F.transform(
             F.sequence(F.lit(1), F.lit(BOUNDARIES)),

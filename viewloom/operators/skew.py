@@ -4,53 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
-HOT_SHARE = 1 / 64
-SAMPLE_ONE_IN = 128
 
-
-def hot_hashes(big: DataFrame, keys: Sequence[str], spread_by: Sequence[str], hot_share: float = HOT_SHARE) -> Column:
-    """Hashes of the keys that hold more than ``hot_share`` of a sample of ``big``.
-
-    At most ``1 / hot_share`` hashes, so the array has a bound of its own.  The
-    sample is chosen by hash: it is the same whenever it is computed, and only
-    one key in ``SAMPLE_ONE_IN`` rows is shuffled to count them.
-    """
-    sampled = big.where(F.pmod(F.xxhash64(F.lit("sample"), *spread_by), F.lit(SAMPLE_ONE_IN)) == 0)
-    counts = sampled.groupBy(F.xxhash64(*keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") > total * F.lit(hot_share)).agg(F.collect_list("_h")).scalar()
+def salts_for(share: float, tasks: int) -> int:
+    """Into how many parts a key with a measured ``share`` of the rows must go so that none is larger than a task's."""
+    if not 0 <= share <= 1 or tasks < 1:
+        raise ValueError("a share is between 0 and 1, and there is at least one task")
+    return max(1, -(-int(share * 1_000_000) * tasks // 1_000_000))
 
 
 def skew_join(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
-    spread_by: Sequence[str],
+    spread_by: Sequence[str] = (),
     how: str = "inner",
-    salts: int = SALTS,
+    salts: int = 1,
 ) -> DataFrame:
-    """Join ``big`` to ``small`` on ``keys``, spreading hot keys over ``salts`` tasks.
-
-    Rows of a hot key are salted by ``spread_by``, which should tell the rows of
-    one key apart; only the matching rows of the small side are repeated, once
-    per salt.  Which keys count as hot decides the cost, never the result.
-    ``how`` is inner, left, left_semi or left_anti.
+    """Join ``big`` to ``small`` on ``keys``; each side is read once.
+
+    Adaptive execution splits the partition of a hot key, or broadcasts a small
+    side that turns out to be small.  Where it cannot (a later step needs the
+    join's partitioning), ask for ``salts`` (see ``salts_for``): the rows of a
+    key are then spread by ``spread_by``, which should tell them apart, and the
+    small side is repeated once per salt.  ``how`` is inner, left, left_semi or
+    left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("a skew join keeps the big side: inner, left, left_semi or left_anti")
     keys = list(keys)
-    hot = hot_hashes(big, keys, spread_by)
     kinds = dict(big.dtypes)
-    # both sides must hash a key alike
-    small_hash = F.xxhash64(*[F.col(k).cast(kinds[k]) for k in keys])
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted = big.withColumn(
-        "_salt", F.when(F.array_contains(hot, F.xxhash64(*keys)), salt).otherwise(F.lit(0))
-    )
-    repeats = F.when(F.array_contains(hot, small_hash), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = small.withColumns({**{k: F.col(k).cast(kinds[k]) for k in keys}, "_salt": F.explode_outer(repeats)})
+    like_big = small.withColumns({k: F.col(k).cast(kinds[k]) for k in keys})
+    if salts == 1:
+        return big.join(like_big, keys, how)
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    repeated = like_big.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -18,25 +18,28 @@ IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp")
 def read_renders(spark: SparkSession, path: str) -> DataFrame:
     """(uid, view_id, kind, path, mtime, length, content) of ``{object}/{NNNNN}.{png,json}``.
 
-    Other files are left out.  ``content`` is only loaded if it is selected.
+    Another file of an object gives a row without view, so that an object without
+    any view is still seen; files directly in ``path`` belong to no object.
+    ``content`` is only loaded if it is selected.
     """
+    root = path.rstrip("/").replace("file:", "", 1).rsplit("/", 1)[-1]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    pattern = r"/([^/]+)/(\d{5})\.(png|json)$"
+    view = r"/(\d{5})\.(png|json)$"
     found = files.select(
-        F.regexp_extract("path", pattern, 1).alias("uid"),
-        F.regexp_extract("path", pattern, 2).try_cast("int").alias("view_id"),
-        F.regexp_extract("path", pattern, 3).alias("kind"),
+        F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("uid"),
+        F.regexp_extract("path", view, 1).try_cast("int").alias("view_id"),
+        F.nullif(F.regexp_extract("path", view, 2), F.lit("")).alias("kind"),
         "path",
         F.col("modificationTime").alias("mtime"),
         "length",
         "content",
     )
-    return found.where(F.col("view_id").isNotNull())
+    return found.where(F.col("view_id").isNotNull() | (F.col("uid") != root))
 
 
 def render_views(renders: DataFrame) -> DataFrame:
     """(uid, view_id, png, camera_json) with NULL for the missing half."""
-    return renders.groupBy("uid", "view_id").agg(
+    return renders.where(F.col("view_id").isNotNull()).groupBy("uid", "view_id").agg(
         F.max(F.when(F.col("kind") == "png", F.col("content"))).alias("png"),
         F.max(F.when(F.col("kind") == "json", F.col("content"))).alias("camera_json"),
     )
@@ -114,9 +117,12 @@ def list_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_logs(
-    spark: SparkSession, path: str, name: str = "log*.txt", keep: Callable[[Column], Column] | None = None
+    spark: SparkSession, path: str, name: str = "log.txt", keep: Callable[[Column], Column] | None = None
 ) -> DataFrame:
-    """(run, line_no, line) of ``{run}/log*.txt``.
+    """(run, file, line_no, line) of ``{run}/log.txt``, or of another log of every run, such as ``log_infer.txt``.
+
+    The log operators take one log of each run; ``name`` may be a pattern if it
+    matches one file of a run.  White space at the end of a line is dropped.
 
     ``line_no`` grows along the file but has gaps: it is the byte offset of the
     split plus the line's number in the split, so a huge log is read by many
@@ -134,7 +140,7 @@ def read_logs(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("_start"),
             F.monotonically_increasing_id().alias("_id"),
-            F.rtrim("value").alias("line"),
+            F.regexp_replace("value", r"(?U)\s+$", "").alias("line"),
         )
     )
     if keep is not None:
