@@ -169,3 +169,19 @@ def test_unmatched(spark, rows):
     left = spark.createDataFrame([(1,), (2,)], "k INT")
     right = spark.createDataFrame([(2,), (3,)], "k INT")
     assert rows(metrics.unmatched(left, right, ["k"])) == [(1, "left"), (3, "right")]
+
+
+def test_planes_of_unequal_size_are_refused(spark):
+    pairs = spark.createDataFrame([("u", 0, [0.1, 0.2, 0.3], [0.1, 0.2])], "uid STRING, view_id INT, a ARRAY<FLOAT>, b ARRAY<FLOAT>")
+    with pytest.raises(Exception, match="unequal size"):
+        metrics.psnr(pairs).collect()
+
+
+def test_both_image_scores_come_from_one_pass(spark):
+    rng = np.random.default_rng(8)
+    data = [("u", v, 8, 8, rng.random(64).tolist(), rng.random(64).tolist()) for v in (0, 0, 1)]
+    pairs = spark.createDataFrame(data, "uid STRING, view_id INT, h INT, w INT, a ARRAY<FLOAT>, b ARRAY<FLOAT>")
+    both = {r.view_id: (r.psnr, r.ssim) for r in metrics.image_scores(pairs).collect()}
+    apart = {r.view_id: r.psnr for r in metrics.psnr(pairs).collect()}, {r.view_id: r.ssim for r in metrics.ssim(pairs).collect()}
+    for view, (psnr, ssim) in both.items():
+        assert psnr == pytest.approx(apart[0][view]) and ssim == pytest.approx(apart[1][view])

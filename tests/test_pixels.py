@@ -169,3 +169,29 @@ def test_box_of_nothing_and_of_one_pixel(spark):
     dot[2, 1] = 1
     one = box_of(spark, dot)
     assert (one.y_min, one.x_min) == (2, 1) and one.h2 is None
+
+
+def test_strips_are_cut_into_slots(spark, rows):
+    kind = "uid STRING, channel INT, h INT, w INT, data ARRAY<FLOAT>"
+    strips = spark.createDataFrame([("a", 0, 2, 6, [float(i) for i in range(12)])], kind)
+    assert rows(pixels.split_strip(strips, 3)) == [
+        ("a", 0, 0, 2, 2, [0.0, 1.0, 6.0, 7.0]), ("a", 1, 0, 2, 2, [2.0, 3.0, 8.0, 9.0]), ("a", 2, 0, 2, 2, [4.0, 5.0, 10.0, 11.0])
+    ]
+    with pytest.raises(Exception, match="equal views"):
+        pixels.split_strip(strips, 4).collect()
+
+
+def test_depth_without_scaling(spark):
+    kind = "uid STRING, view_id INT, data ARRAY<DOUBLE>, mask ARRAY<DOUBLE>"
+    depth = spark.createDataFrame([("a", 0, [2.0, 4.0], [1.0, 0.5]), ("a", 1, [0.0, 0.0], [1.0, 1.0])], kind)
+    got = {r.view_id: r for r in pixels.normalize_depth(depth, scaled=False).collect()}
+    assert got[0].data == [-1.0, -1.0] and got[1].data == [1.0, 1.0] and got[1].empty
+
+
+def test_planes_of_unequal_size_are_refused(spark):
+    kind = "uid STRING, view_id INT, data ARRAY<DOUBLE>, mask ARRAY<DOUBLE>"
+    depth = spark.createDataFrame([("a", 0, [2.0, 4.0, 1.0], [1.0, 0.5])], kind)
+    with pytest.raises(Exception, match="unequal size: 3 and 2"):
+        pixels.normalize_depth(depth).collect()
+    with pytest.raises(Exception, match="unequal size"):
+        pixels.composite_planes(depth, alpha="mask").collect()

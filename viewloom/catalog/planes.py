@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewloom.catalog import standins as S
-from viewloom.catalog.base import query, r6, s6
+from viewloom.catalog.base import digest, digest_sql, query, r6, s6, table
 from viewloom.functions import camera as C
 from viewloom.functions import pixels as P
 from viewloom.operators import cameras, checks, metrics, pixels
@@ -33,8 +33,8 @@ def _exploded(planes: DataFrame, *keep: str, value: str = "data") -> DataFrame:
 
 @query(
     f"""WITH {_PX}
-SELECT p.uid, p.view_id, p.channel, p.i, {s6("p.v::DOUBLE * a.a + (1.0 - a.a) * 0.5")} AS v
-FROM px p JOIN alpha a ON p.uid = a.uid AND p.view_id = a.view_id AND p.i = a.i WHERE p.side = 1"""
+SELECT uid, view_id, channel, i, {s6("v::DOUBLE * a + (1.0 - a) * 0.5")} AS v
+FROM (SELECT *, max(CASE WHEN channel = 0 THEN {S.ALPHA_SQL} END) OVER (PARTITION BY uid, view_id, i) AS a FROM px WHERE side = 1) WHERE a IS NOT NULL"""
 )
 def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exploded(pixels.composite_planes(_with_alpha(spark, sf_dir), background=0.5), *KEY, "channel")
@@ -106,6 +106,25 @@ def normalize_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exploded(normal, *KEY, "has_zero").select(*KEY, "i", "has_zero", "v")
 
 
+@query(f"WITH {_DEPTH_SQL} SELECT uid, view_id, i, {s6('1.0 - m')} AS v FROM t")
+def unscaled_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked depth in its true scale, inverted."""
+    return _exploded(pixels.normalize_depth(_depth(spark, sf_dir), scaled=False), *KEY)
+
+
+@query(
+    f"""SELECT vec_id AS uid, k::INTEGER AS slot, 0 AS channel, 4 AS h, 4 AS w,
+  {digest_sql("data")} AS data FROM (SELECT vec_id, k, flatten([embedding[16 * y + 4 * k + 1 : 16 * y + 4 * k + 4] FOR y IN range(4)]) AS data
+  FROM embeddings, range(4) AS r(k))"""
+)
+def split_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as strips of four views of 4 x 4 pixels."""
+    strips = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("uid"), F.lit(0).alias("channel"), F.lit(4).alias("h"), F.lit(16).alias("w"), F.col("embedding").alias("data")
+    )
+    return pixels.split_strip(strips, 4).withColumn("data", digest(F.col("data")))
+
+
 @query(
     f"""WITH {_PX}
 SELECT uid FROM px WHERE side = 1 AND channel = 0 GROUP BY uid

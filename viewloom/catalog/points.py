@@ -67,6 +67,12 @@ def activate_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return active.select("uid", "gid", *[r6(f"scale_{i}").alias(f"scale_{i}") for i in range(3)])
 
 
+@query(f"WITH {S.GAUSSIANS_SQL} SELECT uid, gid, {', '.join(f'{s6(f'{c} * 0.5 + 0.5')} AS {c}' for c in ('f_dc_0', 'f_dc_1', 'f_dc_2', 'opacity'))} FROM gaussians")
+def valid_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = points.valid_range(S.gaussians(spark, sf_dir))
+    return shown.select("uid", "gid", *[r6(c).alias(c) for c in ("f_dc_0", "f_dc_1", "f_dc_2", "opacity")])
+
+
 _FX = "2 * (1422.222 / 1024)"
 
 

@@ -17,9 +17,15 @@ def at(plane: Column, index: Column) -> Column:
     return F.get(plane, index.cast("int"))
 
 
+def like(plane: Column, other: Column) -> Column:
+    """``plane``, which must have as many pixels as ``other``; an error otherwise."""
+    sizes = F.concat(F.lit("planes of unequal size: "), F.size(plane).cast("string"), F.lit(" and "), F.size(other).cast("string"))
+    return F.when(F.size(plane) != F.size(other), F.raise_error(sizes)).otherwise(plane)
+
+
 def composite(rgb: Column, alpha: Column, background: float | Column = 1.0) -> Column:
     bg = background if isinstance(background, Column) else F.lit(float(background))
-    return F.zip_with(rgb, alpha, lambda c, a: c * a + (F.lit(1.0) - a) * bg)
+    return F.zip_with(like(rgb, alpha), alpha, lambda c, a: c * a + (F.lit(1.0) - a) * bg)
 
 
 def without_nan(plane: Column) -> Column:

@@ -54,7 +54,7 @@ def plane_mse(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     The pixels are exploded into generated code and summed before the shuffle:
     what is exchanged is one sum and one count per group and task.
     """
-    zipped = F.arrays_zip(F.col("a"), F.col("b"))
+    zipped = F.arrays_zip(P.like(F.col("a"), F.col("b")).alias("a"), F.col("b"))
     pixels = pairs.select(*by, F.explode_outer(zipped).alias("_p")).where(F.col("_p").isNotNull())
     error = F.col("_p.a").cast("double") - F.col("_p.b").cast("double")
     return pixels.groupBy(*by).agg(F.avg(error * error).alias("mse"))
@@ -131,6 +131,24 @@ def ssim(pairs: DataFrame, by: Sequence[str] = ("uid", "view_id")) -> DataFrame:
     return scored.groupBy(*by).agg(F.avg("_s").alias("ssim"))
 
 
+def image_scores(pairs: DataFrame, by: Sequence[str] = ("uid", "view_id")) -> DataFrame:
+    """PSNR and SSIM of each image from one pass over its planes."""
+
+    def squared(x: Column, y: Column) -> Column:
+        error = x.cast("double") - y.cast("double")
+        return error * error
+
+    errors = F.zip_with(P.like(F.col("a"), F.col("b")), "b", squared)
+    scored = pairs.select(
+        *by,
+        _plane_scorer()("a", "b", "h", "w").alias("_s"),
+        F.aggregate(errors, F.lit(0.0), lambda t, e: t + e).alias("_e"),
+        F.size("a").alias("_n"),
+    )
+    sums = scored.groupBy(*by).agg((F.sum("_e") / F.sum("_n")).alias("_mse"), F.avg("_s").alias("ssim"))
+    return sums.select(*by, P.psnr_of(F.col("_mse")).alias("psnr"), "ssim")
+
+
 def score_summary(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Means and spreads: sample deviation for psnr and lpips, population for ssim."""
     columns = []
@@ -245,8 +263,8 @@ def normal_cosine(pairs: DataFrame, by: Sequence[str] = ("uid", "view_id")) -> D
 
     ``pairs`` has ax, ay, az and bx, by, bz arrays, one row per view.
     """
-    names = ("ax", "ay", "az", "bx", "by", "bz")
-    pixels = pairs.select(*by, F.explode_outer(F.arrays_zip(*names)).alias("_p")).where(F.col("_p").isNotNull())
+    zipped = [P.like(F.col(c), F.col("bz")).alias(c) for c in ("ax", "ay", "az", "bx", "by")] + [F.col("bz")]
+    pixels = pairs.select(*by, F.explode_outer(F.arrays_zip(*zipped)).alias("_p")).where(F.col("_p").isNotNull())
     a, b = ([F.col(f"_p.{side}{c}").cast("double") for c in "xyz"] for side in "ab")
     dot = a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
     lengths = [F.greatest(F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]), F.lit(COSINE_GUARD)) for v in (a, b)]

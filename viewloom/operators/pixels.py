@@ -101,18 +101,28 @@ def rays(
 
 
 def unproject(
-    depth: DataFrame, cameras: DataFrame, intrinsics: tuple[float, ...] = C.FXFYCXCY, mask: str | None = None
+    depth: DataFrame,
+    cameras: DataFrame,
+    intrinsics: tuple[float, ...] = C.FXFYCXCY,
+    mask: str | None = None,
+    scale: str | None = None,
 ) -> DataFrame:
     """Depth planes to world points, one row per pixel.
 
+    ``scale`` names a column of ``cameras`` by which depth is multiplied first: that of the object, if its cameras
+    were moved to a fixed radius.
+
     ``mask`` names an alpha plane: the points are then mapped to [0, 1] and
     blended to white outside the object, which is the stored coordinate image.
     """
     fx, fy, cx, cy = (F.lit(float(v)) for v in intrinsics)
     planes = depth.select(*KEY, "h", "w", "data", *([F.col(mask).alias("_m")] if mask else []))
+    if scale is not None:
+        planes = planes.join(cameras.select(*KEY, F.col(scale).alias("_s")), KEY)
+        planes = planes.withColumn("data", F.transform("data", lambda d: d.cast("double") * F.col("_s"))).drop("_s")
     joined = planes.join(cameras.select(*KEY, "c2w"), KEY)
     if mask:
-        pairs = F.arrays_zip(F.col("data").alias("d"), F.col("_m").alias("m"))
+        pairs = F.arrays_zip(P.like(F.col("data"), F.col("_m")).alias("d"), F.col("_m").alias("m"))
         px = explode_rows(joined, pairs, "_z", [*KEY, "h", "w", "c2w"], "_i").select(
             *KEY, "h", "w", "c2w", "_i", F.col("_z.d").cast("double").alias("_d"), F.col("_z.m").cast("double").alias("_a")
         )
@@ -146,7 +156,7 @@ def normalize_normals(normals: DataFrame, cameras: DataFrame, first: str = "slot
     old = M.rotation(M.entries(F.col("original_c2w")))
     turn = start.select("uid", M.pack(M.times(new, M.inverse(old))).alias("_r"))
     joined = normals.join(turn, "uid")
-    zipped = F.arrays_zip("nx", "ny", "nz", "mask")
+    zipped = F.arrays_zip(*[P.like(F.col(c), F.col("mask")).alias(c) for c in ("nx", "ny", "nz")], "mask")
 
     def channel(r: int) -> Column:
         def one(px: Column) -> Column:
@@ -160,15 +170,34 @@ def normalize_normals(normals: DataFrame, cameras: DataFrame, first: str = "slot
     return joined.select(*others, *[channel(r).alias(n) for r, n in enumerate(("nx", "ny", "nz"))])
 
 
-def normalize_depth(depth: DataFrame, mask: str = "mask") -> DataFrame:
-    """Masked depth over its maximum, inverted: near is dark, background white.
+def split_strip(strips: DataFrame, views: int) -> DataFrame:
+    """(uid, slot, channel, h, w, data): a strip of ``views`` images side by side cut into its slots.
+
+    A strip whose width the number of views does not divide is an error.
+    """
+    width = F.floor(F.col("w") / views).cast("int")
+    odd = F.raise_error(F.concat(F.lit("a strip cannot be cut into equal views: "), F.col("uid").cast("string")))
+    checked = F.when((F.col("w") % views != 0) | (F.size("data") != F.col("h") * F.col("w")), odd).otherwise(F.col("data"))
+    rows = explode_rows(strips.withColumn("data", checked), F.sequence(F.lit(0), F.lit(views - 1)), "slot", strips.columns)
+    lines = F.sequence(F.lit(0), F.col("h") - 1)
+    own = F.flatten(F.transform(lines, lambda y: F.slice("data", y * F.col("w") + F.col("slot") * width + 1, width)))
+    others = [c for c in strips.columns if c not in ("uid", "w", "data")]
+    cut = rows.withColumn("data", own).withColumn("w", width)
+    return cut.select("uid", "slot", *others, "w", "data")
+
+
+def normalize_depth(depth: DataFrame, mask: str = "mask", scaled: bool = True) -> DataFrame:
+    """Masked depth over its maximum (as it is, unless ``scaled``), inverted: near is dark, background white.
 
     ``empty`` flags a view without any depth (its plane is NULL); ``has_zero``
     is the check that something in the view is background.
     """
-    masked = depth.withColumn("_d", F.zip_with("data", mask, lambda d, m: d.cast("double") * m.cast("double")))
+    masked = depth.withColumn("_d", F.zip_with(P.like(F.col("data"), F.col(mask)), mask, lambda d, m: d.cast("double") * m.cast("double")))
     top = masked.withColumns({"_max": F.array_max("_d"), "_min": F.array_min("_d")})
-    out = F.when(F.col("_max") != 0, F.transform("_d", lambda d: F.lit(1.0) - d / F.col("_max")))
+    if scaled:
+        out = F.when(F.col("_max") != 0, F.transform("_d", lambda d: F.lit(1.0) - d / F.col("_max")))
+    else:
+        out = F.transform("_d", lambda d: F.lit(1.0) - d)
     return top.withColumns(
         {"data": out, "empty": F.col("_max") == 0, "has_zero": F.col("_min") == 0}
     ).drop("_d", "_max", "_min")

@@ -75,6 +75,12 @@ def from_ply_cols(stored: DataFrame, compatible: bool = True) -> DataFrame:
     return stored.withColumns(out)
 
 
+def valid_range(gaussians: DataFrame) -> DataFrame:
+    """Colour and opacity from the model's [-1, 1] to [0, 1]."""
+    names = ("f_dc_0", "f_dc_1", "f_dc_2", "opacity")
+    return gaussians.withColumns({c: F.col(c) * 0.5 + 0.5 for c in names})
+
+
 def activate_scales(gaussians: DataFrame, smin: float, smax: float) -> DataFrame:
     return gaussians.withColumns({f"scale_{i}": G.activate_scale(F.col(f"scale_{i}"), smin, smax) for i in range(3)})
 

@@ -11,8 +11,7 @@ from viewloom.operators import metrics
 
 def image_scores(pred: DataFrame, truth: DataFrame, view_ids: Sequence[int] = metrics.EVAL_VIEWS, by: Sequence[str] = ("uid", "slot")) -> DataFrame:
     """PSNR and SSIM per predicted view; ``by`` may add a model or run column of ``pred``."""
-    pairs = metrics.pair_eval(pred, truth, view_ids)
-    return metrics.psnr(pairs, by).join(metrics.ssim(pairs, by), list(by))
+    return metrics.image_scores(metrics.pair_eval(pred, truth, view_ids), by)
 
 
 def compare_models(pred: DataFrame, truth: DataFrame, view_ids: Sequence[int] = metrics.EVAL_VIEWS, model: str = "model") -> DataFrame:
