@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from viewloom import session
 from viewloom.operators import views
 from viewloom.sources import files, shards, sinks
 
@@ -201,3 +202,13 @@ def test_gaussian_sink(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "g"))
     assert stored.columns == ["uid", "gid", *points.STORED_COLUMNS]
     assert stored.schema["x"].dataType.simpleString() == "float" and stored.first().red == 127
+
+
+def test_scratch_is_below_the_shared_folder_and_can_be_dropped(spark):
+    path = session.scratch_path(spark, "t")
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path)
+    kept, session._written[:] = session._written[:-1], [path]
+    assert session.drop_scratch(spark) == 1 and not os.path.exists(path)
+    session._written[:] = kept

@@ -1,41 +1,49 @@
 """Shared folder and lineage helpers.
 
 Everything that must outlive an executor goes to the folder the cluster names
-in ``spark.checkpoint.dir``; a temporary folder is used only in local mode.
+in ``spark.checkpoint.dir``.  Where that is not set, as in tests, it goes below
+the warehouse, which all executors share, too.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-    root = tempfile.mkdtemp(prefix="viewloom-ckpt-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; see ``drop_scratch``."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
+    """Reliable checkpoint: the rows survive the loss of any executor.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes it
+    when the frame is no longer used.
+    """
     spark = df.sparkSession
-    root = checkpoint_root(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint(eager=True)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes the scratch tables of this process; frames that read them are of no use afterwards."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = hadoop.Path(_written.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
