@@ -87,7 +87,7 @@ def test_small_frontiers_give_the_same(monkeypatch):
 
 
 def test_blocks_follow_the_size():
-    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**10, 10**14)] == [5, 5, 6, 6, 8]
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**10, 10**14)] == [5, 5, 6, 7, 8]
     for blocks in range(5, 9):
         assert all(m.bit_count() >= 64 * (blocks - 4) // blocks - 4 for m in simhash.masks_for(blocks))
 

@@ -202,7 +202,7 @@ def search(
 
     Rows take no part if the id is null or the vector is null, zero, or holds null or non-finite components. Vectors
     of different lengths are not compared. Rows that repeat id and vector count once; rows of one id are never
-    neighbours of each other. Other columns are not read, whatever they are called. No row gives no row.
+    neighbours of each other, and a query id of several vectors stands for the least of them. Other columns are not read, whatever they are called. No row gives no row.
 
     Every row is hashed once and stored with its axes; nothing is fitted but the longest vector's length. The tables
     have 2 * dimensions axes each; what is sent to all tasks is one row for each axis, not for each vector.
@@ -216,7 +216,8 @@ def search(
     hashed(rows, longest, every, tables, probes, seed).write.parquet(path)
     stored = spark.read.parquet(path)
     placed = stored.select("vec_id", "vector", "width", F.posexplode("axis").alias("t", "axis"))
-    asks = stored.where(F.col("looks").isNotNull()).withColumnRenamed("vec_id", "query_id")
+    asked = stored.where(F.col("looks").isNotNull()).groupBy(F.col("vec_id").alias("query_id"))
+    asks = asked.agg(F.min(F.struct("vector", "width", "looks")).alias("q")).select("query_id", "q.*")
     looks = asks.select("query_id", "vector", "width", F.posexplode("looks").alias("t", "l"))
     looks = looks.select("query_id", "vector", "width", "t", F.explode("l").alias("axis"))
     _best(_met(placed, looks, top), top, tables).write.parquet(found_path)

@@ -32,8 +32,8 @@ CAPACITY, END = 2048, 0
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, PACKINGS = 2048, 3, 3, 3, 4
 #: Sequences filled less than this share are dissolved and packed once more, those of all blocks together.
 LOOSE = 0.75
-#: Words of which the ids are kept in a task, and their longest.
-MEMO, MEMO_CHARS = 400_000, 48
+#: Words of which the ids are kept in a task in each of two generations, and their longest.
+MEMO, MEMO_CHARS = 200_000, 48
 
 #: In a text with one of these a word's ids may depend on the case of its letters before normalisation, or white
 #: space is not the same for Python and the tokenizer.
@@ -68,17 +68,19 @@ class Ids:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        # words looked up lately, and those before them
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def plain(self, word: str) -> bytes:
         """Ids of a word that normalisation does not change and that is one pre-token: the model's own."""
-        found = self.memo.get(word)
+        found = self.memo.get(word) or self.old.get(word)
         if found is None:
             shown = word if word.isascii() else "".join(map(BYTE_LETTERS.__getitem__, word.encode()))
             ids = [t.id for t in self.model.tokenize(shown)]
             found = pack(f"<{len(ids)}I", *ids)
-            if len(word) <= MEMO_CHARS:
-                self.memo[word] = found
+        if len(word) <= MEMO_CHARS:
+            self.memo[word] = found
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -100,14 +102,17 @@ class Ids:
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, other = self.memo, []
+            self.memo, self.old = {}, self.memo
+        memo, old, other = self.memo, self.old, []
         split = [self.words(t) for t in texts]
         unknown = set(chain.from_iterable(split)).difference(memo)
         for w in unknown:
+            if w in old:
+                memo[w] = old[w]
+                continue
             # letters, or letters before stops, which are two pre-tokens
             core = w.rstrip(STOPS)
-            if core.isalpha() and core == core.lower() and (core.isascii() or max(core) < FIRST_MARK):
+            if core.isalpha() and core.islower() and (core.isascii() or max(core) < FIRST_MARK):
                 memo[w] = self.plain(core) + self.stops(w[len(core) :]) if len(core) < len(w) else self.plain(core)
             else:
                 other.append(w)
