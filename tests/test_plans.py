@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from viewloom.functions import camera as C
 from viewloom.operators import cameras, sampling, views
-from viewloom.plans import build, evaluate, load, observe
+from viewloom.plans import build, evaluate, load, observe, prompts
 from viewloom.sources import files, sinks
 
 from test_artifacts import listing
@@ -118,3 +118,15 @@ def test_overview(spark):
     got = {r.run: r for r in observe.run_overview(table(spark, [train(4), val()]), shown, start).collect()}
     assert (got["r"].step, got["r"].image, got["r"].psnr) == (4, "x_000001_gs.png", 20.5)
     assert got["quiet"].video == "y.gif" and not got["quiet"].reported
+
+
+def test_captions_are_complete_before_anything_is_encoded(spark):
+    subset = spark.createDataFrame([("1",), ("2",)], "gid STRING")
+    gidmap = spark.createDataFrame([("1", "d/a.glb"), ("2", "d/b.glb")], "gid STRING, path STRING")
+    table = spark.createDataFrame([("a", "x")], "oid STRING, caption STRING")
+    with pytest.raises(ValueError, match="1 objects have no caption, the first is b"):
+        prompts.resolve_captions(subset, gidmap, table)
+    with pytest.raises(ValueError, match="1 listed ids are not in the map, the first is 2"):
+        prompts.resolve_captions(subset, gidmap.where("gid = '1'"), table)
+    whole = table.union(spark.createDataFrame([("b", None)], table.schema))
+    assert sorted(map(tuple, prompts.resolve_captions(subset, gidmap, whole).collect()), key=str) == [("a", "x"), ("b", None)]

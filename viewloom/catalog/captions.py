@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewloom.catalog.base import query, table
+from viewloom.catalog.base import digest, digest_sql, query, r6, s6, table
 from viewloom.functions import text as T
 from viewloom.operators import captions
+from viewloom.plans import prompts
+from viewloom.session import scratch_path
 from viewloom.sources import files
 
 # The stripped characters as SQL.
@@ -135,3 +137,52 @@ def caption_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("root/"), F.col("doc_id").cast("string"), F.lit("/"), "source", F.lit("."), "lang")
     samples = table(spark, sf_dir, "documents").select(path.alias("uid"), F.col("text").alias("caption"))
     return captions.caption_pairs(samples)
+
+
+_BYTES_SQL = "[(('0x' || substr(md5({0}), 2 * i + 1, 2))::INTEGER / 255.0::DOUBLE)::FLOAT FOR i IN range(16)]"
+
+
+@query(
+    f"""WITH {_OIDS},
+pairs AS (SELECT DISTINCT oid, lower(c_name) AS caption FROM oids JOIN customer ON c_custkey::VARCHAR = oid),
+paa AS (SELECT 'paa' AS model, oid AS uid, 16 AS n_tokens, {_BYTES_SQL.format("caption")} AS tokens FROM pairs
+        UNION ALL SELECT 'paa', 'null', 16, {_BYTES_SQL.format("''")}),
+made AS (SELECT model, uid, n_tokens, {digest_sql("tokens")} AS tokens, {s6("list_min(tokens)::DOUBLE")} AS low, {s6("list_max(tokens)::DOUBLE")} AS high FROM paa)
+SELECT *, false AS fallback FROM made
+UNION ALL SELECT 'sd15', oid, 77, NULL, 0.0, 0.0, true FROM pairs UNION ALL SELECT 'sd15', 'null', 77, NULL, 0.0, 0.0, false"""
+)
+def embed_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From id list, map and captions to stored embeddings: one encoder works and encodes the empty prompt, one
+    cannot be built, and its empty prompt is zeros."""
+
+    def working():
+        import hashlib
+
+        import numpy as np
+
+        def encode(texts, length):
+            rows = np.array([list(hashlib.md5(t.encode()).digest()) for t in texts], dtype=np.float64) / 255.0
+            return rows[:, :, None], None, np.full((len(texts), 1), float(length))
+
+        return encode
+
+    def broken():
+        raise RuntimeError("no model")
+
+    path = scratch_path(spark, "prompts")
+    everyone = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("oid"), F.col("c_name").alias("caption"))
+    mapped = _subset(spark, sf_dir).join(_gid_map(spark, sf_dir).select("gid"), "gid", "left_semi")
+    pairs = prompts.resolve_captions(mapped, _gid_map(spark, sf_dir), everyone)
+    prompts.embed_captions(pairs, working, "paa", path)
+    prompts.embed_captions(pairs, broken, "sd15", path, zero_null=True, on_error="zeros")
+    stored = spark.read.parquet(path)
+    numbers = F.flatten("tokens")
+    return stored.select(
+        "model",
+        "uid",
+        F.size("tokens").alias("n_tokens"),
+        F.when(F.col("model") == "paa", digest(numbers)).alias("tokens"),
+        r6(F.array_min(numbers).cast("double")).alias("low"),
+        r6(F.array_max(numbers).cast("double")).alias("high"),
+        "fallback",
+    )

@@ -11,11 +11,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewloom.functions.text import model_caption
-from viewloom.operators.embeds import MASK_MODELS
+from viewloom.operators.embeds import MASK_MODELS, NULL_UID
 
 # Caption length of each model (CLIP + T5 where there are two
 # encoders), and the widths of its token and pooled vectors.
@@ -122,6 +122,27 @@ def encode_with_null(
     return encode(captions.select("uid", "caption").unionByName(empty), encoder_factory, model, batch, **kwargs)
 
 
+def zero_null(spark: SparkSession, model: str) -> DataFrame:
+    """The row of the empty prompt as zeros in the model's own shape."""
+
+    def zeros(*sizes: int) -> Column:
+        out = F.lit(0.0).cast("float")
+        for size in sizes:
+            out = F.array_repeat(out, size)
+        return out
+
+    length = CAPTION_LENGTH[model]
+    none = F.lit(None).cast("array<float>")
+    return spark.range(1).select(
+        F.lit(model).alias("model"),
+        F.lit(NULL_UID).alias("uid"),
+        zeros(TOKEN_WIDTH[model], length).alias("tokens"),
+        (zeros(POOLED_WIDTH[model]) if model in POOLED_WIDTH else none).alias("pooled"),
+        (zeros(length) if model in MASK_MODELS else none).alias("attention_mask"),
+        F.lit(False).alias("fallback"),
+    )
+
+
 def transform_samples(samples: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """User transform of samples, one pandas batch at a time."""
 
