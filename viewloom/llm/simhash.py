@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.llm.common import add_columns, fresh, id_text, quoted
+from viewloom.operators.skew import skew_join
 from viewloom.session import cut_lineage, scratch_path
 
 BITS, ERRORS, SHINGLE, SEED = 64, 4, 4, 42
@@ -25,6 +26,8 @@ BITS, ERRORS, SHINGLE, SEED = 64, 4, 4, 42
 TRIE = 4096
 #: Rows of tries that a task walks at once, and node pairs it expands at once.
 FOREST, FRONTIER = 1 << 16, 1 << 18
+#: Tasks that the fingerprints of one class are spread over when they look up its name.
+SALTS = 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -223,8 +226,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(fps, errors))
     rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(named, "root").select("fp", "root", "component_id")
+    named = rooted.groupBy("root").agg(F.min("least").alias("named"), F.count(F.lit(1)).alias("n"))
+    # only classes of several fingerprints are looked up, and a large one in many tasks
+    classes = skew_join(rooted, named.where("n > 1"), ["root"], ["fp"], "left", SALTS)
+    classes = classes.select("fp", "root", F.coalesce("named", "least").alias("component_id"))
     return marked.join(classes, "fp").select("doc_id", "thash", "fp", "root", "component_id")
 
 
