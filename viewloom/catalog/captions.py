@@ -143,8 +143,7 @@ _BYTES_SQL = "[(('0x' || substr(md5({0}), 2 * i + 1, 2))::INTEGER / 255.0::DOUBL
 
 
 @query(
-    f"""WITH {_OIDS},
-pairs AS (SELECT DISTINCT oid, lower(c_name) AS caption FROM oids JOIN customer ON c_custkey::VARCHAR = oid),
+    f"""WITH pairs AS (SELECT s_suppkey::VARCHAR AS oid, lower(s_name) AS caption FROM supplier),
 paa AS (SELECT 'paa' AS model, oid AS uid, 16 AS n_tokens, {_BYTES_SQL.format("caption")} AS tokens FROM pairs
         UNION ALL SELECT 'paa', 'null', 16, {_BYTES_SQL.format("''")}),
 made AS (SELECT model, uid, n_tokens, {digest_sql("tokens")} AS tokens, {s6("list_min(tokens)::DOUBLE")} AS low, {s6("list_max(tokens)::DOUBLE")} AS high FROM paa)
@@ -170,9 +169,10 @@ def embed_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise RuntimeError("no model")
 
     path = scratch_path(spark, "prompts")
-    everyone = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("oid"), F.col("c_name").alias("caption"))
-    mapped = _subset(spark, sf_dir).join(_gid_map(spark, sf_dir).select("gid"), "gid", "left_semi")
-    pairs = prompts.resolve_captions(mapped, _gid_map(spark, sf_dir), everyone)
+    key = F.col("s_suppkey").cast("string")
+    supplier = table(spark, sf_dir, "supplier")
+    gidmap = supplier.select(F.concat(F.lit("g"), key).alias("gid"), F.concat(F.lit("set/"), key, F.lit(".x.glb")).alias("path"))
+    pairs = prompts.resolve_captions(gidmap.select("gid"), gidmap, supplier.select(key.alias("oid"), F.col("s_name").alias("caption")))
     prompts.embed_captions(pairs, working, "paa", path)
     prompts.embed_captions(pairs, broken, "sd15", path, zero_null=True, on_error="zeros")
     stored = spark.read.parquet(path)
