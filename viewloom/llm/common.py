@@ -94,6 +94,13 @@ def add_columns(df: DataFrame, fields: str, make, keep: list[str] | None = None)
     return plain.mapInArrow(run, schema).toDF(*kept, *(f.name for f in new_fields))
 
 
+def texts_of(batch: pa.RecordBatch, name: str, rows: int = 256) -> Iterable[list]:
+    """The strings of a column, some rows at a time, so that Python does not hold those of a whole batch."""
+    column = batch.column(name)
+    for k in range(0, len(column), rows):
+        yield column.slice(k, rows).to_pylist()
+
+
 def pieces_of(texts: list, most: int) -> Iterable[list]:
     """Consecutive slices of a list of strings with about ``most`` characters each; at least one string."""
     own, size = [], 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from viewloom.llm.common import add_columns, id_text, pieces_of
+from viewloom.llm.common import add_columns, id_text, pieces_of, texts_of
 from viewloom.session import scratch_path
 
 CAPACITY, END = 2048, 0
@@ -33,7 +33,7 @@ BLOCK, ISLANDS, EPOCHS, GENERATIONS, PACKINGS = 2048, 3, 3, 3, 4
 #: Sequences filled less than this share are dissolved and packed once more, those of all blocks together.
 LOOSE = 0.75
 #: Words of which the ids are kept in a task in each of two generations, and their longest.
-MEMO, MEMO_CHARS = 200_000, 48
+MEMO, MEMO_CHARS = 150_000, 48
 
 #: In a text with one of these a word's ids may depend on the case of its letters before normalisation, or white
 #: space is not the same for Python and the tokenizer.
@@ -150,9 +150,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_
         encoder = Ids(tokenizer_path)
 
         def new(batch):
-            column = batch.column("text")
-            slices = (column.slice(k, 256).to_pylist() for k in range(0, len(column), 256))
-            found = [cut(ids + end, capacity) for texts in slices for ids in encoder.ids(texts)]
+            found = [cut(ids + end, capacity) for texts in texts_of(batch, "text") for ids in encoder.ids(texts)]
             ends = np.cumsum([0, *map(len, found)])
             flat = np.array(list(chain.from_iterable(found)), np.int64).reshape(-1, 4)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.common import add_columns, fresh, id_text, quoted
+from viewloom.llm.common import add_columns, fresh, id_text, quoted, texts_of
 from viewloom.session import scratch_path
 
 BLANKS, SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
@@ -89,7 +89,7 @@ def count_columns(docs: DataFrame, text_col: str, name: str, keep: list[str] | N
 
     def make():
         def new(batch):
-            found = [counts(t or "") for t in batch.column(text_col).to_pylist()]
+            found = [counts(t or "") for texts in texts_of(batch, text_col) for t in texts]
             values = np.array(found, np.int64).reshape(-1, len(COUNTS))
             return [pa.StructArray.from_arrays([pa.array(v) for v in values.T], names=list(COUNTS))]
 

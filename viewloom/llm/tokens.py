@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.common import add_columns, id_text, pieces_of
+from viewloom.llm.common import add_columns, id_text, pieces_of, texts_of
 
 #: Texts of more characters are encoded in chunks.
 CHUNK, OVERLAP = 65_536, 1_024
@@ -162,7 +162,7 @@ def count_tokens(
         counter = Counter(tokenizer_path, chunk, overlap)
 
         def new(batch):
-            counts = counter.count(batch.column("text").to_pylist())
+            counts = [c for texts in texts_of(batch, "text") for c in counter.count(texts)]
             return [pa.array([c for c, _ in counts], pa.int64()), pa.array([w for _, w in counts], pa.int64())]
 
         return new
