@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.llm.common import add_columns, fresh, id_text, quoted
@@ -30,18 +30,23 @@ FOREST, FRONTIER = 1 << 16, 1 << 18
 SALTS = 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The majority of the bits of XXH64 over all word shingles; 0 without words."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of all word shingles in their order; a text with fewer words is one shingle, one without words none."""
     words = text.lower().split()  # of bytes: folds A-Z only, splits at ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     whole = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))
     size = min(shingle, len(words))
     spans = zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist())
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(whole[a:b], seed) for a, b in spans), np.uint64, len(words) - size + 1)
+    return np.fromiter((digest(whole[a:b], seed) for a, b in spans), np.uint64, len(words) - size + 1)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The majority of the bits of XXH64 over all word shingles; 0 without words."""
+    hashes = shingle_hashes(text, shingle, seed)
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 14):
         part = hashes[k : k + (1 << 14)].astype("<u8")
@@ -50,13 +55,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+) -> DataFrame:
     """(doc_id, thash, fp): one row for each input row; thash tells texts of one id apart."""
 
     def make():
         def new(batch):
             texts = batch.column("text").cast(pa.binary())
-            found = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
+            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
             return [pa.array(found.view(np.int64))]
 
         return new
@@ -208,7 +215,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS, shingle: int = SHINGLE
+) -> DataFrame:
     """The near-duplicate class of every whole text; one row for each input row.
 
     Result: doc_id, thash (hash of the text), fp (fingerprint as a signed long) and component_id, the least doc_id
@@ -221,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "fingerprints")
-    fingerprints(docs, id_col, text_col).write.parquet(path)
+    fingerprints(docs, id_col, text_col, shingle).write.parquet(path)
     marked = spark.read.parquet(path)
     fps = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(fps, errors))
@@ -233,23 +242,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select("doc_id", "thash", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS) -> DataFrame:
-    """The rows of ``docs`` with one for each class of near-duplicates: that of the least id, then of the least hash.
+def row_key(doc_id: Column, thash: Column) -> Column:
+    """A text that tells rows apart by id and hash; a null id is empty."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.hex(thash))
 
-    Of rows that repeat id and text one stays, whatever its other columns hold. A row without an id stays only if its
-    class has no row with one.
-    """
-    found = near_duplicates(docs, id_col, text_col, errors)
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` with one for each ``root`` of ``found`` (doc_id, thash, root)."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "thash")
     kept = found.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.thash")
     (key,) = fresh(docs, "row_key")
+    kept = kept.select(row_key(F.col("doc_id"), F.col("thash")).alias(key))
+    own = row_key(quoted(id_col), F.xxhash64(F.coalesce(quoted(text_col).cast("string"), F.lit(""))))
+    return docs.withColumn(key, own).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
 
-    def named(doc_id, thash):
-        return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.hex(thash))
 
-    kept = kept.select(named(F.col("doc_id"), F.col("thash")).alias(key))
-    own = named(quoted(id_col), F.xxhash64(F.coalesce(quoted(text_col).cast("string"), F.lit(""))))
-    return docs.withColumn(key, own).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS, shingle: int = SHINGLE
+) -> DataFrame:
+    """The rows of ``docs`` with one for each class of near-duplicates: that of the least id, then of the least hash.
+
+    Of rows that repeat id and text one stays, whatever its other columns hold. A row without an id stays only if its
+    class has no row with one.
+    """
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, errors, shingle), id_col, text_col)
 
 
 def digest(found: DataFrame) -> DataFrame:
