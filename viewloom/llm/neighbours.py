@@ -208,7 +208,7 @@ def search(
     have 2 * dimensions axes each; what is sent to all tasks is one row for each axis, not for each vector.
     """
     spark = embeddings.sparkSession
-    rows = valid(embeddings, id_col, vector_col)
+    rows = valid(embeddings, id_col, vector_col).dropDuplicates(["vec_id", "vector"])
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     lengths = rows.groupBy("width").agg(F.sqrt(F.max(square)).alias("longest"), F.count(F.lit(1)).alias("n")).collect()
     longest = {r["width"]: r["longest"] for r in lengths}
