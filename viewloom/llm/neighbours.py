@@ -19,6 +19,8 @@ from viewloom.llm.common import quoted
 from viewloom.session import scratch_path
 
 TABLES, PROBES, SEED, TOP = 4, 60, 42, 20
+#: Part of the axes that a query looks into in a table, if that is more than PROBES.
+SHARE = 60 / 256
 #: Rows of a block, and queries that meet it in one task.
 BLOCK, QUERIES = 4096, 2048
 
@@ -98,53 +100,57 @@ def vectors(column: pa.Array, width: int) -> np.ndarray:
 
 
 def valid(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector, width) of the rows that take part."""
+    """(vec_id, vector, width, square, band) of the rows that take part: the square of the length, and its band."""
     rows = embeddings.select(quoted(id_col).cast("long").alias("vec_id"), quoted(vector_col).alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
     rows = rows.where(finite & F.exists("vector", lambda x: x != 0))
-    return rows.withColumn("width", F.size("vector"))
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    # lengths of a band differ by a factor of less than the root of two; 1 is in the middle of its band
+    band = F.coalesce(F.floor(F.log2(F.nullif(square, F.lit(0.0))) + 0.5), F.lit(-(1 << 20))).cast("int")
+    return rows.withColumn("width", F.size("vector")).withColumn("square", square).withColumn("band", band)
 
 
-def hashed(rows: DataFrame, longest: dict[int, float], every: int, tables: int, probes: int, seed: int) -> DataFrame:
+def hashed(rows: DataFrame, longest: dict[tuple[int, int], float], every: int, tables: int, probes: int | None, seed: int) -> DataFrame:
     """Adds the axis of each row in each table, and for the queries the axes to look into (else null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            widths = batch.column("width").to_numpy()
-            for width in np.unique(widths).tolist():
-                own = batch.filter(pa.array(widths == width))
+            widths, bands = batch.column("width").to_numpy(), batch.column("band").to_numpy()
+            for width, band in sorted(set(zip(widths.tolist(), bands.tolist()))):
+                own = batch.filter(pa.array((widths == width) & (bands == band)))
                 x = vectors(own.column("vector"), width)
-                stored, asked = unit(x, longest[width]), unit(x, None)
+                stored, asked = unit(x, longest[width, band]), unit(x, None)
+                most = max(PROBES, math.ceil(2 * stored.shape[1] * SHARE)) if probes is None else probes
                 asks = own.column("vec_id").to_numpy() % every == 0
                 axis = np.stack([axes(rotated(stored, t, seed), 1)[:, 0] for t in range(tables)], axis=1)
                 looks: list = [None] * len(x)
                 if asks.any():
-                    seen = [axes(rotated(asked[asks], t, seed), probes).tolist() for t in range(tables)]
+                    seen = [axes(rotated(asked[asks], t, seed), most).tolist() for t in range(tables)]
                     for k, per_table in zip(np.flatnonzero(asks), zip(*seen)):
                         looks[k] = per_table
                 kind = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [*own.columns, pa.array(axis.tolist(), kind), pa.array(looks, pa.list_(kind))],
-                    names=["vec_id", "vector", "width", "axis", "looks"],
+                    names=["vec_id", "vector", "width", "band", "axis", "looks"],
                 )
 
     fields = "axis array<int>, looks array<array<int>>"
     kind = rows.schema["vector"].dataType.simpleString()
-    return rows.mapInArrow(run, f"vec_id long, vector {kind}, width int, {fields}")
+    return rows.mapInArrow(run, f"vec_id long, vector {kind}, width int, band int, {fields}")
 
 
 def _met(stored: DataFrame, looks: DataFrame, top: int) -> DataFrame:
     """(query_id, found): the ``top`` best of each block that a query looks into, as (score, vec_id).
 
-    ``stored`` has vec_id, vector, width, t, axis; ``looks`` query_id, vector, width, t, axis. An axis with many
+    ``stored`` has vec_id, vector, width, band, t, axis; ``looks`` query_id, vector, width, band, t, axis. An axis with many
     rows is cut into blocks, and its queries into portions; each portion meets each block in a group of its own.
     """
     spark = stored.sparkSession
-    key = ["width", "t", "axis"]
+    key = ["width", "band", "t", "axis"]
     rows = stored.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
     asked = looks.groupBy(*key).agg(F.count(F.lit(1)).alias("asked"))
-    sizes = rows.join(asked, key)  # one row for each axis, table and width: bounded by the parameters
+    sizes = rows.join(asked, key)  # one row for each axis, table, band and width: bounded by the parameters
     plan = sizes.select(*key, F.ceil(F.col("rows") / BLOCK).alias("blocks"), F.ceil(F.col("asked") / QUERIES).alias("portions"))
     path = scratch_path(spark, "axes")
     plan.write.parquet(path)
@@ -190,7 +196,7 @@ def search(
     every: int = 20,
     top: int = TOP,
     tables: int = TABLES,
-    probes: int = PROBES,
+    probes: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """For each row whose id is divisible by ``every``, the ``top`` other rows with the largest inner product found.
@@ -204,22 +210,30 @@ def search(
     of different lengths are not compared. Rows that repeat id and vector count once; rows of one id are never
     neighbours of each other, and a query id of several vectors stands for the least of them. Other columns are not read, whatever they are called. No row gives no row.
 
-    Every row is hashed once and stored with its axes; nothing is fitted but the longest vector's length. The tables
+    Every row is hashed once and stored with its axes; nothing is fitted but the longest vector's length of each
+    band of similar lengths; a query looks into all bands, into ``probes`` axes of a table or a fixed share of them, and at every row of a
+    band of at most ``BLOCK`` rows. The tables
     have 2 * dimensions axes each; what is sent to all tasks is one row for each axis, not for each vector.
     """
     spark = embeddings.sparkSession
     rows = valid(embeddings, id_col, vector_col).dropDuplicates(["vec_id", "vector"])
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    lengths = rows.groupBy("width").agg(F.sqrt(F.max(square)).alias("longest"), F.count(F.lit(1)).alias("n")).collect()
-    longest = {r["width"]: r["longest"] for r in lengths}
+    lengths = rows.groupBy("width", "band").agg(F.sqrt(F.max("square")).alias("longest"), F.count(F.lit(1)).alias("n")).collect()
+    longest = {(r["width"], r["band"]): r["longest"] for r in lengths}
+    # a band of one block is looked at whole, as one axis of one table
+    small = [(r["width"], r["band"], r["n"] <= BLOCK) for r in lengths]
+    bands = F.broadcast(spark.createDataFrame(small, "width int, band int, whole boolean"))
+    rows = rows.drop("square")
     path, found_path = scratch_path(spark, "hashed"), scratch_path(spark, "found")
     hashed(rows, longest, every, tables, probes, seed).write.parquet(path)
     stored = spark.read.parquet(path)
-    placed = stored.select("vec_id", "vector", "width", F.posexplode("axis").alias("t", "axis"))
+    placed = stored.select("vec_id", "vector", "width", "band", F.posexplode("axis").alias("t", "axis"))
+    placed = placed.join(bands, ["width", "band"]).where("NOT whole OR t = 0").withColumn("axis", F.when(F.col("whole"), 0).otherwise(F.col("axis")))
     asked = stored.where(F.col("looks").isNotNull()).groupBy(F.col("vec_id").alias("query_id"))
     asks = asked.agg(F.min(F.struct("vector", "width", "looks")).alias("q")).select("query_id", "q.*")
     looks = asks.select("query_id", "vector", "width", F.posexplode("looks").alias("t", "l"))
-    looks = looks.select("query_id", "vector", "width", "t", F.explode("l").alias("axis"))
+    looks = looks.select("query_id", "vector", "width", "t", F.explode("l").alias("axis")).join(bands.where("NOT whole"), "width")
+    entire = asks.select("query_id", "vector", "width", F.lit(0).alias("t"), F.lit(0).alias("axis")).join(bands.where("whole"), "width")
+    looks = looks.unionByName(entire)
     _best(_met(placed, looks, top), top, tables).write.parquet(found_path)
     first = spark.read.parquet(found_path)
 
@@ -227,7 +241,7 @@ def search(
     enough = first.where(F.size("found") >= top)
     missing = asks.select("query_id", "vector", "width").join(enough, "query_id", "left_anti")
     all_axes = F.sequence(F.lit(0), F.expr("2 * shiftleft(1, CAST(floor(log2(width)) AS INT) + 1) - 1"))
-    everything = missing.withColumn("t", F.lit(0)).withColumn("axis", F.explode(all_axes))
+    everything = missing.withColumn("t", F.lit(0)).withColumn("axis", F.explode(all_axes)).join(bands, "width")
     second = _best(_met(placed.where("t = 0"), everything, top), top, 1)
     best = enough.unionByName(second)
     ranked = best.select("query_id", F.posexplode("found").alias("r", "f"))
