@@ -6,8 +6,9 @@ from viewloom.llm import neighbours
 
 
 @pytest.mark.parametrize("times", [2, 25])
-def test_repeated_rows_cost_no_neighbour(spark, by_rows, times):
+def test_repeated_rows_cost_no_neighbour(spark, monkeypatch, by_rows, times):
     """All rows several times give what all rows once give, whether found by probes or by looking at every row."""
+    monkeypatch.setattr(neighbours, "BLOCK", 100)  # larger bands are probed
     x = np.random.default_rng(6).normal(size=(400, 16))
     once = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     many = once.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times))))
