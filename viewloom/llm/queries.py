@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from viewloom.catalog.base import table
-from viewloom.llm import boilerplate, licenses, mixing, neighbours, packing, quality, secrets, simhash, surrogates, tokens
+from viewloom.llm import boilerplate, licenses, merkle, mixing, neighbours, packing, quality, secrets, simhash, surrogates, tokens, tries
 from viewloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -64,3 +64,16 @@ def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     replaced = surrogates.replace_pii(table(spark, sf_dir, "documents"), key="viewloom example key")
     return replaced.select("doc_id", "text", "n_entities")
+
+
+@query()
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = merkle.manifest(docs, tampered={"text": merkle.tampered_text()})
+    return merkle.verified(found).select(*merkle.COLUMNS)
+
+
+@query()
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = tries.regraft(tries.turn_lists(table(spark, sf_dir, "conversations")))
+    return tries.prefix_trie(lists).select(*tries.COLUMNS)
