@@ -10,11 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewloom.llm import boilerplate, minhash, mixing, packing, quality
+from viewloom.llm import boilerplate, chosen, mixing, packing, quality, simhash
 from viewloom.llm.common import fresh, quoted
-from viewloom.session import scratch_path
+from viewloom.session import scratch_mark, settled
 
 MAX_REPEATS = 1.5
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +29,14 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: shingles of five words, similarity 0.8 or more."""
-    return minhash.keep_one(docs)
+    """One document of each class of near-duplicates, by shingles of five words.
+
+    Fingerprints of few different bits find most copies; what is left is joined from a Jaccard similarity of 0.8,
+    which no fingerprint of 64 bits reaches.
+    """
+    since = scratch_mark()
+    first = settled(simhash.keep_one(docs, shingle=SHINGLE), "fingerprinted", since)
+    return settled(chosen.keep_one(first, similarity=SIMILARITY, shingle=SHINGLE), "single", since)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents of ``sf_dir``."""
+    """Applies all stages to the documents of ``sf_dir``; the scratch of a stage goes when its result is written."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    since = scratch_mark()
     for number, (_, stage) in enumerate(STAGES):
-        path = scratch_path(spark, f"stage{number}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = settled(stage(spark, docs, sf_dir), f"stage{number}", since)
     return docs
