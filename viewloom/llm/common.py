@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from viewloom.session import scratch_path
+
 
 def fresh(df: DataFrame, *names: str, also: Iterable[str] = ()) -> list[str]:
     """Column names that do not clash with those of ``df``, or ``also`` others, whatever their case."""
@@ -34,6 +36,13 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch table and read again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(column, string.ascii_uppercase, string.ascii_lowercase)

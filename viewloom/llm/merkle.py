@@ -19,8 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from viewloom.llm.common import ascii_lower, fresh, quoted
-from viewloom.session import scratch_path
+from viewloom.llm.common import ascii_lower, fresh, quoted, stored
 
 FANOUT = 8
 #: Levels that a task goes up in one round: a block has at most FANOUT ** HEIGHT nodes at its bottom.
@@ -99,12 +98,6 @@ def fold(leaf: str, proof: Sequence[tuple[str, str]]) -> str:
     return leaf
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     """``rows`` with ``at`` (place in the group, from 0) and ``of`` (rows of the group); null sorts first.
 
@@ -127,7 +120,7 @@ def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(told) - 2], part, pa.array(own, pa.int64())], names=told.names)
 
     dealt = rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id().cast("long"))
-    dealt = _stored(dealt.sortWithinPartitions(*keys).mapInArrow(run, told), "numbered")
+    dealt = stored(dealt.sortWithinPartitions(*keys).mapInArrow(run, told), "numbered")
     counts = dealt.groupBy(group, "part").agg(F.count(F.lit(1)).alias("n"))
     # one row for each partition and group that meet: partitions and groups at most
     own = W.partitionBy(group)
@@ -225,7 +218,7 @@ def _forest(leaves: DataFrame) -> list[DataFrame]:
     rounds = [leaves]
     most = leaves.agg(F.max("of")).first()[0] or 0
     while most > 1:
-        rounds.append(_stored(_up(rounds[-1]), "tops"))
+        rounds.append(stored(_up(rounds[-1]), "tops"))
         most = -(-most // FANOUT**HEIGHT)
     return rounds
 
@@ -233,7 +226,7 @@ def _forest(leaves: DataFrame) -> list[DataFrame]:
 def _lowered(rounds: list[DataFrame], tops: DataFrame, keep: StructType) -> DataFrame:
     """Proofs for the lowest of ``rounds``, from those of its roots."""
     for nodes in reversed(rounds[1:-1]):
-        tops = _stored(_down(nodes, tops, StructType.fromDDL(_NODE)), "proofs")
+        tops = stored(_down(nodes, tops, StructType.fromDDL(_NODE)), "proofs")
     return _down(rounds[0], tops, keep)
 
 
@@ -262,14 +255,14 @@ def manifest(
         leaf_digest(fields).alias("leaf"),
         (leaf_digest(changed) if tampered else F.lit(None).cast("string")).alias("other"),
     )
-    leaves = numbered(_stored(leaves, "leaves"), "lang", ["doc_id", "leaf", "other"])
+    leaves = numbered(stored(leaves, "leaves"), "lang", ["doc_id", "leaf", "other"])
     # a null group is told from all others by its first letter
     named = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-"))
-    leaves = _stored(leaves.select("*", named.alias("grp"), F.col("leaf").alias("digest")), "places")
+    leaves = stored(leaves.select("*", named.alias("grp"), F.col("leaf").alias("digest")), "places")
     rounds = _forest(leaves)
     roots = rounds[-1].select(F.col("grp").alias("own"), F.col("digest").alias("subroot"))
-    roots = numbered(_stored(roots.withColumn("all", F.lit("all")), "roots"), "all", ["own"])
-    roots = _stored(roots.select("own", F.lit("all").alias("grp"), "at", "of", F.col("subroot").alias("digest")), "roots")
+    roots = numbered(stored(roots.withColumn("all", F.lit("all")), "roots"), "all", ["own"])
+    roots = stored(roots.select("own", F.lit("all").alias("grp"), "at", "of", F.col("subroot").alias("digest")), "roots")
     upper = _forest(roots)
     if len(upper) == 1:  # one group or none
         root = roots.select("own", F.col("digest").alias("subroot"), F.lit(None).cast(_PROOF).alias("proof"), F.col("digest").alias("root"))
@@ -281,7 +274,7 @@ def manifest(
     keep = StructType([leaves.schema[c] for c in ("doc_id", "lang", "leaf", "other")])
     if len(rounds) == 1:  # every group has one leaf
         return leaves.join(tops.drop("at"), "grp").select(*keep.names, "proof", "subroot", "root")
-    return _lowered(rounds, _stored(tops, "proofs"), keep)
+    return _lowered(rounds, stored(tops, "proofs"), keep)
 
 
 def verified(found: DataFrame) -> DataFrame:

@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.common import quoted
+from viewloom.llm.common import quoted, stored
 from viewloom.operators.skew import skew_join
-from viewloom.session import scratch_path
 
 #: Conversations of a container that does not burst.
 LIMIT = 512
@@ -33,12 +32,6 @@ _NODE = (
 )
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def turn_lists(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
@@ -231,21 +224,21 @@ def prefix_trie(lists: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
     small, bursts, ended = [], [], []
     while True:
-        rows = _stored(rows, "open")
-        heavy = _stored(rows.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("head"), "heavy")
+        rows = stored(rows, "open")
+        heavy = stored(rows.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("head"), "heavy")
         if heavy.isEmpty():
             small.append(rows)
             break
         small.append(skew_join(rows, heavy, ["head"], ["conv_id"], "left_anti", SALTS))
         own = skew_join(rows, heavy, ["head"], ["conv_id"], "left_semi", SALTS)
-        bursts.append(_stored(_burst(own, bursts[-1] if bursts else None), "bursts"))
+        bursts.append(stored(_burst(own, bursts[-1] if bursts else None), "bursts"))
         own = skew_join(own, bursts[-1].select("head", "depth"), ["head"], ["conv_id"], "inner", SALTS)
         ended.append(own.where(F.size("ids") == F.col("depth")).select("head", "conv_id"))
         below = F.md5(F.concat_ws(":", "head", "depth", F.get("ids", F.col("depth"))))
         rows = own.where(F.size("ids") > F.col("depth"))
         rows = rows.select("conv_id", "ids", "sizes", F.col("depth").alias("top"), below.alias("head"), F.col("head").alias("parent"))
         rows = rows.withColumn("top", F.col("top") + 1)
-    swept = _stored(_sweep_containers(reduce(DataFrame.unionByName, small)), "swept")
+    swept = stored(_sweep_containers(reduce(DataFrame.unionByName, small)), "swept")
     inner = swept.where("head IS NULL").select(*COLUMNS)
     heads = swept.where("head IS NOT NULL")
     if not bursts:
