@@ -54,6 +54,58 @@ def test_no_name_becomes_a_listed_one():
     assert not got & set(s.LISTED) and len(got) == sum(w not in s.LISTED for w in words)
 
 
+NUMBERS = {
+    "+15551234567": ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "+1.555.123.4567", "555-123-4567", "(555) 123-4567", "1-555-123-4567"],
+    "+442079460958": ["+442079460958", "+44 20 7946 0958", "+4420 7946 0958", "+44 2079 460958", "+44-20-79460958"],
+    "+33123456789": ["+33 1 23 45 67 89", "+33123456789", "+331 23456789"],
+    "+919876543210": ["+91 98765 43210", "+919876543210", "+91-9876543210"],
+    "+35312345678": ["+353 1 234 5678", "+35312345678"],
+}
+
+
+@pytest.mark.parametrize("number", NUMBERS)
+def test_one_number_has_one_surrogate_whatever_its_spacing(number):
+    got = set()
+    for text in NUMBERS[number]:
+        (e,) = s.entities(f"Call {text} now", KEY)
+        assert e.value == number and e.kind == "phone"
+        digits = "".join(c for c in e.surrogate if c.isdigit())
+        got.add(digits if len(digits) > 10 or text[0] == "+" else "1" + digits)
+        shown = "".join("9" if c.isdigit() else c for c in e.surrogate)
+        assert shown == "".join("9" if c.isdigit() else c for c in text)
+    (only,) = got
+    code = s.country(number[1:])
+    assert "+" + only != number and only[:code] == number[1 : 1 + code] and len(only) == len(number) - 1
+
+
+def test_a_surrogate_is_never_its_value():
+    for k in range(3000):
+        for value in (f"+1{k:07d}", f"+353{k:06d}", f"+44{k:010d}"):
+            (e,) = s.entities(f"x {value} y", KEY)
+            assert e.surrogate != value
+    assert all(s.address(KEY, f"{k % 223 + 1}.{k % 251}.3.4") != f"{k % 223 + 1}.{k % 251}.3.4" for k in range(2000))
+
+
+def test_given_names_take_the_gender_of_the_title():
+    got = [rewritten(f"Mrs {w} Quist left").split()[1] for w in ("Olga", "Ruth", "Margit", "Xo")]
+    assert all(w[-1] in s.ENDINGS["latin", "f"] for w in got)
+    got = [rewritten(f"Herr {w} Quist ging").split()[1] for w in ("Olaf", "Ugo", "Bela")]
+    assert all(w[-1] in s.ENDINGS["latin", "m"] for w in got)
+    assert rewritten("госпожа Зоя Кузнецова")[8:].split()[0][-1] in s.ENDINGS["cyrillic", "f"]
+    assert rewritten("Mr Smith")[-1] == "h"
+
+
+def test_names_in_any_case_and_with_marks():
+    text = "Dear Mr. Smith, SMITH and smith, Mr O'Brien, Mr J. Quist, Mrs Smith-Jones; O'Brien, QUIST."
+    got = rewritten(text)
+    new = got.split()[2].rstrip(",")
+    assert f"{new}, {new.upper()} and {new.lower()}" in got
+    for old in ("Smith", "smith", "SMITH", "Brien", "Quist", "QUIST", "Jones"):
+        assert old not in got
+    assert rewritten("mail josé@x.com or zoë.b@büro.de").count("@") == 2
+    assert "jos" not in rewritten("mail josé@x.com") and "b@b" not in rewritten("to zoë.b@büro.de")
+
+
 def test_what_is_no_personal_data_stays():
     text = "Version 1.2.3.4.5, 300.1.1.1, id 12345678, a@b, Mr president, 2024-01-02, tel"
     assert rewritten(text) == text
@@ -77,6 +129,46 @@ def test_rows(spark, tricky, nothing, pairs, by_rows):
         s.replace_pii(docs, "")
 
 
+def test_table_as_by_single_texts(spark, by_rows):
+    """All rows as their texts alone would give them; over all texts surrogates and values go together."""
+    long = "word " * 40000 + "Mrs Ada Quist, +1 555 123 4567 " + "word " * 40000 + "ada@mail.org"
+    texts = [v for own in NUMBERS.values() for v in own] + [long, "Mr Quist", None, "", "4111 1111 1111 1111, 123-45-6789"]
+    texts += [f"mail u{k}@h{k % 7}.org from 10.0.{k}.9" for k in range(60)] + ["mail U3@H3.org", "mail U3@H3.org"]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, row string")
+    got = s.replace_pii(docs, "k").collect()
+    own = s.Key(s.hashlib.blake2b(b"k").digest())
+    want = [(k, s.rewrite(t or "", s.entities(t or "", own)), len(s.entities(t or "", own))) for k, t in enumerate(texts)]
+    assert by_rows([(r.doc_id, r.text, r.n_entities) for r in got]) == by_rows(want)
+    values, shown = {}, {}
+    for r in got:
+        for e in r.found:
+            plain = "".join(c for c in e.surrogate if c.isdigit()) if e.kind == "phone" else e.surrogate.lower()
+            plain = "1" + plain if e.kind == "phone" and len(plain) == 10 and "+" not in e.surrogate else plain
+            values.setdefault((e.kind, e.value), set()).add(plain)
+            shown.setdefault((e.kind, plain), set()).add(e.value)
+    assert all(len(v) == 1 for v in values.values()) and all(len(v) == 1 for v in shown.values())
+
+
+def test_collisions_are_resolved(spark, monkeypatch, by_rows):
+    """Values that get one surrogate, by force: one keeps it, the others move on together in all texts."""
+    true = s._replaced
+
+    def forced(key, kind, found):
+        value, surrogate = true(key, kind, found)
+        return value, "555-000-0000" if found.startswith("555-111") else surrogate
+
+    monkeypatch.setattr(s, "_replaced", forced)
+    texts = ["a 555-111-0001 b 555-222-0001", "555-111-0002", "c 555-111-0001, (555) 222-0001", "x 555-111-0003 y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in s.replace_pii(docs, "k").collect()}
+    shown = [rows[k].found[0].surrogate for k in (0, 1, 3)]
+    assert len(set(shown)) == 3 and "555-000-0000" in shown
+    assert rows[2].found[0].surrogate == shown[0] and rows[2].text.startswith(f"c {shown[0]}, (")
+    assert rows[0].text.startswith(f"a {shown[0]} b ") and rows[3].text == f"x {shown[2]} y"
+    for r in rows.values():
+        assert all(e.surrogate in r.text for e in r.found)
+
+
 def test_collisions_are_seen(spark):
     kind = "found array<struct<kind: string, value: string, surrogate: string>>"
     done = spark.createDataFrame([([("name", "1", "X"), ("name", "2", "x")],), ([("phone", "1", "+1 2"), ("phone", "1", "+12")],)], kind)

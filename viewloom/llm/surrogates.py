@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.common import add_columns, id_text
-from viewloom.session import scratch_path
+from viewloom.llm.common import add_columns, id_text, stored
 
 ROUNDS = 8
 
@@ -41,6 +40,18 @@ SOUNDS = {
     "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ"),
 }
 
+# Calling codes of two digits; those that begin with 1 or 7 have one, all others three.
+CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+    "81 82 84 86 90 91 92 93 94 95 98".split()
+)
+# The letters that given names of a gender end on, by script.
+ENDINGS = {
+    ("latin", "f"): "ae", ("latin", "m"): "bdfgklmnoprstvxz",
+    ("cyrillic", "f"): "аья", ("cyrillic", "m"): "бвгджзйклмнопрстфхцчшщ",
+    ("greek", "f"): "αηωάή", ("greek", "m"): "νςρξ",
+}
+
 LISTED = {name: (kind, i) for kind, names in NAMES.items() for i, name in enumerate(names.split())}
 CLASS = {c: (script, kind) for script, both in SOUNDS.items() for kind, letters in enumerate(both) for c in letters}
 
@@ -167,6 +178,16 @@ def account(key: Key, value: str) -> str:
     return body + str((luhn(body) + off) % 10)
 
 
+def country(value: str) -> int:
+    """How many leading digits of an international number are its country's: they tell it, whatever the spacing."""
+    return 1 if value[0] in "17" else 2 if value[:2] in CODES else 3
+
+
+def phone(key: Key, value: str) -> str:
+    """Another number of the same country and length."""
+    return digits(key, value, f"phone {len(value)}", keep=country(value))
+
+
 PRIVATE = ((10 << 24, 8), ((172 << 24) + (16 << 16), 12), ((192 << 24) + (168 << 16), 16), (127 << 24, 8))
 
 
@@ -179,10 +200,10 @@ def address(key: Key, value: str) -> str:
     x = 0
     for part in value.split("."):
         x = x * 256 + int(part)
-    network = _network(x)
+    first, network = x, _network(x)
     while True:
         x = key.other(x, 1 << 32, "address") if network < 0 else _inside(key, x, network)
-        if _network(x) == network:
+        if _network(x) == network and x != first:
             return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
 
@@ -191,29 +212,54 @@ def _inside(key: Key, x: int, network: int) -> int:
     return base + key.other(x - base, 1 << (32 - bits), f"address {network}")
 
 
-def name(key: Key, word: str) -> str:
-    """A listed name becomes another one of its script and gender; any other one is respelled with its last letter,
-    which often tells the gender, and never becomes a listed one."""
+def name(key: Key, word: str, gender: str = "") -> str:
+    """A listed name becomes another one of its script and gender; any other one is respelled, and never becomes a
+    listed one.
+
+    A family name keeps its last letter, which tells a gender in some languages. A given name of known gender gets
+    that gender's kind of ending: its own letter where that is one, else a syllable behind it.
+    """
     if word in LISTED:
         kind, k = LISTED[word]
         names = NAMES[kind].split()
         return names[key.other(k, len(names), "name " + " ".join(kind))]
+    ending = _ending(key, word, gender) if gender else ""
     while True:
-        word = scramble(key, word, "name", vowels=True, keep_last=True)
-        if word not in LISTED:
-            return word
+        word = scramble(key, word, f"name {gender}".rstrip(), vowels=True, keep_last=True)
+        if word + ending not in LISTED:
+            return word + ending
+
+
+def _ending(key: Key, word: str, gender: str) -> str:
+    script = next((CLASS[c][0] for c in word if c in CLASS), "latin")
+    fit = ENDINGS[script, gender]
+    if word[-1] in fit:
+        return ""
+    last = fit[key.number("ending", gender, word) % len(fit)]
+    # between two vowels, and between two consonants, goes one of the other kind
+    vowels, consonants = SOUNDS[script]
+    between = ""
+    if word[-1] in vowels and last not in consonants:
+        between = consonants[key.number("between", word) % len(consonants)]
+    elif word[-1] not in vowels and last not in vowels:
+        between = vowels[key.number("between", word) % len(vowels)]
+    return between + last
 
 
 _TITLE = "|".join(sorted((re.escape(t) for titles in TITLES.values() for t in titles), key=len, reverse=True))
-_WORD = r"[^\W\d_a-zа-яα-ω][^\W\d_]+"
-TITLED = re.compile(rf"\b(?:{_TITLE})\b\.?[ \t]+({_WORD}(?:[ \t]+{_WORD}){{0,2}})")
+GENDER = {t: gender for gender, titles in TITLES.items() for t in titles}
+_PART = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_WORD = rf"[^\W\d_a-zа-яα-ω](?:['’]{_PART}|{_PART})"
+_INITIALS = r"(?:[^\W\d_a-zа-яα-ω]\.[ \t]*)*"
+TITLED = re.compile(rf"\b({_TITLE})\b\.?[ \t]+{_INITIALS}({_WORD}(?:[ \t]+{_INITIALS}{_WORD}){{0,2}})")
+WORD = re.compile(_WORD)
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 KINDS = (
-    ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"), "@"),
+    ("email", re.compile(r"(?<![\w.%+-])[^\W_][\w.%+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w-])"), "@"),
     ("address", re.compile(rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)", re.ASCII), "."),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.ASCII), "-"),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\w)", re.ASCII), "+"),
-    ("phone", re.compile(r"(?<![\w(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)", re.ASCII), ""),
+    ("phone", re.compile(r"(?<![\w+])\+[1-9](?:[ .-]?\(?\d\)?){7,14}(?!\w)", re.ASCII), "+"),
+    ("phone", re.compile(r"(?<![\w(.-])(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)", re.ASCII), ""),
     ("account", re.compile(r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)", re.ASCII), ""),
 )
 
@@ -228,33 +274,52 @@ def _replaced(key: Key, kind: str, found: str) -> tuple[str, str]:
     value = "".join(c for c in found if c.isdigit())
     if kind == "account":
         new = account(key, value)
+    elif kind == "phone":
+        # a number without a country is one of the plan whose code is 1
+        whole = f"1{value}" if found[0] != "+" and len(value) == 10 else value
+        value, new = f"+{whole}", phone(key, whole)[len(whole) - len(value) :]
     else:
-        new = digits(key, value, kind, keep=len(found[1:]) - len(found[1:].lstrip("0123456789")) if found[0] == "+" else 0)
+        new = digits(key, value, kind)
     it = iter(new)
-    return f"+{value}" if found[0] == "+" else value, "".join(next(it) if c.isdigit() else c for c in found)
+    return value, "".join(next(it) if c.isdigit() else c for c in found)
+
+
+def _names(text: str) -> dict[str, str]:
+    """The words behind titles in lower case, with the gender of given names; "" for others.
+
+    Of several words the last is the family's; a single one is a family name, unless it is a given name elsewhere.
+    """
+    known: dict[str, str] = {}
+    for m in TITLED.finditer(text):
+        *given, family = (w.lower() for w in WORD.findall(m.group(2)))
+        known.setdefault(family, "")
+        for word in given:
+            known[word] = known.get(word) or GENDER[m.group(1)]
+    return known
 
 
 def entities(text: str, key: Key) -> list[Entity]:
     """Personal data in a whole text, from left to right, without overlaps.
 
-    Names are found behind titles; the same words count as names wherever else they stand in the text.
+    Names are found behind titles; the same words count as names wherever else they stand in the text, in any case.
     """
     found = []
     for rank, (kind, pattern, sign) in enumerate(KINDS):
         if sign in text:
             found += [(m.start(), rank, m.end(), kind, m.group()) for m in pattern.finditer(text)]
-    known = set()
-    for m in TITLED.finditer(text):
-        known.update(m.group(1).split())
+    known = _names(text)
     if known:
-        again = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, known), key=len, reverse=True)) + r")(?!\w)")
+        words = "|".join(sorted(map(re.escape, known), key=lambda w: (-len(w), w)))
+        again = re.compile(rf"(?<!\w)(?:{words})(?!\w)", re.IGNORECASE)
         found += [(m.start(), len(KINDS), m.end(), "name", m.group()) for m in again.finditer(text)]
     out, last = [], 0
     for start, _, end, kind, own in sorted(found):
         if start >= last:
             if kind == "name":
                 value = own.lower()
-                surrogate = like(own, name(key, value))
+                gender = known.get(value, "")
+                surrogate = like(own, name(key, value, gender))
+                value = f"{value} {gender}".rstrip()
             else:
                 value, surrogate = _replaced(key, kind, own)
             out.append(Entity(start, end, kind, value, surrogate))
@@ -281,8 +346,8 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     a null id stays null; repeated rows give repeated results. Other columns are not read, whatever they are called.
     No row gives no row.
 
-    Texts are rewritten in one pass without a shuffle and stored; then ``collisions`` of all their entities are
-    counted, and the job fails if there is one.
+    Texts are rewritten in one pass without a shuffle and stored. Of values that share a surrogate (see
+    ``collisions``) all but one then go through a further keyed round, in all texts alike, until none do.
     """
     if not key:
         raise ValueError("surrogates need a key")
@@ -298,30 +363,90 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
                 [(e.start, e.end, e.kind, f"{own.number(e.kind, e.value, bits=128):032x}", e.surrogate) for e in es]
                 for es in found
             ]
-            names = ("start", "end", "kind", "value", "surrogate")
-            kind = pa.list_(pa.struct([(n, pa.int64() if n in names[:2] else pa.string()) for n in names]))
-            dicts = [[dict(zip(names, r)) for r in es] for es in rows]
-            return [pa.array([rewrite(t, es) for t, es in zip(texts, found)], pa.string()), pa.array(dicts, kind)]
+            return [pa.array([rewrite(t, es) for t, es in zip(texts, found)], pa.string()), _told(rows)]
 
         return new
 
-    path = scratch_path(docs.sparkSession, "surrogates")
     texts = id_text(docs, id_col, text_col)
-    add_columns(texts, f"rewritten string, found array<{FOUND}>", make, ["doc_id"]).write.parquet(path)
-    done = docs.sparkSession.read.parquet(path)
-    bad = collisions(done).count()
-    if bad:
-        raise ValueError(f"{bad} surrogates stand for several values")
+    done = add_columns(texts, f"rewritten string, found array<{FOUND}>", make, ["doc_id"])
+    # a number of each row, which is stored with it
+    done = stored(done.withColumn("row", F.monotonically_increasing_id()), "surrogates")
+    turn = 0
+    while True:
+        later = stored(_later(done), "later")
+        if later.isEmpty():
+            break
+        turn += 1
+        done = stored(_another_round(done, later, secret, turn), "surrogates")
     return done.select("doc_id", F.col("rewritten").alias("text"), F.size("found").cast("long").alias("n_entities"), "found")
 
 
+def _told(rows: list[list[tuple]]) -> pa.Array:
+    names = ("start", "end", "kind", "value", "surrogate")
+    kind = pa.list_(pa.struct([(n, pa.int64() if n in names[:2] else pa.string()) for n in names]))
+    return pa.array([[dict(zip(names, r)) for r in es] for es in rows], kind)
+
+
+def _each(done: DataFrame) -> DataFrame:
+    """(kind, value, surrogate): one row for each entity; the surrogate in lower case, of numbers the digits alone."""
+    each = done.select(F.explode("found").alias("e")).select("e.kind", "e.value", "e.surrogate")
+    digits_only = F.regexp_replace("surrogate", r"[^0-9+]", "")
+    plain = F.when(F.col("kind").isin("phone", "account", "ssn"), digits_only).otherwise(F.lower("surrogate"))
+    return each.withColumn("surrogate", plain)
+
+
 def collisions(done: DataFrame) -> DataFrame:
     """(kind, surrogate, values): surrogates, upper and lower case alike, that stand for more than one value.
 
     Digits count without separators, since a value may be written in several formats.
     """
-    each = done.select(F.explode("found").alias("e")).select("e.kind", "e.value", "e.surrogate")
-    digits_only = F.regexp_replace("surrogate", r"[^0-9+]", "")
-    plain = F.when(F.col("kind").isin("phone", "account", "ssn"), digits_only).otherwise(F.lower("surrogate"))
-    found = each.groupBy("kind", plain.alias("surrogate")).agg(F.count_distinct("value").alias("values"))
+    found = _each(done).groupBy("kind", "surrogate").agg(F.count_distinct("value").alias("values"))
     return found.where("values > 1")
+
+
+def _later(done: DataFrame) -> DataFrame:
+    """(kind, value): of the values that share a surrogate all but the least."""
+    each = _each(done).distinct()
+    shared = each.groupBy("kind", "surrogate").agg(F.min("value").alias("first"), F.max("value").alias("last"))
+    both = each.join(shared.where("first < last").select("kind", "surrogate", "first"), ["kind", "surrogate"])
+    return both.where("value != first").select("kind", "value").distinct()
+
+
+def _another_round(done: DataFrame, later: DataFrame, secret: bytes, turn: int) -> DataFrame:
+    """``done`` with the surrogates of some values replaced once more, by a key of their own."""
+
+    def make():
+        def new(batch):
+            texts, rows = [], []
+            columns = [batch.column(c).to_pylist() for c in ("rewritten", "found", "again")]
+            for text, found, again in zip(*columns):
+                moved, out, last, shift, own = set(map(tuple, ((a["kind"], a["value"]) for a in again))), [], 0, 0, []
+                for e in found:
+                    start, old = e["start"] + shift, e["surrogate"]
+                    shift += len(old) - (e["end"] - e["start"])
+                    fresh = old
+                    if (e["kind"], e["value"]) in moved:
+                        keyed = hashlib.blake2b(f"{turn} {e['kind']} {e['value']}".encode(), key=secret[:64]).digest()
+                        fresh = _once_more(Key(keyed), e["kind"], old)
+                    out += [text[last:start], fresh]
+                    last = start + len(old)
+                    own.append((e["start"], e["end"], e["kind"], e["value"], fresh))
+                texts.append("".join([*out, text[last:]]))
+                rows.append(own)
+            return [pa.array(texts, pa.string()), _told(rows)]
+
+        return new
+
+    each = done.select("row", F.explode("found").alias("e")).select("row", "e.kind", "e.value").distinct()
+    hit = each.join(later, ["kind", "value"]).groupBy("row").agg(F.collect_list(F.struct("kind", "value")).alias("again"))
+    both = done.join(hit, "row", "left")
+    moved = both.where("again IS NOT NULL")
+    moved = add_columns(moved, f"text string, entities array<{FOUND}>", make, ["doc_id", "row"])
+    moved = moved.select("doc_id", F.col("text").alias("rewritten"), F.col("entities").alias("found"), "row")
+    return both.where("again IS NULL").drop("again").unionByName(moved)
+
+
+def _once_more(key: Key, kind: str, surrogate: str) -> str:
+    if kind == "name":
+        return like(surrogate, name(key, surrogate.lower()))
+    return _replaced(key, kind, surrogate)[1]
