@@ -3,24 +3,27 @@
 Vectors become unit vectors, are turned by fast pseudo-rotations (signs, then a Hadamard transform, three times) and
 belong to the signed axis nearest to them. A query looks into the axes nearest to it in several tables; all that is
 found there is compared exactly.
+
+Vectors move once for each group of queries that looks at any of their axes, not once for each table: rows are stored
+in blocks of like axes, and a directory of the axes of each block tells which blocks a group of queries has to meet.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from viewloom.llm.common import quoted
-from viewloom.session import scratch_path
+from viewloom.llm.common import quoted, stored
 
-TABLES, PROBES, SEED, TOP = 4, 60, 42, 20
-#: Part of the axes that a query looks into in a table, if that is more than PROBES.
-SHARE = 60 / 256
+TABLES, PROBES, SEED, TOP = 32, 4, 42, 20
+#: Probes of a table that a query starts with; it looks further if the last of them still found something.
+FIRST = 2
 #: Rows of a block, and queries that meet it in one task.
 BLOCK, QUERIES = 4096, 2048
 
@@ -73,25 +76,42 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _nearest(q_ids: np.ndarray, q: np.ndarray, base_ids: np.ndarray, base: np.ndarray, top: int) -> tuple[np.ndarray, ...]:
-    """How many of the base each query has among its best, and for all of these, query by query, score and id.
+def _nearest(q: np.ndarray, base_ids: np.ndarray, base: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the ``top`` best of the base for one query, nearest first.
 
-    A matrix product chooses generously, exact products decide.
+    A matrix product chooses generously, exact products decide. Rows that repeat id and score count once.
     """
-    rough = q @ base.T
-    rough[q_ids[:, None] == base_ids[None, :]] = -np.inf
-    edge = np.full(len(q), -np.inf)
+    rough = base @ q
+    chosen = np.arange(len(base))
     if len(base) > top:
-        edge = -np.partition(-rough, top - 1, axis=1)[:, top - 1]
-    bound = np.sqrt((q * q).sum(axis=1)) * np.sqrt((base * base).sum(axis=1).max(initial=0))
-    row, column = np.nonzero((rough >= (edge - 1e-9 * bound)[:, None]) & (rough > -np.inf))
-    exact = products(q[row], base[column])
-    order = np.lexsort((base_ids[column], -exact, row))
-    row, exact, near = row[order], exact[order], base_ids[column[order]]
-    again = np.concatenate(([False], (np.diff(row) == 0) & (np.diff(exact) == 0) & (np.diff(near) == 0)))[: len(row)]
-    row, exact, near = row[~again], exact[~again], near[~again]  # rows that repeat id and vector
-    best = np.arange(len(row)) - np.searchsorted(row, row) < top
-    return np.bincount(row[best], minlength=len(q)), exact[best], near[best]
+        edge = np.partition(rough, len(base) - top)[len(base) - top]
+        slack = 1e-9 * np.sqrt((q * q).sum()) * np.sqrt((base * base).sum(axis=1).max())
+        chosen = np.flatnonzero(rough >= edge - slack)
+    exact = products(np.broadcast_to(q, (len(chosen), len(q))), base[chosen])
+    order = np.lexsort((base_ids[chosen], -exact))
+    chosen, exact = chosen[order], exact[order]
+    again = np.concatenate(([False], (np.diff(exact) == 0) & (np.diff(base_ids[chosen]) == 0)))[: len(chosen)]
+    return chosen[~again][:top], exact[~again][:top]
+
+
+class Index:
+    """The rows of a block by their axis in each table."""
+
+    def __init__(self, axis: np.ndarray):
+        self.rows = len(axis)
+        self.order = np.argsort(axis, axis=0, kind="stable")
+        self.axis = np.take_along_axis(axis, self.order, 0)
+
+    def met(self, looks: Sequence[Sequence[int]], first: int, last: int) -> np.ndarray:
+        """Which rows are on the axes ``first`` to ``last`` of a query's lists in any table."""
+        found = np.zeros(self.rows, bool)
+        for t, own in enumerate(looks):
+            own = np.asarray(own[first:last])
+            starts = np.searchsorted(self.axis[:, t], own)
+            ends = np.searchsorted(self.axis[:, t], own, side="right")
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                found[self.order[a:b, t]] = True
+        return found
 
 
 def vectors(column: pa.Array, width: int) -> np.ndarray:
@@ -111,7 +131,37 @@ def valid(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.withColumn("width", F.size("vector")).withColumn("square", square).withColumn("band", band)
 
 
-def hashed(rows: DataFrame, longest: dict[tuple[int, int], float], every: int, tables: int, probes: int | None, seed: int) -> DataFrame:
+class Plan:
+    """How far queries look into each band: its longest vector, and the factor by which their probes are multiplied.
+
+    The best of a query are mostly among the longest vectors, which may be few; so the fewer rows are as long as a
+    band's, the more of its axes are looked into.
+    """
+
+    def __init__(self, bands: list[tuple[int, int, float, int]], top: int, probes: int):
+        self.longest = {(width, band): longest for width, band, longest, _ in bands}
+        self.factor: dict[tuple[int, int], float] = {}
+        self.probes: dict[int, int] = {}
+        self.first: dict[int, int] = {}
+        for width in {b[0] for b in bands}:
+            own = sorted((b for b in bands if b[0] == width), key=lambda b: -b[1])
+            total, seen = sum(b[3] for b in own), 0
+            for _, band, _, n in own:
+                seen += n
+                self.factor[width, band] = total / seen
+            # the less rows there are, the farther away are so many of them
+            self.probes[width] = int(probes * (1 + 10 * top / total))
+            # who asks for all axes wants all rows
+            self.first[width] = FIRST if probes < 2 << width.bit_length() else probes
+
+    def reach(self, width: int, band: int, probes: int) -> int:
+        return math.ceil(probes * self.factor[width, band])
+
+    def most(self, width: int) -> int:
+        return max(math.ceil(self.probes[width] * f) for (w, _), f in self.factor.items() if w == width)
+
+
+def hashed(rows: DataFrame, plan: Plan, every: int, tables: int, seed: int) -> DataFrame:
     """Adds the axis of each row in each table, and for the queries the axes to look into (else null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +170,12 @@ def hashed(rows: DataFrame, longest: dict[tuple[int, int], float], every: int, t
             for width, band in sorted(set(zip(widths.tolist(), bands.tolist()))):
                 own = batch.filter(pa.array((widths == width) & (bands == band)))
                 x = vectors(own.column("vector"), width)
-                stored, asked = unit(x, longest[width, band]), unit(x, None)
-                most = max(PROBES, math.ceil(2 * stored.shape[1] * SHARE)) if probes is None else probes
+                stored_as, asked = unit(x, plan.longest[width, band]), unit(x, None)
                 asks = own.column("vec_id").to_numpy() % every == 0
-                axis = np.stack([axes(rotated(stored, t, seed), 1)[:, 0] for t in range(tables)], axis=1)
+                axis = np.stack([axes(rotated(stored_as, t, seed), 1)[:, 0] for t in range(tables)], axis=1)
                 looks: list = [None] * len(x)
                 if asks.any():
-                    seen = [axes(rotated(asked[asks], t, seed), most).tolist() for t in range(tables)]
+                    seen = [axes(rotated(asked[asks], t, seed), plan.most(width)).tolist() for t in range(tables)]
                     for k, per_table in zip(np.flatnonzero(asks), zip(*seen)):
                         looks[k] = per_table
                 kind = pa.list_(pa.int32())
@@ -140,53 +189,105 @@ def hashed(rows: DataFrame, longest: dict[tuple[int, int], float], every: int, t
     return rows.mapInArrow(run, f"vec_id long, vector {kind}, width int, band int, {fields}")
 
 
-def _met(stored: DataFrame, looks: DataFrame, top: int) -> DataFrame:
-    """(query_id, found): the ``top`` best of each block that a query looks into, as (score, vec_id).
+def _dealt(df: DataFrame, keys: list[str], first, id_col: str, size: int, name: str) -> DataFrame:
+    """``df`` with ``name``: parts of at most about twice ``size`` rows with like axes in the first table."""
+    rows = df.withColumn("first", first)
+    counts = rows.groupBy(*keys, "first").agg(F.count(F.lit(1)).alias("n"))
+    # one row for each axis, band and width: bounded by the parameters
+    own = W.partitionBy(*keys).orderBy("first").rowsBetween(W.unboundedPreceding, -1)
+    small = F.when(F.col("n") <= size, F.col("n")).otherwise(0)
+    before = F.coalesce(F.sum(small).over(own), F.lit(0))
+    part = F.when(F.col("n") <= size, F.floor(before / size)).otherwise(-1 - F.col("first")).cast("long")
+    sizes = stored(counts.select(*keys, "first", part.alias("part"), F.ceil(F.col("n") / size).alias("cuts")), "parts")
+    placed = rows.join(F.broadcast(sizes), [*keys, "first"])
+    own_part = F.concat_ws(":", *keys, "part", F.pmod(F.xxhash64(id_col), "cuts"))
+    return placed.withColumn(name, own_part).drop("first", "part", "cuts")
 
-    ``stored`` has vec_id, vector, width, band, t, axis; ``looks`` query_id, vector, width, band, t, axis. An axis with many
-    rows is cut into blocks, and its queries into portions; each portion meets each block in a group of its own.
-    """
-    spark = stored.sparkSession
-    key = ["width", "band", "t", "axis"]
-    rows = stored.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
-    asked = looks.groupBy(*key).agg(F.count(F.lit(1)).alias("asked"))
-    sizes = rows.join(asked, key)  # one row for each axis, table, band and width: bounded by the parameters
-    plan = sizes.select(*key, F.ceil(F.col("rows") / BLOCK).alias("blocks"), F.ceil(F.col("asked") / QUERIES).alias("portions"))
-    path = scratch_path(spark, "axes")
-    plan.write.parquet(path)
-    plan = F.broadcast(spark.read.parquet(path))
-
-    def dealt(df: DataFrame, id_col: str, own: str, other: str, is_query: bool) -> DataFrame:
-        placed = df.join(plan, key).withColumn(own[:-1], F.pmod(F.xxhash64(id_col), F.col(own)))
-        placed = placed.withColumn(other[:-1], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-        return placed.select(*key, "block", "portion", F.lit(is_query).alias("q"), F.col(id_col).alias("id"), "vector")
-
-    both = dealt(stored, "vec_id", "blocks", "portions", False).union(dealt(looks, "query_id", "portions", "blocks", True))
 
-    def meet(group: pa.Table) -> pa.Table:
-        asks = group.column("q").to_numpy()
-        width = group.column("width")[0].as_py()
-        ids, x = group.column("id").to_numpy(), vectors(group.column("vector").combine_chunks(), width)
-        base_ids, base, q_ids, q = ids[~asks], x[~asks], ids[asks], x[asks]
-        found = [_nearest(q_ids[k : k + 256], q[k : k + 256], base_ids, base, top) for k in range(0, len(q), 256)]
-        counts, scores, near = (np.concatenate([f[j] for f in found]) if found else np.empty(0) for j in range(3))
-        ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-        pairs = pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(near.astype(np.int64))], names=["score", "vec_id"])
-        return pa.table([pa.array(q_ids.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["query_id", "found"])
+def _met(base: DataFrame, asks: DataFrame, plan: Plan, top: int, tables: int, stage: int) -> DataFrame:
+    """(query_id, found, compared): the best of each block that a query meets, as (score, vec_id, via).
 
-    groups = both.groupBy(*key, "block", "portion")
-    return groups.applyInArrow(meet, "query_id long, found array<struct<score: double, vec_id: long>>")
+    ``base`` has vec_id, vector, width, band, axis, block; ``asks`` query_id, vector, width, looks, edge, portion.
+    Stage 0 looks along the first probes (``via`` 0 for the leading half of them), stage 1 along the others, in bands
+    whose vectors are long enough to pass a query's ``edge``; stage 2 looks at all rows.
+    """
 
+    def span(width: int, band: int) -> tuple[int, int, int]:
+        near, some = plan.reach(width, band, 1), plan.reach(width, band, plan.first[width])
+        return (0, near, some) if stage == 0 else (some, some, plan.reach(width, band, plan.probes[width]))
 
-def _best(found: DataFrame, top: int, tables: int) -> DataFrame:
-    """(query_id, found): the ``top`` best over all blocks.
+    if stage == 2:
+        pairs = asks.select("portion", "width").distinct().join(base.select("block", "width").distinct(), "width")
+    else:
+        spans = [(w, b, span(w, b)[0], span(w, b)[2]) for w, b in plan.factor]
+        spans = F.broadcast(base.sparkSession.createDataFrame(spans, "width int, band int, low int, high int"))
+        at = base.select("block", "width", "band", F.posexplode("axis").alias("t", "axis")).distinct()
+        look = asks.select("portion", "width", F.posexplode("looks").alias("t", "l"))
+        look = look.select("portion", "width", "t", F.posexplode("l").alias("k", "axis"))
+        look = look.groupBy("portion", "width", "t", "axis").agg(F.min("k").alias("least"), F.max("k").alias("last"))
+        at = at.join(spans, ["width", "band"])
+        pairs = look.join(at, ["width", "t", "axis"]).where("least < high AND last >= low").select("portion", "block").distinct()
+    pairs = stored(pairs.select("portion", "block"), "meetings")
+    kind = base.schema["vector"].dataType.simpleString()
+    rows = base.join(pairs, "block").select("portion", "block", "width", "band", F.col("vec_id").alias("id"), "vector", "axis")
+    asked = asks.select("portion", F.col("query_id").alias("id"), "vector", "looks", "edge").join(pairs, "portion")
+    both = rows.withColumns({"looks": F.lit(None).cast("array<array<int>>"), "edge": F.lit(None).cast("double")}).unionByName(
+        asked.withColumns({"width": F.lit(None).cast("int"), "band": F.lit(None).cast("int"), "axis": F.lit(None).cast("array<int>")}).select(
+            "portion", "block", "width", "band", "id", F.col("vector").cast(kind).alias("vector"), "axis", "looks", "edge"
+        )
+    )
 
-    A find is in one block of each table at most and has the same product everywhere, so its repetitions stand
-    together and are few: distinct finds are looked for only at the head of the list.
-    """
-    ranked = F.transform("found", lambda x: F.struct((-x["score"]).alias("down"), x["vec_id"].alias("vec_id"), x["score"].alias("score")))
-    merged = found.select("query_id", ranked.alias("found")).groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("f"))
-    return merged.select("query_id", F.slice(F.array_distinct(F.slice("f", 1, top * tables)), 1, top).alias("found"))
+    def meet(group: pa.Table) -> pa.Table:
+        here = group.column("band").is_valid().to_numpy()
+        own, asking = group.filter(pa.array(here)), group.filter(pa.array(~here))
+        ids, scores, near, via, ends, compared = [], [], [], [], [0], []
+        if len(own) and len(asking):
+            width, band = own.column("width")[0].as_py(), own.column("band")[0].as_py()
+            base_ids, x = own.column("id").to_numpy(), vectors(own.column("vector").combine_chunks(), width)
+            q = vectors(asking.column("vector").combine_chunks(), width)
+            index = Index(vectors(own.column("axis").combine_chunks(), tables).astype(np.int64))
+            low, middle, high = span(width, band)
+            longest = plan.longest[width, band]
+            edges = asking.column("edge").to_pylist()
+            for k, own_id in enumerate(asking.column("id").to_pylist()):
+                if edges[k] is not None and np.sqrt((q[k] * q[k]).sum()) * longest * (1 + 1e-9) < edges[k]:
+                    continue
+                if stage == 2:
+                    leading = seen = np.ones(len(x), bool)
+                else:
+                    looks = asking.column("looks")[k].as_py()
+                    leading = index.met(looks, low, middle)
+                    seen = leading | index.met(looks, middle, high)
+                    if stage == 1:
+                        seen &= ~index.met(looks, 0, low)
+                place = np.flatnonzero(seen & (base_ids != own_id))
+                if len(place):
+                    best, exact = _nearest(q[k], base_ids[place], x[place], top)
+                    ids.append(own_id)
+                    compared.append(len(place))
+                    scores.append(exact)
+                    near.append(base_ids[place[best]])
+                    via.append((~leading[place[best]]).astype(np.int32))
+                    ends.append(ends[-1] + len(best))
+        joined = [np.concatenate(c) if c else np.empty(0) for c in (scores, near, via)]
+        pairs = pa.StructArray.from_arrays(
+            [pa.array(joined[0], pa.float64()), pa.array(joined[1].astype(np.int64)), pa.array(joined[2].astype(np.int32))],
+            names=["score", "vec_id", "via"],
+        )
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+        return pa.table([pa.array(ids, pa.int64()), found, pa.array(compared, pa.int64())], names=["query_id", "found", "compared"])
+
+    fields = "query_id long, found array<struct<score: double, vec_id: long, via: int>>, compared long"
+    return both.groupBy("portion", "block").applyInArrow(meet, fields)
+
+
+def _best(found: DataFrame, top: int) -> DataFrame:
+    """(query_id, found, compared): the ``top`` best over all blocks."""
+    ranked = F.transform("found", lambda x: F.struct((-x["score"]).alias("down"), x["vec_id"], x["via"], x["score"]))
+    merged = found.select("query_id", ranked.alias("found"), "compared").groupBy("query_id")
+    merged = merged.agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("f"), F.sum("compared").alias("compared"))
+    kept = F.transform("f", lambda x: F.struct(x["score"].alias("score"), x["vec_id"].alias("vec_id"), x["via"].alias("via")))
+    return merged.select("query_id", F.slice(kept, 1, top).alias("found"), "compared")
 
 
 def search(
@@ -196,53 +297,60 @@ def search(
     every: int = 20,
     top: int = TOP,
     tables: int = TABLES,
-    probes: int | None = None,
+    probes: int = PROBES,
     seed: int = SEED,
+    compared_col: str | None = None,
 ) -> DataFrame:
     """For each row whose id is divisible by ``every``, the ``top`` other rows with the largest inner product found.
 
     Result: query_id, rank (from 1), vec_id, score (inner product of the original vectors in double precision),
-    nearest first, ties to the smaller vec_id. All candidates that share an axis with a probe are compared exactly;
-    a query that found fewer than ``top`` looks into every axis of a table, hence at every row, so it gets all
-    candidates if there are fewer than ``top``.
+    nearest first, ties to the smaller vec_id, and on request ``compared_col`` (with how many rows the query was compared).
+    All candidates that share an axis with a probe are compared exactly, each once; a query that found fewer than
+    ``top`` looks at every row then, so it gets all candidates if there are fewer than ``top``.
 
     Rows take no part if the id is null or the vector is null, zero, or holds null or non-finite components. Vectors
     of different lengths are not compared. Rows that repeat id and vector count once; rows of one id are never
-    neighbours of each other, and a query id of several vectors stands for the least of them. Other columns are not read, whatever they are called. No row gives no row.
+    neighbours of each other, and a query id of several vectors stands for the least of them. Of one vector only the
+    ``top`` + 1 smallest ids can be found, so no others are looked at. Other columns are not read, whatever they are
+    called. No row gives no row.
 
-    Every row is hashed once and stored with its axes; nothing is fitted but the longest vector's length of each
-    band of similar lengths; a query looks into all bands, into ``probes`` axes of a table or a fixed share of them, and at every row of a
-    band of at most ``BLOCK`` rows. The tables
-    have 2 * dimensions axes each; what is sent to all tasks is one row for each axis, not for each vector.
+    Every row is hashed once and stored with its axes; nothing is fitted but the number of rows and the longest vector
+    of each band of similar lengths (see ``Plan``). A query looks along its first probes of all tables and bands. If
+    the later ones of these still gave some of its best, it looks along the others, up to ``probes`` of a table.
     """
-    spark = embeddings.sparkSession
-    rows = valid(embeddings, id_col, vector_col).dropDuplicates(["vec_id", "vector"])
-    lengths = rows.groupBy("width", "band").agg(F.sqrt(F.max("square")).alias("longest"), F.count(F.lit(1)).alias("n")).collect()
-    longest = {(r["width"], r["band"]): r["longest"] for r in lengths}
-    # a band of one block is looked at whole, as one axis of one table
-    small = [(r["width"], r["band"], r["n"] <= BLOCK) for r in lengths]
-    bands = F.broadcast(spark.createDataFrame(small, "width int, band int, whole boolean"))
-    rows = rows.drop("square")
-    path, found_path = scratch_path(spark, "hashed"), scratch_path(spark, "found")
-    hashed(rows, longest, every, tables, probes, seed).write.parquet(path)
-    stored = spark.read.parquet(path)
-    placed = stored.select("vec_id", "vector", "width", "band", F.posexplode("axis").alias("t", "axis"))
-    placed = placed.join(bands, ["width", "band"]).where("NOT whole OR t = 0").withColumn("axis", F.when(F.col("whole"), 0).otherwise(F.col("axis")))
-    asked = stored.where(F.col("looks").isNotNull()).groupBy(F.col("vec_id").alias("query_id"))
-    asks = asked.agg(F.min(F.struct("vector", "width", "looks")).alias("q")).select("query_id", "q.*")
-    looks = asks.select("query_id", "vector", "width", F.posexplode("looks").alias("t", "l"))
-    looks = looks.select("query_id", "vector", "width", "t", F.explode("l").alias("axis")).join(bands.where("NOT whole"), "width")
-    entire = asks.select("query_id", "vector", "width", F.lit(0).alias("t"), F.lit(0).alias("axis")).join(bands.where("whole"), "width")
-    looks = looks.unionByName(entire)
-    _best(_met(placed, looks, top), top, tables).write.parquet(found_path)
-    first = spark.read.parquet(found_path)
-
-    # a query with too few finds, or none, looks at all rows through the axes of one table
-    enough = first.where(F.size("found") >= top)
-    missing = asks.select("query_id", "vector", "width").join(enough, "query_id", "left_anti")
-    all_axes = F.sequence(F.lit(0), F.expr("2 * shiftleft(1, CAST(floor(log2(width)) AS INT) + 1) - 1"))
-    everything = missing.withColumn("t", F.lit(0)).withColumn("axis", F.explode(all_axes)).join(bands, "width")
-    second = _best(_met(placed.where("t = 0"), everything, top), top, 1)
-    best = enough.unionByName(second)
-    ranked = best.select("query_id", F.posexplode("found").alias("r", "f"))
-    return ranked.select("query_id", (F.col("r") + 1).alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
+    valid_rows = valid(embeddings, id_col, vector_col).dropDuplicates(["vec_id", "vector"])
+    copies = W.partitionBy("vector").orderBy("vec_id")
+    rows = valid_rows.withColumn("copy", F.row_number().over(copies)).where((F.col("copy") <= top + 1) | (F.col("vec_id") % every == 0))
+    lengths = rows.where(F.col("copy") <= top + 1).groupBy("width", "band")
+    lengths = lengths.agg(F.sqrt(F.max("square")).alias("longest"), F.count(F.lit(1)).alias("n")).collect()
+    if not lengths:
+        best = rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("r"), "vec_id", F.col("square").alias("score"), F.col("vec_id").alias("compared"))
+        return _ranked(best, compared_col)
+    plan = Plan([tuple(r) for r in lengths], top, probes)
+    kept = stored(rows.select("vec_id", "vector", "width", "band", "copy"), "vectors")
+    places = kept.where(F.col("copy") <= top + 1).drop("copy")
+    queries = kept.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"))
+    queries = queries.agg(F.min(F.struct("vector", "width", "band")).alias("q")).select(F.col("query_id").alias("vec_id"), "q.*")
+    base = stored(hashed(places, plan, 1 << 62, tables, seed).drop("looks"), "hashed")
+    base = _dealt(base, ["width", "band"], F.get("axis", 0), "vec_id", BLOCK, "block")
+    asks = hashed(queries, plan, 1, tables, seed).withColumnRenamed("vec_id", "query_id")
+    asks = stored(asks.select("query_id", "vector", "width", "looks", F.lit(None).cast("double").alias("edge")), "queries")
+    asks = _dealt(asks, ["width"], F.get(F.get("looks", 0), 0), "query_id", QUERIES, "portion")
+
+    first = stored(_best(_met(base, asks, plan, top, tables, 0), top), "found")
+    settled = (F.size("found") >= top) & F.forall("found", lambda x: x["via"] == 0)
+    edge = F.when(F.size("found") >= top, F.get("found", top - 1)["score"]).alias("edge")
+    more = asks.drop("edge").join(first.where(~settled).select("query_id", edge), "query_id")
+    more = more.unionByName(asks.join(first, "query_id", "left_anti"))
+    second = _met(base, more, plan, top, tables, 1)
+    best = stored(_best(first.unionByName(second), top), "found")
+    enough = best.where(F.size("found") >= top)
+    missing = asks.join(enough, "query_id", "left_anti")
+    best = enough.unionByName(_best(_met(base, missing, plan, top, tables, 2), top))
+    best = best.select("query_id", F.posexplode("found").alias("r", "f"), "compared")
+    return _ranked(best.select("query_id", (F.col("r") + 1).alias("r"), "f.vec_id", "f.score", "compared"), compared_col)
+
+
+def _ranked(best: DataFrame, compared_col: str | None) -> DataFrame:
+    more = [F.col("compared").alias(compared_col)] if compared_col else []
+    return best.select("query_id", F.col("r").alias("rank"), "vec_id", "score", *more)
