@@ -90,8 +90,8 @@ def test_large_group_without_links_needs_no_pairs_of_it(spark, monkeypatch):
     monkeypatch.setattr(chosen, "stored", counted)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = chosen.near_duplicates(docs).where("doc_id != component_id").count()
-    assert got == 0 and max(sizes.values()) <= chosen.ROOTS * len(texts)
-    assert sizes["pairs"] == sizes["groups"] == 0
+    assert got == 0 and max(sizes.values()) <= chosen.PATHS * len(texts)
+    assert sizes["links"] == 0
 
 
 def test_large_group_of_near_copies_is_joined_by_its_hubs(spark):
