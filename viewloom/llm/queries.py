@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from viewloom.catalog.base import table
-from viewloom.llm import boilerplate, chosen, licenses, merkle, mixing, neighbours, packing, quality, secrets, simhash, surrogates, tokens, tries
+from viewloom.llm import boilerplate, chosen, licenses, merkle, mixing, neighbours, packing, quality, secrets, simhash, surrogates, tokens, tries, twins
 from viewloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -66,20 +66,20 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced.select("doc_id", "text", "n_entities")
 
 
-@query()
+@query(twins.OP11)
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = merkle.manifest(docs, tampered={"text": merkle.tampered_text()})
     return merkle.verified(found).select(*merkle.COLUMNS)
 
 
-@query()
+@query(twins.OP12)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = tries.regraft(tries.turn_lists(table(spark, sf_dir, "conversations")))
     return tries.prefix_trie(lists).select(*tries.COLUMNS)
 
 
-@query()
+@query(twins.OP13)
 def op13_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     # this result takes shingles of four words
     return chosen.digest(chosen.near_duplicates(table(spark, sf_dir, "documents"), shingle=4))
