@@ -189,10 +189,28 @@ def test_metric_sink_replaces_the_runs_of_a_job(spark, tmp_path, rows):
     kind = "run STRING, step BIGINT, name STRING, value DOUBLE"
     for value, run in ((0.5, "r"), (0.25, "q"), (0.75, "r")):
         sinks.write_metrics(spark.createDataFrame([(run, 1, "training/loss", value)], kind), str(tmp_path / "m"))
-    stored = spark.read.parquet(str(tmp_path / "m"))
+    stored = sinks.read_metrics(spark, str(tmp_path / "m"))
     assert rows(stored, "run", "value") == [("q", 0.25), ("r", 0.75)]
 
 
+def test_metrics_of_a_partial_rerun_leave_one_row_for_each_key(spark, tmp_path, rows):
+    path = str(tmp_path / "m")
+
+    def log(run, steps, value):
+        data = [(run, k, name, value) for k in steps for name in ("training/loss", "training/lr")]
+        sinks.write_metrics(spark.createDataFrame(data, sinks.METRICS), path)
+
+    log("1", range(0, 10), 1.0)
+    log("2", range(0, 3), 2.0)
+    log("1", range(6, 14), 3.0)  # overlaps
+    log("1", range(6, 14), 3.0)  # again
+    log("1", [], 9.0)
+    got = rows(sinks.read_metrics(spark, path), "run", "step", "value")
+    want = [("1", k, 1.0 if k < 6 else 3.0) for k in range(14)] + [("2", k, 2.0) for k in range(3)]
+    assert got == sorted(want * 2)
+    assert sinks.read_metrics(spark, path).schema["run"].dataType.simpleString() == "string"
+
+
 def test_gaussian_sink(spark, tmp_path):
     from test_points import gaussians
 

@@ -11,6 +11,7 @@ from viewloom.catalog.base import query, table
 from viewloom.operators import logs
 from viewloom.session import scratch_path
 from viewloom.sources import files, sinks
+from viewloom.sources import live as source
 from viewloom.streaming import logs as live
 
 _ASOF_SQL = f"""{S.PARSED_SQL},
@@ -97,15 +98,69 @@ def read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("run", place.cast("bigint").alias("n"), "line")
 
 
+#: Rows of a file of a micro-batch.
+FILE_ROWS = 1 << 20
+
+
 def _live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of log lines that arrives in four micro-batches, in the order of the events."""
     path = scratch_path(spark, "live")
     events = table(spark, sf_dir, "events")
-    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    low, high, n = events.agg(F.min("event_id"), F.max("event_id"), F.count(F.lit(1))).first()
     quarter = F.floor((F.col("event_id") - F.lit(low)) * BATCHES / F.lit(high - low + 1))
+    files = -(-n // (BATCHES * FILE_ROWS))
     for number in range(BATCHES):
-        events.where(quarter == number).coalesce(1).write.mode("append").parquet(path)
-    return S.as_lines(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path))
+        events.where(quarter == number).repartition(files).write.mode("append").parquet(path)
+    return S.as_lines(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path))
+
+
+#: Logs that grow in the query of text logs.
+LOGS = 16
+
+
+def _grow(lines: DataFrame, root: str, whole: bool) -> None:
+    """Writes the logs ``{root}/{run}/log.txt`` as long as ``lines`` has them; in part they end inside a line."""
+
+    def run(batches):
+        key, out = None, None
+        for batch in batches:
+            for name, line in zip(batch.column("run").to_pylist(), batch.column("line").to_pylist()):
+                if name != key:
+                    if out:
+                        out.close()
+                    files, place = open_root(root)
+                    files.create_dir(f"{place}/{name}")
+                    key, out = name, files.open_output_stream(f"{place}/{name}/log.txt")
+                out.write(line.encode())
+        if out:
+            out.close()
+        yield from ()
+
+    open_root = source.opened
+    order = F.row_number().over(W.partitionBy("run").orderBy(F.col("line_no").desc()))
+    last = F.when((order == 1) & F.lit(not whole), F.substring("line", 1, 9)).otherwise(F.concat("line", F.lit("\n")))
+    dealt = lines.select("run", "line_no", last.alias("line")).repartition("run").sortWithinPartitions("run", "line_no")
+    dealt.select("run", "line").mapInArrow(run, "done BOOLEAN").count()
+
+
+@query(
+    f"""WITH {S.LINES_SQL}, dealt AS (SELECT 'log' || (run::BIGINT % {LOGS}) AS run, line_no, line FROM lines)
+SELECT run, row_number() OVER (PARTITION BY run ORDER BY line_no) AS n, line FROM dealt"""
+)
+def stream_text_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text logs that grow four times, read by a stream that is started anew each time and finds whole lines only."""
+    root = scratch_path(spark, "text-logs")
+    events = table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    lines = S.lines(spark, sf_dir)
+    lines = lines.withColumn("run", F.concat(F.lit("log"), (F.col("run").cast("bigint") % LOGS).cast("string")))
+    for number in range(1, BATCHES + 1):
+        upto = low + (high - low + 1) * number // BATCHES
+        _grow(lines.where(F.col("line_no") < upto), f"{root}/logs", number == BATCHES)
+        stream = source.read_live_logs(spark, f"{root}/logs", state=f"{root}/state.json")
+        found = _appended(stream, root)
+    place = F.row_number().over(W.partitionBy("run").orderBy("line_no"))
+    return found.select("run", place.cast("bigint").alias("n"), "line")
 
 
 def _appended(stream: DataFrame, root: str) -> DataFrame:

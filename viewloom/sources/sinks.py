@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewloom.operators.points import STORED_COLUMNS
+from viewloom.sources import keyed
 
 
 def write_splits(samples: DataFrame, path: str) -> None:
@@ -36,16 +37,20 @@ def write_embeds(embeds: DataFrame, path: str, model: str | None = None) -> None
     ).partitionBy("model").parquet(path)
 
 
+METRICS = "run STRING, step BIGINT, name STRING, value DOUBLE"
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """(run, step, name, value), partitioned by run; a job that runs again replaces the rows of its runs."""
-    metrics.select("run", "step", "name", "value").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("run").parquet(path)
+    """(run, step, name, value) as they are logged; what is logged again replaces the value of its run, step and name.
+
+    A job that runs again, or only in part, leaves the rows of its other steps alone. See ``keyed`` for the files.
+    """
+    keyed.merge(metrics.select("run", "step", "name", "value"), path, ["run", "step", "name"])
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """The metric table; a run stays text even if all names are numbers."""
-    return spark.read.schema("run STRING, step BIGINT, name STRING, value DOUBLE").parquet(path)
+    return keyed.read(spark, path, METRICS).select(F.col("run").cast("string").alias("run"), "step", "name", "value")
 
 
 def write_gaussians(stored: DataFrame, path: str) -> None:

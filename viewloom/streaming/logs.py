@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
 
 from viewloom.operators import logs as L
+from viewloom.sources import keyed
 
 LINES = "run STRING, line_no BIGINT, line STRING"
 
@@ -79,23 +80,22 @@ def stream_tail(lines: DataFrame, n: int = L.KEPT) -> DataFrame:
     )
 
 
-def publish(latest: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
-    """Keeps the newest rows of each run of an update stream in a folder of its own.
+def publish(latest: DataFrame, out: str, checkpoint: str, key: str = "run") -> DataStreamWriter:
+    """Keeps the newest rows of each run of an update stream in a keyed table (``sources.keyed``).
 
-    A batch replaces the folders of the runs it changed and no others, so the
-    output does not grow with the number of batches and a repeated batch changes
-    nothing.
+    A batch replaces the rows of the runs it changed and no others; readers see it whole or not at all, and a repeated
+    batch changes nothing. The number of files follows the rows, not the runs or the batches.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(out)
+        keyed.merge(batch, out, [key], source=checkpoint, batch=batch_id)
 
     return latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(step)
 
 
 def published(spark: SparkSession, out: str, schema: StructType | str) -> DataFrame:
-    """What ``publish`` keeps; runs keep their type."""
-    return spark.read.schema(schema).parquet(out)
+    """What ``publish`` keeps; ``schema`` is for a table without a batch."""
+    return keyed.read(spark, out, schema)
 
 
 def run_to_end(writer: DataStreamWriter) -> int:
