@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterable
+import sys
+import types
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,6 +105,16 @@ def add_columns(df: DataFrame, fields: str, make, keep: list[str] | None = None)
     return plain.mapInArrow(run, schema).toDF(*kept, *(f.name for f in new_fields))
 
 
+def worker_cache(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gave in an earlier task of this Python worker, or gives now: for what is costly to build."""
+    # functions travel by value, so their modules' own variables do not outlive a task
+    holder = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
+    kept = vars(holder).setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def texts_of(batch: pa.RecordBatch, name: str, rows: int = 256) -> Iterable[list]:
     """The strings of a column, some rows at a time, so that Python does not hold those of a whole batch."""
     column = batch.column(name)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from viewloom.llm.common import add_columns, id_text, pieces_of, texts_of
+from viewloom.llm.common import add_columns, id_text, pieces_of, texts_of, worker_cache
 from viewloom.session import scratch_path
 
 CAPACITY, END = 2048, 0
@@ -147,7 +147,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_
     end = np.array([END], "<u4").tobytes()
 
     def make():
-        encoder = Ids(tokenizer_path)
+        encoder = worker_cache(("ids", tokenizer_path), lambda: Ids(tokenizer_path))
 
         def new(batch):
             found = [cut(ids + end, capacity) for texts in texts_of(batch, "text") for ids in encoder.ids(texts)]
