@@ -11,6 +11,8 @@ from viewloom.functions import camera as C
 from viewloom.functions import pixels as P
 from viewloom.operators import cameras, checks, metrics, pixels
 from viewloom.operators.rows import explode_rows
+from viewloom.plans import targets
+from viewloom.session import scratch_path
 
 KEY = ["uid", "view_id"]
 
@@ -194,6 +196,42 @@ def normalize_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zipped.select(*KEY, "i", *[r6(F.col(f"p.{c}")).alias(c) for c in ("nx", "ny", "nz")])
 
 
+def _stored_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planes of full views in a bucketed table."""
+    depth = _truth(spark, sf_dir).where("channel = 0").withColumn("data", F.transform("data", lambda v: v.cast("double") * 2.0))
+    packed = targets.pack_planes(pixels.decode_nd(_truth(spark, sf_dir)), depth, S.alpha_planes(spark, sf_dir))
+    path = scratch_path(spark, "planes")
+    return targets.store_planes(packed, path.rsplit("/", 1)[-1].replace("-", "_"), path, 8)
+
+
+@query(
+    f"""WITH {_NORMALS_SQL},
+d AS (SELECT p.uid, p.view_id, p.i, p.y, p.x, p.v::DOUBLE AS v, a.a, p.v::DOUBLE * a.a AS m FROM px p
+      JOIN alpha a USING (uid, view_id, i) WHERE p.side = 1 AND p.channel = 0),
+t AS (SELECT *, max(m) OVER (PARTITION BY uid, view_id) AS top FROM d),
+k AS (SELECT t.*, c.* EXCLUDE (uid, view_id), v * 2.0 AS far, v * 2.0 * (x / 7.0 - 0.5) / (1422.222 / 1024) AS cu,
+        v * 2.0 * (y / 7.0 - 0.5) / (1422.222 / 1024) AS cv FROM t JOIN cam c ON t.uid = c.uid AND t.view_id = c.view_id),
+p AS (SELECT uid, view_id, i, a, m, top, m00*cu + m01*cv + m02*far + m03 AS wx, m10*cu + m11*cv + m12*far + m13 AS wy,
+        m20*cu + m21*cv + m22*far + m23 AS wz FROM k)
+SELECT n.uid, n.view_id, n.view_id AS slot, n.i, {s6("(wx*0.5 + 0.5)*p.a + (1.0 - p.a)")} AS px, {s6("(wy*0.5 + 0.5)*p.a + (1.0 - p.a)")} AS py,
+  {s6("(wz*0.5 + 0.5)*p.a + (1.0 - p.a)")} AS pz, {_turned_sql("w0")} AS nx, {_turned_sql("w1")} AS ny, {_turned_sql("w2")} AS nz,
+  CASE WHEN top <> 0 THEN {s6("1.0 - m / top")} END AS depth
+FROM n JOIN p ON n.uid = p.uid AND n.view_id = p.view_id AND n.i = p.i JOIN g ON n.uid = g.uid JOIN w ON n.uid = w.uid
+JOIN alpha a ON n.uid = a.uid AND n.view_id = a.view_id AND n.i = a.i
+WHERE n.nx IS NOT NULL AND n.ny IS NOT NULL AND n.nz IS NOT NULL"""
+)
+def training_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views with the coordinate, normal and depth images of their stored planes."""
+    poses = S.plane_cameras(spark, sf_dir)
+    made = cameras.training_cameras(poses.withColumn("slot", F.col("view_id")), keep=("uid", "view_id", "slot"))
+    views = made.join(poses.withColumnRenamed("c2w", "stored"), KEY)
+    found = targets.training_targets(views, _stored_planes(spark, sf_dir), pose="stored", scale=None)
+    zipped = F.arrays_zip("points", "normals", F.coalesce("depth", F.transform("points", lambda p: F.lit(None).cast("double"))).alias("depth"))
+    px = explode_rows(found, zipped, "z", [*KEY, "slot"], "i")
+    points, normals = ([r6(F.col(f"z.{name}.{a}")).alias(f"{name[0]}{a}") for a in "xyz"] for name in ("points", "normals"))
+    return px.select(*KEY, "slot", "i", *points, *normals, r6(F.col("z.depth")).alias("depth"))
+
+
 @query(
     f"""WITH {_PX},
 b AS (SELECT uid, view_id, min(y) AS y_min, max(y) AS y_max, min(x) AS x_min, max(x) AS x_max FROM alpha WHERE a > 0.9 GROUP BY uid, view_id),
