@@ -88,3 +88,16 @@ def test_manifest_is_the_whole_product(spark):
     assert len(rows) == len(set(rows)) == 37 * 11 * 2 * 4
     assert "CartesianProduct" not in made._jdf.queryExecution().toString()
     assert "NestedLoop" not in made._jdf.queryExecution().toString()
+
+
+def test_grid_follows_both_sizes():
+    for left, right in ((1, 10**6), (10**6, 1), (10**6, 4), (1000, 1000), (3 * 10**5, 7 * 10**4), (0, 5), (5, 0)):
+        rows, columns = epochs.grid(left, right)
+        assert 1 <= rows <= max(left, 1) and 1 <= columns <= max(right, 1)
+        # cells are balanced and no larger than asked for, but for rounding up to whole rows of each side
+        assert -(-left // rows) * -(-right // columns) <= 4 * epochs.CELL
+        assert rows * columns <= max(2, 4 * left * right // epochs.CELL + 2)
+    assert epochs.grid(1, 10**8)[1] >= 90 and epochs.grid(10**8, 1)[0] >= 90
+    # of two grids of as many cells the one that repeats fewer rows
+    rows, columns = epochs.grid(10**6, 10**4)
+    assert rows > columns

@@ -6,6 +6,7 @@ shuffle of the key columns; payload columns join afterwards by key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,10 @@ from viewloom.functions.draws import hex_draw
 from viewloom.operators.positions import with_position
 
 
+#: Pairs of a cell of the request manifest.
+CELL = 1 << 20
+
+
 def _check_shards(n: int) -> None:
     if n <= 0:
         raise ValueError("the number of shards must be positive")
@@ -100,21 +105,37 @@ def encode_batches(df: DataFrame, size: int = 128, key: str = "uid") -> DataFram
     return placed.withColumns({"batch": F.floor(F.col("_p") / size), "place": F.col("_p") % size}).drop("_p")
 
 
+def grid(left: int, right: int, cell: int = CELL) -> tuple[int, int]:
+    """Rows and columns of blocks for the product of two tables of those sizes.
+
+    A cell has about ``cell`` pairs, and of all such grids this one repeats the
+    fewest rows: a row of the left side is sent once for each column, one of the
+    right side once for each row.
+    """
+    cells = max(1, -(-left * right // cell))
+    columns = min(max(right, 1), max(1, round(math.sqrt(cells * right / max(left, 1)))))
+    rows = min(max(left, 1), -(-cells // columns))
+    return rows, min(max(right, 1), -(-cells // rows))
+
+
 def request_manifest(
     images: DataFrame,
     prompts: DataFrame,
     scales: Sequence[float] = (),
     slots: int = 0,
-    image_blocks: int = 256,
-    prompt_blocks: int = 4,
+    image_blocks: int | None = None,
+    prompt_blocks: int | None = None,
 ) -> DataFrame:
     """Every image with every prompt, and optionally every guidance scale and view slot.
 
     The product is the result itself.  It is built as an equi join on a grid of
     blocks: each image lies in one block row, each prompt in one block column,
     and every grid cell is one join key.  The work splits evenly over the cells
-    and neither side has to fit into memory.
+    and neither side has to fit into memory.  Unless it is given, the grid
+    follows from the counted sizes of both sides (see ``grid``).
     """
+    if image_blocks is None or prompt_blocks is None:
+        image_blocks, prompt_blocks = grid(images.count(), prompts.count())
     image_block = F.pmod(F.xxhash64(*images.columns), F.lit(image_blocks)).cast("int")
     prompt_block = F.pmod(F.xxhash64(*prompts.columns), F.lit(prompt_blocks)).cast("int")
     left = images.withColumns(
