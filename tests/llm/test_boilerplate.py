@@ -30,11 +30,21 @@ def site(host, n, start=0):
     return [(start + k, host, f"own {host} {k}\nMenu\n\n  Menu \r\nline {k % 4}\nend {k}") for k in range(n)]
 
 
+def test_ratio_alone_decides_from_two_pages(spark, by_rows):
+    """Sites of 1, 2 and 4 pages, and lines on 2 of 19 and of 21 pages."""
+    rows = site("a", 1) + site("b", 2, 50) + site("c", 4, 60)
+    rows += [(100 + k, "d", f"own {k}" + "\nseldom" * (k < 2)) for k in range(19)] + [(200 + k, "e", f"own {k}" + "\nseldom" * (k < 2)) for k in range(21)]
+    got = boilerplate.drop_boilerplate(docs_of(spark, rows), dropped_col="n").select("doc_id", "text", "n")
+    want = brute(rows, least=2)
+    assert by_rows(got.collect()) == by_rows(want)
+    assert {i for i, _, n in want if n} == {50, 51, 60, 61, 62, 63, 100, 101}
+
+
 def test_lines_of_a_site_are_dropped(spark, by_rows):
     rows = site("a", 30) + site("b", 4, 50) + site(None, 12, 80)
     rows += [(100 + k, "c", "the same page\nfooter") for k in range(20)] + [(130 + k, "c", f"page {k}") for k in range(20)]
     rows += [(200, "a", None), (201, "a", ""), (202, "a", "Menu")]
-    got = boilerplate.drop_boilerplate(docs_of(spark, rows), dropped_col="n").select("doc_id", "text", "n")
+    got = boilerplate.drop_boilerplate(docs_of(spark, rows), dropped_col="n", min_pages=5).select("doc_id", "text", "n")
     want = brute(rows)
     assert by_rows(got.collect()) == by_rows(want)
     assert {i for i, _, n in want if n} == {*range(30), 202}  # neither copies nor small sites nor rows without a site

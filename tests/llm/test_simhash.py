@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from viewloom.llm import simhash
 
@@ -111,3 +112,21 @@ def test_one_of_each_class_stays(spark, tricky, by_rows):
 def test_no_rows(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
     assert simhash.keep_one(nothing).count() == 0
+
+
+def test_hot_tries_are_split(spark, monkeypatch):
+    """Fingerprints that agree on most bits are one trie; cut into blocks it gives the same classes."""
+    rng = random.Random(8)
+    fps = {rng.getrandbits(64) & 0xFFFFF | 0x1234567890000000 for _ in range(3000)}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+
+    def classes():
+        return sorted(tuple(r) for r in simhash.components(simhash.links(df)).collect())
+
+    want = classes()
+    assert len(want) > 1000
+    monkeypatch.setattr(simhash, "HOT", 200)
+    rows = df.select("fp", F.lit(0).alias("t"), F.lit(7).cast("long").alias("key"))
+    sizes = simhash._split(rows).groupBy("t", "key").count().collect()
+    assert len(sizes) >= 100 and max(r["count"] for r in sizes) < 3 * 200
+    assert classes() == want

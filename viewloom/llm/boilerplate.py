@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from viewloom.llm.common import fresh, quoted
 from viewloom.session import scratch_path
 
-#: A line must stand on more than this share of a host's pages, and on so many at least.
-MAX_RATIO, MIN_PAGES = 0.1, 5
+#: A line must stand on more than this share of a host's pages, and on two at least: one page shows no boilerplate.
+MAX_RATIO, MIN_PAGES = 0.1, 2
 #: Boilerplate lines of which the hashes are sent to every task; more are joined by host.
 BROADCAST_LINES = 100_000
 

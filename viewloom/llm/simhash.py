@@ -26,6 +26,8 @@ BITS, ERRORS, SHINGLE, SEED = 64, 4, 4, 42
 TRIE = 4096
 #: Rows of tries that a task walks at once, and node pairs it expands at once.
 FOREST, FRONTIER = 1 << 16, 1 << 18
+#: Rows of a block of a trie that is too large for one task.
+HOT = 1 << 15
 #: Tasks that the fingerprints of one class are spread over when they look up its name.
 SALTS = 16
 
@@ -160,6 +162,22 @@ class Forest:
                 label[:] = up
 
 
+def _split(rows: DataFrame) -> DataFrame:
+    """(fp, t, key) so that the rows of a trie stand together; a trie of more than ``HOT`` rows is cut into blocks.
+
+    Each pair of its blocks is walked as a trie of its own, whose key is drawn from the pair, so that no task holds
+    more than two blocks and each pair of fingerprints still meets.
+    """
+    hot = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    hot = hot.select("t", "key", F.ceil(F.col("n") / HOT).cast("int").alias("blocks"))
+    cut = rows.join(hot, ["t", "key"], "left").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    others = F.coalesce(F.sequence(F.lit(0), F.col("blocks") - 1), F.array(F.lit(0)))
+    cut = cut.withColumn("other", F.explode(others))
+    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    key = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(pair)
+    return cut.select("fp", "t", key.alias("key")).repartition("t", "key").sortWithinPartitions("t", "key")
+
+
 def links(fps: DataFrame, errors: int = ERRORS) -> DataFrame:
     """(a, b): links that join all distinct fingerprints ``fp`` within ``errors`` bits, perhaps over others.
 
@@ -168,7 +186,7 @@ def links(fps: DataFrame, errors: int = ERRORS) -> DataFrame:
     """
     masks = masks_for(blocks_for(fps.count(), errors), errors)
     keys = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))
-    rows = fps.select("fp", F.posexplode(keys).alias("t", "key")).repartition("t", "key").sortWithinPartitions("t", "key")
+    rows = _split(fps.select("fp", F.posexplode(keys).alias("t", "key")))
 
     def walk(fp: np.ndarray, t: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
         trie = np.cumsum(np.concatenate(([0], (np.diff(t) != 0) | (np.diff(key) != 0))))
