@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from viewloom.catalog import standins as S
 from viewloom.catalog.base import digest, digest_sql, query, r6, s6, table
-from viewloom.operators import embeds, metrics
+from viewloom.operators import embeds, metrics, retrieval
 
 
 def _store(spark: SparkSession, sf_dir: str, model: str = "sdxl") -> DataFrame:
@@ -114,6 +114,13 @@ def best_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("best", r6("best"))
 
 
+@query(f"WITH {_BEST_SQL} SELECT grp, idx, j AS best_idx, {s6('score')} AS best FROM b WHERE rn = 1")
+def nearest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by anchors: only cells that may hold a better text are opened."""
+    found = retrieval.nearest_texts(_side(spark, sf_dir, 0), _side(spark, sf_dir, 1), anchors=16, block=64)
+    return found.select("grp", "idx", "best_idx", r6("best").alias("best"))
+
+
 @query(f"WITH {_BEST_SQL} SELECT grp, {s6('avg((j = idx)::INTEGER::DOUBLE)')} AS r_precision FROM b WHERE rn = 1 GROUP BY grp")
 def r_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = metrics.r_precision(_side(spark, sf_dir, 0), _side(spark, sf_dir, 1))
