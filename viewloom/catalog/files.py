@@ -9,7 +9,7 @@ from viewloom.catalog import standins as S
 from viewloom.catalog.base import digest, digest_sql, query, r6, s6, table
 from viewloom.operators import artifacts, hooks, points, views
 from viewloom.session import scratch_path
-from viewloom.sources import files, shards, sinks
+from viewloom.sources import files, live, shards, sinks
 
 START_SQL = "TIMESTAMP '1998-06-01 00:00:00'"
 
@@ -346,3 +346,75 @@ def transform_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     samples = table(spark, sf_dir, "documents").select("doc_id", "text")
     return hooks.transform_samples(samples, measure, "doc_id BIGINT, size BIGINT")
+
+
+def _write_files(rows: DataFrame, root: str) -> None:
+    """Writes ``rows`` (path below ``root``, text): one small file for each, by the tasks that hold them."""
+    opened = live.opened
+
+    def run(batches):
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                files, place = opened(f"{root}/{path}")
+                files.create_dir(place.rsplit("/", 1)[0])
+                with files.open_output_stream(place) as out:
+                    out.write(text.encode())
+        yield from ()
+
+    rows.select("path", "text").mapInArrow(run, "done BOOLEAN").count()
+
+
+# Suppliers as objects: some views, cameras for the even ones, and a note for every seventh object.
+_RENDERS_SQL = """files AS (
+  SELECT 's' || s_suppkey AS uid, v::INTEGER AS view_id, 'png' AS kind, v + 1 AS length
+  FROM supplier, (SELECT unnest(range(4)) AS v) WHERE v <= s_suppkey % 4
+  UNION ALL SELECT 's' || s_suppkey, v::INTEGER, 'json', 2
+  FROM supplier, (SELECT unnest(range(4)) AS v) WHERE v <= s_suppkey % 4 AND v % 2 = 0
+  UNION ALL SELECT 's' || s_suppkey, NULL, NULL, 5 FROM supplier WHERE s_suppkey % 7 = 0)"""
+
+
+def _renders(spark: SparkSession, sf_dir: str) -> str:
+    root = scratch_path(spark, "renders")
+    key = F.col("s_suppkey")
+    objects = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), key).alias("uid"), key)
+    views = objects.withColumn("v", F.explode(F.sequence(F.lit(0), (key % 4).cast("int"))))
+    name = F.format_string("%s/%05d", "uid", "v")
+    images = views.select(F.concat(name, F.lit(".png")).alias("path"), F.repeat(F.lit("x"), F.col("v") + 1).alias("text"))
+    poses = views.where("v % 2 = 0").select(F.concat(name, F.lit(".json")).alias("path"), F.lit("{}").alias("text"))
+    notes = objects.where(key % 7 == 0).select(F.concat("uid", F.lit("/notes.txt")).alias("path"), F.lit("notes").alias("text"))
+    _write_files(images.union(poses).union(notes), root)
+    return root
+
+
+@query(f"WITH {_RENDERS_SQL} SELECT uid, view_id, kind, length::BIGINT AS length FROM files")
+def list_renders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of rendered views, written and listed by name."""
+    return files.read_renders(spark, _renders(spark, sf_dir)).select("uid", "view_id", "kind", "length")
+
+
+@query(
+    f"""WITH {_RENDERS_SQL}
+SELECT uid AS run, CASE WHEN kind IS NULL THEN 'notes.txt' ELSE printf('%05d.', view_id) || kind END AS name, length::BIGINT AS length FROM files"""
+)
+def list_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as what runs left behind."""
+    return files.read_artifacts(spark, _renders(spark, sf_dir)).select("run", "name", "length")
+
+
+_IMAGE_KINDS = ("png", "jpg", "txt", "webp", "jpeg.part")
+
+
+@query(
+    f"""SELECT name, length FROM (
+  SELECT 'img' || s_suppkey || '.' || {list(_IMAGE_KINDS)}[s_suppkey % {len(_IMAGE_KINDS)} + 1] AS name, (s_suppkey % 9 + 1)::BIGINT AS length FROM supplier)
+WHERE regexp_matches(name, '[.](png|jpg|webp)$')"""
+)
+def list_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of files of all kinds, of which the images are listed."""
+    root, key = scratch_path(spark, "images"), F.col("s_suppkey")
+    kind = F.get(F.array(*map(F.lit, _IMAGE_KINDS)), (key % len(_IMAGE_KINDS)).cast("int"))
+    path = F.concat(F.lit("img"), key, F.lit("."), kind)
+    rows = table(spark, sf_dir, "supplier").select(path.alias("path"), F.repeat(F.lit("x"), (key % 9 + 1).cast("int")).alias("text"))
+    # a folder below, whose files are not listed
+    _write_files(rows.union(rows.withColumn("path", F.concat(F.lit("below/"), "path"))), root)
+    return files.list_images(spark, root).select(F.substring_index("path", "/", -1).alias("name"), "length")

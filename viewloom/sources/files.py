@@ -105,7 +105,7 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files directly in a directory, sorted by path; contents are not read."""
+    """Image files directly in a directory, sorted by path; contents are not read. Spark passes over empty files."""
     glob = "*.{" + ",".join(IMAGE_SUFFIXES) + "}"
     return (
         spark.read.format("binaryFile")
