@@ -32,8 +32,8 @@ CAPACITY, END = 2048, 0
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, PACKINGS = 2048, 3, 3, 3, 4
 #: Sequences filled less than this share are dissolved and packed once more, those of all blocks together.
 LOOSE = 0.75
-#: Words of which the ids are kept in a task in each of two generations, and their longest.
-MEMO, MEMO_CHARS = 250_000, 48
+#: Words of which the ids are kept by a Python worker in each of two generations, and their longest.
+MEMO, MEMO_CHARS = 800_000, 48
 
 #: In a text with one of these a word's ids may depend on the case of its letters before normalisation, or white
 #: space is not the same for Python and the tokenizer.
