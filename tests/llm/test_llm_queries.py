@@ -34,8 +34,21 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_pipeline_on_odd_rows(tricky, nothing, spark):
-    for docs in (tricky, nothing):
+    """Nulls, texts without words, repeated rows, clashing columns: what stays is known, and no row comes from nowhere."""
+    for docs, some in ((tricky, True), (nothing, False)):
         docs = docs.withColumn("n_chars", docs["doc_id"])
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SF)
-        docs.count()
+        columns, before = docs.columns, None
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, SF).cache()
+            ids = {r.doc_id for r in docs.select("doc_id").collect()}
+            assert before is None or ids <= before
+            assert (docs.count() > 0) == some
+            if number < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == columns
+            if number == 0 and some:
+                # too few words, or none at all
+                assert ids.isdisjoint({20, 21, 22, 25, 26, 27}) and 24 in ids
+            if number == 2:
+                # rows that repeat a text are one row now
+                assert docs.count() == docs.select("text").distinct().count()
+            before = ids
