@@ -11,7 +11,7 @@ in blocks of like axes, and a directory of the axes of each block tells which bl
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,8 @@ def rotated(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
 def axes(x: np.ndarray, most: int) -> np.ndarray:
     """For each row the ``most`` nearest signed axes, nearest first; axis k is 2k, its opposite 2k + 1."""
     both = np.stack((x, -x), axis=2).reshape(len(x), -1)
+    if most == 1:
+        return both.argmax(axis=1)[:, None]
     return np.argsort(-both, axis=1, kind="stable")[:, :most]
 
 
@@ -94,24 +96,20 @@ def _nearest(q: np.ndarray, base_ids: np.ndarray, base: np.ndarray, top: int) ->
     return chosen[~again][:top], exact[~again][:top]
 
 
-class Index:
-    """The rows of a block by their axis in each table."""
+def nearest_probe(looks: np.ndarray, axis: np.ndarray, axes_each: int) -> np.ndarray:
+    """For each query and row the least place, in any table, of the row's axis in the query's list (their length if none).
 
-    def __init__(self, axis: np.ndarray):
-        self.rows = len(axis)
-        self.order = np.argsort(axis, axis=0, kind="stable")
-        self.axis = np.take_along_axis(axis, self.order, 0)
-
-    def met(self, looks: Sequence[Sequence[int]], first: int, last: int) -> np.ndarray:
-        """Which rows are on the axes ``first`` to ``last`` of a query's lists in any table."""
-        found = np.zeros(self.rows, bool)
-        for t, own in enumerate(looks):
-            own = np.asarray(own[first:last])
-            starts = np.searchsorted(self.axis[:, t], own)
-            ends = np.searchsorted(self.axis[:, t], own, side="right")
-            for a, b in zip(starts.tolist(), ends.tolist()):
-                found[self.order[a:b, t]] = True
-        return found
+    ``looks`` has queries x tables x axes, nearest first; ``axis`` rows x tables.
+    """
+    queries, tables, most = looks.shape
+    kind = np.uint8 if most < 256 else np.uint16
+    out = np.full((queries, len(axis)), most, kind)
+    at, places = np.arange(queries)[:, None], np.arange(most, dtype=kind)[None, :]
+    for t in range(tables):
+        place = np.full((queries, axes_each), most, kind)
+        place[at, looks[:, t]] = places
+        np.minimum(out, place[:, axis[:, t]], out=out)
+    return out
 
 
 def vectors(column: pa.Array, width: int) -> np.ndarray:
@@ -158,7 +156,8 @@ class Plan:
         return math.ceil(probes * self.factor[width, band])
 
     def most(self, width: int) -> int:
-        return max(math.ceil(self.probes[width] * f) for (w, _), f in self.factor.items() if w == width)
+        wanted = max(math.ceil(self.probes[width] * f) for (w, _), f in self.factor.items() if w == width)
+        return min(wanted, 2 << width.bit_length())
 
 
 def hashed(rows: DataFrame, plan: Plan, every: int, tables: int, seed: int) -> DataFrame:
@@ -245,21 +244,25 @@ def _met(base: DataFrame, asks: DataFrame, plan: Plan, top: int, tables: int, st
             width, band = own.column("width")[0].as_py(), own.column("band")[0].as_py()
             base_ids, x = own.column("id").to_numpy(), vectors(own.column("vector").combine_chunks(), width)
             q = vectors(asking.column("vector").combine_chunks(), width)
-            index = Index(vectors(own.column("axis").combine_chunks(), tables).astype(np.int64))
+            axis = vectors(own.column("axis").combine_chunks(), tables).astype(np.int64)
             low, middle, high = span(width, band)
             longest = plan.longest[width, band]
             edges = asking.column("edge").to_pylist()
+            probe = None
             for k, own_id in enumerate(asking.column("id").to_pylist()):
+                if stage < 2 and k % 256 == 0:
+                    looks = asking.column("looks").slice(k, 256).combine_chunks()
+                    looks = vectors(looks.flatten(), plan.most(width)).astype(np.int64).reshape(len(looks), tables, -1)
+                    probe = nearest_probe(looks, axis, 2 << width.bit_length())
                 if edges[k] is not None and np.sqrt((q[k] * q[k]).sum()) * longest * (1 + 1e-9) < edges[k]:
                     continue
                 if stage == 2:
                     leading = seen = np.ones(len(x), bool)
                 else:
-                    looks = asking.column("looks")[k].as_py()
-                    leading = index.met(looks, low, middle)
-                    seen = leading | index.met(looks, middle, high)
+                    own_probe = probe[k % 256]
+                    leading, seen = own_probe < middle, own_probe < high
                     if stage == 1:
-                        seen &= ~index.met(looks, 0, low)
+                        seen &= own_probe >= low
                 place = np.flatnonzero(seen & (base_ids != own_id))
                 if len(place):
                     best, exact = _nearest(q[k], base_ids[place], x[place], top)
