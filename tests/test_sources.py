@@ -49,6 +49,27 @@ def test_shards_by_prefix(spark, shard_dir):
     assert uids(shards.read_shards(spark, "file:" + shard_dir + "/set-280k.txt")) == ["e", "e2"]
 
 
+def test_shards_that_are_directories(spark, tmp_path):
+    both = spark.createDataFrame([("x", "1"), ("y", "2")], "uid STRING, caption STRING")
+    for name in ("set-000.parquet", "set-001.parquet", "set-long-000.parquet", "other.parquet"):
+        both.repartition(2).write.parquet(f"{tmp_path}/{name}")
+    single = both.where("uid = 'x'").coalesce(1)
+    single.write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "set-002.parquet")
+    assert uids(shards.read_shards(spark, str(tmp_path))) == ["x"] * 5 + ["y"] * 4
+    assert uids(shards.read_captions(spark, str(tmp_path), prefix="set")) == ["x"] * 4 + ["y"] * 3
+    exact = shards.read_shards(spark, str(tmp_path), "set", exact=True)
+    assert uids(exact) == ["x", "x", "x", "y", "y"]
+    assert len({r[shards.KEY] for r in shards.with_row_key(exact).collect()}) == 5
+    assert uids(shards.read_shards(spark, f"{tmp_path}/other.parquet")) == ["x", "y"]
+
+
+def test_shards_in_partition_folders(spark, tmp_path):
+    rows = spark.createDataFrame([("x", "1"), ("y", "2")], "uid STRING, model STRING")
+    rows.write.partitionBy("model").parquet(f"{tmp_path}/store")
+    assert uids(shards.read_shards(spark, f"{tmp_path}/store")) == ["x", "y"]
+
+
 @pytest.mark.parametrize("path,prefix", [("", "nothing"), ("/missing", None)])
 def test_no_shards_is_an_error(spark, shard_dir, path, prefix):
     with pytest.raises(FileNotFoundError):

@@ -31,6 +31,7 @@ def read_shards(
 ) -> DataFrame:
     """The shards of ``path``: a file is itself, a directory gives its direct children.
 
+    A child is a file, or a directory ``*.parquet`` of part files as Spark writes it.
     ``prefix`` keeps ``{prefix}*.parquet`` and a file called exactly ``prefix``.
     A prefix may also match a longer data-set name; ``exact`` keeps only
     ``prefix`` followed by a shard number.
@@ -38,17 +39,23 @@ def read_shards(
     reader = spark.read.option("mergeSchema", str(merge_schema).lower())
     if _is_file(spark, path):
         return reader.parquet(path)
-    if prefix is not None:
-        reader = reader.option("pathGlobFilter", f"{{{prefix}*.parquet,{prefix}}}")
-    else:
-        reader = reader.option("pathGlobFilter", "*.parquet")
+    names = [f"{prefix or ''}*.parquet"]
+    if prefix is not None and _is_file(spark, f"{path.rstrip('/')}/{prefix}"):
+        names.append(prefix)
     try:
-        shards = reader.parquet(path)
-    except AnalysisException as problem:
-        raise FileNotFoundError(f"no Parquet shards in {path} for prefix {prefix}") from problem
+        shards = reader.parquet(f"{path.rstrip('/')}/{{{','.join(names)}}}")
+    except AnalysisException:
+        # no such child: the files may lie in partition folders
+        try:
+            shards = reader.option("pathGlobFilter", f"{{{prefix or ''}*.parquet,{prefix or ''}}}").parquet(path)
+        except AnalysisException as problem:
+            raise FileNotFoundError(f"no Parquet shards in {path} for prefix {prefix}") from problem
     if prefix is not None and exact:
+        number = r"([-_.]\d{3,}(-of-\d+)?)?"
+        folder = _plain(path).rsplit("/", 1)[-1]
         shards = shards.where(
-            plain_path(F.col("_metadata.file_name")).rlike(rf"^\Q{prefix}\E([-_.]\d{{3,}}(-of-\d+)?)?(\.parquet)?$")
+            plain_path(F.col("_metadata.file_name")).rlike(rf"^\Q{prefix}\E{number}(\.parquet)?$")
+            | plain_path(F.col("_metadata.file_path")).rlike(rf"/\Q{folder}\E/+\Q{prefix}\E{number}\.parquet/")
         )
     return shards
 
@@ -61,8 +68,9 @@ def read_captions(spark: SparkSession, path: str, uid_col: str = "uid", caption_
 
 
 def with_row_key(shards: DataFrame) -> DataFrame:
-    """``__key__`` as stored, else ``file:row`` (the row counted in its file)."""
-    made = F.concat_ws(":", plain_path(F.col("_metadata.file_name")), F.col("_metadata.row_index").cast("string"))
+    """``__key__`` as stored, else ``file:row`` (the row counted in its file); part files are named with their shard."""
+    name = F.regexp_extract(plain_path(F.col("_metadata.file_path")), r"([^/]*\.parquet/)?[^/]*$", 0)
+    made = F.concat_ws(":", name, F.col("_metadata.row_index").cast("string"))
     key = F.coalesce(F.col(KEY).cast("string"), made) if KEY in shards.columns else made
     return shards.withColumn(KEY, key)
 
