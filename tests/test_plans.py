@@ -3,6 +3,7 @@ import os
 from datetime import datetime
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,31 @@ def test_prompts_join_samples(spark):
     assert 5 < sum(r.drop_text for r in made) < 35
 
 
+def test_failed_embeddings_are_stored_in_small_row_groups(spark, tmp_path):
+    def broken():
+        raise RuntimeError("no model")
+
+    pairs = spark.range(24).select(F.col("id").cast("string").alias("uid"), F.lit("a").alias("caption"))
+    for model in ("sd15", "pas"):
+        prompts.embed_captions(pairs.coalesce(1), broken, model, str(tmp_path / "e"), zero_null=True, on_error="zeros")
+    stored = [pq.ParquetFile(p).metadata for p in (tmp_path / "e" / "model=pas").glob("*.parquet")]
+    groups = [m.row_group(k).num_rows for m in stored for k in range(m.num_row_groups)]
+    # a reader unpacks 300 x 4096 numbers a row
+    assert sum(groups) == 25 and max(groups) <= prompts.GROUP_NUMBERS // (300 * 4096)
+    assert sum(m.num_rows > 0 for m in stored) > 4
+    kinds = spark.read.parquet(str(tmp_path / "e")).groupBy("model", "fallback").agg(
+        F.count("uid").alias("n"),
+        F.max(F.size("tokens")).alias("length"),
+        F.max(F.size(F.col("tokens")[0])).alias("width"),
+        F.max(F.size("attention_mask")).alias("mask"),
+        F.max(F.array_max(F.transform("tokens", F.array_max))).alias("top"),
+    )
+    assert {tuple(r) for r in kinds.collect()} == {
+        ("sd15", True, 24, 77, 768, None, 0.0), ("sd15", False, 1, 77, 768, None, 0.0),
+        ("pas", True, 24, 300, 4096, 300, 0.0), ("pas", False, 1, 300, 4096, 300, 0.0),
+    }
+
+
 def test_model_comparison(spark):
     rng = np.random.default_rng(1)
     truth = {("u", v): rng.uniform(size=(3, 9, 9)) for v in (0, 10, 20, 30)}

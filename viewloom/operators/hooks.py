@@ -52,13 +52,13 @@ def encode(
 
     ``on_error="zeros"`` replaces a failing batch by zeros in the model's own shape
     and flags the rows, so they can be counted; otherwise the failure ends the job.
+    Spark fills in the zeros, so they are neither made in Python nor sent from there.
     """
     if model not in CAPTION_LENGTH:
         raise ValueError(f"unknown model {model}")
     if on_error not in ("raise", "zeros"):
         raise ValueError("on_error is 'raise' or 'zeros'")
     length, width, piece_bytes = CAPTION_LENGTH[model], TOKEN_WIDTH[model], PIECE_BYTES
-    pooled_width, masked = POOLED_WIDTH.get(model), model in MASK_MODELS
     prepared = captions.select("uid", model_caption(F.col("caption"), model).alias("caption"))
 
     def floats(values, count):
@@ -72,6 +72,8 @@ def encode(
 
     def nested(values, count):
         """(count, N, D) numbers as a list of token vectors, without a Python object per number."""
+        if values is None:
+            return pa.nulls(count, pa.list_(pa.list_(pa.float32())))
         sheets = [np.asarray(v, dtype=np.float32) for v in values]
         vectors = floats([row for sheet in sheets for row in sheet], count)
         offsets = np.cumsum([0] + [len(s) for s in sheets], dtype=np.int32)
@@ -90,10 +92,7 @@ def encode(
                 except Exception:
                     if on_error == "raise":
                         raise
-                    failed = True
-                    tokens = np.zeros((count, length, width), np.float32)
-                    pooled = None if pooled_width is None else np.zeros((count, pooled_width), np.float32)
-                    mask = np.zeros((count, length), np.float32) if masked else None
+                    failed, tokens, pooled, mask = True, None, None, None
                 made = pa.RecordBatch.from_arrays(
                     [
                         pa.array([model] * count),
@@ -110,7 +109,26 @@ def encode(
                 for at in range(0, count, piece):
                     yield made.slice(at, piece)
 
-    return prepared.mapInArrow(run, EMBED_SCHEMA)
+    made = prepared.mapInArrow(run, EMBED_SCHEMA)
+    if on_error == "raise":
+        return made
+    # sizes of failed rows only: a column of zeros depends on the row and is no huge constant of the plan
+    sizes = {"tokens": (width, length), "pooled": (POOLED_WIDTH.get(model),), "attention_mask": (length if model in MASK_MODELS else None,)}
+
+    def filled(name: str) -> Column:
+        *inner, outer = sizes[name]
+        if outer is None:
+            return F.col(name)
+        return F.coalesce(name, F.array_repeat(_zeros(*inner), F.when(F.col("fallback"), F.lit(outer)))).alias(name)
+
+    return made.select("model", "uid", *map(filled, sizes), "fallback")
+
+
+def _zeros(*sizes: int) -> Column:
+    out = F.lit(0.0).cast("float")
+    for size in sizes:
+        out = F.array_repeat(out, size)
+    return out
 
 
 def encode_with_null(
@@ -124,21 +142,14 @@ def encode_with_null(
 
 def zero_null(spark: SparkSession, model: str) -> DataFrame:
     """The row of the empty prompt as zeros in the model's own shape."""
-
-    def zeros(*sizes: int) -> Column:
-        out = F.lit(0.0).cast("float")
-        for size in sizes:
-            out = F.array_repeat(out, size)
-        return out
-
     length = CAPTION_LENGTH[model]
     none = F.lit(None).cast("array<float>")
     return spark.range(1).select(
         F.lit(model).alias("model"),
         F.lit(NULL_UID).alias("uid"),
-        zeros(TOKEN_WIDTH[model], length).alias("tokens"),
-        (zeros(POOLED_WIDTH[model]) if model in POOLED_WIDTH else none).alias("pooled"),
-        (zeros(length) if model in MASK_MODELS else none).alias("attention_mask"),
+        _zeros(TOKEN_WIDTH[model], length).alias("tokens"),
+        (_zeros(POOLED_WIDTH[model]) if model in POOLED_WIDTH else none).alias("pooled"),
+        (_zeros(length) if model in MASK_MODELS else none).alias("attention_mask"),
         F.lit(False).alias("fallback"),
     )
 

@@ -11,6 +11,10 @@ from viewloom.operators import captions, hooks
 from viewloom.sources import sinks
 
 
+#: Numbers of a row group of stored embeddings, which a reader unpacks at once, and tasks for each core.
+GROUP_NUMBERS, TASKS = 1 << 22, 4
+
+
 def resolve_captions(subset: DataFrame, gidmap: DataFrame, table: DataFrame) -> DataFrame:
     """(uid, caption) of every listed object; an object without path or caption ends the job."""
     oids = captions.resolve_subset(subset, gidmap)
@@ -34,11 +38,15 @@ def embed_captions(
 ) -> None:
     """Stores the embedding of each (uid, caption) and of the empty prompt, which is encoded or all zeros.
 
-    Rows of a failed encoder keep their flag in the store.
+    Rows of a failed encoder keep their flag in the store.  Captions are short and embeddings long, so the
+    captions are dealt over all cores first.
     """
+    spark = pairs.sparkSession
+    pairs = pairs.repartition(TASKS * spark.sparkContext.defaultParallelism)
     if zero_null:
-        null = hooks.zero_null(pairs.sparkSession, model)
+        null = hooks.zero_null(spark, model)
         made = hooks.encode(pairs, encoder_factory, model, **options).unionByName(null)
     else:
         made = hooks.encode_with_null(pairs, encoder_factory, model, **options)
-    sinks.write_embeds(made, path)
+    numbers = hooks.CAPTION_LENGTH[model] * hooks.TOKEN_WIDTH[model]
+    sinks.write_embeds(made, path, model, max(1, GROUP_NUMBERS // numbers))

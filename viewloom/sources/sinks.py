@@ -18,10 +18,12 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split)
 
 
-def write_embeds(embeds: DataFrame, path: str, model: str | None = None) -> None:
+def write_embeds(embeds: DataFrame, path: str, model: str | None = None, group_rows: int | None = None) -> None:
     """float32 embeddings, partitioned by model; writing a model replaces only that model.
 
     ``fallback`` stays with the rows, so zeros that stand for a failed encoder can be counted later.
+    With ``model`` all rows are of that model and need no sort.  Readers unpack whole row groups of
+    up to some thousand rows, and zeros take no room in a file: for wide embeddings set ``group_rows``.
     """
     columns = {
         "tokens": F.col("tokens").cast("array<array<float>>"),
@@ -32,9 +34,10 @@ def write_embeds(embeds: DataFrame, path: str, model: str | None = None) -> None
         "fallback": F.col("fallback") if "fallback" in embeds.columns else F.lit(False),
     }
     out = embeds if model is None else embeds.withColumn("model", F.lit(model))
-    out.select("model", "uid", *[c.alias(n) for n, c in columns.items()]).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("model").parquet(path)
+    writer = out.select("model", "uid", *[c.alias(n) for n, c in columns.items()]).write.mode("overwrite")
+    if group_rows is not None:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
 
 
 METRICS = "run STRING, step BIGINT, name STRING, value DOUBLE"
