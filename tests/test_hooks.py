@@ -100,3 +100,14 @@ def test_task_code_does_not_need_this_package(spark, make):
     done = subprocess.run([sys.executable, "-c", code], input=payload, capture_output=True, cwd="/", timeout=60)
     assert done.stdout.split() == [b"False", b"True"], done.stderr
     assert pickle.loads(payload)
+
+
+def test_python_sends_no_zeros(spark):
+    def broken():
+        raise RuntimeError("no model")
+
+    made = hooks.encode(captions(spark, 3), broken, "sdxl", on_error="zeros")
+    assert "array_repeat" in made._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert made.schema == hooks.encode(captions(spark, 3), broken, "sdxl").schema
+    for r in made.collect():
+        assert r.tokens == [[0.0] * 2048] * 77 and r.pooled == [0.0] * 1280 and r.attention_mask is None and r.fallback
