@@ -110,6 +110,34 @@ def test_retrieval_in_blocks(spark, block):
     assert metrics.clip_sim(images, texts).first().clip_sim == pytest.approx(scores.diagonal().mean(), abs=1e-6)
 
 
+def test_copies_of_a_row_do_not_grow_with_small_blocks(spark):
+    counts = [1, 64, 65, 1000, 32_768, 32_769, 1_000_000]
+    rows = spark.createDataFrame([(n,) for n in counts], "n BIGINT")
+    got = rows.select("n", *(metrics.blocks_of(F.col("n"), b).alias(f"b{b}") for b in (64, 8192, 20_000))).collect()
+    assert {r.n: (r.b64, r.b8192, r.b20000) for r in got} == {
+        1: (1, 1, 1), 64: (1, 1, 1), 65: (2, 1, 1), 1000: (4, 1, 1), 32_768: (4, 4, 2), 32_769: (5, 5, 2), 1_000_000: (123, 123, 50),
+    }
+
+
+def test_few_copies_are_shuffled(spark):
+    rng = np.random.default_rng(5)
+    images, texts = (vectors(spark, rng.normal(size=(40, 4))) for _ in range(2))
+
+    def matcher(match=metrics._block_matcher()):
+        def best(left, right):
+            return match(left, right).assign(best_idx=len(left) + len(right))
+
+        return best
+
+    kept, metrics._block_matcher = metrics._block_matcher, matcher
+    try:
+        found = metrics.best_texts(images, texts, block=2).collect()
+    finally:
+        metrics._block_matcher = kept
+    # four blocks of each side, not twenty
+    assert len(found) == 40 and min(r.best_idx for r in found) > 4
+
+
 @pytest.mark.parametrize("block", [1, 100])
 def test_ties_go_to_the_lowest_index(spark, block):
     images = vectors(spark, [[1, 0], [0, 1], [1, 0]])

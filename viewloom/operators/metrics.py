@@ -25,6 +25,8 @@ EVAL_VIEWS = (0, 10, 20, 30)
 SSIM_WINDOW = 7
 SSIM_K1, SSIM_K2, SSIM_RANGE = 0.01, 0.03, 255.0
 COSINE_GUARD = 1e-8
+#: Rows of the largest block of a side that a task holds, and blocks of a side that smaller ones may be cut into.
+LARGEST_BLOCK, FEW_BLOCKS = 8192, 4
 
 
 def pair_eval(pred: DataFrame, truth: DataFrame, view_ids: Sequence[int] = EVAL_VIEWS) -> DataFrame:
@@ -207,13 +209,23 @@ def _block_matcher():
     return best
 
 
+def blocks_of(rows: Column, block: int) -> Column:
+    """Into how many blocks so many rows go.
+
+    Each block meets all of the other side's, so a row is copied once for each of those.  Small blocks are cut for
+    a few only; from there on blocks grow with the rows, up to what a task holds.
+    """
+    by_size = F.ceil(rows / F.lit(max(block, LARGEST_BLOCK)))
+    return F.least(F.ceil(rows / F.lit(block)), F.greatest(F.lit(FEW_BLOCKS), by_size)).cast("int")
+
+
 def best_texts(images: DataFrame, texts: DataFrame, block: int = 8192) -> DataFrame:
     """(grp, idx, best, best_idx): the best-scoring text of the group for every image.
 
     ``images`` and ``texts`` are (grp BIGINT, idx BIGINT, vec).  A group is cut
-    into blocks of about ``block`` rows a side; each pair of blocks is one
-    matrix product that returns one row per image, so neither the pairs nor a
-    whole group are ever held anywhere.
+    into blocks of about ``block`` rows a side, or larger ones (``blocks_of``);
+    each pair of blocks is one matrix product that returns one row per image,
+    so neither the pairs nor a whole group are ever held anywhere.
     """
 
     def cut(side: DataFrame, own: str, other: str, sizes: DataFrame) -> DataFrame:
@@ -227,7 +239,7 @@ def best_texts(images: DataFrame, texts: DataFrame, block: int = 8192) -> DataFr
         )
 
     def blocks(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias(name))
+        return side.groupBy("grp").agg(blocks_of(F.count(F.lit(1)), block).alias(name))
 
     sizes = blocks(images, "n_ib").join(blocks(texts, "n_tb"), "grp")
     keys = ["grp", "ib", "tb"]
