@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from viewloom.operators.metrics import _block_matcher
+from viewloom.operators.metrics import _block_matcher, blocks_of
 from viewloom.operators.skew import skew_join
 from viewloom.session import scratch_path
 
@@ -38,7 +38,7 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def _sizes(rows: DataFrame, keys: list[str], block: int, name: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
+    return rows.groupBy(*keys).agg(blocks_of(F.count(F.lit(1)), block).alias(name))
 
 
 def _places() -> object:
