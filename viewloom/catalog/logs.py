@@ -84,15 +84,45 @@ def metric_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCHES = 4
 
 
+#: Tasks for each core that write logs, two files for each run.
+LOG_TASKS = 4
+NO_RUN = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _write_logs(lines: DataFrame, path: str) -> None:
+    """Writes two text logs of each run: its lines in order, and a compressed one of one line. Files are many and small:
+    the tasks of all cores write them in their place, as Spark's writers move each file and set its rights one by one."""
+    opened = source.opened
+
+    def run(batches):
+        files, place = opened(path)
+        key, out = None, None
+        for batch in batches:
+            for name, line in zip(batch.column("run").to_pylist(), batch.column("value").to_pylist()):
+                if name != key:
+                    if out:
+                        out.close()
+                    folder = f"{place}/run={name}"
+                    files.create_dir(folder)
+                    with files.open_output_stream(f"{folder}/part-1.txt.gz", compression="gzip") as other:
+                        other.write(b"step 7\n")
+                    key, out = name, files.open_output_stream(f"{folder}/part-0.txt", buffer_size=1 << 16)
+                out.write((line or "").encode() + b"\n")
+        if out:
+            out.close()
+        yield from ()
+
+    named = lines.select(F.coalesce("run", F.lit(NO_RUN)).alias("run"), "line_no", "value")
+    dealt = named.repartition(LOG_TASKS * lines.sparkSession.sparkContext.defaultParallelism, "run")
+    dealt.sortWithinPartitions("run", "line_no").select("run", "value").mapInArrow(run, "done BOOLEAN").count()
+
+
 @query(f"WITH {S.LINES_SQL} SELECT run, row_number() OVER (PARTITION BY run ORDER BY line_no) AS n, line FROM lines")
 def read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as text logs, one file for each run, read back in order; a second log of each run is not mixed in."""
     path = scratch_path(spark, "logs")
     lines = S.lines(spark, sf_dir)
-    ordered = lines.repartition(8, "run").sortWithinPartitions("run", "line_no")
-    ordered.select("run", F.concat("line", F.lit(" \t\r")).alias("value")).write.partitionBy("run").text(path)
-    other = lines.groupBy("run").agg(F.lit("step 7").alias("value"))
-    other.write.mode("append").partitionBy("run").option("compression", "gzip").text(path)
+    _write_logs(lines.select("run", "line_no", F.concat("line", F.lit(" \t\r")).alias("value")), path)
     read = files.read_logs(spark, path, "part-*.txt").withColumn("run", F.regexp_replace("run", "^run=", ""))
     place = F.row_number().over(W.partitionBy("run").orderBy("line_no"))
     return read.select("run", place.cast("bigint").alias("n"), "line")
