@@ -348,8 +348,13 @@ def transform_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hooks.transform_samples(samples, measure, "doc_id BIGINT, size BIGINT")
 
 
+#: Tasks for each core that write small files.
+FILE_TASKS = 4
+
+
 def _write_files(rows: DataFrame, root: str) -> None:
-    """Writes ``rows`` (path below ``root``, text): one small file for each, by the tasks that hold them."""
+    """Writes ``rows`` (path below ``root``, text): one small file for each. Rows are short and files slow, so the rows
+    are dealt over all cores first."""
     opened = live.opened
 
     def run(batches):
@@ -361,7 +366,8 @@ def _write_files(rows: DataFrame, root: str) -> None:
                     out.write(text.encode())
         yield from ()
 
-    rows.select("path", "text").mapInArrow(run, "done BOOLEAN").count()
+    tasks = FILE_TASKS * rows.sparkSession.sparkContext.defaultParallelism
+    rows.select("path", "text").repartition(tasks).mapInArrow(run, "done BOOLEAN").count()
 
 
 # Suppliers as objects: some views, cameras for the even ones, and a note for every seventh object.
