@@ -94,6 +94,34 @@ def test_large_group_without_links_needs_no_pairs_of_it(spark, monkeypatch):
     assert sizes["links"] == 0
 
 
+def test_large_families_lose_no_pair(spark, monkeypatch):
+    """Pairs that no link between promising sets names, as those sets are joined over others that are not similar."""
+    monkeypatch.setattr(chosen, "FAMILY", 1)
+    # all sets meet in one node only
+    monkeypatch.setattr(chosen, "first_nodes", lambda tokens: np.zeros(1, np.uint64))
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(25):
+        words = changed(base, 0.78, rng)
+        texts += [" ".join(words), " ".join(changed(words, 0.85, rng))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert found(docs) == dict(enumerate(classes(texts)))
+
+
+def test_parts_of_a_node_hold_all_promising_pairs(spark):
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(0, 1 << 32, (3, chosen.TOKENS), np.uint64).astype(np.uint32)
+    tokens = np.concatenate([tokens[:1].repeat(3, axis=0), tokens[1:2].repeat(2, axis=0), tokens[2:]])
+    rows = [(k, 10, *chosen._long(chosen.sketch(t)).tolist()) for k, t in enumerate(tokens)]
+    sets = spark.createDataFrame(rows, "set long, n long, s0 long, s1 long, s2 long, s3 long")
+    nodes = sets.select(F.lit(7).cast("long").alias("node"), "set", F.col("set").alias("label"))
+    got = {}
+    for r in chosen._leaves(nodes, sets, 0.8, parts=True).collect():
+        got.setdefault(r.part, set()).add(r.set)
+    assert sorted(map(sorted, got.values())) == [[0, 1, 2], [3, 4]]
+
+
 def test_large_group_of_near_copies_is_joined_by_its_hubs(spark):
     rng = random.Random(3)
     words = [f"w{rng.randrange(10**6)}" for _ in range(200)]

@@ -258,9 +258,13 @@ def _groups(batches, names: list[str]):
         yield held
 
 
-def _leaves(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that join the sets of a node that may be similar, by all pairs of its sketches."""
-    cut = least_alike(similarity)
+def _leaves(nodes: DataFrame, sets: DataFrame, similarity: float, parts: bool = False) -> DataFrame:
+    """(a, b): links that join the sets of a node that may be similar, by all pairs of its sketches.
+
+    With ``parts`` (part, set) instead: the sets that are joined in a node, so that all pairs that may be similar lie in
+    some part. Links tell which sets belong together, but not which pairs of those may be similar.
+    """
+    cut, names = least_alike(similarity), ["part", "set"] if parts else ["a", "b"]
     fives = np.uint64(0x5555555555555555)
 
     def found(label: np.ndarray, n: np.ndarray, short: np.ndarray) -> list[tuple[int, int]]:
@@ -277,20 +281,28 @@ def _leaves(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         a, b = [], []
-        for _, own, label, n, *short in _groups(batches, ["node", "set", "label", "n", *_SKETCH]):
+        for node, own, label, n, *short in _groups(batches, ["node", "set", "label", "n", *_SKETCH]):
             short = np.array(short, np.int64).view(np.uint64).T
-            for p, q in found(np.array(label), np.array(n), short):
-                a.append(min(own[p], own[q]))
-                b.append(max(own[p], own[q]))
+            links = found(np.array(label), np.array(n), short)
+            if parts:
+                root = np.arange(len(own))
+                for p, q in links:
+                    root[root == root[q]] = root[p]
+                for p in np.unique(np.array(links, np.int64)).tolist():
+                    a.append(xxhash.xxh64_intdigest(f"{node[p]} {own[root[p]]}", SEED))
+                    b.append(own[p])
+            else:
+                a += (min(own[p], own[q]) for p, q in links)
+                b += (max(own[p], own[q]) for p, q in links)
             if len(a) > CHUNK:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(_long(a) if parts else a, pa.int64()), pa.array(b, pa.int64())], names=names)
                 a, b = [], []
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(_long(a) if parts else a, pa.int64()), pa.array(b, pa.int64())], names=names)
 
     rows = nodes.join(sets.select("set", "n", *_SKETCH), "set").select("node", "set", "label", "n", *_SKETCH)
     dealt = rows.repartition("node").sortWithinPartitions("node", "set")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, ", ".join(f"{name} long" for name in names)).distinct()
 
 
 def _confirmed(groups: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -368,8 +380,8 @@ def near_duplicates(
         small = met.where((F.col("k") <= leaf) | F.lit(level >= depth))
         small = _block_pairs(small, "node", min(NODE_BLOCK, leaf)).select(F.col("grp").alias("node"), "set", "label")
         pairs = large.where("set != hub.set AND label != hub.label").select(F.col("hub.set").alias("a"), F.col("set").alias("b"))
-        links = _promising(pairs.distinct(), sets, similarity).union(_leaves(small, sets, similarity))
-        links = stored(links, "links")
+        links = _promising(pairs.distinct(), sets, similarity).withColumn("hub", F.lit(True))
+        links = stored(links.union(_leaves(small, sets, similarity).withColumn("hub", F.lit(False))), "links")
         if not links.isEmpty():
             families = _families(links)
             texts = _texts(docs, families.select("set"), sets, id_col, text_col)
@@ -377,9 +389,15 @@ def near_duplicates(
             found = [_confirmed(_block_pairs(fit, "family", FAMILY_BLOCK), texts, similarity, shingle)]
             over = families.where(F.col("k") > FAMILY).select("set")
             if not over.isEmpty():
-                found.append(_stars(links.join(over.withColumnRenamed("set", "a"), "a", "left_semi"), texts, similarity, shingle))
+                hubs = links.where("hub").join(over.withColumnRenamed("set", "a"), "a", "left_semi").select("a", "b")
+                found.append(_stars(hubs, texts, similarity, shingle))
+                # links alone would leave out pairs whose sets they join over others
+                parts = stored(_leaves(small.join(over, "set", "left_semi"), sets, similarity, parts=True), "parts")
+                parts = parts.join(parts.groupBy("part").agg(F.count(F.lit(1)).alias("k")), "part")
+                found.append(_confirmed(_block_pairs(parts, "part", FAMILY_BLOCK), texts, similarity, shingle))
             edges = stored(edges.union(reduce(DataFrame.union, found)), "edges")
-            named = fit.select("set", F.col("family").alias("label"))
+            # families of two levels may have one root, but were not decided together
+            named = fit.select("set", F.xxhash64("family", F.lit(level)).alias("label"))
             if len(found) > 1:
                 classes = components(edges).withColumnRenamed("fp", "set").withColumnRenamed("root", "label")
                 named = named.union(classes.join(over, "set", "left_semi").select("set", "label"))
