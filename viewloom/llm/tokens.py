@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.llm.common import add_columns, id_text, pieces_of, texts_of
+from viewloom.llm.common import add_columns, id_text, pieces_of, texts_of, worker_cache
 
 #: Texts of more characters are encoded in chunks.
 CHUNK, OVERLAP = 65_536, 1_024
 #: A place so near a chunk's end may look different with the rest of the text: a longer special token, a look ahead.
 GUARD = 32
-#: Pieces of which the counts are kept in a task, and their longest.
+#: Pieces of which the counts are kept in a Python worker, and their longest.
 MEMO, MEMO_CHARS = 300_000, 48
 
 #: A blank is a clean cut if no other white space touches it: then the piece after it, blank included, is
@@ -153,13 +153,13 @@ def count_tokens(
     be widened). Null and empty texts have 0 bytes and tokens; a null id stays null; repeated rows give repeated
     results. Other columns are not read, whatever they are called. No row gives no row.
 
-    No shuffle. A task holds one Arrow batch, one chunk's encoding and at most MEMO counts.
+    No shuffle. A task holds one Arrow batch and one chunk's encoding, its worker the tokenizer and at most MEMO counts.
     """
     if not 0 < overlap < chunk:
         raise ValueError("the overlap is shorter than a chunk")
 
     def make():
-        counter = Counter(tokenizer_path, chunk, overlap)
+        counter = worker_cache(("counts", tokenizer_path, chunk, overlap), lambda: Counter(tokenizer_path, chunk, overlap))
 
         def new(batch):
             counts = [c for texts in texts_of(batch, "text") for c in counter.count(texts)]
