@@ -16,6 +16,8 @@ from viewloom.session import scratch_mark, settled
 
 MAX_REPEATS = 1.5
 SHINGLE, SIMILARITY = 5, 0.8
+#: Words of which a worker keeps the ids: fewer than where packing has an executor's memory for itself.
+MEMO = 200_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents, packed into sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).select(*packing.COLUMNS)
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo=MEMO)
+    return packed.select(*packing.COLUMNS)
 
 
 STAGES = [

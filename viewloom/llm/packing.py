@@ -61,7 +61,7 @@ class Ids:
     words in a row. Words of a usual text are looked up with A-Z folded, which the tokenizer does anyway.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,6 +69,7 @@ class Ids:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         # words looked up lately, and those before them
+        self.most = most
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -101,7 +102,7 @@ class Ids:
         return [text] if ODD_BLANK.search(text) else text.split()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.memo, self.old = {}, self.memo
         memo, old, other = self.memo, self.old, []
         split = [self.words(t) for t in texts]
@@ -139,15 +140,16 @@ def cut(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]
 PIECE = "struct<piece: int, start: long, length: long, ids_crc32: long>"
 
 
-def document_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", capacity=CAPACITY) -> DataFrame:
+def document_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", capacity=CAPACITY, memo=MEMO) -> DataFrame:
     """(uid, doc_id, piece, start, length, ids_crc32): the pieces of every whole text, its end id included.
 
     ``uid`` numbers the pieces within the partitions of ``docs``.
     """
     end = np.array([END], "<u4").tobytes()
+    key = ("ids", tokenizer_path, memo)
 
     def make():
-        encoder = worker_cache(("ids", tokenizer_path), lambda: Ids(tokenizer_path))
+        encoder = worker_cache(key, lambda: Ids(tokenizer_path, memo))
 
         def new(batch):
             found = [cut(ids + end, capacity) for texts in texts_of(batch, "text") for ids in encoder.ids(texts)]
@@ -160,7 +162,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_
 
         return new
 
-    found = add_columns(id_text(docs, id_col, text_col), f"p array<{PIECE}>", make, ["doc_id"])
+    found = add_columns(id_text(docs, id_col, text_col), f"p array<{PIECE}>", make, ["doc_id"], key)
     rows = found.select("doc_id", F.explode("p").alias("p"))
     return rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "p.*")
 
@@ -339,20 +341,22 @@ def pack_documents(
     text_col: str = "text",
     seed: int = 42,
     loose: float = LOOSE,
+    memo: int = MEMO,
 ) -> DataFrame:
     """Every whole text as pieces of at most ``capacity`` tokens, packed into few sequences of that size.
 
     Result, one row for each piece: doc_id, piece (from 0), start (its document's ids before it), length, ids_crc32,
     sequence_id and offset (its place there, without gaps). A document is its ids and the end id 0; only longer ones
     are cut. Null and empty texts are one piece of one token; a null id stays null; repeated rows are packed each.
-    Other columns are not read, whatever they are called. No row gives no row.
+    Other columns are not read, whatever they are called. No row gives no row. A Python worker keeps the ids of up to
+    ``memo`` words in each of two generations (about 170 bytes a word).
 
     Pieces (numbers, no ids) are stored once; everything after works on those. Sequences of a first packing that
     stay loose are dissolved and packed once more, those of all blocks together.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "pieces")
-    document_pieces(docs, tokenizer_path, id_col, text_col, capacity).write.parquet(path)
+    document_pieces(docs, tokenizer_path, id_col, text_col, capacity, memo).write.parquet(path)
     pieces = spark.read.parquet(path)
     items = pieces.where(F.col("length") < capacity).select("uid", "length")
 

@@ -158,8 +158,10 @@ def count_tokens(
     if not 0 < overlap < chunk:
         raise ValueError("the overlap is shorter than a chunk")
 
+    key = ("counts", tokenizer_path, chunk, overlap)
+
     def make():
-        counter = worker_cache(("counts", tokenizer_path, chunk, overlap), lambda: Counter(tokenizer_path, chunk, overlap))
+        counter = worker_cache(key, lambda: Counter(tokenizer_path, chunk, overlap))
 
         def new(batch):
             counts = [c for texts in texts_of(batch, "text") for c in counter.count(texts)]
@@ -167,7 +169,7 @@ def count_tokens(
 
         return new
 
-    counted = add_columns(id_text(docs, id_col, text_col), "n_tokens long, n_widened long", make)
+    counted = add_columns(id_text(docs, id_col, text_col), "n_tokens long, n_widened long", make, cache=key)
     return counted.select(
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),
