@@ -349,7 +349,7 @@ def pack_documents(
     sequence_id and offset (its place there, without gaps). A document is its ids and the end id 0; only longer ones
     are cut. Null and empty texts are one piece of one token; a null id stays null; repeated rows are packed each.
     Other columns are not read, whatever they are called. No row gives no row. A Python worker keeps the ids of up to
-    ``memo`` words in each of two generations (about 170 bytes a word).
+    ``memo`` words in each of two generations (about 130 bytes a word).
 
     Pieces (numbers, no ids) are stored once; everything after works on those. Sequences of a first packing that
     stay loose are dissolved and packed once more, those of all blocks together.
